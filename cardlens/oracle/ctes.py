@@ -195,3 +195,74 @@ def feature_select(names, prefix: str = "f_") -> str:
 
 
 ALL_FEATURES = list(FEATURE_NAMES)
+
+
+def scored_feature_ctes() -> str:
+    """Features (``fv``) plus pseudo-scores and the decision, in table ``dec``."""
+    return full_feature_ctes() + f""",
+sfv AS (
+  SELECT *, {blend_sql('p_sup', 's_if', 's_seq')} AS risk_score
+  FROM (SELECT *,
+          least(0.999, 0.55 * {H('a')} * {H('a')} + 0.42 * is_fraud
+                       + CASE WHEN customer_age_band = '60+' THEN 0.05 ELSE 0.0 END) AS p_sup,
+          {H('b')} AS s_if, {H('c')} AS s_seq
+        FROM fv)),
+dec0 AS (
+  SELECT *,
+    CASE WHEN risk_score >= 0.86 THEN 'decline' WHEN risk_score >= 0.55 THEN 'review'
+         WHEN risk_score >= 0.35 THEN 'step_up' ELSE 'approve' END AS base_action,
+    coalesce(f_card_txn_count_1h >= 5 AND amount < 20, false) AS r1,
+    coalesce(f_card_distinct_countries_7d >= 3 AND f_card_txn_count_1h >= 2, false) AS r2,
+    coalesce(amount >= 2500 AND f_is_new_device_for_card = 1.0, false) AS r3,
+    coalesce(f_entry_is_swipe = 1.0 AND f_is_cross_border = 1.0, false) AS r4
+  FROM sfv),
+dec AS (
+  SELECT *,
+    (['approve', 'step_up', 'review', 'decline'])[greatest(
+        CASE base_action WHEN 'approve' THEN 0 WHEN 'step_up' THEN 1 WHEN 'review' THEN 2 ELSE 3 END,
+        CASE WHEN r1 THEN 2 ELSE 0 END, CASE WHEN r2 THEN 2 ELSE 0 END,
+        CASE WHEN r3 THEN 1 ELSE 0 END, CASE WHEN r4 THEN 2 ELSE 0 END) + 1] AS action,
+    list_filter([CASE WHEN r1 THEN 'velocity.card_testing_burst' END,
+                 CASE WHEN r2 THEN 'geo.multi_country_velocity' END,
+                 CASE WHEN r3 THEN 'ato.high_value_new_device' END,
+                 CASE WHEN r4 THEN 'counterfeit.cross_border_swipe' END], lambda v: v IS NOT NULL)
+      AS triggered_rules
+  FROM dec0)"""
+
+
+CONTRIB_NAMES = ["amount", "card_txn_count_1h", "amount_zscore_card", "merchant_risk_score",
+                 "is_new_device_for_card", "card_velocity_ratio", "mcc_risk_score",
+                 "hour_deviation_card"]
+
+
+def contrib_list() -> str:
+    """List of {k: -|v|, i, name, value} for the binding's 8 pseudo-contributions."""
+    items = []
+    for i, n in enumerate(CONTRIB_NAMES):
+        v = f"(({H(n)} - 0.5) * 4.0)"
+        items.append(f"{{'k': -abs({v}), 'i': {i}, 'name': '{n}', 'value': {v}}}")
+    return "[" + ", ".join(items) + "]"
+
+
+def reason_text_case(expr: str) -> str:
+    from cardlens.constants import REASON_TEXT
+    whens = " ".join("WHEN '{}' THEN '{}'".format(k, v.replace("'", "''")) for k, v in REASON_TEXT.items())
+    return f"CASE {expr} {whens} ELSE {expr} END"
+
+
+def reasons_sql(lst: str, k: int = 4) -> str:
+    return (f"array_to_string(list_transform(list_sort({lst})[1:{k}], lambda e: "
+            f"printf('%s (%+.3f)', {reason_text_case('e.name')}, e.value)), ' | ')")
+
+
+def snapshot_list() -> str:
+    items = [f"{{'k': -abs(f_{n}), 'i': {i}, 'name': '{n}', 'value': f_{n}}}"
+             for i, n in enumerate(FEATURE_NAMES)]
+    return "[" + ", ".join(items) + "]"
+
+
+def fixed_text(v: str, decimals: int) -> str:
+    scale = 10 ** decimals
+    q = f"CAST(floor(abs({v}) * {scale} + 0.5) AS BIGINT)"
+    return (f"printf('%s%d.%0{decimals}d', CASE WHEN {v} < 0 AND {q} > 0 THEN '-' ELSE '' END, "
+            f"{q} // {scale}, {q} % {scale})")

@@ -89,3 +89,29 @@ SELECT transaction_id, CAST(history_len AS INTEGER) AS history_len,
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+SQL["blend_scores"] = _w(C.TXN, C.SCORED) + """
+SELECT transaction_id, round(p_sup, 6) AS p_sup, round(s_if, 6) AS s_if, round(s_seq, 6) AS s_seq,
+       round(risk_score, 6) AS risk_score FROM scored"""
+
+SQL["base_actions"] = _w(C.TXN, C.SCORED) + """
+SELECT transaction_id, round(risk_score, 6) AS risk_score,
+  CASE WHEN risk_score >= 0.86 THEN 'decline' WHEN risk_score >= 0.55 THEN 'review'
+       WHEN risk_score >= 0.35 THEN 'step_up' ELSE 'approve' END AS base_action FROM scored"""
+
+SQL["decisions"] = _w(C.TXN, C.scored_feature_ctes()) + """
+SELECT transaction_id, base_action, action, array_to_string(triggered_rules, ',') AS triggered_rules
+FROM dec"""
+
+SQL["reason_codes"] = _w(C.TXN) + f"""
+SELECT transaction_id, {C.reasons_sql(C.contrib_list())} AS reasons FROM txn"""
+
+SQL["decline_reasons"] = _w(C.TXN, C.scored_feature_ctes()) + f"""
+SELECT transaction_id, action,
+  CASE WHEN action = 'decline' THEN {C.reasons_sql(C.contrib_list())} ELSE '' END AS reasons FROM dec"""
+
+SQL["alert_top_features"] = _w(C.TXN, C.scored_feature_ctes()) + f"""
+SELECT transaction_id, action,
+  array_to_string(list_transform(list_sort({C.snapshot_list()})[1:12],
+                  lambda e: e.name || ' = ' || {C.fixed_text('e.value', 4)}), '; ') AS top_features
+FROM dec WHERE action IN ('review', 'decline')"""

@@ -131,3 +131,55 @@ def cold_cards(spark, sf):
     f = card_features(bindings.txn(spark, sf))
     return f.select("transaction_id", "history_len",
                     F.when(F.col("history_len") < 2, F.lit(0.5)).alias("neutral_sequence_score"))
+
+
+# ---------------------------------------------------------------- blend and decisions
+from cardlens.operators.decide import (base_action, decide, feature_snapshot,  # noqa: E402
+                                       top_features, top_reasons, with_decline_reasons)
+
+
+def _scored_features(spark: SparkSession, sf: str) -> DataFrame:
+    """txn -> pseudo-scores -> 31 features -> decision, one frame."""
+    t = bindings.with_pseudo_scores(bindings.txn(spark, sf))
+    return decide(feature_table(t))
+
+
+@register("blend_scores")
+def blend_scores(spark, sf):
+    s = bindings.scored(spark, sf)
+    return s.select("transaction_id", *[r6(c).alias(c) for c in ("p_sup", "s_if", "s_seq",
+                                                                   "risk_score")])
+
+
+@register("base_actions")
+def base_actions(spark, sf):
+    s = bindings.scored(spark, sf)
+    return s.select("transaction_id", r6("risk_score").alias("risk_score"),
+                    base_action(F.col("risk_score")).alias("base_action"))
+
+
+@register("decisions")
+def decisions(spark, sf):
+    d = _scored_features(spark, sf)
+    return d.select("transaction_id", "base_action", "action",
+                    F.concat_ws(",", "triggered_rules").alias("triggered_rules"))
+
+
+@register("reason_codes")
+def reason_codes(spark, sf):
+    c = bindings.with_contributions(bindings.txn(spark, sf))
+    return c.select("transaction_id", F.concat_ws(" | ", top_reasons(F.col("contrib"))).alias("reasons"))
+
+
+@register("decline_reasons")
+def decline_reasons(spark, sf):
+    d = bindings.with_contributions(_scored_features(spark, sf))
+    d = with_decline_reasons(d)
+    return d.select("transaction_id", "action", F.concat_ws(" | ", "reasons").alias("reasons"))
+
+
+@register("alert_top_features")
+def alert_top_features(spark, sf):
+    d = _scored_features(spark, sf).filter(F.col("action").isin("review", "decline"))
+    return d.select("transaction_id", "action",
+                    F.concat_ws("; ", top_features(feature_snapshot(d))).alias("top_features"))
