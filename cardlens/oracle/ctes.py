@@ -266,3 +266,82 @@ def fixed_text(v: str, decimals: int) -> str:
     q = f"CAST(floor(abs({v}) * {scale} + 0.5) AS BIGINT)"
     return (f"printf('%s%d.%0{decimals}d', CASE WHEN {v} < 0 AND {q} > 0 THEN '-' ELSE '' END, "
             f"{q} // {scale}, {q} % {scale})")
+
+
+def split_feature_ctes() -> str:
+    """Scored features with the time split: table ``fvs``."""
+    return scored_feature_ctes() + """,
+fvs AS (SELECT d.*, s.split FROM dec d JOIN splitted s USING (transaction_id))"""
+
+
+def long_features(src: str = "fvs", names=None) -> str:
+    names = list(names or FEATURE_NAMES)
+    items = ", ".join(f"{{'feature': '{n}', 'value': round(CAST(f_{n} AS DOUBLE), 9)}}" for n in names)
+    return f"""
+flong AS (SELECT split, x.feature AS feature, x.value AS value
+          FROM (SELECT split, unnest([{items}]) AS x FROM {src}))"""
+
+
+def psi_ctes(long: str, bins: int, base_filter: str, cur_filter: str, prefix: str = "p") -> str:
+    probs = ", ".join(repr(i / bins) for i in range(bins + 1))
+    return f"""
+{prefix}_bl AS (SELECT feature, value FROM {long} WHERE {base_filter} AND isfinite(value)),
+{prefix}_cl AS (SELECT feature, value FROM {long} WHERE {cur_filter} AND isfinite(value)),
+{prefix}_edges AS (
+  SELECT feature, list_sort(list_distinct(quantile_cont(value, [{probs}]))) AS edges
+  FROM {prefix}_bl GROUP BY feature),
+{prefix}_e AS (
+  SELECT feature, edges, len(edges) - 1 AS n_bins,
+         CASE WHEN len(edges) > 2 THEN edges[2:len(edges) - 1] ELSE [] END AS inner_e
+  FROM {prefix}_edges),
+{prefix}_sides AS (SELECT feature, value, 'b' AS side FROM {prefix}_bl
+                   UNION ALL SELECT feature, value, 'c' AS side FROM {prefix}_cl),
+{prefix}_counts AS (
+  SELECT s.feature, s.side, len(list_filter(e.inner_e, lambda x: x <= s.value)) AS bin, count(*) AS cnt
+  FROM {prefix}_sides s JOIN {prefix}_e e USING (feature) GROUP BY ALL),
+{prefix}_means AS (
+  SELECT feature, count(*) FILTER (WHERE side = 'b') AS nb, count(*) FILTER (WHERE side = 'c') AS nc,
+         avg(value) FILTER (WHERE side = 'b') AS b_rate, avg(value) FILTER (WHERE side = 'c') AS c_rate
+  FROM {prefix}_sides GROUP BY feature),
+{prefix}_grid AS (SELECT feature, n_bins, unnest(range(greatest(n_bins, 1))) AS bin FROM {prefix}_e),
+{prefix}_full AS (
+  SELECT g.feature, g.bin, g.n_bins AS k, coalesce(b.cnt, 0) AS b, coalesce(c.cnt, 0) AS c
+  FROM {prefix}_grid g
+  LEFT JOIN {prefix}_counts b ON b.feature = g.feature AND b.bin = g.bin AND b.side = 'b'
+  LEFT JOIN {prefix}_counts c ON c.feature = g.feature AND c.bin = g.bin AND c.side = 'c'),
+{prefix}_tot AS (SELECT feature, sum(b) AS tb, sum(c) AS tc FROM {prefix}_full GROUP BY feature),
+{prefix}_binned AS (
+  SELECT f.feature, sum((((c + 0.5) / (tc + 0.5 * k)) - ((b + 0.5) / (tb + 0.5 * k)))
+                        * ln(((c + 0.5) / (tc + 0.5 * k)) / ((b + 0.5) / (tb + 0.5 * k)))) AS psi_bins
+  FROM {prefix}_full f JOIN {prefix}_tot t USING (feature) GROUP BY f.feature),
+{prefix}_psi AS (
+  SELECT m.feature,
+    CASE WHEN m.nb < 2 OR m.nc < 2 THEN 0.0
+         WHEN len(e.edges) < 3 THEN abs(b_rate - c_rate) * ln(greatest(c_rate, 1e-6) / greatest(b_rate, 1e-6))
+         ELSE bb.psi_bins END AS psi,
+    abs(b_rate - c_rate) AS rate_shift_abs
+  FROM {prefix}_means m LEFT JOIN {prefix}_e e USING (feature) LEFT JOIN {prefix}_binned bb USING (feature))"""
+
+
+def status_sql(x: str) -> str:
+    return f"CASE WHEN {x} < 0.1 THEN 'stable' WHEN {x} < 0.25 THEN 'monitor' ELSE 'investigate' END"
+
+
+CURVE = """
+cv_per AS (SELECT {score} AS score, count(*) FILTER (WHERE is_fraud = 1) AS tp,
+                  count(*) FILTER (WHERE is_fraud <> 1) AS fp FROM scored GROUP BY 1),
+cv AS (SELECT *, sum(tp) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cum_tp,
+              sum(fp) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS cum_fp,
+              sum(tp) OVER () AS n_pos, sum(fp) OVER () AS n_neg FROM cv_per),
+rank_m AS (
+  SELECT sum(tp / n_pos * (cum_tp / (cum_tp + cum_fp))) AS pr_auc,
+         sum(fp * (cum_tp - tp / 2.0) / (n_pos * n_neg)) AS roc_auc,
+         coalesce(max(CASE WHEN cum_fp / n_neg <= 0.01 THEN cum_tp / n_pos END), 0.0) AS recall_at_1pct_fpr,
+         coalesce(max(CASE WHEN cum_fp / n_neg <= 0.005 THEN cum_tp / n_pos END), 0.0) AS recall_at_0p5pct_fpr
+  FROM cv)"""
+
+
+def curve(score: str = "risk_score", tag: str = "") -> str:
+    return CURVE.replace("{score}", score).replace("cv_per", f"cv_per{tag}").replace(
+        "cv AS", f"cv{tag} AS").replace("FROM cv)", f"FROM cv{tag})").replace(
+        "FROM cv_per)", f"FROM cv_per{tag})").replace("rank_m", f"rank_m{tag}")

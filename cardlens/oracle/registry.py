@@ -115,3 +115,211 @@ SELECT transaction_id, action,
   array_to_string(list_transform(list_sort({C.snapshot_list()})[1:12],
                   lambda e: e.name || ' = ' || {C.fixed_text('e.value', 4)}), '; ') AS top_features
 FROM dec WHERE action IN ('review', 'decline')"""
+
+_OP_ROWS = " UNION ALL ".join(
+    f"""SELECT {t} AS threshold, count(*) FILTER (WHERE risk_score >= {t} AND is_fraud = 1) AS tp,
+       count(*) FILTER (WHERE risk_score >= {t} AND is_fraud <> 1) AS fp,
+       count(*) FILTER (WHERE risk_score < {t} AND is_fraud = 1) AS fn,
+       count(*) FILTER (WHERE risk_score < {t} AND is_fraud <> 1) AS tn,
+       coalesce(sum(amount) FILTER (WHERE risk_score >= {t} AND is_fraud = 1), 0.0) AS v,
+       count(*) AS n, coalesce(sum(amount) FILTER (WHERE is_fraud = 1), 0.0) AS fraud_value
+     FROM scored""" for t in (0.35, 0.55, 0.70, 0.86))
+
+SQL["operating_points"] = _w(C.TXN, C.SCORED) + f"""
+SELECT round(threshold, 6) AS threshold, tp, fp, fn, tn,
+  round(tp / greatest(tp + fp, 1), 6) AS precision, round(tp / greatest(tp + fn, 1), 6) AS recall,
+  round(fp / greatest(fp + tn, 1), 6) AS false_positive_rate,
+  round(10000.0 * (tp + fp) / greatest(n, 1), 6) AS alerts_per_10k,
+  round(v / CASE WHEN fraud_value = 0 THEN 1.0 ELSE fraud_value END, 6) AS value_recall
+FROM ({_OP_ROWS})"""
+
+_NB = """
+nb AS (
+  SELECT coalesce(sum(amount) FILTER (WHERE risk_score >= 0.86 AND is_fraud = 1), 0.0) AS dfv,
+         coalesce(sum(amount) FILTER (WHERE is_fraud = 1), 0.0) AS fraud_value,
+         count(*) FILTER (WHERE risk_score >= 0.86 AND is_fraud <> 1) AS false_declines,
+         count(*) FILTER (WHERE risk_score >= 0.35 AND risk_score < 0.86) AS review_band
+  FROM scored),
+nb2 AS (
+  SELECT dfv * 0.85 AS stopped_value, false_declines, review_band,
+         dfv / CASE WHEN fraud_value = 0 THEN 1.0 ELSE fraud_value END AS value_detection_rate,
+         dfv * 0.85 - false_declines * 12.0 - review_band * 4.5 AS estimated_loss_reduction
+  FROM nb)"""
+
+SQL["net_benefit"] = _w(C.TXN, C.SCORED, _NB) + """
+SELECT round(stopped_value, 6) AS stopped_value, false_declines, review_band,
+       round(value_detection_rate, 6) AS value_detection_rate,
+       round(estimated_loss_reduction, 6) AS estimated_loss_reduction FROM nb2"""
+
+SQL["pr_auc"] = _w(C.TXN, C.SCORED, C.curve()) + "SELECT round(pr_auc, 6) AS pr_auc FROM rank_m"
+SQL["roc_auc"] = _w(C.TXN, C.SCORED, C.curve()) + "SELECT round(roc_auc, 6) AS roc_auc FROM rank_m"
+SQL["recall_at_fpr"] = _w(C.TXN, C.SCORED, C.curve()) + """
+SELECT round(recall_at_1pct_fpr, 6) AS recall_at_1pct_fpr,
+       round(recall_at_0p5pct_fpr, 6) AS recall_at_0p5pct_fpr FROM rank_m"""
+
+SQL["evaluation_summary"] = _w(C.TXN, C.SCORED, C.curve(), _NB) + """
+SELECT count(*) AS n, CAST(sum(is_fraud) AS BIGINT) AS n_fraud, round(avg(CAST(is_fraud AS DOUBLE)), 6) AS prevalence,
+  round((SELECT pr_auc FROM rank_m), 6) AS pr_auc, round((SELECT roc_auc FROM rank_m), 6) AS roc_auc,
+  round((SELECT recall_at_1pct_fpr FROM rank_m), 6) AS recall_at_1pct_fpr,
+  round((SELECT recall_at_0p5pct_fpr FROM rank_m), 6) AS recall_at_0p5pct_fpr,
+  round((SELECT stopped_value FROM nb2), 6) AS stopped_value,
+  (SELECT false_declines FROM nb2) AS false_declines, (SELECT review_band FROM nb2) AS review_band,
+  round((SELECT value_detection_rate FROM nb2), 6) AS value_detection_rate,
+  round((SELECT estimated_loss_reduction FROM nb2), 6) AS estimated_loss_reduction
+FROM scored"""
+
+SQL["champion_gate"] = _w(C.TXN, C.SCORED, C.curve("p_sup", "_ch"), C.curve("risk_score", "_cp")) + """
+SELECT round(a.pr_auc, 6) AS challenger_pr_auc, round(b.pr_auc, 6) AS champion_pr_auc,
+       a.pr_auc >= b.pr_auc + 0.01 AS passed
+FROM rank_m_ch a, rank_m_cp b"""
+
+SQL["class_weight"] = _w(C.TXN, C.split_cte("txn")) + """
+SELECT count(*) FILTER (WHERE is_fraud = 1) AS n_pos, count(*) FILTER (WHERE is_fraud <> 1) AS n_neg,
+  round(greatest((count(*) FILTER (WHERE is_fraud <> 1)) / greatest(count(*) FILTER (WHERE is_fraud = 1), 1), 1.0), 6)
+    AS pos_weight
+FROM splitted WHERE split = 'train'"""
+
+SQL["feature_moments"] = _w(C.TXN, C.split_feature_ctes(), C.long_features()) + """
+SELECT feature, round(avg(value), 6) AS mean,
+       round(CASE WHEN stddev_pop(value) < 1e-6 THEN 1.0 ELSE stddev_pop(value) END, 6) AS std
+FROM flong WHERE split = 'train' GROUP BY feature"""
+
+_LEGIT_TRAIN = """
+lt AS (SELECT * FROM scored JOIN (SELECT transaction_id, split FROM splitted) USING (transaction_id)
+       WHERE split = 'train' AND is_fraud = 0)"""
+
+
+def _bounds_sql(col: str, lo: float, hi: float, name: str) -> str:
+    return f"""SELECT '{name}' AS detector, round(lo, 6) AS lo,
+  round(CASE WHEN hi <= lo THEN lo + 1e-6 ELSE hi END, 6) AS hi
+FROM (SELECT quantile_cont({col}, {lo}) AS lo, quantile_cont({col}, {hi}) AS hi FROM lt)"""
+
+
+SQL["calibration_bounds"] = _w(C.TXN, C.SCORED, C.split_cte("txn"), _LEGIT_TRAIN) + \
+    _bounds_sql("s_if", 0.01, 0.99, "iforest") + " UNION ALL " + \
+    _bounds_sql("s_seq", 0.05, 0.995, "sequence")
+
+SQL["calibrated_anomaly"] = _w(C.TXN, C.SCORED, C.split_cte("txn"), _LEGIT_TRAIN) + """
+, b AS (SELECT quantile_cont(s_if, 0.01) AS lo, quantile_cont(s_if, 0.99) AS hi0 FROM lt),
+b2 AS (SELECT lo, CASE WHEN hi0 <= lo THEN lo + 1e-6 ELSE hi0 END AS hi FROM b)
+SELECT transaction_id, round(least(greatest((s_if - lo) / (hi - lo), 0.0), 1.0), 6) AS anomaly_score
+FROM scored, b2"""
+
+SQL["reference_medians"] = _w(C.TXN, C.SCORED, C.split_cte("txn")) + """
+, v AS (SELECT * FROM scored JOIN (SELECT transaction_id, split FROM splitted) USING (transaction_id)
+        WHERE split = 'valid' AND is_fraud = 0)
+SELECT 'iforest' AS detector, round(quantile_cont(s_if, 0.5), 6) AS median FROM v
+UNION ALL SELECT 'sequence' AS detector, round(quantile_cont(s_seq, 0.5), 6) AS median FROM v"""
+
+SQL["global_importance"] = _w(C.TXN) + f"""
+, picked AS (SELECT * FROM txn ORDER BY md5(concat('17', transaction_id)) LIMIT 5000),
+long AS (SELECT x.name AS feature, x.value AS value FROM (SELECT unnest({C.contrib_list()}) AS x FROM picked)),
+per AS (SELECT feature, avg(abs(value)) AS mean_abs FROM long GROUP BY feature)
+SELECT feature, round(mean_abs / (SELECT CASE WHEN sum(mean_abs) = 0 THEN 1.0 ELSE sum(mean_abs) END FROM per), 6)
+  AS importance FROM per"""
+
+_SEG = """
+seg AS (
+  SELECT CAST(customer_age_band AS VARCHAR) AS segment, count(*) AS n,
+    count(*) FILTER (WHERE is_fraud = 1) AS n_fraud,
+    count(*) FILTER (WHERE risk_score >= 0.7) AS n_flagged,
+    count(*) FILTER (WHERE risk_score >= 0.7 AND is_fraud = 1) AS tp,
+    count(*) FILTER (WHERE risk_score >= 0.7 AND is_fraud <> 1) AS fp,
+    avg(risk_score) AS mean_score
+  FROM scored WHERE customer_age_band IS NOT NULL GROUP BY 1),
+segm AS (
+  SELECT segment, n, n_fraud, n_flagged, n_flagged / n AS selection_rate,
+    CASE WHEN n_fraud >= 20 THEN tp / n_fraud END AS true_positive_rate,
+    CASE WHEN n - n_fraud > 0 THEN fp / (n - n_fraud) ELSE 0.0 END AS false_positive_rate,
+    CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END AS precision, mean_score, n >= 200 AS reliable
+  FROM seg)"""
+
+SQL["bias_segments"] = _w(C.TXN, C.SCORED, _SEG) + """
+SELECT segment, n, n_fraud, n_flagged, round(selection_rate, 6) AS selection_rate,
+  round(true_positive_rate, 6) AS true_positive_rate, round(false_positive_rate, 6) AS false_positive_rate,
+  round(precision, 6) AS precision, round(mean_score, 6) AS mean_score, reliable FROM segm"""
+
+_BIAS = """
+bs AS (
+  SELECT count(*) AS n_reliable, max(selection_rate) AS sel_max, min(selection_rate) AS sel_min,
+    max(n_flagged) AS max_flagged, max(false_positive_rate) AS fpr_max, min(false_positive_rate) AS fpr_min,
+    count(true_positive_rate) AS n_tpr, max(true_positive_rate) AS tpr_max, min(true_positive_rate) AS tpr_min
+  FROM segm WHERE reliable),
+bs2 AS (
+  SELECT n_reliable, n_reliable >= 2 AS enough, n_reliable >= 2 AND max_flagged >= 20 AS ratio_ok, * FROM bs),
+bs3 AS (
+  SELECT n_reliable, enough, ratio_ok,
+    CASE WHEN ratio_ok THEN sel_max / greatest(sel_min, 1e-9) ELSE 0.0 END AS selection_rate_disparity,
+    CASE WHEN ratio_ok THEN sel_min / greatest(sel_max, 1e-9) ELSE 1.0 END AS adverse_impact_ratio,
+    CASE WHEN enough THEN fpr_max - fpr_min ELSE 0.0 END AS fpr_gap,
+    CASE WHEN enough AND n_tpr >= 2 THEN tpr_max - tpr_min ELSE 0.0 END AS tpr_gap
+  FROM bs2),
+bias AS (
+  SELECT *,
+    list_filter([
+      CASE WHEN enough AND adverse_impact_ratio < 0.8 THEN 'adverse impact ratio ' || {air}
+           || ' below the 0.8 four-fifths floor' END,
+      CASE WHEN enough AND fpr_gap > 0.01 THEN 'false positive rate gap ' || {fg}
+           || ' exceeds 0.01 - some segments are wrongly declined more often' END,
+      CASE WHEN enough AND tpr_gap > 0.15 THEN 'true positive rate gap ' || {tg}
+           || ' exceeds 0.15 - some segments receive less fraud protection' END],
+      lambda v: v IS NOT NULL) AS flags,
+    list_filter([
+      CASE WHEN NOT enough THEN 'insufficient data: fewer than two segments meet the minimum size' END,
+      CASE WHEN enough AND NOT ratio_ok THEN
+        'selection-rate parity not assessed: no segment reaches 20 flagged transactions at this threshold' END],
+      lambda v: v IS NOT NULL) AS notes
+  FROM bs3)""".format(air=C.fixed_text("adverse_impact_ratio", 3), fg=C.fixed_text("fpr_gap", 4),
+                      tg=C.fixed_text("tpr_gap", 4))
+
+SQL["bias_summary"] = _w(C.TXN, C.SCORED, _SEG, _BIAS) + """
+SELECT 0.7 AS threshold, n_reliable, round(selection_rate_disparity, 6) AS selection_rate_disparity,
+  round(adverse_impact_ratio, 6) AS adverse_impact_ratio, round(fpr_gap, 6) AS fpr_gap,
+  round(tpr_gap, 6) AS tpr_gap, array_to_string(flags, ' | ') AS flags,
+  array_to_string(notes, ' | ') AS notes, len(flags) = 0 AS passed FROM bias"""
+
+_DRIFT_BASE = [C.TXN, C.split_feature_ctes(), C.long_features(),
+               C.psi_ctes("flong", 10, "split = 'train'", "split = 'test'")]
+
+SQL["psi_edges"] = _w(*_DRIFT_BASE) + """
+SELECT feature, CAST(i - 1 AS INTEGER) AS edge_idx, round(edges[i], 6) AS edge
+FROM p_edges, range(1, len(edges) + 1) t(i)"""
+
+SQL["feature_psi"] = _w(*_DRIFT_BASE) + """
+SELECT feature, round(psi, 6) AS psi, round(rate_shift_abs, 6) AS rate_shift_abs FROM p_psi"""
+
+_DRIFT = """
+dmeans AS (SELECT feature, avg(value) FILTER (WHERE split = 'train') AS baseline_mean,
+                  avg(value) FILTER (WHERE split = 'test') AS current_mean FROM flong GROUP BY feature),
+drift AS (
+  SELECT p.feature, p.psi, m.baseline_mean, m.current_mean,
+    100.0 * (m.current_mean - m.baseline_mean) / greatest(abs(m.baseline_mean), 1e-9) AS mean_shift_pct,
+    {st} AS status, p.rate_shift_abs
+  FROM p_psi p JOIN dmeans m USING (feature))""".format(st=C.status_sql("p.psi"))
+
+SQL["drift_report"] = _w(*_DRIFT_BASE, _DRIFT) + """
+SELECT feature, round(psi, 6) AS psi, round(baseline_mean, 6) AS baseline_mean,
+  round(current_mean, 6) AS current_mean, round(mean_shift_pct, 6) AS mean_shift_pct, status,
+  round(rate_shift_abs, 6) AS rate_shift_abs FROM drift"""
+
+_SCORE_LONG = """
+slong AS (SELECT split, 'risk_score' AS feature, round(risk_score, 9) AS value FROM fvs)"""
+
+SQL["score_psi"] = _w(C.TXN, C.split_feature_ctes(), _SCORE_LONG,
+                      C.psi_ctes("slong", 20, "split = 'train'", "split = 'test'", "sp")) + f"""
+SELECT round(psi, 6) AS psi, {C.status_sql('psi')} AS status FROM sp_psi"""
+
+SQL["governance_findings"] = _w(
+    *_DRIFT_BASE, _DRIFT, _SCORE_LONG,
+    C.psi_ctes("slong", 20, "split = 'train'", "split = 'test'", "sp"),
+    _SEG, _BIAS, C.curve("p_sup", "_ch"), C.curve("risk_score", "_cp")).replace(
+        "FROM scored", "FROM sfv") + """
+SELECT len(flags) = 0 AS fairness_passed, CAST(len(flags) AS INTEGER) AS fairness_flags,
+  (SELECT count(*) FROM drift WHERE status = 'investigate') AS drift_flagged_features,
+  (SELECT psi >= 0.25 FROM sp_psi) AS score_drift_investigate,
+  (SELECT a.pr_auc >= b.pr_auc + 0.01 FROM rank_m_ch a, rank_m_cp b) AS gate_passed,
+  (SELECT count(*) FROM drift WHERE status = 'investigate') = 0 AND NOT (SELECT psi >= 0.25 FROM sp_psi)
+    AS drift_passed,
+  len(flags) = 0 AND (SELECT count(*) FROM drift WHERE status = 'investigate') = 0
+    AND NOT (SELECT psi >= 0.25 FROM sp_psi) AS passed
+FROM bias"""

@@ -19,6 +19,7 @@ from cardlens.operators.features import card_features, intrinsic_columns
 from cardlens.operators.lookups import merchant_profile
 from cardlens.operators.split import time_split
 from cardlens.plans.features import feature_table, profile_from_train
+from cardlens.session import materialize
 from cardlens.sources import bindings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -183,3 +184,207 @@ def alert_top_features(spark, sf):
     d = _scored_features(spark, sf).filter(F.col("action").isin("review", "decline"))
     return d.select("transaction_id", "action",
                     F.concat_ws("; ", top_features(feature_snapshot(d))).alias("top_features"))
+
+
+# ---------------------------------------------------------------- evaluation
+from cardlens.functions.scoring import minmax_calibrate  # noqa: E402
+from cardlens.operators import evaluate as ev  # noqa: E402
+from cardlens.operators.drift import drift_report, psi_edges, score_psi, to_long  # noqa: E402
+from cardlens.operators.drift import psi as psi_table  # noqa: E402
+from cardlens.operators.fairness import bias_summary, segment_metrics  # noqa: E402
+from cardlens.operators.quantiles import quantiles  # noqa: E402
+
+FAIRNESS_THRESHOLD = 0.70
+
+
+def _round_all(df: DataFrame) -> DataFrame:
+    from pyspark.sql import types as T
+    return df.select(*[r6(f.name).alias(f.name) if isinstance(f.dataType, T.DoubleType)
+                       else F.col(f.name) for f in df.schema.fields])
+
+
+@register("operating_points")
+def operating_points_q(spark, sf):
+    return _round_all(ev.operating_points(bindings.scored(spark, sf)))
+
+
+@register("net_benefit")
+def net_benefit_q(spark, sf):
+    return _round_all(ev.net_benefit(bindings.scored(spark, sf)))
+
+
+@register("pr_auc")
+def pr_auc_q(spark, sf):
+    return _round_all(ev.ranking_metrics(ev.score_curve(bindings.scored(spark, sf))).select("pr_auc"))
+
+
+@register("roc_auc")
+def roc_auc_q(spark, sf):
+    return _round_all(ev.ranking_metrics(ev.score_curve(bindings.scored(spark, sf))).select("roc_auc"))
+
+
+@register("recall_at_fpr")
+def recall_at_fpr_q(spark, sf):
+    m = ev.ranking_metrics(ev.score_curve(bindings.scored(spark, sf)))
+    return _round_all(m.select("recall_at_1pct_fpr", "recall_at_0p5pct_fpr"))
+
+
+@register("evaluation_summary")
+def evaluation_summary_q(spark, sf):
+    return _round_all(ev.evaluation_summary(bindings.scored(spark, sf)))
+
+
+@register("champion_gate")
+def champion_gate_q(spark, sf):
+    return _round_all(ev.champion_gate(bindings.scored(spark, sf), "risk_score", "p_sup"))
+
+
+@register("class_weight")
+def class_weight_q(spark, sf):
+    t = time_split(bindings.txn(spark, sf)).filter(F.col("split") == "train")
+    return _round_all(ev.class_weight(t))
+
+
+def _split_features(spark, sf) -> DataFrame:
+    t = time_split(bindings.with_pseudo_scores(bindings.txn(spark, sf)))
+    return feature_table(t)
+
+
+@register("feature_moments")
+def feature_moments(spark, sf):
+    """Mean and population std per feature over the training window; std < 1e-6 -> 1."""
+    f = _split_features(spark, sf).filter(F.col("split") == "train")
+    aggs = []
+    for n in FEATURE_NAMES:
+        aggs += [F.avg(n).alias(f"m_{n}"), F.stddev_pop(n).alias(f"s_{n}")]
+    wide = f.agg(*aggs)
+    arr = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"m_{n}").alias("mean"),
+                             F.col(f"s_{n}").alias("std")) for n in FEATURE_NAMES])
+    long = wide.select(F.inline(arr))
+    return _round_all(long.withColumn("std", F.when(F.col("std") < 1e-6, 1.0).otherwise(F.col("std"))))
+
+
+def _bounds(df: DataFrame, col: str, lo_p: float, hi_p: float) -> DataFrame:
+    q = quantiles(df, col, [lo_p, hi_p])
+    b = q.agg(F.max(F.when(F.col("p_idx") == 0, F.col("q"))).alias("lo"),
+              F.max(F.when(F.col("p_idx") == 1, F.col("q"))).alias("hi"))
+    return b.withColumn("hi", F.when(F.col("hi") <= F.col("lo"), F.col("lo") + 1e-6)
+                        .otherwise(F.col("hi")))
+
+
+def _legit_train(spark, sf) -> DataFrame:
+    s = time_split(bindings.scored(spark, sf))
+    return s.filter((F.col("split") == "train") & (F.col("is_fraud") == 0))
+
+
+@register("calibration_bounds")
+def calibration_bounds(spark, sf):
+    """Detector raw-score bounds on legitimate training rows (1/99 and 5/99.5)."""
+    lt = _legit_train(spark, sf)
+    a = _bounds(lt, "s_if", 0.01, 0.99).withColumn("detector", F.lit("iforest"))
+    b = _bounds(lt, "s_seq", 0.05, 0.995).withColumn("detector", F.lit("sequence"))
+    return _round_all(a.unionByName(b).select("detector", "lo", "hi"))
+
+
+@register("calibrated_anomaly")
+def calibrated_anomaly(spark, sf):
+    """Raw detector score mapped through the A18 bounds and clipped to [0, 1]."""
+    b = _bounds(_legit_train(spark, sf), "s_if", 0.01, 0.99)
+    lo, hi = b.select("lo").scalar(), b.select("hi").scalar()
+    s = bindings.scored(spark, sf)
+    return s.select("transaction_id", r6(minmax_calibrate(F.col("s_if"), lo, hi)).alias("anomaly_score"))
+
+
+@register("reference_medians")
+def reference_medians(spark, sf):
+    """Median detector score on legitimate validation rows."""
+    s = time_split(bindings.scored(spark, sf))
+    v = s.filter((F.col("split") == "valid") & (F.col("is_fraud") == 0))
+    a = quantiles(v, "s_if", [0.5]).select(F.lit("iforest").alias("detector"), F.col("q").alias("median"))
+    b = quantiles(v, "s_seq", [0.5]).select(F.lit("sequence").alias("detector"), F.col("q").alias("median"))
+    return _round_all(a.unionByName(b))
+
+
+@register("global_importance")
+def global_importance(spark, sf, sample: int = 5000, seed: int = 17):
+    """Mean |contribution| over a hash-ordered sample, normalised to 1."""
+    c = bindings.with_contributions(bindings.txn(spark, sf))
+    picked = c.orderBy(F.md5(F.concat(F.lit(str(seed)), F.col("transaction_id")))).limit(sample)
+    long = picked.select(F.explode("contrib").alias("feature", "value"))
+    per = long.groupBy("feature").agg(F.avg(F.abs("value")).alias("mean_abs"))
+    total = per.agg(F.sum("mean_abs")).scalar()
+    return _round_all(per.select("feature", (F.col("mean_abs") / F.when(total == 0, 1.0)
+                                             .otherwise(total)).alias("importance")))
+
+
+# ---------------------------------------------------------------- fairness
+@register("bias_segments")
+def bias_segments(spark, sf):
+    return _round_all(segment_metrics(bindings.scored(spark, sf), threshold=FAIRNESS_THRESHOLD))
+
+
+def _bias_summary(spark, sf) -> DataFrame:
+    seg = segment_metrics(bindings.scored(spark, sf), threshold=FAIRNESS_THRESHOLD)
+    return bias_summary(seg, threshold=FAIRNESS_THRESHOLD)
+
+
+@register("bias_summary")
+def bias_summary_q(spark, sf):
+    b = _bias_summary(spark, sf)
+    return _round_all(b.withColumn("flags", F.concat_ws(" | ", "flags"))
+                       .withColumn("notes", F.concat_ws(" | ", "notes")))
+
+
+# ---------------------------------------------------------------- drift
+def _base_cur(spark, sf) -> tuple[DataFrame, DataFrame]:
+    f = materialize(_split_features(spark, sf).select(
+        "transaction_id", "split", "risk_score", *FEATURE_NAMES))
+    return f.filter(F.col("split") == "train"), f.filter(F.col("split") == "test")
+
+
+@register("psi_edges")
+def psi_edges_q(spark, sf):
+    b, _ = _base_cur(spark, sf)
+    e = psi_edges(to_long(b, list(FEATURE_NAMES)))
+    return _round_all(e.select("feature", F.posexplode("edges").alias("edge_idx", "edge")))
+
+
+@register("feature_psi")
+def feature_psi(spark, sf):
+    b, c = _base_cur(spark, sf)
+    p = psi_table(to_long(b, list(FEATURE_NAMES)), to_long(c, list(FEATURE_NAMES)))
+    return _round_all(p.select("feature", "psi", "rate_shift_abs"))
+
+
+@register("drift_report")
+def drift_report_q(spark, sf):
+    b, c = _base_cur(spark, sf)
+    return _round_all(drift_report(b, c, list(FEATURE_NAMES)))
+
+
+@register("score_psi")
+def score_psi_q(spark, sf):
+    b, c = _base_cur(spark, sf)
+    return _round_all(score_psi(b, c))
+
+
+@register("governance_findings")
+def governance_findings(spark, sf):
+    """Fairness, drift and the champion gate joined into one verdict."""
+    bias = _bias_summary(spark, sf)
+    b, c = _base_cur(spark, sf)
+    drift = drift_report(b, c, list(FEATURE_NAMES))
+    sp = score_psi(b, c)
+    gate = ev.champion_gate(bindings.scored(spark, sf), "risk_score", "p_sup")
+    flagged = drift.filter(F.col("status") == "investigate").agg(
+        F.count(F.lit(1))).scalar()
+    score_bad = sp.select((F.col("status") == "investigate").alias("x")).scalar()
+    out = bias.select(F.col("passed").alias("fairness_passed"), F.size("flags").alias("fairness_flags"))
+    out = out.withColumns({
+        "drift_flagged_features": flagged,
+        "score_drift_investigate": score_bad,
+        "gate_passed": gate.select("passed").scalar(),
+    })
+    drift_ok = (F.col("drift_flagged_features") == 0) & ~F.col("score_drift_investigate")
+    return out.withColumn("drift_passed", drift_ok).withColumn(
+        "passed", F.col("fairness_passed") & drift_ok)
