@@ -323,3 +323,74 @@ SELECT len(flags) = 0 AS fairness_passed, CAST(len(flags) AS INTEGER) AS fairnes
   len(flags) = 0 AND (SELECT count(*) FROM drift WHERE status = 'investigate') = 0
     AND NOT (SELECT psi >= 0.25 FROM sp_psi) AS passed
 FROM bias"""
+
+# ---------------------------------------------------------------- text guardrails
+from cardlens.functions.text import (CASE_CLOSE_TAG, DECISION_CLAIM, INJECTION_PATTERNS,  # noqa: E402
+                                     PAN_LEAK, REDACTIONS)
+
+
+def _q(s: str) -> str:
+    return s.replace("'", "''")
+
+
+def _redact_sql(t: str) -> str:
+    out = t
+    for _, pat, rep, ic in REDACTIONS:
+        out = f"regexp_replace({out}, '{_q(('(?i)' if ic else '') + pat)}', '{rep}', 'g')"
+    return out
+
+
+def _counts_sql(t: str) -> str:
+    cur = t
+    parts = []
+    for kind, pat, rep, ic in REDACTIONS:
+        p = _q(("(?i)" if ic else "") + pat)
+        parts.append(f"CASE WHEN len(regexp_extract_all({cur}, '{p}')) > 0 THEN '{kind}:' || "
+                     f"len(regexp_extract_all({cur}, '{p}')) END")
+        cur = f"regexp_replace({cur}, '{p}', '{rep}', 'g')"
+    return "concat_ws(',', " + ", ".join(parts) + ")"
+
+
+def _flags_sql(t: str) -> str:
+    parts = [f"CASE WHEN regexp_matches({t}, '{_q('(?i)' + p)}') THEN '{n}' END"
+             for n, p in INJECTION_PATTERNS]
+    return "concat_ws(',', " + ", ".join(parts) + ")"
+
+
+SQL["redact_documents"] = f"SELECT doc_id, {_redact_sql('text')} AS redacted FROM documents"
+SQL["redaction_counts"] = f"SELECT doc_id, {_counts_sql('text')} AS redactions FROM documents"
+SQL["injection_flags"] = f"SELECT doc_id, {_flags_sql('text')} AS flags FROM documents"
+SQL["sanitize_documents"] = f"""
+WITH s AS (SELECT doc_id, text, regexp_replace(text, '{_q('(?i)' + CASE_CLOSE_TAG)}', '[/case]', 'g') AS t
+           FROM documents)
+SELECT doc_id, CASE WHEN length(t) > 4000 THEN substring(t, 1, 4000) || chr(10) || '[...truncated]' ELSE t END
+  AS sanitized, {_flags_sql('text')} AS flags FROM s"""
+
+_QUESTIONS = f"""
+WITH q AS (SELECT conv_id, turn, text, {_redact_sql('text')} AS redacted, {_counts_sql('text')} AS redactions
+           FROM conversations WHERE role = 'user'),
+q2 AS (SELECT *, {_flags_sql('redacted')} AS injection_flags FROM q),
+q3 AS (SELECT *, (injection_flags LIKE '%instruction_override%' OR injection_flags LIKE '%system_prompt_probe%')
+                   AS blocked FROM q2)
+"""
+
+SQL["guard_questions"] = _QUESTIONS + """
+SELECT conv_id, turn, redacted, redactions, injection_flags, blocked,
+  CASE WHEN blocked THEN 'question contains prompt-injection patterns' END AS block_reason FROM q3"""
+
+SQL["guard_log"] = _QUESTIONS + """
+SELECT CAST(conv_id AS VARCHAR) AS case_id, turn, CAST(length(text) AS INTEGER) AS question_length, redactions,
+  injection_flags, blocked, CASE WHEN blocked THEN 'question contains prompt-injection patterns' END AS block_reason,
+  'investigation-assistant' AS model FROM q3"""
+
+SQL["validate_answers"] = f"""
+WITH a AS (SELECT conv_id, turn,
+  CASE WHEN regexp_matches(text, '{_q(PAN_LEAK)}') THEN 'response contained something matching a card number'
+       WHEN regexp_matches(text, '{_q('(?i)' + DECISION_CLAIM)}')
+         THEN 'response claimed to have taken an action the assistant cannot take' END AS block_reason
+  FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, block_reason IS NOT NULL AS blocked, block_reason FROM a"""
+
+SQL["pseudonyms"] = _w(C.TXN) + """
+SELECT card_id, substring(sha256('local-development-salt:' || card_id), 1, 32) AS card_hash
+FROM (SELECT DISTINCT card_id FROM txn)"""

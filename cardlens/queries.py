@@ -388,3 +388,78 @@ def governance_findings(spark, sf):
     drift_ok = (F.col("drift_flagged_features") == 0) & ~F.col("score_drift_investigate")
     return out.withColumn("drift_passed", drift_ok).withColumn(
         "passed", F.col("fairness_passed") & drift_ok)
+
+
+# ---------------------------------------------------------------- text guardrails
+from cardlens.functions import text as tx  # noqa: E402
+from cardlens.sources.tables import read_table  # noqa: E402
+
+MODEL_NAME = "investigation-assistant"
+
+
+@register("redact_documents")
+def redact_documents(spark, sf):
+    d = read_table(spark, sf, "documents")
+    return d.select("doc_id", tx.redact(F.col("text")).alias("redacted"))
+
+
+@register("redaction_counts")
+def redaction_counts_q(spark, sf):
+    d = read_table(spark, sf, "documents")
+    return d.select("doc_id", tx.counts_text(tx.redaction_counts(F.col("text"))).alias("redactions"))
+
+
+@register("injection_flags")
+def injection_flags_q(spark, sf):
+    d = read_table(spark, sf, "documents")
+    return d.select("doc_id", F.concat_ws(",", tx.injection_flags(F.col("text"))).alias("flags"))
+
+
+@register("sanitize_documents")
+def sanitize_documents(spark, sf):
+    d = read_table(spark, sf, "documents")
+    return d.select("doc_id", tx.sanitize(F.col("text")).alias("sanitized"),
+                    F.concat_ws(",", tx.injection_flags(F.col("text"))).alias("flags"))
+
+
+def _questions(spark, sf) -> DataFrame:
+    c = read_table(spark, sf, "conversations").filter(F.col("role") == "user")
+    red = tx.redact(F.col("text"))
+    return c.select("conv_id", "turn", "text", red.alias("redacted"),
+                    tx.redaction_counts(F.col("text")).alias("counts")) \
+            .withColumn("flags", tx.injection_flags(F.col("redacted")))
+
+
+@register("guard_questions")
+def guard_questions(spark, sf):
+    q = _questions(spark, sf)
+    return q.select("conv_id", "turn", "redacted", tx.counts_text(F.col("counts")).alias("redactions"),
+                    F.concat_ws(",", "flags").alias("injection_flags"),
+                    tx.question_blocked(F.col("flags")).alias("blocked"),
+                    tx.question_reason(F.col("flags")).alias("block_reason"))
+
+
+@register("validate_answers")
+def validate_answers(spark, sf):
+    a = read_table(spark, sf, "conversations").filter(F.col("role") == "assistant")
+    reason = tx.answer_block_reason(F.col("text"))
+    return a.select("conv_id", "turn", reason.isNotNull().alias("blocked"), reason.alias("block_reason"))
+
+
+@register("guard_log")
+def guard_log(spark, sf):
+    """Governance row per question: lengths, counts, flags, ids - never the text."""
+    q = _questions(spark, sf)
+    return q.select(F.col("conv_id").cast("string").alias("case_id"), "turn",
+                    F.char_length("text").alias("question_length"),
+                    tx.counts_text(F.col("counts")).alias("redactions"),
+                    F.concat_ws(",", "flags").alias("injection_flags"),
+                    tx.question_blocked(F.col("flags")).alias("blocked"),
+                    tx.question_reason(F.col("flags")).alias("block_reason"),
+                    F.lit(MODEL_NAME).alias("model"))
+
+
+@register("pseudonyms")
+def pseudonyms(spark, sf):
+    t = bindings.txn(spark, sf).select("card_id").distinct()
+    return t.select("card_id", tx.pseudonym(F.col("card_id")).alias("card_hash"))
