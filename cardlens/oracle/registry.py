@@ -394,3 +394,133 @@ SELECT conv_id, turn, block_reason IS NOT NULL AS blocked, block_reason FROM a""
 SQL["pseudonyms"] = _w(C.TXN) + """
 SELECT card_id, substring(sha256('local-development-salt:' || card_id), 1, 32) AS card_hash
 FROM (SELECT DISTINCT card_id FROM txn)"""
+
+# ---------------------------------------------------------------- case library
+
+
+def _money(v: str) -> str:
+    c = f"CAST(floor(abs({v}) * 100 + 0.5) AS BIGINT)"
+    return (f"(CASE WHEN {v} < 0 AND {c} > 0 THEN '-' ELSE '' END || format('{{:,}}', {c} // 100) || '.' "
+            f"|| lpad(CAST({c} % 100 AS VARCHAR), 2, '0'))")
+
+
+_NARR = f"""
+cbase AS (
+  SELECT *, CASE WHEN action = 'decline' THEN list_transform(list_sort({C.contrib_list()})[1:4],
+              lambda e: printf('%s (%+.3f)', {C.reason_text_case('e.name')}, e.value)) ELSE [] END AS reasons,
+    CASE WHEN is_fraud = 1 THEN 'confirmed_fraud' WHEN is_fraud = 0 THEN 'legitimate' ELSE 'unknown' END AS disp,
+    list_filter([
+      CASE WHEN coalesce(f_is_cross_border <> 0, false) THEN 'cross-border' END,
+      CASE WHEN coalesce(f_entry_is_swipe <> 0, false) THEN 'magnetic stripe entry on a chip-capable card' END,
+      CASE WHEN coalesce(f_is_new_device_for_card <> 0, false) THEN 'device not previously seen on this card' END,
+      CASE WHEN coalesce(f_is_new_country_for_card <> 0, false) THEN 'country not previously seen on this card' END,
+      CASE WHEN f_card_txn_count_1h >= 4 THEN CAST(CAST(f_card_txn_count_1h AS BIGINT) AS VARCHAR)
+           || ' transactions in the preceding hour' END,
+      CASE WHEN f_amount_ratio_card_mean >= 4 THEN 'amount ' || {C.fixed_text('f_amount_ratio_card_mean', 1)}
+           || 'x the card''s average' END,
+      CASE WHEN f_merchant_risk_score > 0.02 THEN 'merchant with an elevated historical fraud rate' END,
+      CASE WHEN coalesce(f_is_night <> 0, false) THEN 'outside the cardholder''s usual hours' END],
+      lambda v: v IS NOT NULL) AS signals
+  FROM dec),
+cdocs0 AS (
+  SELECT transaction_id AS case_id, is_fraud, action, reasons, merchant_category, channel, entry_mode,
+    merchant_country, amount, disp AS disposition,
+    'Transaction of ' || coalesce(currency, 'USD') || ' ' || {_money('amount')} || ' at a '
+      || coalesce(merchant_category, 'unknown') || ' merchant in ' || coalesce(merchant_country, 'unknown')
+      || '. Channel ' || coalesce(channel, 'None') || ', entry mode ' || coalesce(entry_mode, 'None') || '.'
+      || CASE WHEN len(signals) > 0 THEN ' Observed signals: ' || array_to_string(signals, '; ') || '.' ELSE '' END
+      || CASE WHEN is_fraud IS NOT NULL THEN ' Disposition: ' || disp || '.' ELSE '' END AS raw_text
+  FROM cbase),
+cdocs AS (SELECT * EXCLUDE (raw_text), {_redact_sql('raw_text')} AS text FROM cdocs0),
+lib_f AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY md5(concat('17', case_id))) AS rn
+                         FROM cdocs WHERE is_fraud = 1) WHERE rn <= 2000),
+lib_l AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY md5(concat('17', case_id))) AS rn
+                         FROM cdocs WHERE is_fraud = 0) WHERE rn <= 4000 - (SELECT count(*) FROM lib_f)),
+lib AS (SELECT * EXCLUDE (rn) FROM lib_f UNION ALL SELECT * EXCLUDE (rn) FROM lib_l),
+aq AS (
+  SELECT case_id AS query_id,
+    array_to_string(list_filter(list_concat([coalesce(merchant_category, ''), coalesce(channel, ''),
+      coalesce(entry_mode, ''), coalesce(merchant_country, ''), 'amount_band_' ||
+      CASE WHEN amount < 25 THEN 'micro' WHEN amount < 100 THEN 'small' WHEN amount < 500 THEN 'medium'
+           WHEN amount < 2500 THEN 'large' ELSE 'very_large' END], reasons), lambda s: s <> ''), ' ') AS query_text
+  FROM cdocs WHERE action = 'decline')"""
+
+_CASES = _w(C.TXN, C.scored_feature_ctes(), _NARR)
+
+
+def _emb(src: str, idc: str, textc: str, name: str) -> str:
+    return f"""
+{name}_t AS (SELECT {idc} AS id, lower(trim(regexp_replace({textc}, '\\s+', ' ', 'g'))) AS t FROM {src}),
+{name}_g AS (SELECT id, substring(t, i, 4) AS g
+             FROM (SELECT id, t, unnest(range(1, greatest(1, length(t) - 3) + 1)) AS i FROM {name}_t
+                   WHERE length(t) > 0)),
+{name}_c AS (
+  SELECT id, CAST(('0x' || substring(md5(g), 1, 8))::BIGINT % 512 AS INTEGER) AS slot,
+         CAST(sum(CASE WHEN ('0x' || substring(md5(g), 9, 1))::INTEGER < 8 THEN 1 ELSE -1 END) AS INTEGER) AS count
+  FROM {name}_g GROUP BY ALL HAVING sum(CASE WHEN ('0x' || substring(md5(g), 9, 1))::INTEGER < 8 THEN 1 ELSE -1 END) <> 0),
+{name}_n AS (SELECT {idc} AS id, coalesce((SELECT sqrt(sum(count * count)) FROM {name}_c c WHERE c.id = s.{idc}), 0.0)
+             AS norm FROM {src} s)"""
+
+
+def _topk_sql(filter_sql: str = "TRUE") -> str:
+    return (_emb(f"(SELECT * FROM lib WHERE {filter_sql})", "case_id", "text", "d") + "," +
+            _emb("aq", "query_id", "query_text", "q") + """,
+dots AS (SELECT q.id AS query_id, d.id AS case_id, sum(q.count * d.count) AS dot
+         FROM q_c q JOIN d_c d USING (slot) GROUP BY ALL),
+pairs AS (
+  SELECT qn.id AS query_id, dn.id AS case_id,
+    round(CASE WHEN dn.norm * qn.norm > 0 THEN coalesce(dt.dot, 0) / (dn.norm * qn.norm) ELSE 0.0 END, 9) AS score
+  FROM q_n qn CROSS JOIN d_n dn LEFT JOIN dots dt ON dt.query_id = qn.id AND dt.case_id = dn.id),
+hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, case_id) AS rank
+                        FROM pairs) WHERE rank <= 6)""")
+
+
+SQL["case_narratives"] = _CASES + "SELECT case_id, text, disposition FROM cdocs"
+SQL["case_sample"] = _CASES + "SELECT case_id, disposition FROM lib"
+SQL["pattern_queries"] = _CASES + "SELECT query_id, query_text FROM aq"
+SQL["ngram_embedding"] = _CASES + "," + _emb("lib", "case_id", "text", "d") + """
+SELECT c.id AS case_id, c.slot, c.count, round(c.count / n.norm, 6) AS weight
+FROM d_c c JOIN d_n n USING (id)"""
+SQL["similar_cases"] = _CASES + "," + _topk_sql() + """
+SELECT query_id, CAST(rank AS INTEGER) AS rank, case_id, round(score, 6) AS score FROM hits"""
+SQL["similar_cases_filtered"] = _CASES + "," + _topk_sql("disposition = 'confirmed_fraud'") + """
+SELECT query_id, CAST(rank AS INTEGER) AS rank, case_id, round(score, 6) AS score FROM hits"""
+SQL["case_upsert"] = _CASES + """
+SELECT case_id, text, 'library' AS origin FROM lib WHERE case_id NOT IN (SELECT case_id FROM cdocs WHERE action = 'decline')
+UNION ALL SELECT case_id, text, 'update' AS origin FROM cdocs WHERE action = 'decline'"""
+SQL["investigation_packets"] = _CASES + "," + _topk_sql() + f""",
+blocks AS (
+  SELECT h.query_id, h.rank,
+    '<case id="' || h.case_id || '" similarity="' || {C.fixed_text('h.score', 3)} || '" disposition="'
+      || coalesce(l.disposition, 'unknown') || '">' || chr(10)
+      || CASE WHEN length(regexp_replace(l.text, '(?i)</\\s*case\\s*>', '[/case]', 'g')) > 4000
+              THEN substring(regexp_replace(l.text, '(?i)</\\s*case\\s*>', '[/case]', 'g'), 1, 4000)
+                   || chr(10) || '[...truncated]'
+              ELSE regexp_replace(l.text, '(?i)</\\s*case\\s*>', '[/case]', 'g') END
+      || chr(10) || '</case>' AS block,
+    {_flags_sql('l.text')} AS fl
+  FROM hits h JOIN lib l USING (case_id)),
+pk AS (SELECT query_id, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS cases_block,
+              string_agg(CASE WHEN fl <> '' THEN fl END, ',' ORDER BY rank) AS flags, count(*) AS n_cases
+       FROM blocks GROUP BY query_id)
+SELECT a.query_id AS case_id, coalesce(pk.cases_block, '<case>No comparable historical cases found.</case>')
+  AS cases_block, coalesce(pk.flags, '') AS flags, CAST(coalesce(pk.n_cases, 0) AS INTEGER) AS n_cases
+FROM aq a LEFT JOIN pk USING (query_id)"""
+SQL["retrieval_only"] = _CASES + "," + _topk_sql() + """
+, ids AS (SELECT query_id, string_agg(case_id, ',' ORDER BY rank) AS retrieved_case_ids FROM hits GROUP BY query_id)
+SELECT a.query_id AS case_id,
+  'Assistant unavailable for this case: no narrative model configured for batch runs. Retrieved case IDs are still listed for manual review.' AS summary,
+  coalesce(ids.retrieved_case_ids, '') AS retrieved_case_ids, 'Review the retrieved cases manually.' AS recommended_checks,
+  'low' AS confidence, 'automated narrative not generated' AS evidence_gaps, true AS blocked
+FROM aq a LEFT JOIN ids USING (query_id)"""
+
+SQL["cosine_topk"] = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+vn AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v),
+pairs AS (SELECT a.vec_id, b.vec_id AS neighbor_id,
+            round(CASE WHEN b.norm * a.norm > 0 THEN list_dot_product(a.e, b.e) / (b.norm * a.norm) ELSE 0.0 END, 9)
+              AS score
+          FROM vn a JOIN vn b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, CAST(neighbor_id AS VARCHAR)) AS rank
+      FROM pairs)
+SELECT vec_id, CAST(rank AS INTEGER) AS rank, neighbor_id, round(score, 6) AS score FROM r WHERE rank <= 6"""

@@ -463,3 +463,123 @@ def guard_log(spark, sf):
 def pseudonyms(spark, sf):
     t = bindings.txn(spark, sf).select("card_id").distinct()
     return t.select("card_id", tx.pseudonym(F.col("card_id")).alias("card_hash"))
+
+
+# ---------------------------------------------------------------- case library
+from cardlens.operators import cases as cs  # noqa: E402
+from cardlens.operators import similarity as sim  # noqa: E402
+
+
+def _case_base(spark, sf) -> DataFrame:
+    """Scored features + decision + decline reasons, written once for the case jobs."""
+    d = bindings.with_contributions(_scored_features(spark, sf))
+    d = with_decline_reasons(d)
+    cols = ["transaction_id", "seq", "event_us", "card_id", "merchant_category", "merchant_country",
+            "amount", "currency", "channel", "entry_mode", "is_fraud", "risk_score", "action",
+            "reasons", *FEATURE_NAMES]
+    return materialize(d.select(*cols))
+
+
+def _library(base: DataFrame) -> DataFrame:
+    return cs.case_sample(cs.case_documents(base))
+
+
+def _alert_queries(base: DataFrame) -> DataFrame:
+    alerts = base.filter(F.col("action") == "decline")
+    return alerts.select(F.col("transaction_id").alias("query_id"),
+                         cs.pattern_query(alerts, "reasons").alias("query_text"))
+
+
+@register("case_narratives")
+def case_narratives(spark, sf):
+    return cs.case_documents(_case_base(spark, sf)).select("case_id", "text", "disposition")
+
+
+@register("case_sample")
+def case_sample_q(spark, sf):
+    return _library(_case_base(spark, sf)).select("case_id", "disposition")
+
+
+@register("pattern_queries")
+def pattern_queries(spark, sf):
+    return _alert_queries(_case_base(spark, sf))
+
+
+@register("ngram_embedding")
+def ngram_embedding(spark, sf):
+    lib = _library(_case_base(spark, sf))
+    c = sim.ngram_counts(lib, "case_id", "text")
+    norm = c.groupBy("id").agg(F.sqrt(F.sum(F.col("count") * F.col("count"))).alias("norm"))
+    return c.join(norm, "id").select(F.col("id").alias("case_id"), "slot", "count",
+                                     r6(F.col("count") / F.col("norm")).alias("weight"))
+
+
+def _similar(spark, sf, doc_filter=None) -> DataFrame:
+    base = _case_base(spark, sf)
+    return sim.top_k_similar(spark, _alert_queries(base), _library(base), doc_filter=doc_filter)
+
+
+@register("similar_cases")
+def similar_cases(spark, sf):
+    h = _similar(spark, sf)
+    return h.select("query_id", "rank", "case_id", r6("score").alias("score"))
+
+
+@register("similar_cases_filtered")
+def similar_cases_filtered(spark, sf):
+    h = _similar(spark, sf, doc_filter=F.col("disposition") == "confirmed_fraud")
+    return h.select("query_id", "rank", "case_id", r6("score").alias("score"))
+
+
+@register("cosine_topk")
+def cosine_topk(spark, sf):
+    """V2 + T3 on the embeddings table: each vector's 6 nearest other vectors."""
+    e = read_table(spark, sf, "embeddings")
+    v = e.select(F.col("vec_id").cast("string").alias("id"),
+                 F.col("embedding").cast("array<double>").alias("vec"))
+    v = v.withColumn("norm", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)))
+    hits = sim.top_k_vectors(spark, v, v.withColumnRenamed("id", "case_id"), 6, "case_id",
+                             exclude_self=True)
+    return hits.select(F.col("query_id").cast("long").alias("vec_id"), "rank",
+                       F.col("case_id").cast("long").alias("neighbor_id"), r6("score").alias("score"))
+
+
+@register("case_upsert")
+def case_upsert(spark, sf):
+    """The sampled library updated with the narratives of every decline."""
+    base = _case_base(spark, sf)
+    old = _library(base).select("case_id", "text", F.lit("library").alias("origin"))
+    new = cs.case_documents(base.filter(F.col("action") == "decline")).select(
+        "case_id", "text", F.lit("update").alias("origin"))
+    return cs.upsert(old, new)
+
+
+@register("investigation_packets")
+def investigation_packets_q(spark, sf):
+    base = _case_base(spark, sf)
+    lib = _library(base)
+    hits = sim.top_k_similar(spark, _alert_queries(base), lib)
+    p = cs.investigation_packets(base.filter(F.col("action") == "decline"), hits, lib)
+    return p.select(F.col("query_id").alias("case_id"), "cases_block",
+                    F.concat_ws(",", "flags").alias("flags"), "n_cases")
+
+
+@register("retrieval_only")
+def retrieval_only(spark, sf):
+    """The retrieval-only answer every alert gets when no narrative model runs."""
+    base = _case_base(spark, sf)
+    hits = sim.top_k_similar(spark, _alert_queries(base), _library(base))
+    ids = hits.groupBy("query_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "case_id"))),
+                                 lambda e: e["case_id"]), ",").alias("retrieved_case_ids"))
+    alerts = base.filter(F.col("action") == "decline").select(F.col("transaction_id").alias("query_id"))
+    reason = "no narrative model configured for batch runs"
+    return alerts.join(ids, "query_id", "left").select(
+        F.col("query_id").alias("case_id"),
+        F.lit(f"Assistant unavailable for this case: {reason}. "
+              "Retrieved case IDs are still listed for manual review.").alias("summary"),
+        F.coalesce("retrieved_case_ids", F.lit("")).alias("retrieved_case_ids"),
+        F.lit("Review the retrieved cases manually.").alias("recommended_checks"),
+        F.lit("low").alias("confidence"),
+        F.lit("automated narrative not generated").alias("evidence_gaps"),
+        F.lit(True).alias("blocked"))
