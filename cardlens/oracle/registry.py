@@ -524,3 +524,87 @@ pairs AS (SELECT a.vec_id, b.vec_id AS neighbor_id,
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, CAST(neighbor_id AS VARCHAR)) AS rank
       FROM pairs)
 SELECT vec_id, CAST(rank AS INTEGER) AS rank, neighbor_id, round(score, 6) AS score FROM r WHERE rank <= 6"""
+
+# ---------------------------------------------------------------- audit log
+_SNAP_TXT = " || '|' || ".join(
+    f"'{n}=' || {C.fixed_text(f'round(f_{n}, 6)', 6)}" for n in FEATURE_NAMES)
+_SCORES = {"risk_score": "risk_score", "supervised_score": "p_sup", "anomaly_score": "s_if",
+           "sequence_score": "s_seq"}
+
+_AUDIT = f"""
+ap AS (
+  SELECT strftime(make_timestamp(event_us), '%Y-%m-%dT%H:%M:%S.%f+00:00') AS timestamp, transaction_id, seq,
+    substring(sha256('local-development-salt:' || card_id), 1, 32) AS card_hash,
+    'pseudo-scores-v1' AS model_version, action,
+    {", ".join(f"round({v}, 6) AS {k}" for k, v in _SCORES.items())},
+    CASE WHEN action = 'decline' THEN list_transform(list_sort({C.contrib_list()})[1:4],
+      lambda e: printf('%s (%+.3f)', {C.reason_text_case('e.name')}, e.value)) ELSE [] END AS reasons,
+    triggered_rules, {_SNAP_TXT} AS snap
+  FROM dec),
+apc AS (
+  SELECT *, concat_ws('~', timestamp, transaction_id, card_hash, model_version, action,
+      {", ".join(C.fixed_text(k, 6) for k in _SCORES)},
+      array_to_string(reasons, '|'), array_to_string(triggered_rules, '|'), snap) AS canon
+  FROM ap),
+aph AS (SELECT *, sha256(canon) AS payload_hash, substring(card_hash, 1, 1) AS chain_id FROM apc)"""
+
+_CHAIN = """
+ordered AS (SELECT *, row_number() OVER (PARTITION BY chain_id ORDER BY seq) AS pos FROM aph),
+chain AS (
+  WITH RECURSIVE ch(chain_id, pos, prev_hash, record_hash) AS (
+    SELECT chain_id, pos, repeat('0', 64), sha256(repeat('0', 64) || payload_hash) FROM ordered WHERE pos = 1
+    UNION ALL
+    SELECT o.chain_id, o.pos, c.record_hash, sha256(c.record_hash || o.payload_hash)
+    FROM ch c JOIN ordered o ON o.chain_id = c.chain_id AND o.pos = c.pos + 1)
+  SELECT o.*, ch.prev_hash, ch.record_hash FROM ordered o JOIN ch USING (chain_id, pos))"""
+
+SQL["audit_records"] = _w(C.TXN, C.scored_feature_ctes(), _AUDIT) + """
+SELECT timestamp, transaction_id, card_hash, model_version, action, risk_score, supervised_score,
+  anomaly_score, sequence_score, array_to_string(reasons, ' | ') AS reason_codes,
+  array_to_string(triggered_rules, ',') AS triggered_rules, snap AS feature_snapshot FROM aph"""
+SQL["audit_hash"] = _w(C.TXN, C.scored_feature_ctes(), _AUDIT) + \
+    "SELECT transaction_id, chain_id, payload_hash FROM aph"
+SQL["audit_chain"] = _w(C.TXN, C.scored_feature_ctes(), _AUDIT, _CHAIN) + \
+    "SELECT chain_id, seq, transaction_id, prev_hash, record_hash FROM chain"
+
+_TAMPER_SCORES = ", ".join(C.fixed_text(k, 6) for k in _SCORES)
+SQL["audit_chain_breaks"] = _w(C.TXN, C.scored_feature_ctes(), _AUDIT, _CHAIN) + f"""
+, t0 AS (SELECT * REPLACE (CASE WHEN seq = 1000 THEN CASE WHEN action = 'approve' THEN 'decline' ELSE 'approve' END
+                                ELSE action END AS action)
+         FROM chain WHERE seq <> 2000),
+t AS (SELECT *, sha256(prev_hash || sha256(concat_ws('~', timestamp, transaction_id, card_hash, model_version, action,
+         {_TAMPER_SCORES}, array_to_string(reasons, '|'), array_to_string(triggered_rules, '|'), snap))) AS expected
+      FROM t0),
+brk AS (
+  SELECT chain_id, seq, transaction_id FROM t WHERE expected <> record_hash
+  UNION ALL
+  SELECT chain_id, seq, transaction_id FROM t a WHERE prev_hash <> repeat('0', 64)
+    AND NOT EXISTS (SELECT 1 FROM t b WHERE b.chain_id = a.chain_id AND b.record_hash = a.prev_hash)
+  UNION ALL
+  SELECT chain_id, seq, transaction_id FROM (
+    SELECT *, min(seq) OVER (PARTITION BY chain_id, prev_hash) AS first_seq FROM t) WHERE seq > first_seq)
+SELECT chain_id, arg_min(transaction_id, seq) AS first_broken_transaction_id, min(seq) AS first_broken_seq,
+       count(*) AS n_broken FROM brk GROUP BY chain_id"""
+
+# ---------------------------------------------------------------- point in time / latest / quotes
+SQL["pit_join"] = """
+WITH l AS (SELECT event_id, user_id, epoch_us(ts) AS us FROM events WHERE event_type = 'purchase'),
+f AS (SELECT event_id AS feature_event_id, user_id, epoch_us(ts) AS fus, value FROM events WHERE event_type = 'view'),
+j AS (SELECT l.*, f.feature_event_id, f.fus, f.value FROM l ASOF LEFT JOIN f ON l.user_id = f.user_id AND l.us >= f.fus)
+SELECT event_id, user_id,
+  CASE WHEN fus >= us - 90000000000 THEN feature_event_id END AS feature_event_id,
+  CASE WHEN fus >= us - 90000000000 THEN round(value, 6) END AS feature_value,
+  CASE WHEN fus >= us - 90000000000 THEN round((us - fus) / 1e6, 6) END AS feature_age_s
+FROM j"""
+
+SQL["latest_card_features"] = _w(C.TXN, C.full_feature_ctes()) + f"""
+SELECT card_id, transaction_id, event_us, {C.feature_select(FEATURE_NAMES)}
+FROM (SELECT *, row_number() OVER (PARTITION BY card_id ORDER BY event_us DESC, seq DESC) AS rn FROM fv)
+WHERE rn = 1"""
+
+SQL["quote_features"] = _w(C.TXN, C.card_feature_ctes("txn", "seq % 19 <> 0")) + f"""
+SELECT transaction_id, cmt AS commit, CAST(history_len AS INTEGER) AS history_len,
+  {C.feature_select(list(FEATURE_NAMES[11:28]))} FROM cf2"""
+
+SQL["decisions_by_hour"] = _w(C.TXN, C.scored_feature_ctes()) + """
+SELECT (event_us // 3600000000) * 3600000000 AS hour_start_us, action, count(*) AS n FROM dec GROUP BY ALL"""

@@ -136,7 +136,8 @@ def cold_cards(spark, sf):
 
 # ---------------------------------------------------------------- blend and decisions
 from cardlens.operators.decide import (base_action, decide, feature_snapshot,  # noqa: E402
-                                       top_features, top_reasons, with_decline_reasons)
+                                       fixed_text, top_features, top_reasons,
+                                       with_decline_reasons)
 
 
 def _scored_features(spark: SparkSession, sf: str) -> DataFrame:
@@ -583,3 +584,106 @@ def retrieval_only(spark, sf):
         F.lit("low").alias("confidence"),
         F.lit("automated narrative not generated").alias("evidence_gaps"),
         F.lit(True).alias("blocked"))
+
+
+# ---------------------------------------------------------------- audit log
+from cardlens.operators import audit as au  # noqa: E402
+
+MODEL_VERSION = "pseudo-scores-v1"
+TAMPER_EDIT_SEQ = 1000      # tampering fixture: this record's action is changed ...
+TAMPER_DELETE_SEQ = 2000    # ... and this record is removed
+
+
+def _audit_payload(spark, sf) -> DataFrame:
+    d = bindings.with_contributions(_scored_features(spark, sf))
+    d = with_decline_reasons(d).withColumns({
+        "supervised_score": F.col("p_sup"), "anomaly_score": F.col("s_if"),
+        "sequence_score": F.col("s_seq")})
+    p = au.audit_payload(d, MODEL_VERSION)
+    return materialize(p.withColumn("payload_hash", au.payload_hash())
+                        .withColumn("chain_id", au.chain_bucket(1)))
+
+
+@register("audit_records")
+def audit_records(spark, sf):
+    p = _audit_payload(spark, sf)
+    snap = F.concat_ws("|", F.transform(
+        F.array(*[F.lit(n) for n in FEATURE_NAMES]),
+        lambda n: F.concat(n, F.lit("="), fixed_text(F.element_at(F.col("feature_snapshot"), n), 6))))
+    return p.select("timestamp", "transaction_id", "card_hash", "model_version", "action",
+                    *[r6(c).alias(c) for c in au.SCORE_COLS],
+                    F.concat_ws(" | ", "reason_codes").alias("reason_codes"),
+                    F.concat_ws(",", "triggered_rules").alias("triggered_rules"),
+                    snap.alias("feature_snapshot"))
+
+
+@register("audit_hash")
+def audit_hash(spark, sf):
+    return _audit_payload(spark, sf).select("transaction_id", "chain_id", "payload_hash")
+
+
+@register("audit_chain")
+def audit_chain(spark, sf):
+    c = au.link_chain(_audit_payload(spark, sf))
+    return c.select("chain_id", "seq", "transaction_id", "prev_hash", "record_hash")
+
+
+@register("audit_chain_breaks")
+def audit_chain_breaks(spark, sf):
+    """H4 on a tampered copy: one record's action edited, one record deleted."""
+    c = au.link_chain(_audit_payload(spark, sf))
+    tampered = (c.filter(F.col("seq") != TAMPER_DELETE_SEQ)
+                 .withColumn("action", F.when(F.col("seq") == TAMPER_EDIT_SEQ,
+                                              F.when(F.col("action") == "approve", "decline")
+                                               .otherwise("approve")).otherwise(F.col("action"))))
+    return au.first_breaks(au.verify_chain(tampered))
+
+
+# ---------------------------------------------------------------- point in time / latest / quotes
+from cardlens.constants import DAY_US as _DAY, HOUR_US as _HOUR  # noqa: E402
+from cardlens.operators.asof import asof_join  # noqa: E402
+from cardlens.operators.features import DEFAULT_BUCKET_DAYS  # noqa: E402
+
+PIT_TTL_US = 25 * _HOUR
+
+
+@register("pit_join")
+def pit_join(spark, sf):
+    """Purchases as label rows, views as feature rows, entity user_id, TTL 25 h."""
+    ev_ = read_table(spark, sf, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    labels = ev_.filter(F.col("event_type") == "purchase").select("event_id", "user_id", "us")
+    feats = ev_.filter(F.col("event_type") == "view").select(
+        "user_id", "us", F.col("event_id").alias("feature_event_id"), F.col("value").alias("feature_value"))
+    j = asof_join(labels, feats, "user_id", "us", PIT_TTL_US, ["feature_event_id", "feature_value"],
+                  created="feature_event_id")
+    return j.select("event_id", "user_id", "feature_event_id", r6("feature_value").alias("feature_value"),
+                    r6((F.col("us") - F.col("feature_ts")) / 1e6).alias("feature_age_s"))
+
+
+@register("latest_card_features")
+def latest_card_features(spark, sf):
+    """S4 as a table: each card's newest feature row (partial aggregation, no window)."""
+    f = feature_table(bindings.txn(spark, sf))
+    latest = f.groupBy("card_id").agg(F.max_by(F.struct("transaction_id", "event_us", *FEATURE_NAMES),
+                                               F.struct("event_us", "seq")).alias("x"))
+    return latest.select("card_id", "x.transaction_id", "x.event_us",
+                         *[r6(F.col("x")[n]).alias(n) for n in FEATURE_NAMES])
+
+
+QUOTE_FEATURES = list(FEATURE_NAMES[11:28])
+
+
+@register("quote_features")
+def quote_features(spark, sf):
+    """ST3 batch form: quotes (commit = false) are scored but never become history."""
+    t = bindings.txn(spark, sf).withColumn("commit", F.col("seq") % 19 != 0)
+    f = card_features(t)
+    return f.select("transaction_id", "commit", "history_len", *[r6(n).alias(n) for n in QUOTE_FEATURES])
+
+
+@register("decisions_by_hour")
+def decisions_by_hour(spark, sf):
+    """A24 re-aimed: decisions per hour and action (event-time tumbling window)."""
+    d = _scored_features(spark, sf).withColumn("event_time", F.timestamp_micros("event_us"))
+    g = d.groupBy(F.window("event_time", "1 hour"), "action").agg(F.count(F.lit(1)).alias("n"))
+    return g.select(F.unix_micros(F.col("window.start")).alias("hour_start_us"), "action", "n")
