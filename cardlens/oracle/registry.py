@@ -608,3 +608,13 @@ SELECT transaction_id, cmt AS commit, CAST(history_len AS INTEGER) AS history_le
 
 SQL["decisions_by_hour"] = _w(C.TXN, C.scored_feature_ctes()) + """
 SELECT (event_us // 3600000000) * 3600000000 AS hour_start_us, action, count(*) AS n FROM dec GROUP BY ALL"""
+
+SQL["sequence_window"] = _w(C.TXN) + f"""
+, sw AS (SELECT transaction_id, amount,
+    list(transaction_id) OVER w AS ids, list(amount) OVER w AS amts
+  FROM txn WINDOW w AS (PARTITION BY card_id ORDER BY event_us, seq ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))
+SELECT transaction_id, CAST(len(coalesce(ids, [])) AS INTEGER) AS n_history,
+  array_to_string(coalesce(ids, []), ',') AS window_ids,
+  array_to_string(list_transform(list_concat(list_resize([]::DOUBLE[], 7 - len(coalesce(amts, [])), 0.0),
+    coalesce(amts, []), [amount]), lambda v: {C.fixed_text('v', 6)}), ',') AS window_amounts
+FROM sw"""

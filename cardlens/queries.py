@@ -687,3 +687,40 @@ def decisions_by_hour(spark, sf):
     d = _scored_features(spark, sf).withColumn("event_time", F.timestamp_micros("event_us"))
     g = d.groupBy(F.window("event_time", "1 hour"), "action").agg(F.count(F.lit(1)).alias("n"))
     return g.select(F.unix_micros(F.col("window.start")).alias("hour_start_us"), "action", "n")
+
+
+# ---------------------------------------------------------------- sequence window / answers
+from cardlens.operators.sequence import left_pad, sequence_window  # noqa: E402
+
+
+@register("sequence_window")
+def sequence_window_q(spark, sf):
+    """Previous 7 rows of the card (ids) and the 8-long left-padded amount window."""
+    t = bindings.txn(spark, sf)
+    w = sequence_window(t, F.col("amount"))
+    padded = left_pad(F.col("window"), F.col("amount"))
+    return w.select("transaction_id", F.size("window").alias("n_history"),
+                    F.concat_ws(",", F.transform("window", lambda e: e["transaction_id"])).alias("window_ids"),
+                    F.concat_ws(",", F.transform(padded, lambda v: fixed_text(v, 6))).alias("window_amounts"))
+
+
+@register("parse_answers")
+def parse_answers_q(spark, sf):
+    """X14 over assistant turns: fenced / plain JSON objects via ``from_json``;
+    rows that fail go to a pandas UDF that extracts the first balanced object
+    or falls back to the first 800 characters as a low-confidence summary."""
+    from cardlens.functions.answers import parse_answers
+    a = read_table(spark, sf, "conversations").filter(F.col("role") == "assistant")
+    return parse_answers(a, "text").select("conv_id", "turn", "summary", "confidence", "parsed")
+
+
+# ---------------------------------------------------------------- models and end-to-end scoring
+@register("score_transactions")
+def score_transactions_q(spark, sf):
+    """Features -> M1..M4 -> blend -> decision (rows-only check; models are fitted)."""
+    from cardlens.plans.scoring import score_transactions
+    s = score_transactions(bindings.txn(spark, sf))
+    return s.select("transaction_id", "split", r6("supervised_score").alias("supervised_score"),
+                    r6("anomaly_score").alias("anomaly_score"),
+                    r6("sequence_score").alias("sequence_score"), r6("risk_score").alias("risk_score"),
+                    "action", F.concat_ws(",", "triggered_rules").alias("triggered_rules"))
