@@ -592,7 +592,7 @@ WITH l AS (SELECT event_id, user_id, epoch_us(ts) AS us FROM events WHERE event_
 f AS (SELECT event_id AS feature_event_id, user_id, epoch_us(ts) AS fus, value FROM events WHERE event_type = 'view'),
 j AS (SELECT l.*, f.feature_event_id, f.fus, f.value FROM l ASOF LEFT JOIN f ON l.user_id = f.user_id AND l.us >= f.fus)
 SELECT event_id, user_id,
-  CASE WHEN fus >= us - 90000000000 THEN feature_event_id END AS feature_event_id,
+  CAST(CASE WHEN fus >= us - 90000000000 THEN feature_event_id END AS DOUBLE) AS feature_event_id,
   CASE WHEN fus >= us - 90000000000 THEN round(value, 6) END AS feature_value,
   CASE WHEN fus >= us - 90000000000 THEN round((us - fus) / 1e6, 6) END AS feature_age_s
 FROM j"""

@@ -30,5 +30,12 @@ def feature_table(txn: DataFrame, profile: DataFrame | None = None,
     return with_counterparty(card_features(txn, bucket_days=bucket_days), profile)
 
 
+def split_feature_table(txn: DataFrame, bucket_days: int = DEFAULT_BUCKET_DAYS) -> DataFrame:
+    """Time split (P6) once, profile from its train rows, then all features."""
+    split = time_split(txn)
+    profile = merchant_profile(split.filter(F.col("split") == "train"))
+    return feature_table(split, profile, bucket_days)
+
+
 def feature_vector_columns() -> list[str]:
     return list(FEATURE_NAMES)

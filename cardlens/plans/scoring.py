@@ -22,12 +22,13 @@ from cardlens.constants import FEATURE_NAMES
 from cardlens.functions.scoring import blend_logit, minmax_calibrate
 from cardlens.models.iforest import fit_iforest, score_iforest
 from cardlens.models.sequence import fit_sequence, score_sequence, with_windows
-from cardlens.operators.decide import decide
+from cardlens.models.attribution import tree_table, with_contributions
+from cardlens.operators.decide import decide, top_reasons
+from cardlens.operators.lookups import join_small
 from cardlens.operators.evaluate import class_weight
 from cardlens.operators.features import assert_model_inputs
 from cardlens.operators.quantiles import quantiles
-from cardlens.operators.split import time_split
-from cardlens.plans.features import feature_table
+from cardlens.plans.features import split_feature_table
 from cardlens.session import materialize
 
 
@@ -37,15 +38,11 @@ def _bounds(df: DataFrame, col: str, lo_p: float, hi_p: float) -> tuple[float, f
     return lo, (hi if hi > lo else lo + 1e-6)
 
 
-def score_transactions(txn: DataFrame, gbt_iters: int = 40, n_trees: int = 300,
-                       max_samples: int = 8192, seed: int = 17) -> DataFrame:
+def fit_supervised(feats: DataFrame, gbt_iters: int = 40, seed: int = 17):
+    """M1 on the ``train`` split, class-weighted (A21); returns (model, all rows with ``p_raw``)."""
     assert_model_inputs(FEATURE_NAMES)
-    feats = materialize(feature_table(time_split(txn)))
     assembler = VectorAssembler(inputCols=list(FEATURE_NAMES), outputCol="fvec")
     train = feats.filter(F.col("split") == "train")
-    valid = feats.filter(F.col("split") == "valid")
-
-    # M1: class-weighted boosted trees
     w = class_weight(train).first()["pos_weight"]
     weighted = assembler.transform(train).withColumn(
         "w", F.when(F.col("is_fraud") == 1, F.lit(float(w))).otherwise(1.0))
@@ -56,6 +53,30 @@ def score_transactions(txn: DataFrame, gbt_iters: int = 40, n_trees: int = 300,
     prob = vector_to_array(F.col("probability"))[1]
     scored = m1.transform(assembler.transform(feats)).withColumn("p_raw", prob) \
                .drop("fvec", "rawPrediction", "probability", "prediction")
+    return m1, scored
+
+
+def sequence_scores(feats: DataFrame) -> DataFrame:
+    """M4 + A18/X2 + W2 over a feature table with ``split``."""
+    train = feats.filter(F.col("split") == "train")
+    mom = train.agg(*[F.avg(n).alias(f"m{i}") for i, n in enumerate(FEATURE_NAMES)],
+                    *[F.stddev_pop(n).alias(f"s{i}") for i, n in enumerate(FEATURE_NAMES)]).first()
+    mean = np.array([mom[f"m{i}"] for i in range(len(FEATURE_NAMES))], dtype=np.float64)
+    std = np.array([mom[f"s{i}"] for i in range(len(FEATURE_NAMES))], dtype=np.float64)
+    std = np.where(std < 1e-6, 1.0, std)
+    win = with_windows(feats)
+    seq_model = fit_sequence(win.filter(F.col("split") == "train"), mean, std)
+    win = materialize(score_sequence(win, seq_model))
+    slo, shi = _bounds(win.filter((F.col("split") == "train") & (F.col("is_fraud") == 0)
+                                  & (F.size("window") >= 2)), "sequence_raw", 0.05, 0.995)
+    return win.withColumn("sequence_score", F.when(F.size("window") < 2, F.lit(0.5)).otherwise(
+        minmax_calibrate(F.col("sequence_raw"), slo, shi))).drop("window")
+
+
+def score_transactions(txn: DataFrame, gbt_iters: int = 40, n_trees: int = 300,
+                       max_samples: int = 8192, seed: int = 17) -> DataFrame:
+    feats = materialize(split_feature_table(txn))
+    m1, scored = fit_supervised(feats, gbt_iters, seed)
     scored = materialize(scored)
 
     # M2: isotonic calibration on validation (clips outside the fitted range)
@@ -74,18 +95,7 @@ def score_transactions(txn: DataFrame, gbt_iters: int = 40, n_trees: int = 300,
     scored = scored.withColumn("anomaly_score", minmax_calibrate(F.col("iforest_raw"), lo, hi))
 
     # M4: sequence model on training rows with history
-    mom = train.agg(*[F.avg(n).alias(f"m{i}") for i, n in enumerate(FEATURE_NAMES)],
-                    *[F.stddev_pop(n).alias(f"s{i}") for i, n in enumerate(FEATURE_NAMES)]).first()
-    mean = np.array([mom[f"m{i}"] for i in range(len(FEATURE_NAMES))], dtype=np.float64)
-    std = np.array([mom[f"s{i}"] for i in range(len(FEATURE_NAMES))], dtype=np.float64)
-    std = np.where(std < 1e-6, 1.0, std)
-    win = with_windows(scored)
-    seq_model = fit_sequence(win.filter(F.col("split") == "train"), mean, std)
-    win = materialize(score_sequence(win.drop(), seq_model))
-    slo, shi = _bounds(win.filter((F.col("split") == "train") & (F.col("is_fraud") == 0)
-                                  & (F.size("window") >= 2)), "sequence_raw", 0.05, 0.995)
-    win = win.withColumn("sequence_score", F.when(F.size("window") < 2, F.lit(0.5)).otherwise(
-        minmax_calibrate(F.col("sequence_raw"), slo, shi))).drop("window")
+    win = sequence_scores(scored)
 
     # A19 reference medians on legitimate validation rows, then M5 + decisions
     vl = win.filter((F.col("split") == "valid") & (F.col("is_fraud") == 0))
@@ -94,4 +104,12 @@ def score_transactions(txn: DataFrame, gbt_iters: int = 40, n_trees: int = 300,
     out = win.withColumn("supervised_score", F.col("p_cal")).withColumn(
         "risk_score", blend_logit(F.col("p_cal"), F.col("anomaly_score"), F.col("sequence_score"),
                                   F.coalesce(ref_if, F.lit(0.5)), F.coalesce(ref_seq, F.lit(0.5))))
-    return decide(out)
+    decided = materialize(decide(out))
+
+    # R3 + M7: reasons only for declines, attributed from the tree model, joined back
+    table = tree_table(decided.sparkSession, m1)
+    declines = decided.filter(F.col("action") == "decline").select("transaction_id", *FEATURE_NAMES)
+    reasons = with_contributions(declines, table).select(
+        "transaction_id", top_reasons(F.col("contrib")).alias("reasons"))
+    joined = join_small(decided, reasons, "transaction_id", "left")
+    return joined.withColumn("reasons", F.coalesce("reasons", F.array().cast("array<string>")))

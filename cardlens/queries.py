@@ -18,7 +18,7 @@ from cardlens.operators.contract import amount_band, check_contract
 from cardlens.operators.features import card_features, intrinsic_columns
 from cardlens.operators.lookups import merchant_profile
 from cardlens.operators.split import time_split
-from cardlens.plans.features import feature_table, profile_from_train
+from cardlens.plans.features import feature_table, profile_from_train, split_feature_table
 from cardlens.session import materialize
 from cardlens.sources import bindings
 
@@ -247,8 +247,7 @@ def class_weight_q(spark, sf):
 
 
 def _split_features(spark, sf) -> DataFrame:
-    t = time_split(bindings.with_pseudo_scores(bindings.txn(spark, sf)))
-    return feature_table(t)
+    return split_feature_table(bindings.with_pseudo_scores(bindings.txn(spark, sf)))
 
 
 @register("feature_moments")
@@ -477,8 +476,8 @@ def _case_base(spark, sf) -> DataFrame:
     d = with_decline_reasons(d)
     cols = ["transaction_id", "seq", "event_us", "card_id", "merchant_category", "merchant_country",
             "amount", "currency", "channel", "entry_mode", "is_fraud", "risk_score", "action",
-            "reasons", *FEATURE_NAMES]
-    return materialize(d.select(*cols))
+            "reasons"]
+    return materialize(d.select(*cols, *[f for f in FEATURE_NAMES if f not in cols]))
 
 
 def _library(base: DataFrame) -> DataFrame:
@@ -656,7 +655,8 @@ def pit_join(spark, sf):
         "user_id", "us", F.col("event_id").alias("feature_event_id"), F.col("value").alias("feature_value"))
     j = asof_join(labels, feats, "user_id", "us", PIT_TTL_US, ["feature_event_id", "feature_value"],
                   created="feature_event_id")
-    return j.select("event_id", "user_id", "feature_event_id", r6("feature_value").alias("feature_value"),
+    return j.select("event_id", "user_id", F.col("feature_event_id").cast("double").alias("feature_event_id"),
+                    r6("feature_value").alias("feature_value"),
                     r6((F.col("us") - F.col("feature_ts")) / 1e6).alias("feature_age_s"))
 
 
@@ -724,3 +724,82 @@ def score_transactions_q(spark, sf):
                     r6("anomaly_score").alias("anomaly_score"),
                     r6("sequence_score").alias("sequence_score"), r6("risk_score").alias("risk_score"),
                     "action", F.concat_ws(",", "triggered_rules").alias("triggered_rules"))
+
+
+def _train_valid_features(spark, sf) -> DataFrame:
+    return materialize(split_feature_table(bindings.txn(spark, sf)))
+
+
+@register("score_supervised")
+def score_supervised(spark, sf):
+    """M1: class-weighted gradient-boosted trees fitted on the training window."""
+    from cardlens.plans.scoring import fit_supervised
+    f = _train_valid_features(spark, sf)
+    model, scored = fit_supervised(f)
+    return scored.select("transaction_id", "split", r6("p_raw").alias("supervised_raw"))
+
+
+@register("gbt_importance")
+def gbt_importance(spark, sf):
+    """Gain importance of the boosted trees, normalised to 1."""
+    from cardlens.plans.scoring import fit_supervised
+    model, _ = fit_supervised(_train_valid_features(spark, sf))
+    imp = model.featureImportances.toArray().tolist()
+    total = sum(imp) or 1.0
+    rows = [(n, float(v) / total) for n, v in zip(FEATURE_NAMES, imp)]
+    return spark.createDataFrame(rows, "feature string, importance double").select(
+        "feature", r6("importance").alias("importance"))
+
+
+@register("calibration_curve")
+def calibration_curve(spark, sf):
+    """M2: isotonic map fitted on validation, applied to every row (clipped outside)."""
+    from cardlens.plans.scoring import fit_supervised
+    from pyspark.ml.regression import IsotonicRegression
+    _, scored = fit_supervised(_train_valid_features(spark, sf))
+    scored = materialize(scored)
+    iso = IsotonicRegression(featuresCol="p_raw", labelCol="y", predictionCol="p_cal").fit(
+        scored.filter(F.col("split") == "valid").withColumn("y", F.col("is_fraud").cast("double")))
+    return iso.transform(scored).select("transaction_id", r6("p_raw").alias("p_raw"),
+                                        r6("p_cal").alias("p_cal"))
+
+
+@register("score_iforest")
+def score_iforest_q(spark, sf):
+    """M3 + A18 + X2: forest on legitimate training rows, calibrated anomaly score."""
+    from cardlens.models.iforest import fit_iforest, score_iforest
+    f = _train_valid_features(spark, sf)
+    legit = f.filter((F.col("split") == "train") & (F.col("is_fraud") == 0))
+    model = fit_iforest(legit, list(FEATURE_NAMES))
+    s = materialize(score_iforest(f.select("transaction_id", "seq", "split", "is_fraud", *FEATURE_NAMES), model))
+    b = _bounds(s.filter((F.col("split") == "train") & (F.col("is_fraud") == 0)), "iforest_raw", 0.01, 0.99)
+    lo, hi = b.select("lo").scalar(), b.select("hi").scalar()
+    return s.select("transaction_id", r6("iforest_raw").alias("iforest_raw"),
+                    r6(minmax_calibrate(F.col("iforest_raw"), lo, hi)).alias("anomaly_score"))
+
+
+@register("score_sequence")
+def score_sequence_q(spark, sf):
+    """M4 + W2: sequence ridge on training rows with history; cold cards neutral 0.5."""
+    from cardlens.plans.scoring import sequence_scores
+    s = sequence_scores(_train_valid_features(spark, sf))
+    return s.select("transaction_id", r6("sequence_raw").alias("sequence_raw"),
+                    r6("sequence_score").alias("sequence_score"))
+
+
+@register("decline_contributions")
+def decline_contributions(spark, sf):
+    """M7: additive log-odds contributions for the rows the supervised model
+    scores above the decline threshold (filtered before attribution)."""
+    from cardlens.models.attribution import tree_table, with_contributions as tree_contrib
+    from cardlens.plans.scoring import fit_supervised
+    model, scored = fit_supervised(_train_valid_features(spark, sf))
+    scored = materialize(scored)
+    table = tree_table(spark, model)
+    hi = scored.filter(F.col("p_raw") >= 0.86).select("transaction_id", "p_raw", *FEATURE_NAMES)
+    c = tree_contrib(hi, table)
+    total = F.aggregate(F.map_values("contrib"), F.lit(0.0), lambda a, v: a + v) + F.col("contrib_bias")
+    p = F.least(F.greatest(F.col("p_raw"), F.lit(1e-15)), F.lit(1 - 1e-15))
+    return c.select("transaction_id", r6("p_raw").alias("p_raw"),
+                    F.concat_ws(" | ", top_reasons(F.col("contrib"))).alias("reasons"),
+                    r6(total - F.log(p / (1 - p))).alias("additivity_gap"))

@@ -76,10 +76,17 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def materialize(df):
-    """Cut lineage: write ``df`` to the shared checkpoint folder and read it back.
+    """Cut lineage: write ``df`` as parquet under the shared checkpoint folder
+    and read it back.
 
-    Used where one expensive intermediate feeds several consumers; a reliable
-    checkpoint also survives the loss of the executors that computed it.
+    Used where one expensive intermediate feeds several consumers.  Unlike an
+    eager RDD checkpoint this computes the input once, stores it columnar
+    (later scans prune columns and push filters), and the files survive the
+    loss of the executors that wrote them.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    import uuid
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

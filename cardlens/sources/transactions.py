@@ -56,7 +56,8 @@ def with_event_us(df: DataFrame, ts_col: str = "event_time") -> DataFrame:
 
 def read_transactions(spark: SparkSession, path: str) -> DataFrame:
     """Scan a transaction table written by :func:`write_transactions`."""
-    return spark.read.schema(TXN_SCHEMA.add("event_date", T.DateType())).parquet(path)
+    schema = T.StructType(TXN_SCHEMA.fields + [T.StructField("event_date", T.DateType())])
+    return spark.read.schema(schema).parquet(path)
 
 
 def write_transactions(txn: DataFrame, path: str, mode: str = "append") -> None:
