@@ -64,7 +64,11 @@ def test_window_edges_are_inclusive(spark):
     g = _compare(spark, edge)
     assert g["t11"]["card_txn_count_1h"] == 1.0
     assert g["t12"]["card_txn_count_24h"] == 2.0
-    assert g["t13"]["card_txn_count_7d"] == 1.0
+    assert g["t13"]["card_txn_count_7d"] == 3.0
+    week = [_row(20, T0), _row(21, T0 + 7 * 1440 * MIN), _row(22, T0 + 14 * 1440 * MIN + 1)]
+    g = _compare(spark, week)
+    assert g["t21"]["card_txn_count_7d"] == 1.0          # exactly 7 days old: inside
+    assert g["t22"]["card_txn_count_7d"] == 0.0          # 7 days + 1 us: outside
 
 
 def test_same_instant_rows_see_earlier_peers_only(spark):
