@@ -78,7 +78,7 @@ def tree_table(spark: SparkSession, model) -> TreeTable:
     data = spark.read.parquet(os.path.join(path, "data"))
     nodes = data.select("treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild",
                         "nodeData.rightChild", F.col("nodeData.split.featureIndex").alias("feature"),
-                        F.coalesce(F.col("nodeData.split.leftCategoriesOrThreshold")[0],
+                        F.coalesce(F.get(F.col("nodeData.split.leftCategoriesOrThreshold"), 0),
                                    F.lit(0.0)).alias("threshold")).toPandas()
     nodes.loc[nodes["leftChild"] < 0, "feature"] = -1
     return TreeTable(nodes, list(model.treeWeights))
