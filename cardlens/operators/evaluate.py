@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cardlens.constants import (CHAMPION_MIN_GAIN, EVAL_THRESHOLDS, FALSE_DECLINE_COST,
                                 RECOVERY_RATE, REVIEW_COST)
-from cardlens.operators.prefix import bucket_offsets, unit_bucket
+from cardlens.operators.prefix import bucket_offsets, with_quantile_bucket
 
 
 def _cnt(cond: Column) -> Column:
@@ -77,7 +77,7 @@ def score_curve(df: DataFrame, score: str = "risk_score", label: str = "is_fraud
     ``cum_tp``/``cum_fp`` over all scores >= it, and totals ``n_pos``/``n_neg``."""
     y = F.col(label) == 1
     per = df.groupBy(F.col(score).alias("score")).agg(_cnt(y).alias("tp"), _cnt(~y).alias("fp"))
-    per = per.withColumn("_b", unit_bucket("score", n_buckets, descending=True))
+    per = with_quantile_bucket(per, "score", "_b", n_buckets, descending=True)
     offs = bucket_offsets(per, "_b", {"tp": F.sum("tp"), "fp": F.sum("fp")})
     w = Window.partitionBy("_b").orderBy(F.col("score").desc()).rowsBetween(
         Window.unboundedPreceding, 0)

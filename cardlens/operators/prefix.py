@@ -41,6 +41,26 @@ def unit_bucket(col: str, n_buckets: int = DEFAULT_BUCKETS, descending: bool = F
     return (F.lit(n_buckets - 1) - b) if descending else b
 
 
+def with_quantile_bucket(df: DataFrame, col: str, out: str, n_buckets: int = DEFAULT_BUCKETS,
+                         descending: bool = False, accuracy: int = 10_000) -> DataFrame:
+    """Add bucket id ``out`` from approximate quantile boundaries of ``col``.
+
+    Balanced even when values crowd into a narrow range (a real score
+    distribution).  The boundaries only need to be monotone, not exact: the
+    offsets come from real counts, so results stay exact.  At most
+    ``n_buckets`` boundaries reach the driver; the lookup is the JVM binary
+    search of ``Bucketizer``; equal values always share a bucket.
+    """
+    from pyspark.ml.feature import Bucketizer
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    bounds = df.agg(F.percentile_approx(col, probs, accuracy)).first()[0] or []
+    bounds = sorted(set(float(b) for b in bounds if b is not None))
+    splits = [float("-inf")] + bounds + [float("inf")]
+    b = Bucketizer(splits=splits, inputCol=col, outputCol=out, handleInvalid="keep").transform(df)
+    idx = F.col(out).cast("long")
+    return b.withColumn(out, (F.lit(len(splits) - 2) - idx) if descending else idx)
+
+
 def bucket_offsets(df: DataFrame, bucket: str, sums: dict[str, Column]) -> DataFrame:
     """Per bucket: exclusive prefix of each sum over all earlier buckets."""
     per = df.groupBy(bucket).agg(*[e.alias(k) for k, e in sums.items()])
@@ -50,9 +70,15 @@ def bucket_offsets(df: DataFrame, bucket: str, sums: dict[str, Column]) -> DataF
                                 for k in sums])
 
 
-def global_row_number(df: DataFrame, order: list[str], bucket_col: Column) -> DataFrame:
-    """0-based rank of every row in ``order`` (order[0] must be monotone with bucket)."""
-    d = df.withColumn("_bkt", bucket_col)
+def global_row_number(df: DataFrame, order: list[str], bucket_col: Column | None = None,
+                      n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """0-based rank of every row in ``order``; buckets are monotone in order[0]
+    (quantile boundaries of order[0] unless ``bucket_col`` is given)."""
+    if bucket_col is None:
+        d = with_quantile_bucket(df.withColumn("_bv", F.col(order[0]).cast("double")), "_bv", "_bkt",
+                                 n_buckets).drop("_bv")
+    else:
+        d = df.withColumn("_bkt", bucket_col)
     offs = bucket_offsets(d, "_bkt", {"_cnt": F.count(F.lit(1))})
     w = Window.partitionBy("_bkt").orderBy(*order)
     return (d.join(F.broadcast(offs), "_bkt")

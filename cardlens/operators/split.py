@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardlens.operators.prefix import global_row_number, range_bucket
+from cardlens.operators.prefix import global_row_number
 
 
 def time_split(txn: DataFrame, train_frac: float = 0.7, valid_frac: float = 0.15,
-               n_buckets: int = 4096) -> DataFrame:
+               n_buckets: int = 1024) -> DataFrame:
     """Adds ``global_rank`` (0-based, order ``event_us, seq``) and ``split``.
 
     ``a = int(n*train_frac)``, ``b = int(n*(train_frac+valid_frac))``: rank < a is
@@ -18,7 +18,7 @@ def time_split(txn: DataFrame, train_frac: float = 0.7, valid_frac: float = 0.15
     n = txn.count()
     a = int(n * train_frac)
     b = int(n * (train_frac + valid_frac))
-    ranked = global_row_number(txn, ["event_us", "seq"], range_bucket(txn, "event_us", n_buckets))
+    ranked = global_row_number(txn, ["event_us", "seq"], n_buckets=n_buckets)
     r = F.col("global_rank")
     return ranked.withColumn(
         "split", F.when(r < a, "train").when(r < b, "valid").otherwise("test"))
