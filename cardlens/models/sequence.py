@@ -34,21 +34,22 @@ TARGET_IDX = np.array([FEATURE_NAMES.index(f) for f in SEQ_TARGET_FEATURES])
 
 
 def with_windows(features: DataFrame) -> DataFrame:
-    """Adds ``window`` (previous 7 feature vectors) using the slice-split W1 operator."""
+    """Adds ``n_hist`` and ``wv``: the previous 7 feature vectors (slice-split
+    W1 operator) flattened and left-padded with NaN to 7 x 31 values."""
     vec = F.array(*[F.col(n).cast("double") for n in FEATURE_NAMES])
-    return sequence_window(features, vec)
+    w = sequence_window(features, vec)
+    flat = F.flatten(F.transform("window", lambda e: e["value"]))
+    pad = F.array_repeat(F.lit(float("nan")), (F.lit(HIST) - F.size("window")) * D)
+    return w.withColumn("n_hist", F.size("window")).withColumn("wv", F.concat(pad, flat)).drop("window")
 
 
 def _design(pdf: pd.DataFrame, mean: np.ndarray, std: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(pdf)
-    x = np.zeros((n, HIST * D + 1))
-    x[:, -1] = 1.0                                   # intercept
-    for i, win in enumerate(pdf["window"].to_numpy()):
-        vals = [w["value"] for w in win] if win is not None else []
-        if len(vals):
-            arr = (np.asarray(vals, dtype=np.float64) - mean) / std
-            start = HIST - len(arr)
-            x[i, start * D:HIST * D] = arr.reshape(-1)
+    x = np.ones((n, HIST * D + 1))                   # last column: intercept
+    if n:
+        raw = np.stack(pdf["wv"].to_numpy()).astype(np.float64).reshape(n, HIST, D)
+        # standardise, then zero the padding (batch rule: padding is zero after scaling)
+        x[:, :-1] = np.nan_to_num((raw - mean) / std, nan=0.0).reshape(n, HIST * D)
     cur = pdf[list(FEATURE_NAMES)].to_numpy(dtype=np.float64)
     y = ((cur - mean) / std)[:, TARGET_IDX]
     return x, y
@@ -66,7 +67,7 @@ class SequenceModel:
 def fit_sequence(train_windows: DataFrame, mean: np.ndarray, std: np.ndarray,
                  ridge: float = 1.0) -> SequenceModel:
     """Train on legitimate rows with at least 2 earlier rows."""
-    rows = train_windows.filter((F.col("is_fraud") == 0) & (F.size("window") >= 2))
+    rows = train_windows.filter((F.col("is_fraud") == 0) & (F.col("n_hist") >= 2))
     p = HIST * D + 1
 
     q = len(TARGET_IDX)
@@ -85,7 +86,7 @@ def fit_sequence(train_windows: DataFrame, mean: np.ndarray, std: np.ndarray,
             yield pd.DataFrame({"k": np.arange(len(flat), dtype=np.int32), "v": flat})
 
     schema = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("v", T.DoubleType())])
-    parts = rows.select("window", *FEATURE_NAMES).mapInPandas(partial, schema)
+    parts = rows.select("wv", *FEATURE_NAMES).mapInPandas(partial, schema)
     # p*p + p*q cells (about 51k): the normal equations are model-sized, not data-sized
     cells = parts.groupBy("k").agg(F.sum("v").alias("v")).toPandas()
     flat = np.zeros(p * p + p * q)

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from cardlens.operators.contract import check_contract
 from cardlens.operators.features import intrinsic_columns, mcc_risk
 from cardlens.sources.transactions import TXN_SCHEMA
-from cardlens.streaming.card_state import card_feature_stream
+from cardlens.streaming.card_state import EXPIRY_MS, card_feature_stream
 
 MESSAGE_SCHEMA = T.StructType(TXN_SCHEMA.fields + [T.StructField("commit", T.BooleanType())])
 
@@ -44,13 +44,14 @@ def quarantine(messages: DataFrame) -> DataFrame:
 
 
 def start_feature_sink(spark: SparkSession, source: str, out_path: str, checkpoint: str,
-                       available_now: bool = True, max_files_per_trigger: int | None = 1):
+                       available_now: bool = True, max_files_per_trigger: int | None = 1,
+                       expiry_ms: int | None = EXPIRY_MS):
     """ST1 + S5: card features landed as parquet partitioned by event date, with
     ``created_at``; the checkpoint makes state and offsets exactly-once (ST5/ST6)."""
     msgs = read_messages(spark, source, max_files_per_trigger)
     checked = check_contract(msgs)
     valid = checked.filter("valid").drop("violations", "valid")
-    feats = card_feature_stream(valid).withColumns({
+    feats = card_feature_stream(valid, expiry_ms).withColumns({
         "created_at": F.current_timestamp(),
         "event_date": F.to_date(F.timestamp_micros("event_us")),
     })

@@ -1,4 +1,5 @@
-"""Stream = batch: the keyed streaming state gives the batch features row for row."""
+"""Stream = batch: the keyed streaming state gives the batch features row for row
+(with idle expiry off, the batch-replay semantics), and idle cards expire."""
 
 from __future__ import annotations
 
@@ -47,16 +48,36 @@ def test_stream_equals_batch_with_restart_and_poison(spark):
     first = sorted(rows, key=lambda r: (r["event_us"], r["seq"]))
     half = len(first) // 2
     _write_parts(first[:half], src, 2, 0)
-    q = start_feature_sink(spark, src, out, ckpt)
+    q = start_feature_sink(spark, src, out, ckpt, expiry_ms=None)
     q.awaitTermination(300)
     # restart from the same checkpoint with more data and three broken lines
     _write_parts(first[half:], src, 2, 2)
     with open(os.path.join(src, "part-099.json"), "w") as fh:
         fh.write('{"transaction_id": "bad1", "amount": -5}\nnot json at all\n{"card_id": null}\n')
-    q = start_feature_sink(spark, src, out, ckpt)
+    q = start_feature_sink(spark, src, out, ckpt, expiry_ms=None)
     q.awaitTermination(300)
     assert q.exception() is None
     _check(spark, out, card_features(t))
     qq = start_quarantine_sink(spark, src, os.path.join(root, "bad"), os.path.join(root, "bad_ckpt"))
     qq.awaitTermination(300)
     assert spark.read.parquet(os.path.join(root, "bad")).count() == 3
+
+
+def test_idle_card_state_expires_after_8_days(spark):
+    from tests.test_features import T0, _row
+    day = 86_400_000_000
+    a1 = _row(0, T0, card="card_a", merchant="m1")
+    b1 = _row(1, T0 + 9 * day, card="card_b", merchant="m9")      # moves the watermark
+    a2 = _row(2, T0 + 9 * day + 3_600_000_000, card="card_a", merchant="m1")
+    root = tempfile.mkdtemp(prefix="cardlens-expiry-")
+    src, out, ckpt = (os.path.join(root, d) for d in ("src", "out", "ckpt"))
+    os.makedirs(src)
+    for i, rows in enumerate([[a1], [b1], [a2]]):
+        rows = [{k: v for k, v in r.items()} for r in rows]
+        _write_parts(rows, src, 1, i)
+    q = start_feature_sink(spark, src, out, ckpt)
+    q.awaitTermination(300)
+    got = {r["transaction_id"]: r for r in spark.read.parquet(out).collect()}
+    # the card was idle for more than 8 days: its state (and novelty) was forgotten
+    assert got["t2"]["is_new_merchant_for_card"] == 1.0
+    assert got["t2"]["history_len"] == 0
