@@ -17,3 +17,29 @@ def test_isolation_forest_ranks_outlier_high(spark):
     vals = np.array(list(s.values()))
     assert s[0] == vals.max()
     assert 0.0 < vals.min() and vals.max() <= 1.0
+
+
+def test_tree_attributions_are_additive(spark):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import functions as F
+
+    from cardlens.constants import FEATURE_NAMES
+    from cardlens.models.attribution import tree_table, with_contributions
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (600, len(FEATURE_NAMES)))
+    y = (x[:, 0] + 0.5 * x[:, 3] + rng.normal(0, 0.5, 600) > 0.8).astype(int)
+    df = spark.createDataFrame([(int(v), *map(float, r)) for v, r in zip(y, x)],
+                               "is_fraud int, " + ", ".join(f"{n} double" for n in FEATURE_NAMES))
+    vec = VectorAssembler(inputCols=list(FEATURE_NAMES), outputCol="fvec").transform(df)
+    model = GBTClassifier(featuresCol="fvec", labelCol="is_fraud", maxIter=5, maxDepth=3).fit(vec)
+    p = model.transform(vec).withColumn("p", vector_to_array("probability")[1]).drop(
+        "fvec", "rawPrediction", "probability", "prediction")
+    c = with_contributions(p, tree_table(spark, model))
+    rows = c.select("p", F.aggregate(F.map_values("contrib"), F.lit(0.0), lambda a, v: a + v)
+                    .alias("s"), "contrib_bias").collect()
+    for r in rows:
+        logit = np.log(r["p"] / (1 - r["p"]))
+        assert abs(r["s"] + r["contrib_bias"] - logit) < 1e-9
