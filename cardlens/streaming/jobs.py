@@ -96,3 +96,31 @@ def intrinsic_and_counterparty(card_rows: DataFrame, txn: DataFrame, profile: Da
         "merchant_log_volume": F.log1p(F.coalesce(F.col("total_count"), F.lit(0.0))),
         "mcc_risk_score": mcc_risk(F.col("merchant_category")),
     }).drop("merchant_risk", "total_count")
+
+
+def start_decision_stream(spark: SparkSession, source: str, out_path: str, checkpoint: str,
+                          profile: DataFrame, score_fn, available_now: bool = True,
+                          expiry_ms: int | None = EXPIRY_MS, max_files_per_trigger: int | None = 1):
+    """ST8: streamed card features -> intrinsic + counterparty features ->
+    ``score_fn`` (adds ``risk_score``) -> decisions, per micro-batch.
+
+    Each micro-batch is written to its own ``batch_id=`` folder with overwrite,
+    so a retried batch replaces its own output (idempotent sink).
+    """
+    from cardlens.operators.decide import decide
+    from cardlens.operators.lookups import with_counterparty
+
+    msgs = read_messages(spark, source, max_files_per_trigger)
+    checked = check_contract(msgs)
+    feats = card_feature_stream(checked.filter("valid").drop("violations", "valid"), expiry_ms)
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        f = with_counterparty(batch.withColumns(intrinsic_columns()), profile)
+        d = decide(score_fn(f))
+        (d.select("transaction_id", "card_id", "event_us", "risk_score", "base_action", "action",
+                  "triggered_rules")
+          .write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch_id={batch_id}"))
+
+    w = feats.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()

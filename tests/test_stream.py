@@ -81,3 +81,30 @@ def test_idle_card_state_expires_after_8_days(spark):
     # the card was idle for more than 8 days: its state (and novelty) was forgotten
     assert got["t2"]["is_new_merchant_for_card"] == 1.0
     assert got["t2"]["history_len"] == 0
+
+
+def test_stream_scoring_equals_batch_decisions(spark):
+    from cardlens.operators.decide import decide
+    from cardlens.plans.features import feature_table
+    from cardlens.sources.bindings import with_pseudo_scores
+    from cardlens.operators.lookups import merchant_profile
+    from cardlens.streaming.jobs import start_decision_stream
+
+    t = txn(spark, SF_SMALL)
+    profile = merchant_profile(t)
+    rows = [r.asDict() for r in t.collect()]
+    root = tempfile.mkdtemp(prefix="cardlens-score-")
+    src, out, ckpt = (os.path.join(root, d) for d in ("src", "out", "ckpt"))
+    os.makedirs(src)
+    _write_parts(rows, src, 3, 0)
+    q = start_decision_stream(spark, src, out, ckpt, profile, with_pseudo_scores, expiry_ms=None)
+    q.awaitTermination(300)
+    assert q.exception() is None
+    got = {r["transaction_id"]: r for r in spark.read.parquet(out).collect()}
+    want = {r["transaction_id"]: r for r in
+            decide(feature_table(with_pseudo_scores(t), profile)).collect()}
+    assert set(got) == set(want)
+    for k, w in want.items():
+        assert got[k]["action"] == w["action"]
+        assert list(got[k]["triggered_rules"]) == list(w["triggered_rules"])
+        assert abs(got[k]["risk_score"] - w["risk_score"]) < 1e-12
