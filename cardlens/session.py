@@ -49,9 +49,34 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``cardlens`` importable by executor-side Python (pandas UDFs,
+    ``mapInPandas``) wherever the driver runs: zip the package once per
+    SparkContext and ``addPyFile`` it (Spark distributes it to executors)."""
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    pkg = Path(__file__).resolve().parent
+    fd, path = tempfile.mkstemp(prefix="cardlens-pkg-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as zf:
+        for f in pkg.rglob("*.py"):
+            zf.write(f, f.relative_to(pkg.parent).as_posix())
+    sc.addPyFile(path)
+    _SHIPPED.add(key)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
