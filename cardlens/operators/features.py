@@ -13,11 +13,13 @@ Physical plan, designed for hot cards:
 * Sliding frames (1 h / 24 h / 7 d) need the previous 7 days: committed rows
   in the last 7 days of a slice are copied into the next slice as *context*
   rows.  They feed the frames but are dropped from the output.
-* All-time state (running moments, "ever seen" sets) is carried across slices
-  by a small per-(card, slice) table: exclusive prefix sums of the moments,
-  and the values of each slice already seen in an earlier slice.  That table
-  is joined back on ``(card_id, bucket)``, the same key the windows use, so
-  it adds no shuffle of the big side.
+* All-time state is carried across slices without arrays: running moments by
+  a small per-(card, slice) table of exclusive prefix sums, joined back on
+  ``(card_id, bucket)`` (the windows' key, so no reshuffle of the big side);
+  "ever seen" values by *seed rows* - one per (card, slice, kind, value)
+  already seen in an earlier slice - that travel in the same shuffle and are
+  counted by the novelty windows only.  Per-row work stays O(1) even for a
+  card with millions of distinct merchants.
 * Every frame of one slice shares one sort; counts/sums/max use native
   RANGE frames over strictly earlier instants plus a peer frame for earlier
   rows at the same instant, so no float subtraction is needed.
@@ -100,8 +102,9 @@ def _with_context(rows: DataFrame, bucket_us: int) -> DataFrame:
 
 
 def _slice_state(rows: DataFrame) -> DataFrame:
-    """Per (card, slice): moments of committed rows in earlier slices, and the
-    novelty keys of this slice that a committed row of an earlier slice had."""
+    """Per (card, slice): moments of committed rows in earlier slices (small
+    numeric table), and the novelty keys of this slice that a committed row of
+    an earlier slice had (long form, at most the slice's distinct keys)."""
     c = F.col("commit")
     rad = _hour_rad()
     per_slice = rows.groupBy("card_id", "bucket").agg(
@@ -127,11 +130,20 @@ def _slice_state(rows: DataFrame) -> DataFrame:
     first_seen = (keys.filter("commit").groupBy("card_id", "kind", "value")
                       .agg(F.min("bucket").alias("first_bucket")))
     seen_before = (probe.join(first_seen, ["card_id", "kind", "value"])
-                        .filter(F.col("first_bucket") < F.col("bucket")))
-    prev = seen_before.groupBy("card_id", "bucket").agg(
-        *[F.collect_set(F.when(F.col("kind") == k, F.col("value"))).alias(f"_prev_{k}")
-          for k, _ in _NOVELTY])
-    return offsets.join(prev, ["card_id", "bucket"], "left")
+                        .filter(F.col("first_bucket") < F.col("bucket"))
+                        .select("card_id", "bucket", "kind", "value"))
+    return offsets, seen_before
+
+
+def _seed_rows(seen_before: DataFrame, bucket_us: int) -> DataFrame:
+    """One row per (card, slice, kind, value) already seen in an earlier slice,
+    placed before the slice start; the novelty windows count them, every other
+    frame ignores them (not committed, context)."""
+    return seen_before.select(
+        "card_id", "bucket",
+        (F.col("bucket") * F.lit(bucket_us) - 1).alias("event_us"), F.lit(-1).cast("long").alias("seq"),
+        F.lit(False).alias("commit"), F.lit(True).alias("ctx"), F.col("kind").alias("seed_kind"),
+        *[F.when(F.col("kind") == k, F.col("value")).alias(col) for k, col in _NOVELTY])
 
 
 def card_features(txn: DataFrame, bucket_days: int = DEFAULT_BUCKET_DAYS) -> DataFrame:
@@ -141,8 +153,9 @@ def card_features(txn: DataFrame, bucket_days: int = DEFAULT_BUCKET_DAYS) -> Dat
         raise ValueError("bucket_days must cover the 7-day frame")
     bucket_us = bucket_days * DAY_US
     base = normalized(txn).withColumn("bucket", _bucket_col(bucket_us))
-    state = _slice_state(base)
-    rows = _with_context(base, bucket_us)
+    state, seen_before = _slice_state(base)
+    rows = _with_context(base, bucket_us).withColumn("seed_kind", F.lit(None).cast("string"))
+    rows = rows.unionByName(_seed_rows(seen_before, bucket_us), allowMissingColumns=True)
 
     c = F.col("commit")
     hist = c                      # rows that became history (context rows are committed)
@@ -185,7 +198,8 @@ def card_features(txn: DataFrame, bucket_days: int = DEFAULT_BUCKET_DAYS) -> Dat
     for kind, key in _NOVELTY:
         w_key = Window.partitionBy(*part, key).orderBy("event_us", "seq").rowsBetween(
             Window.unboundedPreceding, -1)
-        cols[f"_seen_in_{kind}"] = F.count(F.when(own_hist, 1)).over(w_key) > 0
+        seen_here = own_hist | F.coalesce(F.col("seed_kind") == kind, F.lit(False))
+        cols[f"_seen_in_{kind}"] = F.count(F.when(seen_here, 1)).over(w_key) > 0
 
     # one exchange on (card, slice) and one sort serve every frame below
     rows = rows.repartition(*part).sortWithinPartitions(*part, "event_us", "seq")
@@ -215,9 +229,7 @@ def card_features(txn: DataFrame, bucket_days: int = DEFAULT_BUCKET_DAYS) -> Dat
            .otherwise(0.0)
 
     def novel(kind: str, key: str) -> Column:
-        prev = F.coalesce(F.col(f"_prev_{kind}"), F.array().cast("array<string>"))
-        seen = F.col(f"_seen_in_{kind}") | F.array_contains(prev, F.col(key))
-        return F.when(seen, 0.0).otherwise(1.0)
+        return F.when(F.col(f"_seen_in_{kind}"), 0.0).otherwise(1.0)
 
     out = framed.withColumns({
         **intrinsic_columns(),
@@ -241,7 +253,7 @@ def card_features(txn: DataFrame, bucket_days: int = DEFAULT_BUCKET_DAYS) -> Dat
         "history_len": F.least(n, F.lit(7)).cast("int"),
     })
     drop = [c for c in out.columns if c.startswith("_")] + ["ctx", "bucket", "merchant_key",
-                                                            "country_key", "device_key"]
+                                                            "country_key", "device_key", "seed_kind"]
     return out.drop(*drop)
 
 
