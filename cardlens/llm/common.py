@@ -131,7 +131,7 @@ class Words:
     def grams(self, n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(hash, index of the first word) of every run of ``n`` words within
         one text."""
-        h, total = self.hash, len(self.hash)
+        h, total = (mix(self.hash, seed) if seed else self.hash), len(self.hash)
         if total < n:
             return np.empty(0, U64), np.empty(0, np.int64)
         out = np.zeros(total - n + 1, U64)
@@ -153,3 +153,71 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = int(lengths.sum())
     ends = np.cumsum(lengths)
     return np.repeat(np.asarray(starts, np.int64) - (ends - lengths), lengths) + np.arange(total)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans nobody holds any more (its
+    cleaner acts on garbage collection, which an idle driver seldom does)."""
+    import gc
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write an intermediate table to the shared folder, read it back and
+    release the shuffles that made it."""
+    from cardlens.session import materialize
+    out = materialize(df)
+    release(out.sparkSession)
+    return out
+
+
+def empty_batch(schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([], schema=schema)
+
+
+class Membership:
+    """Approximate set of 64-bit hashes of fixed size: 2^27 bits in 256
+    segments, two bits a key.  It says yes to every member and to few others;
+    those who use it check exactly afterwards."""
+
+    SEGMENTS, BITS = 256, 1 << 19
+    #: Above so many members it says yes too often to be of use.
+    MOST = 1 << 24
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    @classmethod
+    def places(cls, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(segment, first bit, second bit) within the segment."""
+        low = U64(cls.BITS - 1)
+        return ((h >> U64(56)).astype(np.int64), (h & low).astype(np.int64),
+                ((h >> U64(24)) & low).astype(np.int64))
+
+    @classmethod
+    def build(cls, keys: DataFrame, col: str) -> Membership:
+        """From a long column.  Each segment is made where its keys are; only
+        the bits, whose size is fixed, come to the driver."""
+        def segment(table: pa.Table) -> pa.Table:
+            h = table.column(1).combine_chunks().to_numpy(zero_copy_only=False).view(U64)
+            s, a, b = cls.places(h)
+            bits = np.zeros(cls.BITS, np.uint8)
+            bits[a] = 1
+            bits[b] = 1
+            return pa.table({"s": pa.array([int(s[0])], pa.int32()),
+                             "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+        top = F.shiftrightunsigned(F.col(col), 56).cast("int")
+        rows = (keys.select(top.alias("_s"), F.col(col).alias("_h")).groupBy("_s")
+                .applyInArrow(segment, "s int, bits binary").collect())
+        bits = np.zeros((cls.SEGMENTS, cls.BITS // 8), np.uint8)
+        for r in rows:
+            bits[r["s"]] = np.frombuffer(r["bits"], np.uint8)
+        return cls(bits)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        s, a, b = self.places(h)
+
+        def bit(x: np.ndarray) -> np.ndarray:
+            return (self.bits[s, x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & 1
+        return (bit(a) & bit(b)).astype(bool)

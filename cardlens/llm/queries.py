@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from cardlens.llm.packing import op4_best_fit_packing
+from cardlens.llm.substring import op5_substring_dedup
 
 QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_substring_dedup": op5_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
