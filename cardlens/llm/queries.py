@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from cardlens.llm.brown import op2_brown_lm
 from cardlens.llm.minhash import op7_bbit_minhash
 from cardlens.llm.packing import op4_best_fit_packing
 from cardlens.llm.substring import op5_substring_dedup
 
 QUERIES = {
+    "op2_brown_lm": op2_brown_lm,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_bbit_minhash": op7_bbit_minhash,
