@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from cardlens.llm.brown import op2_brown_lm
+from cardlens.llm.decontamination import op10_cgk_decontamination
 from cardlens.llm.minhash import op7_bbit_minhash
 from cardlens.llm.packing import op4_best_fit_packing
 from cardlens.llm.pii import op1_contextual_pii
 from cardlens.llm.substring import op5_substring_dedup
+from cardlens.llm.topk import op6_va_file
 
 QUERIES = {
     "op1_contextual_pii": op1_contextual_pii,
     "op2_brown_lm": op2_brown_lm,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_va_file": op6_va_file,
     "op7_bbit_minhash": op7_bbit_minhash,
+    "op10_cgk_decontamination": op10_cgk_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
