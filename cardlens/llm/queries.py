@@ -4,19 +4,25 @@ from __future__ import annotations
 
 from cardlens.llm.brown import op2_brown_lm
 from cardlens.llm.decontamination import op10_cgk_decontamination
+from cardlens.llm.language import op3_subword_langid
 from cardlens.llm.minhash import op7_bbit_minhash
 from cardlens.llm.packing import op4_best_fit_packing
 from cardlens.llm.pii import op1_contextual_pii
+from cardlens.llm.quality import op8_importance_resampling
 from cardlens.llm.substring import op5_substring_dedup
 from cardlens.llm.topk import op6_va_file
+from cardlens.llm.warc import op9_warc
 
 QUERIES = {
     "op1_contextual_pii": op1_contextual_pii,
     "op2_brown_lm": op2_brown_lm,
+    "op3_subword_langid": op3_subword_langid,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_va_file": op6_va_file,
     "op7_bbit_minhash": op7_bbit_minhash,
+    "op8_importance_resampling": op8_importance_resampling,
+    "op9_warc": op9_warc,
     "op10_cgk_decontamination": op10_cgk_decontamination,
 }
 
