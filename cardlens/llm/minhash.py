@@ -29,6 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cardlens.llm.common import (U64, Words, arrow_map, mix, read, release, signed, small_batches,
@@ -72,7 +73,7 @@ def shingle_sets(words: Words, n: int = SHINGLE) -> list[np.ndarray]:
 
 
 def signatures(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, set1, set2, bands, s0..s5) of every text."""
+    """(doc_id, text_hash, n_shingles, set1, set2, bands, s0..s5) of every text."""
     sig = [f"s{i}" for i in range(LONGS)]
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -102,13 +103,14 @@ def signatures(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
             pa.array(np.r_[0, np.cumsum(np.where(sizes > 0, BANDS, 0))].astype(np.int32)),
             pa.array(signed(np.ascontiguousarray(keys[full]).ravel())))
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes), pa.array(signed(marks[0])),
+            [batch.column(0), batch.column(2), pa.array(sizes), pa.array(signed(marks[0])),
              pa.array(signed(marks[1])), bands,
              *(pa.array(signed(np.ascontiguousarray(packed[:, i]))) for i in range(LONGS))],
-            names=["doc_id", "n_shingles", "set1", "set2", "bands", *sig])
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), text_bytes().alias("_t")), rows,
-                     "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>, "
-                     + ", ".join(f"{s} long" for s in sig))
+            names=["doc_id", "text_hash", "n_shingles", "set1", "set2", "bands", *sig])
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), text_bytes().alias("_t"),
+                                 F.xxhash64("text").alias("_h")), rows,
+                     "doc_id long, text_hash long, n_shingles long, set1 long, set2 long, "
+                     "bands array<long>, " + ", ".join(f"{s} long" for s in sig))
 
 
 def estimate():
@@ -233,8 +235,8 @@ def _across(members: DataFrame, labels: DataFrame, threshold: float) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, per_cent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row; component_id is
-    the smallest doc_id linked, directly or over others."""
+    """(doc_id, text_hash, n_shingles, component_id, kept) for every row;
+    component_id is the smallest doc_id linked, directly or over others."""
     spark, threshold = docs.sparkSession, per_cent / 100
     small_batches(spark)
     sig = [f"s{i}" for i in range(LONGS)]
@@ -280,10 +282,40 @@ def near_duplicates(docs: DataFrame, per_cent: int = 85) -> DataFrame:
         F.coalesce("component_id", "doc_id"))
     release(spark)
     return (out.withColumn("component_id", component)
-            .select("doc_id", "n_shingles", "component_id",
+            .select("doc_id", "text_hash", "n_shingles", "component_id",
                     F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
                     .alias("kept")))
 
 
+def keep_one(docs: DataFrame, per_cent: int = 85) -> DataFrame:
+    """One document of each group of near duplicates, all columns.
+
+    Rows that share id and text, and texts of one group under one id, leave one
+    row as well; rows with a null id all stay.
+    """
+    found = stored(near_duplicates(docs, per_cent)).where("doc_id is not null")
+    own = found.where("kept")
+    first = own.groupBy(F.col("doc_id").alias("_d"), F.col("component_id").alias("_c")).agg(
+        F.min("text_hash").alias("_m"), F.max("text_hash").alias("_x")).where("_m < _x")
+    second = own.join(first, (F.col("doc_id") == F.col("_d")) & (F.col("component_id")
+                                                                == F.col("_c"))
+                      & (F.col("text_hash") > F.col("_m")))
+    gone = stored(found.where("not kept").select("doc_id", "text_hash")
+                  .union(second.select("doc_id", "text_hash")).distinct()
+                  .select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")))
+    names = docs.columns
+    keyed = docs.select(*names, F.col("doc_id").cast("long").alias("_i"),
+                        F.xxhash64("text").alias("_t"))
+    left = keyed.join(gone.hint("shuffle_merge"), (keyed["_i"] == gone["_d"])
+                      & (keyed["_t"] == gone["_h"]), "left_anti")
+    if not own.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
+        # Spark prunes each task's rows to the first of a key before the shuffle
+        turn = W.partitionBy("_i", "_t").orderBy("_t")
+        left = left.where("_i is null").unionByName(
+            left.where("_i is not null").withColumn("_n", F.row_number().over(turn))
+            .where("_n = 1").drop("_n"))
+    return left.select(*names)
+
+
 def op7_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents")).drop("text_hash")
