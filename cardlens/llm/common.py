@@ -42,6 +42,23 @@ def text_bytes(col: str = "text"):
     return F.coalesce(F.col(col).cast("binary"), F.lit(b"").cast("binary"))
 
 
+def fresh(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names that ``df`` does not have yet, in any case."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
+def own(df: DataFrame) -> list:
+    """All columns of ``df`` by name, whatever characters the names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

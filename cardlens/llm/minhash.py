@@ -32,8 +32,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cardlens.llm.common import (U64, Words, arrow_map, mix, read, release, signed, small_batches,
-                                 stored, text_bytes)
+from cardlens.llm.common import (U64, Words, arrow_map, fresh, mix, read, release, signed,
+                                 small_batches, stored, text_bytes)
+from cardlens.llm.common import own as own_columns
 from cardlens.llm.components import components
 
 SHINGLE = 5
@@ -303,18 +304,20 @@ def keep_one(docs: DataFrame, per_cent: int = 85) -> DataFrame:
     gone = stored(found.where("not kept").select("doc_id", "text_hash")
                   .union(second.select("doc_id", "text_hash")).distinct()
                   .select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")))
-    names = docs.columns
-    keyed = docs.select(*names, F.col("doc_id").cast("long").alias("_i"),
-                        F.xxhash64("text").alias("_t"))
-    left = keyed.join(gone.hint("shuffle_merge"), (keyed["_i"] == gone["_d"])
-                      & (keyed["_t"] == gone["_h"]), "left_anti")
+    i, t, n = fresh(docs, "_i", "_t", "_n")
+    keyed = docs.select(*own_columns(docs), F.col("doc_id").cast("long").alias(i),
+                        F.xxhash64("text").alias(t))
+    d, h = fresh(keyed, "_d", "_h")
+    gone = gone.select(F.col("_d").alias(d), F.col("_h").alias(h))
+    left = keyed.join(gone.hint("shuffle_merge"), (F.col(i) == F.col(d))
+                      & (F.col(t) == F.col(h)), "left_anti")
     if not own.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
         # Spark prunes each task's rows to the first of a key before the shuffle
-        turn = W.partitionBy("_i", "_t").orderBy("_t")
-        left = left.where("_i is null").unionByName(
-            left.where("_i is not null").withColumn("_n", F.row_number().over(turn))
-            .where("_n = 1").drop("_n"))
-    return left.select(*names)
+        turn = W.partitionBy(i, t).orderBy(t)
+        left = left.where(F.col(i).isNull()).unionByName(
+            left.where(F.col(i).isNotNull()).withColumn(n, F.row_number().over(turn))
+            .where(F.col(n) == 1).drop(n))
+    return left.select(*own_columns(docs))
 
 
 def op7_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardlens.llm.common import arrow_map, read, small_batches, stored
+from cardlens.llm.common import arrow_map, fresh, own, read, small_batches, stored
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -156,10 +156,10 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 counts[k].append(len(found[k]))
             joined = ",".join(f"{k}:{a}:{b}" for k in KINDS for a, b in found[k])
             sha.append(hashlib.sha256(joined.encode()).hexdigest())
-            own = [(k, a, b, True) for k in KINDS for a, b in found[k]]
-            own += [(k, a, b, False) for k, a, b in near]
+            spans = [(k, a, b, True) for k in KINDS for a, b in found[k]]
+            spans += [(k, a, b, False) for k, a, b in near]
             items = []
-            for k, a, b, seed in own:
+            for k, a, b, seed in spans:
                 p1, p2 = _context(text, a, b)
                 items.append({"kind": k, "a": a, "b": b, "name": _name(k, text[a:b]),
                               "seed": seed, "p1": p1, "p2": p2})
@@ -247,10 +247,11 @@ def redact(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     more = added(stored(occurrences(docs)))
     names = docs.columns
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    joined = keyed.join(more.hint("shuffle_merge"), keyed["doc_id"].cast("long")
-                        .eqNullSafe(more["_d"]) & (keyed["_key"] == more["_h"]), "left")
-    joined = joined.select(*(keyed[c] for c in names), "extra")
+    key, d, h, extra = fresh(docs, "_key", "_d", "_h", "extra")
+    keyed = docs.select(*own(docs), F.xxhash64("text").alias(key))
+    more = more.select(F.col("_d").alias(d), F.col("_h").alias(h), F.col("extra").alias(extra))
+    joined = keyed.join(more.hint("shuffle_merge"), F.col("doc_id").cast("long").eqNullSafe(
+        F.col(d)) & (F.col(key) == F.col(h)), "left").select(*own(docs), extra)
     at = names.index("text")
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -259,7 +260,8 @@ def redact(docs: DataFrame) -> DataFrame:
             if text is None:
                 out.append(None)
                 continue
-            spans = [(a, b, k) for k, own in base_spans(text)[0].items() for a, b in own]
+            spans = [(a, b, k) for k, found in base_spans(text)[0].items()
+                     for a, b in found]
             spans += [(x["a"], x["b"], x["kind"]) for x in extra or ()]
             parts, place = [], 0
             for a, b, k in sorted(spans, key=lambda s: (s[0], -s[1])):
