@@ -82,9 +82,12 @@ def injection_flags(text: Column) -> Column:
         for n, p in INJECTION_PATTERNS]))
 
 
-def sanitize(text: Column, max_chars: int = SANITIZE_MAX_CHARS) -> Column:
-    """Neutralise closing case tags, then cut at ``max_chars`` characters."""
+def sanitize(text: Column, max_chars: int | None = None) -> Column:
+    """Neutralise closing case tags; ``max_chars`` (such as
+    ``SANITIZE_MAX_CHARS``) cuts what is longer and marks the cut."""
     t = F.regexp_replace(text, _rx(CASE_CLOSE_TAG, True), "[/case]")
+    if max_chars is None:
+        return t
     return F.when(F.char_length(t) > max_chars,
                   F.concat(F.substring(t, 1, max_chars), F.lit(TRUNCATION_MARKER))).otherwise(t)
 

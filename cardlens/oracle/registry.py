@@ -212,8 +212,7 @@ SELECT 'iforest' AS detector, round(quantile_cont(s_if, 0.5), 6) AS median FROM
 UNION ALL SELECT 'sequence' AS detector, round(quantile_cont(s_seq, 0.5), 6) AS median FROM v"""
 
 SQL["global_importance"] = _w(C.TXN) + f"""
-, picked AS (SELECT * FROM txn ORDER BY md5(concat('17', transaction_id)) LIMIT 5000),
-long AS (SELECT x.name AS feature, x.value AS value FROM (SELECT unnest({C.contrib_list()}) AS x FROM picked)),
+, long AS (SELECT x.name AS feature, x.value AS value FROM (SELECT unnest({C.contrib_list()}) AS x FROM txn)),
 per AS (SELECT feature, avg(abs(value)) AS mean_abs FROM long GROUP BY feature)
 SELECT feature, round(mean_abs / (SELECT CASE WHEN sum(mean_abs) = 0 THEN 1.0 ELSE sum(mean_abs) END FROM per), 6)
   AS importance FROM per"""
@@ -363,8 +362,7 @@ SQL["injection_flags"] = f"SELECT doc_id, {_flags_sql('text')} AS flags FROM doc
 SQL["sanitize_documents"] = f"""
 WITH s AS (SELECT doc_id, text, regexp_replace(text, '{_q('(?i)' + CASE_CLOSE_TAG)}', '[/case]', 'g') AS t
            FROM documents)
-SELECT doc_id, CASE WHEN length(t) > 4000 THEN substring(t, 1, 4000) || chr(10) || '[...truncated]' ELSE t END
-  AS sanitized, {_flags_sql('text')} AS flags FROM s"""
+SELECT doc_id, t AS sanitized, {_flags_sql('text')} AS flags FROM s"""
 
 _QUESTIONS = f"""
 WITH q AS (SELECT conv_id, turn, text, {_redact_sql('text')} AS redacted, {_counts_sql('text')} AS redactions
@@ -436,7 +434,8 @@ lib_f AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY md5(concat('17',
                          FROM cdocs WHERE is_fraud = 1) WHERE rn <= 2000),
 lib_l AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY md5(concat('17', case_id))) AS rn
                          FROM cdocs WHERE is_fraud = 0) WHERE rn <= 4000 - (SELECT count(*) FROM lib_f)),
-lib AS (SELECT * EXCLUDE (rn) FROM lib_f UNION ALL SELECT * EXCLUDE (rn) FROM lib_l),
+picked AS (SELECT * EXCLUDE (rn) FROM lib_f UNION ALL SELECT * EXCLUDE (rn) FROM lib_l),
+lib AS (SELECT * FROM cdocs),
 aq AS (
   SELECT case_id AS query_id,
     array_to_string(list_filter(list_concat([coalesce(merchant_category, ''), coalesce(channel, ''),
@@ -476,7 +475,7 @@ hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 
 
 SQL["case_narratives"] = _CASES + "SELECT case_id, text, disposition FROM cdocs"
-SQL["case_sample"] = _CASES + "SELECT case_id, disposition FROM lib"
+SQL["case_sample"] = _CASES + "SELECT case_id, disposition FROM picked"
 SQL["pattern_queries"] = _CASES + "SELECT query_id, query_text FROM aq"
 SQL["ngram_embedding"] = _CASES + "," + _emb("lib", "case_id", "text", "d") + """
 SELECT c.id AS case_id, c.slot, c.count, round(c.count / n.norm, 6) AS weight
@@ -493,10 +492,7 @@ blocks AS (
   SELECT h.query_id, h.rank,
     '<case id="' || h.case_id || '" similarity="' || {C.fixed_text('h.score', 3)} || '" disposition="'
       || coalesce(l.disposition, 'unknown') || '">' || chr(10)
-      || CASE WHEN length(regexp_replace(l.text, '(?i)</\\s*case\\s*>', '[/case]', 'g')) > 4000
-              THEN substring(regexp_replace(l.text, '(?i)</\\s*case\\s*>', '[/case]', 'g'), 1, 4000)
-                   || chr(10) || '[...truncated]'
-              ELSE regexp_replace(l.text, '(?i)</\\s*case\\s*>', '[/case]', 'g') END
+      || regexp_replace(l.text, '(?i)</\\s*case\\s*>', '[/case]', 'g')
       || chr(10) || '</case>' AS block,
     {_flags_sql('l.text')} AS fl
   FROM hits h JOIN lib l USING (case_id)),
@@ -514,6 +510,19 @@ SELECT a.query_id AS case_id,
   'low' AS confidence, 'automated narrative not generated' AS evidence_gaps, true AS blocked
 FROM aq a LEFT JOIN ids USING (query_id)"""
 
+# conversations hold no objects inside other text; a whole JSON text is read, any other is the summary
+SQL["parse_answers"] = """
+WITH a AS (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t
+           FROM conversations WHERE role = 'assistant'),
+b AS (SELECT conv_id, turn, CASE WHEN starts_with(t, '```')
+        THEN regexp_replace(regexp_extract(t, '(?s)^```(?:json)?(.*?)(?:```.*)?$', 1), '^\\s+|\\s+$', '', 'g')
+        ELSE t END AS body FROM a),
+p AS (SELECT *, starts_with(body, '{') AND json_valid(body) AS parsed FROM b)
+SELECT conv_id, turn, parsed,
+  CASE WHEN parsed THEN coalesce(json_extract_string(body, '$.summary'), '') ELSE body END AS summary,
+  CASE WHEN parsed THEN coalesce(json_extract_string(body, '$.confidence'), 'low') ELSE 'low' END AS confidence
+FROM p"""
+
 SQL["cosine_topk"] = """
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 vn AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v),

@@ -302,11 +302,10 @@ def reference_medians(spark, sf):
 
 
 @register("global_importance")
-def global_importance(spark, sf, sample: int = 5000, seed: int = 17):
-    """Mean |contribution| over a hash-ordered sample, normalised to 1."""
+def global_importance(spark, sf):
+    """Mean |contribution| of every feature over all rows, normalised to 1."""
     c = bindings.with_contributions(bindings.txn(spark, sf))
-    picked = c.orderBy(F.md5(F.concat(F.lit(str(seed)), F.col("transaction_id")))).limit(sample)
-    long = picked.select(F.explode("contrib").alias("feature", "value"))
+    long = c.select(F.explode("contrib").alias("feature", "value"))
     per = long.groupBy("feature").agg(F.avg(F.abs("value")).alias("mean_abs"))
     total = per.agg(F.sum("mean_abs")).scalar()
     return _round_all(per.select("feature", (F.col("mean_abs") / F.when(total == 0, 1.0)
@@ -477,7 +476,7 @@ def _case_base(spark, sf) -> DataFrame:
 
 
 def _library(base: DataFrame) -> DataFrame:
-    return cs.case_sample(cs.case_documents(base))
+    return cs.case_documents(base)
 
 
 def _alert_queries(base: DataFrame) -> DataFrame:
@@ -493,7 +492,8 @@ def case_narratives(spark, sf):
 
 @register("case_sample")
 def case_sample_q(spark, sf):
-    return _library(_case_base(spark, sf)).select("case_id", "disposition")
+    """T5: the sampling operator itself; nothing else uses the sample."""
+    return cs.case_sample(_library(_case_base(spark, sf))).select("case_id", "disposition")
 
 
 @register("pattern_queries")
@@ -503,11 +503,11 @@ def pattern_queries(spark, sf):
 
 @register("ngram_embedding")
 def ngram_embedding(spark, sf):
-    lib = _library(_case_base(spark, sf))
-    c = sim.ngram_counts(lib, "case_id", "text")
-    norm = c.groupBy("id").agg(F.sqrt(F.sum(F.col("count") * F.col("count"))).alias("norm"))
-    return c.join(norm, "id").select(F.col("id").alias("case_id"), "slot", "count",
-                                     r6(F.col("count") / F.col("norm")).alias("weight"))
+    v = sim.embed(_library(_case_base(spark, sf)), "case_id", "text")
+    return v.select(F.col("id").alias("case_id"), "norm",
+                    F.explode(F.arrays_zip("slots", "counts")).alias("e")).select(
+        "case_id", F.col("e.slots").alias("slot"), F.col("e.counts").alias("count"),
+        r6(F.col("e.counts") / F.col("norm")).alias("weight"))
 
 
 def _similar(spark, sf, doc_filter=None) -> DataFrame:
@@ -534,15 +534,14 @@ def cosine_topk(spark, sf):
     v = e.select(F.col("vec_id").cast("string").alias("id"),
                  F.col("embedding").cast("array<double>").alias("vec"))
     v = v.withColumn("norm", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)))
-    hits = sim.top_k_vectors(spark, v, v.withColumnRenamed("id", "case_id"), 6, "case_id",
-                             exclude_self=True)
+    hits = sim.top_k_vectors(v, v, 6, exclude_self=True)
     return hits.select(F.col("query_id").cast("long").alias("vec_id"), "rank",
                        F.col("case_id").cast("long").alias("neighbor_id"), r6("score").alias("score"))
 
 
 @register("case_upsert")
 def case_upsert(spark, sf):
-    """The sampled library updated with the narratives of every decline."""
+    """The library updated with the narratives of every decline."""
     base = _case_base(spark, sf)
     old = _library(base).select("case_id", "text", F.lit("library").alias("origin"))
     new = cs.case_documents(base.filter(F.col("action") == "decline")).select(
@@ -701,9 +700,9 @@ def sequence_window_q(spark, sf):
 
 @register("parse_answers")
 def parse_answers_q(spark, sf):
-    """X14 over assistant turns: fenced / plain JSON objects via ``from_json``;
-    rows that fail go to a pandas UDF that extracts the first balanced object
-    or falls back to the first 800 characters as a low-confidence summary."""
+    """X14 over assistant turns: fenced / plain JSON objects via ``from_json``,
+    else the first object inside the text, else the text as a low-confidence
+    summary."""
     from cardlens.functions.answers import parse_answers
     a = read_table(spark, sf, "conversations").filter(F.col("role") == "assistant")
     return parse_answers(a, "text").select("conv_id", "turn", "summary", "confidence", "parsed")

@@ -80,9 +80,9 @@ def ship_package(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the operator sets it to a shared, durable location; we only
-    invent one (a fresh scratch folder) when the session has none, which is
-    the local/test case.
+    Only a local session, whose executors are the driver, may go without: it
+    gets a fresh scratch folder.  On a cluster a folder of one machine would
+    lose data, so an unset folder is an error there.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -90,11 +90,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not is_local(sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="cardlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return conf_dir
 
 
+def is_local(master: str) -> bool:
+    """Driver and executors are one process (not so for ``local-cluster``)."""
+    return master == "local" or master.startswith("local[")
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for written intermediate tables and streaming checkpoints."""
     return ensure_checkpoint_dir(spark)
