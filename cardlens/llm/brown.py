@@ -37,8 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardlens.llm.common import (U64, Words, arrow_map, mix, read, signed, small_batches,
-                                 stored, text_bytes)
+from cardlens.llm.common import (U64, Words, arrow_map, mix, portions, read, signed,
+                                 small_batches, stored, text_bytes)
 
 CLASSES = 32
 CLUSTERED = 8192
@@ -46,7 +46,7 @@ ENDINGS = 512
 HEAD = 1 << 19
 ROUNDS = 5
 #: Words that a task counts before it emits partial counts.
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 
 
 def held_out(doc_id: str, folds: int, fold: int):
@@ -75,7 +75,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 [pa.array(signed(word)), pa.array(e[first].astype(np.int32)), pa.array(c)],
                 names=["h", "ending", "c"])
         held, size = [], 0
-        for batch in batches:
+        for batch in portions(batches):
             words = Words(batch.column(0), lower=True)
             held.append((words.hash, endings(words)))
             size += len(words.hash)

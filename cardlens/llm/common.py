@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - used as pa.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +22,10 @@ U64 = np.uint64
 #: Base of the polynomial word hash (odd, so it has an inverse modulo 2^64).
 HASH_BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(HASH_BASE, -1, 1 << 64)
-#: Rows of one Arrow batch: bounds the memory of a Python task.
+#: Rows of one Arrow batch and text bytes of one numpy pass: they bound the
+#: memory of a Python task.
 BATCH_ROWS = 400
+PORTION_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -67,12 +70,31 @@ def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | N
               schema: str) -> DataFrame:
     """``mapInArrow`` for a function of one batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := rows(batch)) is not None and out.num_rows:
+        for batch in portions(batches):
+            if (out := rows(batch)) is not None and out.num_rows:
                 yield out
     return df.mapInArrow(run, schema)
 
 
+def portions(batches: Iterator[pa.RecordBatch],
+             most: int = PORTION_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that their texts hold about ``most`` bytes (one text at
+    least): numpy work needs some fifty bytes for each byte of text."""
+    for batch in batches:
+        size = np.zeros(batch.num_rows, np.int64)
+        for col in batch.columns:
+            if pa.types.is_binary(col.type) or pa.types.is_string(col.type):
+                size += pa.compute.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False)
+        begin, held = 0, 0
+        for i, n in enumerate(size.tolist()):
+            if held and held + n > most:
+                yield batch.slice(begin, i - begin)
+                begin, held = i, 0
+            held += n
+        if begin < batch.num_rows:
+            yield batch.slice(begin)
+
+
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if len(_powers[0]) < n:

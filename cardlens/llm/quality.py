@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardlens.llm.common import (U64, Words, arrow_map, mix, read, small_batches, stored,
-                                 text_bytes)
+from cardlens.llm.common import (U64, Words, arrow_map, mix, portions, read, small_batches,
+                                 stored, text_bytes)
 
 WORD_BITS, PAIR_BITS = 18, 18
 BUCKETS = (1 << WORD_BITS) + (1 << PAIR_BITS)
@@ -83,7 +83,7 @@ def fit(docs: DataFrame, good: np.ndarray) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for batch in batches:
+        for batch in portions(batches):
             row, bucket = features(Words(batch.column(1), lower=True))
             raw += np.bincount(bucket, minlength=BUCKETS)
             chosen = _member(held.value, batch.column(0))[row]
