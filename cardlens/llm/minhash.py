@@ -12,7 +12,8 @@
    components are compared once more across components, in blocks of bounded
    size: members of the largest component against the others, and the others
    among themselves, so a bucket full of copies of one text stays linear.
-   No pair is emitted unless its estimate is near the threshold.
+   These groups carry the full sets and return links that connect components
+   only, fewer than they have members.
 
 At the threshold 0.85 a pair shares no band with probability
 (1 - 0.85^5)^19 = 1.5e-5; the estimate of a linked pair falls below the cut
@@ -45,7 +46,7 @@ LONGS = HASHES * FIELD_BITS // 64
 #: (five standard deviations of an estimate from 96 fields at 0.85).
 SLACK = 0.2
 #: Members of a bucket that are compared in one group.
-BLOCK = 1024
+BLOCK = 512
 
 _rng = np.random.default_rng(20240607)
 _A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * U64(2) + U64(1)
@@ -156,11 +157,10 @@ def _confirm(pairs: DataFrame, texts: DataFrame, per_cent: int) -> DataFrame:
                      rows, "a long, b long")
 
 
-def _texts_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, _t) of the classes in ``pairs``: the text of the class's smallest
-    document."""
-    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = stored(nodes.select("node", "doc_id").join(named, "node"))
+def _texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, _t) of the classes ``wanted(node)``: the text of the class's
+    smallest document."""
+    wanted = stored(nodes.select("node", "doc_id").join(wanted.distinct(), "node"))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("_t"))
     found = plain.join(wanted.hint("shuffle_merge"), "doc_id")
     if not wanted.groupBy("doc_id").count().where("count > 1").isEmpty() or not (
@@ -177,16 +177,34 @@ def _texts_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return found.select("node", "_t")
 
 
-def _across(members: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Likely pairs (a, b) of different components within one bucket.
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
 
-    ``members(bucket, node, n, s0..)``; nodes without a label are their own
-    component.
+
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return 0
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return int((y[at] == x).sum())
+
+
+def _across(members: DataFrame, nodes: DataFrame, labels: DataFrame, docs: DataFrame,
+            per_cent: int) -> DataFrame | None:
+    """Links (a, b) that join different components within one bucket, enough of
+    them to connect what is connected; None if no bucket is mixed.
+
+    ``members(bucket, node)``; nodes without a label are their own component.
+    Groups carry the full sets, so links are confirmed in place: a group
+    returns fewer links than it has members, and a pair that others of the
+    group have connected meanwhile is not looked at.
     """
-    sig = [f"s{i}" for i in range(LONGS)]
+    sig, threshold = [f"s{i}" for i in range(LONGS)], per_cent / 100
     lab = labels.select(F.col("node").alias("_n"), "label")
     named = (members.join(lab.hint("shuffle_merge"), members["node"] == lab["_n"], "left")
-             .select("bucket", "node", F.coalesce("label", "node").alias("label"), "n", *sig))
+             .select("bucket", "node", F.coalesce("label", "node").alias("label")))
     parts = named.groupBy("bucket", "label").agg(F.count("*").alias("c"))
     mixed = stored(parts.groupBy("bucket")
                    .agg(F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("top"),
@@ -196,43 +214,66 @@ def _across(members: DataFrame, labels: DataFrame, threshold: float) -> DataFram
                            F.ceil(F.col("top.c") / BLOCK).cast("int").alias("mains"),
                            F.ceil((F.col("m") - F.col("top.c")) / BLOCK).cast("int")
                            .alias("others")))
-    rows = (named.join(mixed.hint("shuffle_merge"), named["bucket"] == mixed["_b"])
-            .withColumn("is_main", F.col("label") == F.col("main"))
-            .withColumn("own", F.pmod(F.xxhash64("node"),
-                                      F.when(F.col("is_main"), F.col("mains"))
-                                      .otherwise(F.col("others"))).cast("int")))
+    if mixed.isEmpty():
+        return None
+    rows = stored(named.join(mixed.hint("shuffle_merge"), named["bucket"] == mixed["_b"])
+                  .withColumn("is_main", F.col("label") == F.col("main"))
+                  .withColumn("own", F.pmod(F.xxhash64("node"),
+                                            F.when(F.col("is_main"), F.col("mains"))
+                                            .otherwise(F.col("others"))).cast("int")))
+
+    def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = shingle_sets(Words(batch.column(1), lower=True))
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary())],
+            names=["node", "members"])
+    sets = arrow_map(_texts_of(rows.select("node"), nodes, docs), pack,
+                     "node long, members binary")
+    held = stored(sets.join(nodes.select("node", *sig).hint("shuffle_merge"), "node"))
 
     def dealt(df: DataFrame, kind: int, i, j) -> DataFrame:
         return df.select("bucket", F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"),
-                         "node", "label", "n", *sig)
+                         F.col("node").alias("_n"), "label")
     zero = F.lit(0)
     own = F.col("own")
     main, other = rows.where("is_main"), rows.where("not is_main")
     turn = other.withColumn("t", F.explode(F.sequence(zero, F.col("others") - 1)))
-    groups = (dealt(main.withColumn("t", F.explode(F.sequence(zero, F.col("others") - 1))),
+    places = (dealt(main.withColumn("t", F.explode(F.sequence(zero, F.col("others") - 1))),
                     0, own, F.col("t"))
               .unionByName(dealt(other.withColumn("t", F.explode(
                   F.sequence(zero, F.col("mains") - 1))), 0, F.col("t"), own))
               .unionByName(dealt(turn, 1, F.least("own", "t"), F.greatest("own", "t"))))
+    groups = held.join(places.hint("shuffle_merge"), held["node"] == F.col("_n")).drop("_n")
 
     def compare(table: pa.Table) -> pa.Table:
-        node, label, n = (table.column(c).to_numpy() for c in ("node", "label", "n"))
-        s = np.stack([table.column(c).to_numpy() for c in sig], 1).view(U64)
+        node, label = (table.column(c).to_numpy() for c in ("node", "label"))
         left, right = [], []
-        for k in range(len(node) - 1):
-            x = s[k] ^ s[k + 1:]
-            some = (x | x >> U64(1) | x >> U64(2) | x >> U64(3)) & U64(_NIBBLES)
-            same = (HASHES - np.bitwise_count(some).sum(1, dtype=np.int64)) / HASHES
-            near = (same - 1 / 16) / (15 / 16) >= threshold - SLACK
-            near &= label[k + 1:] != label[k]
-            near &= (np.minimum(n[k + 1:], n[k]) >= threshold * np.maximum(n[k + 1:], n[k]))
-            hit = np.flatnonzero(near) + k + 1
-            left.append(np.minimum(node[hit], node[k]))
-            right.append(np.maximum(node[hit], node[k]))
-        a, b = (np.concatenate([np.empty(0, np.int64), *v]) for v in (left, right))
-        return pa.table({"a": pa.array(a), "b": pa.array(b)})
-    return (groups.groupBy("bucket", "kind", "i", "j").applyInArrow(compare, "a long, b long")
-            .distinct())
+        if (label != label[0]).any():
+            s = np.stack([table.column(c).to_numpy() for c in sig], 1).view(U64)
+            full = [np.frombuffer(x, "<u8") for x in table.column("members").to_pylist()]
+            n = np.array([len(x) for x in full])
+            place, part = np.unique(label, return_inverse=True)
+            root = np.arange(len(place))  # of each component, kept flat
+            for k in range(len(node) - 1):
+                x = s[k] ^ s[k + 1:]
+                some = (x | x >> U64(1) | x >> U64(2) | x >> U64(3)) & U64(_NIBBLES)
+                same = (HASHES - np.bitwise_count(some).sum(1, dtype=np.int64)) / HASHES
+                near = (same - 1 / 16) / (15 / 16) >= threshold - SLACK
+                near &= root[part[k + 1:]] != root[part[k]]
+                near &= np.minimum(n[k + 1:], n[k]) >= threshold * np.maximum(n[k + 1:], n[k])
+                for j in (np.flatnonzero(near) + k + 1).tolist():
+                    a, b = root[part[j]], root[part[k]]
+                    if a != b:
+                        both = common(full[k], full[j])
+                        if 100 * both >= per_cent * (n[k] + n[j] - both):
+                            root[root == a] = b
+                            left.append(node[k])
+                            right.append(node[j])
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+    # dealt out by hand, since a group's work is far more than its bytes tell
+    tasks = int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (groups.repartition(tasks, "bucket", "kind", "i", "j")
+            .groupBy("bucket", "kind", "i", "j").applyInArrow(compare, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, per_cent: int = 85) -> DataFrame:
@@ -261,13 +302,11 @@ def near_duplicates(docs: DataFrame, per_cent: int = 85) -> DataFrame:
     pairs = inside.where("node <> _c").select(F.col("_c").alias("a"),
                                               F.col("node").alias("b")).distinct()
     likely = stored(_likely(pairs, nodes, threshold))
-    links = stored(_confirm(likely, _texts_of(likely, nodes, docs), per_cent))
+    links = stored(_confirm(likely, _texts_of(_ends(likely), nodes, docs), per_cent))
     labels = components(links)
-    held = inside.select("bucket", "node").join(
-        nodes.select("node", "n", *sig).hint("shuffle_merge"), "node")
-    more = stored(_across(held, labels, threshold).join(likely, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        extra = stored(_confirm(more, _texts_of(more, nodes, docs), per_cent))
+    more = _across(inside.select("bucket", "node"), nodes, labels, docs, per_cent)
+    if more is not None:
+        extra = stored(more)
         if not extra.isEmpty():
             labels = components(links.unionByName(extra))
     own = nodes.select("node", "doc_id")
