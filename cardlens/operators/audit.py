@@ -1,121 +1,174 @@
 """Hash-chained decision log.
 
 * H1/H2 are column expressions: the canonical payload text and its sha256
-  (``payload_hash``) are computed in parallel for every record.
-* H3 links records: ``record_hash = sha256(prev_hash || payload_hash)``.  That
-  step is sequential within a chain, so records are hash-partitioned by
-  ``chain_id``, sorted by ``seq`` inside each partition, and streamed through
-  ``mapInPandas`` carrying only the last hash of each chain - memory is
-  bounded by the number of chains, never by the size of one.  Chains resume
-  from the heads of a previous batch.
-* H4 verification is fully parallel: recompute every hash, then find
-  orphans (a ``prev_hash`` that no record of the chain has), forks and extra
-  genesis records with equi-joins and aggregates on the hash columns.
-
-The canonical text is our own (fields in a fixed order joined by ``~``,
-numbers as fixed 6-decimal text): chains are self-consistent, not
-byte-compatible with JSON-based logs.
+  (``payload_hash``) are computed in parallel for every record.  Every field is
+  written with its length, nulls as ``-``, so different records have different
+  texts; chain and ``seq`` are part of it.
+* H3 links records: ``record_hash = sha256(prev_hash : pos : payload_hash)``.
+  A chain is one card in one time slice, so the number of chains grows with
+  the data.  Only (chain, seq, payload hash) goes through Python: rows are
+  hash-partitioned by chain, sorted by ``seq`` and streamed, carrying the last
+  hash of one chain.  A chain resumes from the head of a previous batch, which
+  joins the stream as a seed row.
+* H4 verification is fully parallel: recompute every hash, then compare each
+  record with its predecessor by an equi-join on (chain, pos), null-safe; look
+  for two records at one place; and, given the heads, for cut-off ends.
+
+Chains are self-consistent, not byte-compatible with JSON-based logs.
 """
 
 from __future__ import annotations
 
 import hashlib
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from cardlens.constants import FEATURE_NAMES, GENESIS_HASH
+from cardlens.constants import DAY_US, FEATURE_NAMES, GENESIS_HASH
 from cardlens.functions.text import pseudonym
 from cardlens.operators.decide import fixed_text
 
 SCORE_COLS = ("risk_score", "supervised_score", "anomaly_score", "sequence_score")
+CHAIN_SLICE_US = 28 * DAY_US
+TEXT_FIELDS = ("timestamp", "transaction_id", "card_hash", "model_version", "action")
 
 
 def audit_payload(df: DataFrame, model_version: str, include_features: bool = True) -> DataFrame:
     """H1: the record body per decision (scores and features rounded to 6)."""
     snap = F.create_map(*[x for n in FEATURE_NAMES for x in (F.lit(n), F.round(F.col(n), 6))]) \
         if include_features else F.create_map().cast("map<string,double>")
+    card = pseudonym(F.col("card_id"))
     return df.select(
+        chain_of(card, F.col("event_us")).alias("chain_id"),
         F.date_format(F.timestamp_micros("event_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
          .alias("timestamp"),
-        "transaction_id", "seq", pseudonym(F.col("card_id")).alias("card_hash"),
+        "transaction_id", "seq", card.alias("card_hash"),
         F.lit(model_version).alias("model_version"), "action",
         *[F.round(F.col(c), 6).alias(c) for c in SCORE_COLS],
         F.col("reasons").alias("reason_codes"), "triggered_rules",
         snap.alias("feature_snapshot"))
 
 
-def canonical_text(df_cols: list[str] | None = None) -> Column:
-    """H2 input: fixed field order, 6-decimal numbers, arrays joined by ``|``."""
-    snap = F.concat_ws("|", F.transform(
-        F.array(*[F.lit(n) for n in FEATURE_NAMES]),
-        lambda n: F.concat(n, F.lit("="), F.coalesce(
-            fixed_text(F.element_at(F.col("feature_snapshot"), n), 6), F.lit("")))))
-    return F.concat_ws(
-        "~", F.col("timestamp"), F.col("transaction_id"), F.col("card_hash"), F.col("model_version"),
-        F.col("action"), *[fixed_text(F.col(c), 6) for c in SCORE_COLS],
-        F.concat_ws("|", "reason_codes"), F.concat_ws("|", "triggered_rules"), snap)
+def chain_of(card_hash: Column, event_us: Column, slice_us: int = CHAIN_SLICE_US) -> Column:
+    """Chain of a record: its card and time slice."""
+    part = F.floor(event_us / slice_us).cast("string")
+    return F.concat_ws("-", F.coalesce(card_hash, F.lit("none")), F.coalesce(part, F.lit("none")))
 
 
-def payload_hash() -> Column:
-    return F.sha2(canonical_text(), 256)
+def _part(value: Column) -> Column:
+    """A value with its length, so that neighbours cannot run into each other."""
+    text = value.cast("string")
+    return F.coalesce(F.concat(F.char_length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
 
+def _parts(values: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("["), F.size(values).cast("string"), F.lit("]"),
+                               F.array_join(F.transform(values, _part), "")), F.lit("-"))
 
-def chain_bucket(hex_digits: int = 1) -> Column:
-    """Chain id = the first hex digits of the card pseudonym (16 ** digits chains)."""
-    return F.substring(F.col("card_hash"), 1, hex_digits)
 
+def canonical_text() -> Column:
+    """H2 input: fixed field order, 6-decimal numbers, nothing left out."""
+    snapshot = [_part(fixed_text(F.element_at("feature_snapshot", F.lit(n)), 6))
+                for n in FEATURE_NAMES]
+    return F.concat(_part(F.col("chain_id")), _part(F.col("seq")),
+                    *(_part(F.col(c)) for c in TEXT_FIELDS),
+                    *(_part(fixed_text(F.col(c), 6)) for c in SCORE_COLS),
+                    _parts(F.col("reason_codes")), _parts(F.col("triggered_rules")), *snapshot)
 
-def _link(heads: dict[str, str]):
-    def fn(batches):
-        last = dict(heads)
-        for pdf in batches:
-            prev_out, rec_out = [], []
-            for chain, ph in zip(pdf["chain_id"].to_numpy(), pdf["payload_hash"].to_numpy()):
-                prev = last.get(chain, GENESIS_HASH)
-                rh = hashlib.sha256((prev + ph).encode()).hexdigest()
-                prev_out.append(prev)
-                rec_out.append(rh)
-                last[chain] = rh
-            yield pdf.assign(prev_hash=prev_out, record_hash=rec_out)
-    return fn
 
+def payload_hash() -> Column:
+    return F.sha2(canonical_text(), 256)
 
-def link_chain(records: DataFrame, heads: DataFrame | None = None, max_heads: int = 1_000_000) -> DataFrame:
-    """H3: add ``prev_hash`` and ``record_hash`` to records with ``chain_id``,
-    ``seq`` and ``payload_hash``.  ``heads`` = (chain_id, last_hash) of the
-    previous batch; at most one row per chain, checked before it is shipped."""
-    head_map: dict[str, str] = {}
+
+def _link(batches):
+    """Link rows sorted by chain; a seed row only sets where its chain goes on."""
+    chain, pos, last = None, 0, GENESIS_HASH
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            if row["chain_id"] != chain:
+                chain, pos, last = row["chain_id"], 0, GENESIS_HASH
+            if row["seed"] is not None:
+                pos, last = row["pos"], row["seed"]
+                continue
+            pos += 1
+            now = hashlib.sha256(f"{last}:{pos}:{row['payload_hash']}".encode()).hexdigest()
+            out.append({"chain_id": chain, "seq": row["seq"], "payload_hash": row["payload_hash"],
+                        "pos": pos, "prev_hash": last, "record_hash": now})
+            last = now
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=_LINKED)
+
+
+_LINKED = pa.schema([("chain_id", pa.string()), ("seq", pa.int64()), ("payload_hash", pa.string()),
+                     ("pos", pa.int64()), ("prev_hash", pa.string()), ("record_hash", pa.string())])
+_LINKED_SQL = ("chain_id string, seq long, payload_hash string, pos long, prev_hash string, "
+               "record_hash string")
+
+
+def link_chain(records: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """H3: add ``pos``, ``prev_hash`` and ``record_hash`` to records with
+    ``chain_id``, ``seq`` and ``payload_hash``.  ``heads``: ``chain_heads`` of
+    the batches before."""
+    rows = records.select("chain_id", F.col("seq").cast("long").alias("seq"), "payload_hash",
+                          F.lit(0).cast("long").alias("pos"),
+                          F.lit(None).cast("string").alias("seed"))
     if heads is not None:
-        if heads.count() > max_heads:
-            raise ValueError("too many chain heads to broadcast")
-        head_map = {r["chain_id"]: r["last_hash"] for r in heads.collect()}
-    schema = T.StructType(records.schema.fields + [
-        T.StructField("prev_hash", T.StringType()), T.StructField("record_hash", T.StringType())])
-    ordered = records.repartition("chain_id").sortWithinPartitions("chain_id", "seq")
-    return ordered.mapInPandas(_link(head_map), schema)
+        known = heads.join(rows.select("chain_id").distinct(), "chain_id", "left_semi")
+        rows = rows.unionByName(known.select(
+            "chain_id", F.col("last_seq").cast("long").alias("seq"),
+            F.lit(None).cast("string").alias("payload_hash"), F.col("last_pos").alias("pos"),
+            F.col("last_hash").alias("seed")))
+    ordered = rows.repartition("chain_id").sortWithinPartitions(
+        "chain_id", F.col("seed").isNull(), "seq", "payload_hash")
+    linked = ordered.mapInArrow(_link, _LINKED_SQL)
+    return records.join(linked, ["chain_id", "seq", "payload_hash"])
 
 
 def chain_heads(chained: DataFrame) -> DataFrame:
-    """Last record hash per chain: the seed for the next batch (resume)."""
+    """Last record hash per chain: the seed for the next batch (resume) and the
+    proof against cut-off ends."""
     return chained.groupBy("chain_id").agg(
-        F.max_by("record_hash", "seq").alias("last_hash"), F.max("seq").alias("last_seq"))
+        F.max_by("record_hash", "pos").alias("last_hash"), F.max("seq").alias("last_seq"),
+        F.max("pos").alias("last_pos"))
 
 
-def verify_chain(chained: DataFrame) -> DataFrame:
+def verify_chain(chained: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """H4: every broken record with a reason; all checks are joins/aggregates."""
-    rec = chained.withColumn("expected", F.sha2(F.concat(F.col("prev_hash"), payload_hash()), 256))
-    edited = rec.filter(F.col("expected") != F.col("record_hash")).select(
-        "chain_id", "seq", "transaction_id", F.lit("hash_mismatch").alias("reason"))
-    targets = rec.select("chain_id", F.col("record_hash").alias("prev_hash"))
-    links = rec.filter(F.col("prev_hash") != GENESIS_HASH)
-    orphans = links.join(targets, ["chain_id", "prev_hash"], "left_anti").select(
-        "chain_id", "seq", "transaction_id", F.lit("missing_predecessor").alias("reason"))
-    firsts = rec.groupBy("chain_id", "prev_hash").agg(F.min("seq").alias("first_seq"))
-    dupes = rec.join(firsts, ["chain_id", "prev_hash"]).filter(F.col("seq") > F.col("first_seq")) \
-               .select("chain_id", "seq", "transaction_id", F.lit("fork").alias("reason"))
-    return edited.unionByName(orphans).unionByName(dupes)
+    again = F.sha2(F.concat_ws(":", F.coalesce("prev_hash", F.lit("")),
+                               F.coalesce(F.col("pos").cast("string"), F.lit("")),
+                               payload_hash()), 256)
+    rec = chained.select("chain_id", "seq", "transaction_id", "pos", "prev_hash", "record_hash",
+                         again.alias("expected"))
+
+    def found(df: DataFrame, reason: str) -> DataFrame:
+        return df.select("chain_id", "seq", "transaction_id", F.lit(reason).alias("reason"))
+
+    broken = found(rec.where(~F.col("expected").eqNullSafe(F.col("record_hash"))), "hash_mismatch")
+    lost = found(rec.where("pos is null or pos < 1 or chain_id is null"), "malformed")
+    before = rec.select(F.col("chain_id").alias("_c"), (F.col("pos") + 1).alias("_p"),
+                        F.col("record_hash").alias("_h"), F.col("seq").alias("_s"))
+    linked = rec.where("pos >= 1").join(before, (rec["chain_id"] == F.col("_c"))
+                                        & (rec["pos"] == F.col("_p")), "left")
+    start = (F.col("pos") == 1) & ~F.col("prev_hash").eqNullSafe(F.lit(GENESIS_HASH))
+    later = (F.col("pos") > 1) & (F.col("_h").isNull()
+                                  | ~F.col("prev_hash").eqNullSafe(F.col("_h")))
+    orphans = found(linked.where(start | later), "missing_predecessor")
+    order = found(linked.where("_s >= seq"), "out_of_order")
+    forks = (rec.groupBy("chain_id", "pos").agg(F.count("*").alias("_n"), F.max("seq").alias("seq"),
+                                                F.max_by("transaction_id", "seq")
+                                                .alias("transaction_id")).where("_n > 1"))
+    out = broken.unionByName(lost).unionByName(orphans).unionByName(order) \
+        .unionByName(found(forks, "fork")).distinct()
+    if heads is not None:
+        ends = rec.select("chain_id", F.col("pos").alias("last_pos"),
+                          F.col("record_hash").alias("last_hash"))
+        cut = heads.join(ends, ["chain_id", "last_pos", "last_hash"], "left_anti").select(
+            "chain_id", F.col("last_seq").alias("seq"),
+            F.lit(None).cast("string").alias("transaction_id"), F.lit("missing_end").alias("reason"))
+        out = out.unionByName(cut)
+    return out
 
 
 def first_breaks(breaks: DataFrame) -> DataFrame:
@@ -126,11 +179,19 @@ def first_breaks(breaks: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_broken"))
 
 
+AUDIT_SCHEMA = (
+    "chain_id string, seq long, payload_hash string, timestamp string, transaction_id string, "
+    "card_hash string, model_version string, action string, "
+    + ", ".join(f"{c} double" for c in SCORE_COLS)
+    + ", reason_codes array<string>, triggered_rules array<string>, "
+    "feature_snapshot map<string,double>, pos long, prev_hash string, record_hash string")
+
+
 def read_audit_json(spark, path: str) -> DataFrame:
-    """Scan an audit log written as JSON lines."""
-    return spark.read.json(path)
+    """Scan an audit log written as JSON lines, by its declared schema."""
+    return spark.read.schema(AUDIT_SCHEMA).json(path)
 
 
 def write_audit(chained: DataFrame, path: str) -> None:
     """Append-only write (JSON lines, one folder per batch)."""
-    chained.write.mode("append").json(path)
+    chained.write.mode("append").option("ignoreNullFields", "false").json(path)

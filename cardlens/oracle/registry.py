@@ -535,35 +535,47 @@ r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, CAST
 SELECT vec_id, CAST(rank AS INTEGER) AS rank, neighbor_id, round(score, 6) AS score FROM r WHERE rank <= 6"""
 
 # ---------------------------------------------------------------- audit log
+def _lp(v: str) -> str:
+    """A value with its length; null as ``-``."""
+    return f"coalesce(length({v}) || ':' || {v}, '-')"
+
+
+def _lps(v: str) -> str:
+    return f"'[' || len({v}) || ']' || array_to_string(list_transform({v}, lambda x: {_lp('x')}), '')"
+
+
 _SNAP_TXT = " || '|' || ".join(
     f"'{n}=' || {C.fixed_text(f'round(f_{n}, 6)', 6)}" for n in FEATURE_NAMES)
+_SNAP_PARTS = " || ".join(_lp(C.fixed_text(f"round(f_{n}, 6)", 6)) for n in FEATURE_NAMES)
 _SCORES = {"risk_score": "risk_score", "supervised_score": "p_sup", "anomaly_score": "s_if",
            "sequence_score": "s_seq"}
 
 _AUDIT = f"""
 ap AS (
   SELECT strftime(make_timestamp(event_us), '%Y-%m-%dT%H:%M:%S.%f+00:00') AS timestamp, transaction_id, seq,
-    substring(sha256('local-development-salt:' || card_id), 1, 32) AS card_hash,
+    card_hash,
     'pseudo-scores-v1' AS model_version, action,
     {", ".join(f"round({v}, 6) AS {k}" for k, v in _SCORES.items())},
     CASE WHEN action = 'decline' THEN list_transform(list_sort({C.contrib_list()})[1:4],
       lambda e: printf('%s (%+.3f)', {C.reason_text_case('e.name')}, e.value)) ELSE [] END AS reasons,
-    triggered_rules, {_SNAP_TXT} AS snap
-  FROM dec),
-apc AS (
-  SELECT *, concat_ws('~', timestamp, transaction_id, card_hash, model_version, action,
-      {", ".join(C.fixed_text(k, 6) for k in _SCORES)},
-      array_to_string(reasons, '|'), array_to_string(triggered_rules, '|'), snap) AS canon
-  FROM ap),
-aph AS (SELECT *, sha256(canon) AS payload_hash, substring(card_hash, 1, 1) AS chain_id FROM apc)"""
+    triggered_rules, {_SNAP_TXT} AS snap, {_SNAP_PARTS} AS snap_parts,
+    card_hash || '-' || CAST(event_us // 2419200000000 AS VARCHAR) AS chain_id
+  FROM (SELECT *, substring(sha256('local-development-salt:' || card_id), 1, 32) AS card_hash FROM dec)),
+aph AS (SELECT *, sha256({{canon}}) AS payload_hash FROM ap)"""
+
+_CANON = " || ".join([_lp("chain_id"), _lp("CAST(seq AS VARCHAR)"),
+                      *(_lp(c) for c in ("timestamp", "transaction_id", "card_hash", "model_version", "action")),
+                      *(_lp(C.fixed_text(k, 6)) for k in _SCORES),
+                      _lps("reasons"), _lps("triggered_rules"), "snap_parts"])
+_AUDIT = _AUDIT.replace("{canon}", _CANON)
 
 _CHAIN = """
 ordered AS (SELECT *, row_number() OVER (PARTITION BY chain_id ORDER BY seq) AS pos FROM aph),
 chain AS (
   WITH RECURSIVE ch(chain_id, pos, prev_hash, record_hash) AS (
-    SELECT chain_id, pos, repeat('0', 64), sha256(repeat('0', 64) || payload_hash) FROM ordered WHERE pos = 1
+    SELECT chain_id, pos, repeat('0', 64), sha256(repeat('0', 64) || ':1:' || payload_hash) FROM ordered WHERE pos = 1
     UNION ALL
-    SELECT o.chain_id, o.pos, c.record_hash, sha256(c.record_hash || o.payload_hash)
+    SELECT o.chain_id, o.pos, c.record_hash, sha256(c.record_hash || ':' || o.pos || ':' || o.payload_hash)
     FROM ch c JOIN ordered o ON o.chain_id = c.chain_id AND o.pos = c.pos + 1)
   SELECT o.*, ch.prev_hash, ch.record_hash FROM ordered o JOIN ch USING (chain_id, pos))"""
 
@@ -576,22 +588,23 @@ SQL["audit_hash"] = _w(C.TXN, C.scored_feature_ctes(), _AUDIT) + \
 SQL["audit_chain"] = _w(C.TXN, C.scored_feature_ctes(), _AUDIT, _CHAIN) + \
     "SELECT chain_id, seq, transaction_id, prev_hash, record_hash FROM chain"
 
-_TAMPER_SCORES = ", ".join(C.fixed_text(k, 6) for k in _SCORES)
 SQL["audit_chain_breaks"] = _w(C.TXN, C.scored_feature_ctes(), _AUDIT, _CHAIN) + f"""
 , t0 AS (SELECT * REPLACE (CASE WHEN seq = 1000 THEN CASE WHEN action = 'approve' THEN 'decline' ELSE 'approve' END
                                 ELSE action END AS action)
          FROM chain WHERE seq <> 2000),
-t AS (SELECT *, sha256(prev_hash || sha256(concat_ws('~', timestamp, transaction_id, card_hash, model_version, action,
-         {_TAMPER_SCORES}, array_to_string(reasons, '|'), array_to_string(triggered_rules, '|'), snap))) AS expected
-      FROM t0),
+t AS (SELECT *, sha256(prev_hash || ':' || pos || ':' || sha256({_CANON})) AS expected FROM t0),
 brk AS (
   SELECT chain_id, seq, transaction_id FROM t WHERE expected <> record_hash
   UNION ALL
-  SELECT chain_id, seq, transaction_id FROM t a WHERE prev_hash <> repeat('0', 64)
-    AND NOT EXISTS (SELECT 1 FROM t b WHERE b.chain_id = a.chain_id AND b.record_hash = a.prev_hash)
+  SELECT a.chain_id, a.seq, a.transaction_id FROM t a LEFT JOIN t p ON p.chain_id = a.chain_id AND p.pos = a.pos - 1
+  WHERE (a.pos = 1 AND a.prev_hash <> repeat('0', 64))
+     OR (a.pos > 1 AND (p.record_hash IS NULL OR p.record_hash <> a.prev_hash))
+  UNION ALL
+  SELECT a.chain_id, a.seq, a.transaction_id FROM t a JOIN t p ON p.chain_id = a.chain_id AND p.pos = a.pos - 1
+  WHERE p.seq >= a.seq
   UNION ALL
-  SELECT chain_id, seq, transaction_id FROM (
-    SELECT *, min(seq) OVER (PARTITION BY chain_id, prev_hash) AS first_seq FROM t) WHERE seq > first_seq)
+  SELECT chain_id, max(seq), NULL FROM chain c GROUP BY chain_id
+  HAVING max(pos) > coalesce((SELECT max(pos) FROM t WHERE t.chain_id = c.chain_id), 0))
 SELECT chain_id, arg_min(transaction_id, seq) AS first_broken_transaction_id, min(seq) AS first_broken_seq,
        count(*) AS n_broken FROM brk GROUP BY chain_id"""
 

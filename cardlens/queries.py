@@ -594,8 +594,7 @@ def _audit_payload(spark, sf) -> DataFrame:
         "supervised_score": F.col("p_sup"), "anomaly_score": F.col("s_if"),
         "sequence_score": F.col("s_seq")})
     p = au.audit_payload(d, MODEL_VERSION)
-    return materialize(p.withColumn("payload_hash", au.payload_hash())
-                        .withColumn("chain_id", au.chain_bucket(1)))
+    return materialize(p.withColumn("payload_hash", au.payload_hash()))
 
 
 @register("audit_records")
@@ -625,12 +624,12 @@ def audit_chain(spark, sf):
 @register("audit_chain_breaks")
 def audit_chain_breaks(spark, sf):
     """H4 on a tampered copy: one record's action edited, one record deleted."""
-    c = au.link_chain(_audit_payload(spark, sf))
+    c = materialize(au.link_chain(_audit_payload(spark, sf)))
     tampered = (c.filter(F.col("seq") != TAMPER_DELETE_SEQ)
                  .withColumn("action", F.when(F.col("seq") == TAMPER_EDIT_SEQ,
                                               F.when(F.col("action") == "approve", "decline")
                                                .otherwise("approve")).otherwise(F.col("action"))))
-    return au.first_breaks(au.verify_chain(tampered))
+    return au.first_breaks(au.verify_chain(tampered, au.chain_heads(c)))
 
 
 # ---------------------------------------------------------------- point in time / latest / quotes

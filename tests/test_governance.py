@@ -59,7 +59,7 @@ def _records(spark, n=20):
                    F.array().cast("array<string>").alias("reason_codes"),
                    F.array().cast("array<string>").alias("triggered_rules"),
                    F.create_map().cast("map<string,double>").alias("feature_snapshot"))
-    return df.withColumn("payload_hash", au.payload_hash()).withColumn("chain_id", F.lit("0"))
+    return df.withColumn("chain_id", F.lit("0")).withColumn("payload_hash", au.payload_hash())
 
 
 def test_chain_verify_edit_delete_resume(spark):
@@ -80,6 +80,54 @@ def test_chain_verify_edit_delete_resume(spark):
     assert both == once
 
 
+def _reasons(breaks):
+    return sorted((r["seq"], r["reason"]) for r in breaks.collect())
+
+
+def test_chain_verify_finds_every_kind_of_tampering(spark, tmp_path):
+    chained = au.link_chain(_records(spark)).cache()
+    heads = au.chain_heads(chained)
+    at = lambda n, value, other: F.when(F.col("seq") == n, value).otherwise(other)
+    assert _reasons(au.verify_chain(chained, heads)) == []
+    no_link = chained.withColumn("prev_hash", at(4, F.lit(None), F.col("prev_hash")))
+    assert (4, "missing_predecessor") in _reasons(au.verify_chain(no_link))
+    swapped = chained.withColumn("seq", at(5, F.lit(6), at(6, F.lit(5), F.col("seq"))))
+    assert {s for s, _ in _reasons(au.verify_chain(swapped))} == {5, 6}
+    moved = chained.withColumn("chain_id", at(7, F.lit("1"), F.col("chain_id")))
+    assert (7, "hash_mismatch") in _reasons(au.verify_chain(moved))
+    assert (8, "missing_predecessor") in _reasons(au.verify_chain(moved))
+    cut = chained.where("seq < 19")
+    assert _reasons(au.verify_chain(cut)) == []
+    assert _reasons(au.verify_chain(cut, heads)) == [(19, "missing_end")]
+    twice = chained.unionByName(chained.where("seq = 3").withColumn("seq", F.lit(30).cast("long")))
+    assert (30, "fork") in _reasons(au.verify_chain(twice))
+    lost = chained.withColumn("record_hash", at(2, F.lit(None), F.col("record_hash")))
+    assert (2, "hash_mismatch") in _reasons(au.verify_chain(lost))
+
+
+def test_payload_text_is_injective(spark):
+    base = _records(spark, 1).drop("payload_hash")
+
+    def h(**cols):
+        return base.withColumns(cols).select(au.payload_hash()).first()[0]
+    arr = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    texts = [h(), h(reason_codes=arr("a", "b")), h(reason_codes=arr("a|b")),
+             h(reason_codes=arr("a"), triggered_rules=arr("b")), h(reason_codes=arr(None)),
+             h(reason_codes=F.lit(None).cast("array<string>")), h(action=F.lit(None).cast("string")),
+             h(action=F.lit("")), h(seq=F.lit(9).cast("long")), h(chain_id=F.lit("9"))]
+    assert len(set(texts)) == len(texts)
+
+
+def test_audit_log_round_trip(spark, tmp_path):
+    chained = au.link_chain(_records(spark))
+    path = str(tmp_path / "log")
+    au.write_audit(chained.where("seq < 10"), path)
+    au.write_audit(chained.where("seq >= 10"), path)
+    back = au.read_audit_json(spark, path)
+    assert back.count() == 20
+    assert au.verify_chain(back, au.chain_heads(chained)).count() == 0
+
+
 def test_no_raw_card_id_in_records(spark):
     recs = _records(spark)
     assert all(not r["card_hash"].startswith("card_") for r in recs.collect())
