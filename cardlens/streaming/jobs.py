@@ -21,7 +21,7 @@ from cardlens.streaming.card_state import EXPIRY_MS, card_feature_stream
 MESSAGE_SCHEMA = T.StructType(TXN_SCHEMA.fields + [T.StructField("commit", T.BooleanType())])
 
 
-def read_messages(spark: SparkSession, source: str, max_files_per_trigger: int | None = 1,
+def read_messages(spark: SparkSession, source: str, max_files_per_trigger: int | None = None,
                   fmt: str = "json") -> DataFrame:
     """S3: streaming transactions with the fixed schema; malformed lines become
     rows of nulls (PERMISSIVE) and fail the contract check."""
@@ -44,7 +44,7 @@ def quarantine(messages: DataFrame) -> DataFrame:
 
 
 def start_feature_sink(spark: SparkSession, source: str, out_path: str, checkpoint: str,
-                       available_now: bool = True, max_files_per_trigger: int | None = 1,
+                       available_now: bool = True, max_files_per_trigger: int | None = None,
                        expiry_ms: int | None = EXPIRY_MS):
     """ST1 + S5: card features landed as parquet partitioned by event date, with
     ``created_at``; the checkpoint makes state and offsets exactly-once (ST5/ST6)."""
@@ -100,7 +100,7 @@ def intrinsic_and_counterparty(card_rows: DataFrame, txn: DataFrame, profile: Da
 
 def start_decision_stream(spark: SparkSession, source: str, out_path: str, checkpoint: str,
                           profile: DataFrame, score_fn, available_now: bool = True,
-                          expiry_ms: int | None = EXPIRY_MS, max_files_per_trigger: int | None = 1):
+                          expiry_ms: int | None = EXPIRY_MS, max_files_per_trigger: int | None = None):
     """ST8: streamed card features -> intrinsic + counterparty features ->
     ``score_fn`` (adds ``risk_score``) -> decisions, per micro-batch.
 

@@ -48,13 +48,13 @@ def test_stream_equals_batch_with_restart_and_poison(spark):
     first = sorted(rows, key=lambda r: (r["event_us"], r["seq"]))
     half = len(first) // 2
     _write_parts(first[:half], src, 2, 0)
-    q = start_feature_sink(spark, src, out, ckpt, expiry_ms=None)
+    q = start_feature_sink(spark, src, out, ckpt, expiry_ms=None, max_files_per_trigger=1)
     q.awaitTermination(300)
     # restart from the same checkpoint with more data and three broken lines
     _write_parts(first[half:], src, 2, 2)
     with open(os.path.join(src, "part-099.json"), "w") as fh:
         fh.write('{"transaction_id": "bad1", "amount": -5}\nnot json at all\n{"card_id": null}\n')
-    q = start_feature_sink(spark, src, out, ckpt, expiry_ms=None)
+    q = start_feature_sink(spark, src, out, ckpt, expiry_ms=None, max_files_per_trigger=1)
     q.awaitTermination(300)
     assert q.exception() is None
     _check(spark, out, card_features(t))
@@ -63,6 +63,24 @@ def test_stream_equals_batch_with_restart_and_poison(spark):
     assert spark.read.parquet(os.path.join(root, "bad")).count() == 3
 
 
+def test_window_keeps_exact_sums_and_peaks():
+    import random
+
+    from cardlens.streaming.card_state import Window
+    rng = random.Random(5)
+    w, events, now = Window(1000, 3), [], 0
+    for _ in range(3000):
+        now += rng.randint(0, 40)
+        w.move_to(now)
+        alive = [e for e in events if e[0] >= now - 1000]
+        assert w.count == len(alive) and w.largest == max((e[2] for e in alive), default=0.0)
+        assert math.isclose(w.total, math.fsum(e[2] for e in alive), abs_tol=1e-9)
+        assert w.distinct(0) == len({e[3] for e in alive})
+        e = (now, len(events), rng.choice([0.1, 7.25, rng.random() * 1000]), rng.choice("abcd"))
+        events.append(e)
+        w.add(e)
+
+
 def test_idle_card_state_expires_after_8_days(spark):
     from tests.test_features import T0, _row
     day = 86_400_000_000
@@ -75,7 +93,7 @@ def test_idle_card_state_expires_after_8_days(spark):
     for i, rows in enumerate([[a1], [b1], [a2]]):
         rows = [{k: v for k, v in r.items()} for r in rows]
         _write_parts(rows, src, 1, i)
-    q = start_feature_sink(spark, src, out, ckpt)
+    q = start_feature_sink(spark, src, out, ckpt, max_files_per_trigger=1)
     q.awaitTermination(300)
     got = {r["transaction_id"]: r for r in spark.read.parquet(out).collect()}
     # the card was idle for more than 8 days: its state (and novelty) was forgotten
@@ -97,7 +115,8 @@ def test_stream_scoring_equals_batch_decisions(spark):
     src, out, ckpt = (os.path.join(root, d) for d in ("src", "out", "ckpt"))
     os.makedirs(src)
     _write_parts(rows, src, 3, 0)
-    q = start_decision_stream(spark, src, out, ckpt, profile, with_pseudo_scores, expiry_ms=None)
+    q = start_decision_stream(spark, src, out, ckpt, profile, with_pseudo_scores, expiry_ms=None,
+                              max_files_per_trigger=1)
     q.awaitTermination(300)
     assert q.exception() is None
     got = {r["transaction_id"]: r for r in spark.read.parquet(out).collect()}
