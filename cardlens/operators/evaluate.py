@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from cardlens.constants import (CHAMPION_MIN_GAIN, EVAL_THRESHOLDS, FALSE_DECLINE_COST,
                                 RECOVERY_RATE, REVIEW_COST)
 from cardlens.operators.prefix import bucket_offsets, with_quantile_bucket
+from cardlens.session import materialize
 
 
 def _cnt(cond: Column) -> Column:
@@ -77,7 +78,9 @@ def score_curve(df: DataFrame, score: str = "risk_score", label: str = "is_fraud
     ``cum_tp``/``cum_fp`` over all scores >= it, and totals ``n_pos``/``n_neg``."""
     y = F.col(label) == 1
     per = df.groupBy(F.col(score).alias("score")).agg(_cnt(y).alias("tp"), _cnt(~y).alias("fp"))
-    per = with_quantile_bucket(per, "score", "_b", n_buckets, descending=True)
+    # one row per distinct score, written once: everything below reads this table only
+    per = materialize(with_quantile_bucket(materialize(per), "score", "_b", n_buckets,
+                                           descending=True))
     offs = bucket_offsets(per, "_b", {"tp": F.sum("tp"), "fp": F.sum("fp")})
     w = Window.partitionBy("_b").orderBy(F.col("score").desc()).rowsBetween(
         Window.unboundedPreceding, 0)
@@ -86,8 +89,7 @@ def score_curve(df: DataFrame, score: str = "risk_score", label: str = "is_fraud
                 .withColumn("cum_tp", F.col("tp_before") + F.sum("tp").over(w))
                 .withColumn("cum_fp", F.col("fp_before") + F.sum("fp").over(w))
                 .drop("_b", "tp_before", "fp_before"))
-    return curve.withColumns({"n_pos": totals.select("n_pos").scalar(),
-                              "n_neg": totals.select("n_neg").scalar()})
+    return attach_scalars(curve, totals)
 
 
 def ranking_metrics(curve: DataFrame, fpr_targets=(0.01, 0.005)) -> DataFrame:
@@ -118,8 +120,9 @@ def evaluation_summary(df: DataFrame, score: str = "risk_score", label: str = "i
 
 
 def attach_scalars(one_row: DataFrame, other: DataFrame) -> DataFrame:
-    """Add every column of a one-row frame as a scalar subquery (no join)."""
-    return one_row.withColumns({c: other.select(c).scalar() for c in other.columns})
+    """Add the columns of a one-row frame, read by one scalar subquery (no join)."""
+    row = other.select(F.struct(*other.columns).alias("_row")).scalar()
+    return one_row.withColumn("_row", row).select(*one_row.columns, "_row.*")
 
 
 def champion_gate(df: DataFrame, champion: str | None, challenger: str,

@@ -2,29 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardlens.constants import MERCHANT_PRIOR_WEIGHT
 from cardlens.operators.features import mcc_risk
 
-# A side is broadcast only when a count proves it is below this many rows.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "left",
-               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``small`` if a row count proves it fits, else a shuffle join.
-
-    The small side is persisted first so the count and the join read it once.
-    """
-    small = small.persist(StorageLevel.MEMORY_AND_DISK)
-    if small.count() <= max_rows:
-        small = F.broadcast(small)
-    return big.join(small, on, how)
-
-
 def merchant_profile(train: DataFrame, label_col: str = "is_fraud") -> DataFrame:
     """A1: per-merchant fraud and total counts plus the base rate of ``train``.
 
@@ -47,7 +30,8 @@ def with_counterparty(txn: DataFrame, profile: DataFrame) -> DataFrame:
     """
     base_rate = profile.agg(F.first("base_rate")).scalar()
     prof = profile.select("merchant_id", "merchant_risk", "total_count")
-    joined = join_small(txn, prof, "merchant_id", "left")
+    # no hint: Spark broadcasts the profile if its measured size is small
+    joined = txn.join(prof, "merchant_id", "left")
     return joined.withColumns({
         "merchant_risk_score": F.coalesce(F.col("merchant_risk"), base_rate),
         "merchant_log_volume": F.log1p(F.coalesce(F.col("total_count"), F.lit(0.0))),

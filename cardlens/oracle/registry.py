@@ -168,7 +168,10 @@ SELECT count(*) AS n, CAST(sum(is_fraud) AS BIGINT) AS n_fraud, round(avg(CAST(i
   round((SELECT estimated_loss_reduction FROM nb2), 6) AS estimated_loss_reduction
 FROM scored"""
 
-SQL["champion_gate"] = _w(C.TXN, C.SCORED, C.curve("p_sup", "_ch"), C.curve("risk_score", "_cp")) + """
+_TEST_WINDOW = "FROM (SELECT * FROM {} WHERE split = 'test') GROUP BY 1)"
+SQL["champion_gate"] = _w(C.TXN, C.SCORED, C.split_cte("scored"), C.curve("p_sup", "_ch"),
+                          C.curve("risk_score", "_cp")).replace(
+    "FROM scored GROUP BY 1)", _TEST_WINDOW.format("splitted")) + """
 SELECT round(a.pr_auc, 6) AS challenger_pr_auc, round(b.pr_auc, 6) AS champion_pr_auc,
        a.pr_auc >= b.pr_auc + 0.01 AS passed
 FROM rank_m_ch a, rank_m_cp b"""
@@ -312,7 +315,7 @@ SQL["governance_findings"] = _w(
     *_DRIFT_BASE, _DRIFT, _SCORE_LONG,
     C.psi_ctes("slong", 20, "split = 'train'", "split = 'test'", "sp"),
     _SEG, _BIAS, C.curve("p_sup", "_ch"), C.curve("risk_score", "_cp")).replace(
-        "FROM scored", "FROM sfv") + """
+        "FROM scored GROUP BY 1)", _TEST_WINDOW.format("fvs")).replace("FROM scored", "FROM sfv") + """
 SELECT len(flags) = 0 AS fairness_passed, CAST(len(flags) AS INTEGER) AS fairness_flags,
   (SELECT count(*) FROM drift WHERE status = 'investigate') AS drift_flagged_features,
   (SELECT psi >= 0.25 FROM sp_psi) AS score_drift_investigate,
@@ -614,7 +617,7 @@ WITH l AS (SELECT event_id, user_id, epoch_us(ts) AS us FROM events WHERE event_
 f AS (SELECT event_id AS feature_event_id, user_id, epoch_us(ts) AS fus, value FROM events WHERE event_type = 'view'),
 j AS (SELECT l.*, f.feature_event_id, f.fus, f.value FROM l ASOF LEFT JOIN f ON l.user_id = f.user_id AND l.us >= f.fus)
 SELECT event_id, user_id,
-  CAST(CASE WHEN fus >= us - 90000000000 THEN feature_event_id END AS DOUBLE) AS feature_event_id,
+  CAST(CASE WHEN fus >= us - 90000000000 THEN feature_event_id END AS VARCHAR) AS feature_event_id,
   CASE WHEN fus >= us - 90000000000 THEN round(value, 6) END AS feature_value,
   CASE WHEN fus >= us - 90000000000 THEN round((us - fus) / 1e6, 6) END AS feature_age_s
 FROM j"""

@@ -24,7 +24,6 @@ from cardlens.models.iforest import fit_iforest, score_iforest
 from cardlens.models.sequence import fit_sequence, score_sequence, with_windows
 from cardlens.models.attribution import tree_table, with_contributions
 from cardlens.operators.decide import decide, top_reasons
-from cardlens.operators.lookups import join_small
 from cardlens.operators.evaluate import class_weight
 from cardlens.operators.features import assert_model_inputs
 from cardlens.operators.quantiles import quantiles
@@ -111,5 +110,5 @@ def score_transactions(txn: DataFrame, gbt_iters: int = 40, n_trees: int = 300,
     declines = decided.filter(F.col("action") == "decline").select("transaction_id", *FEATURE_NAMES)
     reasons = with_contributions(declines, table).select(
         "transaction_id", top_reasons(F.col("contrib")).alias("reasons"))
-    joined = join_small(decided, reasons, "transaction_id", "left")
+    joined = decided.join(reasons, "transaction_id", "left")
     return joined.withColumn("reasons", F.coalesce("reasons", F.array().cast("array<string>")))

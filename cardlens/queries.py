@@ -1,7 +1,7 @@
 """Registered queries: one per operator of the inventory.
 
-Each callable takes ``(spark, sf_dir)`` and returns a lazy DataFrame over the
-whole driver tables.  Computed doubles are rounded to 6 digits and arrays /
+Each callable takes ``(spark, sf_dir)`` and returns a DataFrame over the whole
+driver tables; some write intermediate tables or fit models on the way.  Computed doubles are rounded to 6 digits and arrays /
 maps rendered as sorted text, so results compare exactly with the DuckDB
 oracle in :mod:`cardlens.oracle`.
 """
@@ -233,7 +233,12 @@ def evaluation_summary_q(spark, sf):
 
 @register("champion_gate")
 def champion_gate_q(spark, sf):
-    return _round_all(ev.champion_gate(bindings.scored(spark, sf), "risk_score", "p_sup"))
+    """A25 on the held-out test window."""
+    return _round_all(ev.champion_gate(_test_window(spark, sf), "risk_score", "p_sup"))
+
+
+def _test_window(spark, sf) -> DataFrame:
+    return time_split(bindings.scored(spark, sf)).filter(F.col("split") == "test")
 
 
 @register("class_weight")
@@ -370,7 +375,7 @@ def governance_findings(spark, sf):
     b, c = _base_cur(spark, sf)
     drift = drift_report(b, c, list(FEATURE_NAMES))
     sp = score_psi(b, c)
-    gate = ev.champion_gate(bindings.scored(spark, sf), "risk_score", "p_sup")
+    gate = ev.champion_gate(_test_window(spark, sf), "risk_score", "p_sup")
     flagged = drift.filter(F.col("status") == "investigate").agg(
         F.count(F.lit(1))).scalar()
     score_bad = sp.select((F.col("status") == "investigate").alias("x")).scalar()
@@ -648,7 +653,7 @@ def pit_join(spark, sf):
         "user_id", "us", F.col("event_id").alias("feature_event_id"), F.col("value").alias("feature_value"))
     j = asof_join(labels, feats, "user_id", "us", PIT_TTL_US, ["feature_event_id", "feature_value"],
                   created="feature_event_id")
-    return j.select("event_id", "user_id", F.col("feature_event_id").cast("double").alias("feature_event_id"),
+    return j.select("event_id", "user_id", F.col("feature_event_id").cast("string").alias("feature_event_id"),
                     r6("feature_value").alias("feature_value"),
                     r6((F.col("us") - F.col("feature_ts")) / 1e6).alias("feature_age_s"))
 
