@@ -1,4 +1,4 @@
-"""Registry of the corpus operators: query name -> callable."""
+"""Registry of the corpus operators: query name -> callable, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from cardlens.llm.brown import op2_brown_lm
 from cardlens.llm.decontamination import op10_cgk_decontamination
 from cardlens.llm.language import op3_subword_langid
 from cardlens.llm.minhash import op7_bbit_minhash
+from cardlens.llm.oracle import ORACLE_SQL
 from cardlens.llm.packing import op4_best_fit_packing
 from cardlens.llm.pii import op1_contextual_pii
 from cardlens.llm.quality import op8_importance_resampling
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_cgk_decontamination": op10_cgk_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
