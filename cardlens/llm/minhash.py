@@ -46,7 +46,7 @@ LONGS = HASHES * FIELD_BITS // 64
 #: (five standard deviations of an estimate from 96 fields at 0.85).
 SLACK = 0.2
 #: Members of a bucket that are compared in one group.
-BLOCK = 512
+BLOCK = 1024
 
 _rng = np.random.default_rng(20240607)
 _A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * U64(2) + U64(1)
