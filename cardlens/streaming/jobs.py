@@ -45,13 +45,13 @@ def quarantine(messages: DataFrame) -> DataFrame:
 
 def start_feature_sink(spark: SparkSession, source: str, out_path: str, checkpoint: str,
                        available_now: bool = True, max_files_per_trigger: int | None = None,
-                       expiry_ms: int | None = EXPIRY_MS):
+                       expiry_ms: int | None = EXPIRY_MS, ordered: bool = False):
     """ST1 + S5: card features landed as parquet partitioned by event date, with
     ``created_at``; the checkpoint makes state and offsets exactly-once (ST5/ST6)."""
     msgs = read_messages(spark, source, max_files_per_trigger)
     checked = check_contract(msgs)
     valid = checked.filter("valid").drop("violations", "valid")
-    feats = card_feature_stream(valid, expiry_ms).withColumns({
+    feats = card_feature_stream(valid, expiry_ms, ordered).withColumns({
         "created_at": F.current_timestamp(),
         "event_date": F.to_date(F.timestamp_micros("event_us")),
     })

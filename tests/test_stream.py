@@ -63,6 +63,38 @@ def test_stream_equals_batch_with_restart_and_poison(spark):
     assert spark.read.parquet(os.path.join(root, "bad")).count() == 3
 
 
+def test_rows_out_of_order_within_the_watermark_are_put_in_order(spark):
+    import random
+
+    from tests.test_features import T0, _frame, _row
+    rng = random.Random(4)
+    minute = 60_000_000
+    rows = [_row(i, T0 + i * minute // 2, card=f"card_{i % 3}", merchant=f"m{i % 5}") for i in range(60)]
+    # each file holds the rows of three minutes in any order, one row in four slips into the next file
+    parts = [[] for _ in range(11)]
+    for i, r in enumerate(rows):
+        parts[min(10, i // 6 + (rng.random() < 0.25))].append(r)
+    flush = [_row(1000 + k, T0 + (9 + k) * 24 * 60 * minute, card="other") for k in range(2)]
+    root = tempfile.mkdtemp(prefix="cardlens-order-")
+    src, out, ckpt = (os.path.join(root, d) for d in ("src", "out", "ckpt"))
+    os.makedirs(src)
+    for i, part in enumerate([*parts, [flush[0]], [flush[1]]]):
+        rng.shuffle(part)
+        with open(os.path.join(src, f"part-{i:03d}.json"), "w") as fh:
+            fh.writelines(json.dumps(r) + "\n" for r in part)
+        t = time.time() - 1000 + i
+        os.utime(os.path.join(src, f"part-{i:03d}.json"), (t, t))
+    q = start_feature_sink(spark, src, out, ckpt, expiry_ms=None, max_files_per_trigger=1, ordered=True)
+    q.awaitTermination(300)
+    assert q.exception() is None
+    got = {r["transaction_id"]: r for r in spark.read.parquet(out).collect()}
+    want = {r["transaction_id"]: r for r in card_features(_frame(spark, rows)).collect()}
+    assert set(want) <= set(got)
+    for k, w in want.items():
+        for f in CARD_FEATURES:
+            assert math.isclose(got[k][f], w[f], rel_tol=1e-9, abs_tol=1e-7), (k, f)
+
+
 def test_window_keeps_exact_sums_and_peaks():
     import random
 
