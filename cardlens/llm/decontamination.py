@@ -46,6 +46,8 @@ SAMPLED, AGREE, RECALL = 2, 0.5, 0.99
 #: Bytes of item text that one pass broadcasts.
 BLOCK_BYTES = 16 << 20
 FILTER_BITS = 1 << 22
+#: Windows that walk together.
+WINDOWS = 1024
 
 
 def repetitions(recall: float = RECALL) -> int:
@@ -87,6 +89,21 @@ class Items:
         #: sampled places as shares of 3n, the same for windows and items
         self.share = rng.random((rounds, SAMPLED))
         self.longest, self.rounds = longest, rounds
+        self.seeds_of_rounds = list(range(1, rounds + 1))
+        self._samples: np.ndarray | None = None
+
+    def samples(self) -> np.ndarray:
+        """The sampled places of the items themselves, made once a task."""
+        if self._samples is None:
+            self._samples = np.zeros((len(self.words), self.rounds, SAMPLED), U64)
+            for a in range(0, len(self.words), WINDOWS):
+                part = self.words[a:a + WINDOWS]
+                table = np.zeros((len(part), max(map(len, part))), U64)
+                for k, w in enumerate(part):
+                    table[k, :len(w)] = w
+                self._samples[a:a + WINDOWS] = sampled_symbols(
+                    table, self.size[a:a + WINDOWS], self.share, self.seeds_of_rounds)
+        return self._samples
 
     def seeds(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, item, window start within the text), distinct."""
@@ -126,24 +143,35 @@ def _text_grams(words: Words, q: int) -> tuple[np.ndarray, np.ndarray]:
     return g[at], at
 
 
-def sampled_symbols(symbols: np.ndarray, size: np.ndarray, share: np.ndarray,
-                    seed: int) -> np.ndarray:
-    """The sampled places of the CGK embedding of many strings at once.
+def _term(seed: int) -> int:
+    """What ``mix`` adds to its argument for a seed."""
+    return (0x632BE59BD9B4E019 * (2 * seed + 1)) & 0xFFFFFFFFFFFFFFFF
 
-    ``symbols``: strings as rows, padded with 0; ``size``: their lengths; the
-    walk of step t stays or moves on by one bit of (seed, t, symbol).
+
+def sampled_symbols(symbols: np.ndarray, size: np.ndarray, shares: np.ndarray,
+                    seeds: list[int]) -> np.ndarray:
+    """Sampled places of the CGK embeddings of many strings at once.
+
+    ``symbols``: strings as rows, padded with 0; ``size``: their lengths;
+    ``shares``: the places of each round as parts of 3 x length.  In round r
+    the walk of step t stays or moves on by one bit of (seed r, t, symbol).
+    Returns (string, round, sample).
     """
     n, width = symbols.shape
-    wanted = (share[None, :] * 3 * size[:, None]).astype(np.int64)
-    out = np.zeros((n, len(share)), U64)
-    place, line = np.zeros(n, np.int64), np.arange(n)
+    rounds, samples = shares.shape
+    wanted = (shares[None, :, :] * 3 * size[:, None, None]).astype(np.int64)
+    out = np.zeros((n, rounds, samples), U64)
     padded = np.concatenate([symbols, np.zeros((n, 1), U64)], 1)
+    place = np.zeros((n, rounds), np.int64)
     for t in range(int(wanted.max(initial=-1)) + 1):
-        now = padded[line, np.minimum(place, width)]
-        for s in range(len(share)):
-            here = wanted[:, s] == t
-            out[here, s] = now[here]
-        place += ((mix(now, seed * 100_003 + t) >> U64(40)) & U64(1)).astype(np.int64)
+        now = np.take_along_axis(padded, np.minimum(place, width), 1)
+        here = wanted == t
+        if here.any():
+            out[here] = np.broadcast_to(now[:, :, None], out.shape)[here]
+        shift = np.array([(_term(x * 100_003 + t) - _term(0)) & 0xFFFFFFFFFFFFFFFF
+                          for x in seeds], U64)
+        with np.errstate(over="ignore"):
+            place += ((mix(now + shift[None, :]) >> U64(40)) & U64(1)).astype(np.int64)
     return out
 
 
@@ -159,19 +187,11 @@ def passes(items: Items, words: Words, row: np.ndarray, item: np.ndarray,
     inside = (at >= 0) & (at < length[:, None]) & (np.arange(width)[None, :] < size[:, None])
     window = np.where(inside, words.hash[np.where(inside, words.first[row][:, None] + at, 0)],
                       U64(0))
-    own = np.unique(item)
-    table = np.zeros((len(own), width), U64)
-    for k, j in enumerate(own):
-        table[k, :items.size[j]] = items.words[j]
-    back = np.searchsorted(own, item)
-    good = (window == table[back]).all(1)
-    for r in range(items.rounds):
-        todo = np.flatnonzero(~good)
-        if not len(todo):
-            break
-        x = sampled_symbols(window[todo], size[todo], items.share[r], r + 1)
-        y = sampled_symbols(table, items.size[own], items.share[r], r + 1)
-        good[todo] = (x == y[back[todo]]).all(1)
+    good = np.zeros(len(row), bool)
+    for a in range(0, len(row), WINDOWS):
+        part = slice(a, a + WINDOWS)
+        x = sampled_symbols(window[part], size[part], items.share, items.seeds_of_rounds)
+        good[part] = (x == items.samples()[item[part]]).all(2).any(1)
     return good
 
 

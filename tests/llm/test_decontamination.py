@@ -106,7 +106,8 @@ def test_embedding_keeps_close_strings_close():
     share = np.linspace(0, 0.99, 60)
     agree = {"near": 0, "other": 0}
     for seed in range(20):
-        x = dc.sampled_symbols(np.stack([base, near, other]), np.array([40, 40, 40]), share, seed)
+        x = dc.sampled_symbols(np.stack([base, near, other]), np.array([40, 40, 40]),
+                               share[None, :], [seed])
         agree["near"] += (x[0] == x[1]).mean()
         agree["other"] += (x[0] == x[2]).mean()
     assert agree["near"] > 12 and agree["other"] < 8
