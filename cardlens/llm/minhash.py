@@ -1,8 +1,9 @@
 """Near duplicates by b-bit MinHash.
 
-1. Each text's set of distinct 5-word shingles (hashes) gives 96 minima.  Five
-   minima together are a band key (19 bands); of every minimum the low 4 bits
-   are kept, packed into six longs.
+1. Each text's set of distinct 5-word shingles (hashes) gives 96 minima.  A few
+   minima together are a band key, as many as the threshold allows (``bands``:
+   19 bands of five at 0.85, 24 of four at 0.8); of every minimum the low 4
+   bits are kept, packed into six longs.
 2. Texts with equal sets form one class; classes, not copies, are compared.
 3. In each band bucket every member is paired with the bucket's smallest
    member.  The similarity of a pair is estimated by counting equal 4-bit
@@ -15,9 +16,9 @@
    These groups carry the full sets and return links that connect components
    only, fewer than they have members.
 
-At the threshold 0.85 a pair shares no band with probability
-(1 - 0.85^5)^19 = 1.5e-5; the estimate of a linked pair falls below the cut
-with a probability under 1e-6.
+A pair at the threshold shares no band with probability (1 - 0.85^5)^19 =
+1.5e-5 at 0.85 and (1 - 0.8^4)^24 = 3.2e-6 at 0.8; the estimate of a linked pair
+falls below the cut with a probability under 2e-6.
 
 Defined cases: null and empty texts have an empty set and link with nothing;
 rows with a null doc_id take no part in links (component_id null, kept true);
@@ -39,12 +40,15 @@ from cardlens.llm.common import own as own_columns
 from cardlens.llm.components import components
 
 SHINGLE = 5
-HASHES, BAND, FIELD_BITS = 96, 5, 4
-BANDS = HASHES // BAND
+HASHES, FIELD_BITS = 96, 4
 LONGS = HASHES * FIELD_BITS // 64
-#: How far below the threshold an estimate may lie before the pair is dropped
-#: (five standard deviations of an estimate from 96 fields at 0.85).
-SLACK = 0.2
+#: The threshold of the corpus rule, and the one of op7's contract, in per cent.
+RULE, CONTRACT = 80, 85
+#: The share of pairs at the threshold that may have no band in common.
+MISSED = 2e-5
+#: How far below the threshold an estimate may lie before the pair is dropped,
+#: in standard deviations of an estimate from ``HASHES`` fields.
+DEVIATIONS = 5.3
 #: Members of a bucket that are compared in one group.
 BLOCK = 1024
 
@@ -54,6 +58,22 @@ _B = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 _NIBBLES = 0x1111111111111111
 
 
+def bands(per_cent: int) -> tuple[int, int]:
+    """(bands, minima of a band): the longest bands that miss at most ``MISSED``
+    of the pairs at the threshold."""
+    for size in range(HASHES, 1, -1):
+        if (1 - (per_cent / 100) ** size) ** (HASHES // size) <= MISSED:
+            return HASHES // size, size
+    return HASHES, 1
+
+
+def slack(threshold: float) -> float:
+    """How far below the threshold the estimate of a linked pair may lie."""
+    chance = 1 / (1 << FIELD_BITS)
+    equal = threshold + (1 - threshold) * chance
+    return DEVIATIONS * (equal * (1 - equal) / HASHES) ** 0.5 / (1 - chance)
+
+
 def shingle_sets(words: Words, n: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; a text under ``n`` words
     has its whole sequence as one shingle."""
@@ -74,8 +94,9 @@ def shingle_sets(words: Words, n: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def signatures(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
+def signatures(docs: DataFrame, per_cent: int, n: int = SHINGLE) -> DataFrame:
     """(doc_id, text_hash, n_shingles, set1, set2, bands, s0..s5) of every text."""
+    count, band = bands(per_cent)
     sig = [f"s{i}" for i in range(LONGS)]
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -93,20 +114,20 @@ def signatures(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
                 for k in range(2):
                     marks[k, full] = mix(np.add.reduceat(mix(flat, 21 + k), begin)
                                          + sizes[full].astype(U64), 31 + k)
-        keys = np.zeros((len(sets), BANDS), U64)
+        keys = np.zeros((len(sets), count), U64)
         with np.errstate(over="ignore"):
-            for j in range(BAND):
-                keys = mix(keys * U64(31) + minima[:, j:BANDS * BAND:BAND], 41 + j)
-            keys = mix(keys + np.arange(BANDS, dtype=U64), 51)
+            for j in range(band):
+                keys = mix(keys * U64(31) + minima[:, j:count * band:band], 41 + j)
+            keys = mix(keys + np.arange(count, dtype=U64), 51)
         low = minima & U64((1 << FIELD_BITS) - 1)
         shift = (np.arange(64 // FIELD_BITS) * FIELD_BITS).astype(U64)
         packed = np.bitwise_or.reduce(low.reshape(len(sets), LONGS, -1) << shift, axis=2)
-        bands = pa.ListArray.from_arrays(
-            pa.array(np.r_[0, np.cumsum(np.where(sizes > 0, BANDS, 0))].astype(np.int32)),
+        buckets = pa.ListArray.from_arrays(
+            pa.array(np.r_[0, np.cumsum(np.where(sizes > 0, count, 0))].astype(np.int32)),
             pa.array(signed(np.ascontiguousarray(keys[full]).ravel())))
         return pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(2), pa.array(sizes), pa.array(signed(marks[0])),
-             pa.array(signed(marks[1])), bands,
+             pa.array(signed(marks[1])), buckets,
              *(pa.array(signed(np.ascontiguousarray(packed[:, i]))) for i in range(LONGS))],
             names=["doc_id", "text_hash", "n_shingles", "set1", "set2", "bands", *sig])
     return arrow_map(docs.select(F.col("doc_id").cast("long"), text_bytes().alias("_t"),
@@ -137,7 +158,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return (pairs.join(side("a", "x").hint("shuffle_merge"), "a")
             .join(side("b", "y").hint("shuffle_merge"), "b")
             .where((F.least("nx", "ny") >= F.greatest("nx", "ny") * threshold)
-                   & (estimate() >= threshold - SLACK))
+                   & (estimate() >= threshold - slack(threshold)))
             .select("a", "b"))
 
 
@@ -202,6 +223,7 @@ def _across(members: DataFrame, nodes: DataFrame, labels: DataFrame, docs: DataF
     group have connected meanwhile is not looked at.
     """
     sig, threshold = [f"s{i}" for i in range(LONGS)], per_cent / 100
+    least = threshold - slack(threshold)
     lab = labels.select(F.col("node").alias("_n"), "label")
     named = (members.join(lab.hint("shuffle_merge"), members["node"] == lab["_n"], "left")
              .select("bucket", "node", F.coalesce("label", "node").alias("label")))
@@ -258,7 +280,7 @@ def _across(members: DataFrame, nodes: DataFrame, labels: DataFrame, docs: DataF
                 x = s[k] ^ s[k + 1:]
                 some = (x | x >> U64(1) | x >> U64(2) | x >> U64(3)) & U64(_NIBBLES)
                 same = (HASHES - np.bitwise_count(some).sum(1, dtype=np.int64)) / HASHES
-                near = (same - 1 / 16) / (15 / 16) >= threshold - SLACK
+                near = (same - 1 / 16) / (15 / 16) >= least
                 near &= root[part[k + 1:]] != root[part[k]]
                 near &= np.minimum(n[k + 1:], n[k]) >= threshold * np.maximum(n[k + 1:], n[k])
                 for j in (np.flatnonzero(near) + k + 1).tolist():
@@ -276,13 +298,13 @@ def _across(members: DataFrame, nodes: DataFrame, labels: DataFrame, docs: DataF
             .groupBy("bucket", "kind", "i", "j").applyInArrow(compare, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, per_cent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, per_cent: int = CONTRACT) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id, kept) for every row;
     component_id is the smallest doc_id linked, directly or over others."""
     spark, threshold = docs.sparkSession, per_cent / 100
     small_batches(spark)
     sig = [f"s{i}" for i in range(LONGS)]
-    rows = stored(signatures(docs))
+    rows = stored(signatures(docs, per_cent))
     linked = rows.where("doc_id is not null and n_shingles > 0")
 
     # equal sets have equal signatures: any row of the class will do
@@ -327,7 +349,7 @@ def near_duplicates(docs: DataFrame, per_cent: int = 85) -> DataFrame:
                     .alias("kept")))
 
 
-def keep_one(docs: DataFrame, per_cent: int = 85) -> DataFrame:
+def keep_one(docs: DataFrame, per_cent: int = RULE) -> DataFrame:
     """One document of each group of near duplicates, all columns.
 
     Rows that share id and text, and texts of one group under one id, leave one
