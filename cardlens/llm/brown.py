@@ -7,17 +7,24 @@ text is a token with a class of its own, and stands before the first word too.
   batch, then a Spark aggregate on the 64-bit word hash.  The table grows with
   the corpus and is only joined, never collected.
 * Units.  A word with at least 1/``CLUSTERED`` of all tokens is a unit of its
-  own, so there are at most ``CLUSTERED``; every other word belongs to the unit
-  of its ending (``ENDINGS`` hash buckets of the last three bytes).
+  own, so there are at most ``CLUSTERED``; during the exchange every other word
+  belongs to the unit of its ending (``ENDINGS`` hash buckets of the last three
+  bytes).
 * Exchange clustering puts units into ``CLASSES`` classes.  A round counts, in
   Spark, the classes before and after each unit over the whole training corpus;
   these counts, whose number is bounded by units and classes, come to the
   driver, which moves one unit after the other to the class with the largest
   gain in likelihood.  Rounds end when the likelihood no longer rises.
+* Words.  Every other word that occurs ``OWN`` times or more then gets the class
+  in which the model gives its own occurrences, between the classes around
+  them, the highest probability.  The classes around each word are shuffled by
+  word and added up; this table of words grows with the corpus and is only
+  joined.  Words seen less often keep the
+  class of their ending.  Then the class transitions are counted anew.
 * Scores.  Per text: class transitions from the small class tables, and the sum
   of log10(count + 1).  Words with at least 1/``HEAD`` of the tokens (at most
-  ``HEAD``, 16 bytes each) are looked up in a broadcast table; the others are
-  joined to the counts.
+  ``HEAD``, 20 bytes each) are looked up in a broadcast table; counts and
+  classes of the others are joined.
 
 Smoothing: transitions have a Dirichlet prior on the class frequencies; a class
 gives each word count + 1 and one share to all words it has not seen.
@@ -44,9 +51,12 @@ CLASSES = 32
 CLUSTERED = 8192
 ENDINGS = 512
 HEAD = 1 << 19
+#: A word seen so often in training has a class from its own contexts.
+OWN = 2
 ROUNDS = 5
-#: Words that a task counts before it emits partial counts.
-FLUSH = 2_000_000
+#: Words that a task counts before it emits partial counts, and words whose
+#: contexts it holds before it emits them.
+FLUSH, CONTEXTS = 2_000_000, 1_000_000
 
 
 def held_out(doc_id: str, folds: int, fold: int):
@@ -101,81 +111,249 @@ def _find(keys: np.ndarray, values: np.ndarray, h: np.ndarray) -> tuple[np.ndarr
     return keys[at] == h, values[at]
 
 
-def encode(texts: DataFrame, head: tuple[np.ndarray, np.ndarray],
-           units: np.ndarray) -> DataFrame:
-    """One row per text of ``texts(_id, doc_id, held_out, _t)``: its units
-    (16 bit each), the sums over head words, and its other words with counts."""
+def encode(texts: DataFrame, head: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """One row per text of ``texts(_id, doc_id, held_out, _t)``: a code (32 bit)
+    for each word, the sums over head words, and its distinct other words.
+
+    The code is a head word's place in the table; for others it is the size of
+    the table + ending, and ``spots`` has their places in ``rest``.
+    """
     sc = texts.sparkSession.sparkContext
-    table = sc.broadcast((*head, units))
+    table = sc.broadcast(head)
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, counts, own = table.value
+        keys, counts = table.value
         words = Words(batch.column(3), lower=True)
         n = batch.num_rows
-        known, c = _find(keys, counts, words.hash)
-        logs = np.where(known, np.log10(c + 1.0), 0.0)
-        clustered, unit = _find(own, np.arange(len(own)), words.hash)
-        unit = np.where(clustered, unit, len(own) + endings(words)).astype("<u2")
+        known, at = _find(keys, np.arange(len(keys)), words.hash)
+        logs = np.zeros(len(known))
+        logs[known] = np.log10(counts[at[known]] + 1.0)
+        code = np.where(known, at, len(keys) + endings(words)).astype("<u4")
         rest = ~known
         pair = mix(words.hash[rest] ^ mix(words.row[rest].astype(U64), 5), 6)
-        _, first, times = np.unique(pair, return_index=True, return_counts=True)
+        _, first, which = np.unique(pair, return_index=True, return_inverse=True)
         order = np.argsort(first, kind="stable")
-        first, times = first[order], times[order]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        first = first[order]
         rest_row, rest_hash = words.row[rest][first], words.hash[rest][first]
         cut = np.searchsorted(rest_row, np.arange(n + 1)).astype(np.int32)
-        raw, place = unit.tobytes(), 2 * words.first
+        every = np.searchsorted(words.row[rest], np.arange(n + 1)).astype(np.int32)
+        spots = (rank[which] - cut[words.row[rest]]).astype(np.int32)
+        raw, place = code.tobytes(), 4 * words.first
         return pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), batch.column(2), pa.array(words.counts()),
-             pa.array(np.bincount(words.row, logs, n)),
+             pa.array(np.bincount(words.row, logs, n).astype(float)),
              pa.array(np.bincount(words.row, known, n).astype(np.int64)),
              pa.array([raw[a:b] for a, b in zip(place, place[1:])], pa.binary()),
              pa.ListArray.from_arrays(pa.array(cut), pa.array(signed(rest_hash))),
-             pa.ListArray.from_arrays(pa.array(cut), pa.array(times.astype(np.int32)))],
-            names=["_id", "doc_id", "held_out", "n_words", "head_log", "head_known", "units",
-                   "rest", "times"])
+             pa.ListArray.from_arrays(pa.array(every), pa.array(spots))],
+            names=["_id", "doc_id", "held_out", "n_words", "head_log", "head_known", "codes",
+                   "rest", "spots"])
     return arrow_map(texts, rows, "_id long, doc_id long, held_out boolean, n_words long, "
-                     "head_log double, head_known long, units binary, rest array<long>, "
-                     "times array<int>")
-
-
-def _sequence(units: pa.Array, classes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(units, class before, class after, text) at every place of a batch; the
-    end class is the last."""
-    raw = units.to_pylist()
-    size = np.array([len(x) // 2 for x in raw], np.int64)
-    flat = np.frombuffer(b"".join(raw), "<u2").astype(np.int64)
-    end = CLASSES
-    c = classes[flat]
-    before = np.r_[end, c[:-1]] if len(c) else c
-    after = np.r_[c[1:], end] if len(c) else c
-    last = np.cumsum(size)[size > 0]
-    if len(c):
-        before[(last - size[size > 0])] = end
-        after[last - 1] = end
-    return flat, before, after, np.repeat(np.arange(len(raw)), size)
-
-
-def context_counts(encoded: DataFrame, classes: np.ndarray) -> DataFrame:
+                     "head_log double, head_known long, codes binary, rest array<long>, "
+                     "spots array<int>")
+
+
+def _flat(col: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(values, texts) of a column of packed numbers."""
+    raw = col.to_pylist()
+    size = np.array([len(x) for x in raw], np.int64) // np.dtype(kind).itemsize
+    return (np.frombuffer(b"".join(raw), kind).astype(np.int64),
+            np.repeat(np.arange(len(raw)), size))
+
+
+def _lists(col: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(values, texts) of a column of lists; null is empty."""
+    size = pa.compute.list_value_length(col).fill_null(0).to_numpy(zero_copy_only=False)
+    return col.flatten(), np.repeat(np.arange(len(size)), size)
+
+
+def _around(c: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(class before, class after) at every place; the end class is the last."""
+    before, after = np.full(len(c), CLASSES), np.full(len(c), CLASSES)
+    same = row[1:] == row[:-1]
+    before[1:][same] = c[:-1][same]
+    after[:-1][same] = c[1:][same]
+    return before, after
+
+
+def context_counts(encoded: DataFrame, unit_of: np.ndarray, classes: np.ndarray) -> DataFrame:
     """(side, unit, cls, n): how often a class stands before (0) or after (1) a
-    unit."""
+    unit; ``unit_of`` has the unit of every code."""
     k = CLASSES + 1
+    table = encoded.sparkSession.sparkContext.broadcast(unit_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, len(classes) * k), np.int64)
-        for batch in batches:
-            unit, before, after, _ = _sequence(batch.column(0), classes)
-            for side, c in enumerate((before, after)):
+        for batch in portions(batches):
+            code, row = _flat(batch.column(0), "<u4")
+            unit = table.value[code]
+            for side, c in enumerate(_around(classes[unit], row)):
                 total[side] += np.bincount(unit * k + c, minlength=total.shape[1])
         side, at = np.nonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(side.astype(np.int32)), pa.array((at // k).astype(np.int32)),
              pa.array((at % k).astype(np.int32)), pa.array(total[side, at])],
             names=["side", "unit", "cls", "n"])
-    return (encoded.where("not held_out").select("units")
+    return (encoded.where("not held_out").select("codes")
             .mapInArrow(run, "side int, unit int, cls int, n long")
             .groupBy("side", "unit", "cls").agg(F.sum("n").alias("n")))
 
 
+def word_classes(encoded: DataFrame, head: np.ndarray, unit_of: np.ndarray, units: int,
+                 classes: np.ndarray, step: np.ndarray, emit: np.ndarray) -> DataFrame:
+    """(h, ending, c, cls) of every training word that is no unit of its own;
+    cls is null for words seen less than ``OWN`` times.
+
+    ``step`` and ``emit`` are the log probabilities of the exchanged model: an
+    occurrence between classes l and r has step[l, c] + step[c, r] - emit[c] in
+    class c (the word's own count is the same in all classes).
+    """
+    k, least = CLASSES + 1, OWN
+    table = encoded.sparkSession.sparkContext.broadcast((head, unit_of, classes))
+    value = (step[:, None, :CLASSES] + step[:CLASSES, :].T[None, :, :] - emit).reshape(k * k, -1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(parts):
+            # one row a word: the pairs of classes around its occurrences
+            h, at = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(h, kind="stable")
+            h, at = h[order], at[order]
+            new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            raw, place = (at % (k * k)).astype("<u2").tobytes(), 2 * np.r_[new, len(h)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(signed(h[new])), pa.array((at[new] // (k * k)).astype(np.int32)),
+                 pa.array([raw[a:b] for a, b in zip(place, place[1:])], pa.binary())],
+                names=["h", "ending", "found"])
+        held, size = [], 0
+        for batch in portions(batches):
+            keys, unit_at, own = table.value
+            code, row = _flat(batch.column(0), "<u4")
+            rest, rest_row = _lists(batch.column(1))
+            spots, spot_row = _lists(batch.column(2))
+            rest = rest.to_numpy(zero_copy_only=False).view(U64)
+            start = np.searchsorted(rest_row, np.arange(batch.num_rows))
+            h = np.zeros(len(code), U64)
+            known = code < len(keys)
+            h[known] = keys[code[known]]
+            h[~known] = rest[start[spot_row] + spots.to_numpy(zero_copy_only=False)]
+            unit = unit_at[code]
+            before, after = _around(own[unit], row)
+            some = unit >= units
+            at = (unit[some] - units) * (k * k) + (before * k + after)[some]
+            held.append((h[some], at.astype(np.int32)))
+            size += len(at)
+            if size >= CONTEXTS:
+                yield flush(held)
+                held, size = [], 0
+        if size:
+            yield flush(held)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums over the rows of a word, which follow each other; the last word
+        of a batch waits for the next batch."""
+        def rows(h, e, c, total):
+            cls = pa.array(total.argmax(1).astype(np.int32), mask=c < least)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(h), pa.array(e), pa.array(c), cls], names=["h", "ending", "c", "cls"])
+        wait = None
+        for batch in portions(batches):
+            h, e = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            ctx, row = _flat(batch.column(2), "<u2")
+            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            word = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(h)]))[row]
+            c = np.bincount(word, minlength=len(first))
+            total = np.stack([np.bincount(word, v[ctx], len(first)) for v in value.T], 1)
+            h, e = h[first], e[first]
+            if wait and wait[0][0] == h[0]:
+                c[0] += wait[2][0]
+                total[0] += wait[3][0]
+            elif wait:
+                yield rows(*wait)
+            if len(h) > 1:
+                yield rows(h[:-1], e[:-1], c[:-1], total[:-1])
+            wait = h[-1:], e[-1:], c[-1:], total[-1:]
+        if wait:
+            yield rows(*wait)
+    return (encoded.where("not held_out").select("codes", "rest", "spots")
+            .mapInArrow(count, "h long, ending int, found binary")
+            .repartition("h").sortWithinPartitions("h")
+            .mapInArrow(choose, "h long, ending int, c long, cls int"))
+
+
+def class_texts(encoded: DataFrame, tail: DataFrame, heads: int,
+                class_of: np.ndarray) -> DataFrame:
+    """Each text with the class (8 bit) of each word, and the sums over the
+    words of ``tail(_k, own)``: struct (place in rest * 64 + class + 1, count).
+    ``class_of`` is by code; a word of ``tail`` without a class keeps that."""
+    table = encoded.sparkSession.sparkContext.broadcast(class_of)
+    keep = ["doc_id", "held_out", "n_words", "head_log", "head_known"]
+    types = "doc_id long, held_out boolean, n_words long, head_log double, head_known long"
+
+    def by_code(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Bit 128 marks the words that are in ``rest``."""
+        code, row = _flat(batch.column(6), "<u4")
+        raw = (table.value[code] + 128 * (code >= heads)).astype(np.uint8).tobytes()
+        place = np.searchsorted(row, np.arange(batch.num_rows + 1))
+        return pa.RecordBatch.from_arrays(
+            [*batch.columns[:6], pa.array([raw[a:b] for a, b in zip(place, place[1:])],
+                                          pa.binary()), *batch.columns[7:]],
+            names=["_id", *keep, "classes", "spots", "_n"])
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n = batch.num_rows
+        cls, row = _flat(batch.column(5), "u1")
+        spots, spot_row = _lists(batch.column(6))
+        size = batch.column(7).to_numpy(zero_copy_only=False).astype(np.int64)
+        start = np.cumsum(size) - size
+        own, own_row = _lists(batch.column(8))
+        at, c = (own.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        given, seen = np.full(int(size.sum()), -1), np.zeros(int(size.sum()), np.int64)
+        place = start[own_row] + (at >> 6)
+        given[place], seen[place] = (at & 63) - 1, c
+        place = start[spot_row] + spots.to_numpy(zero_copy_only=False)
+        other = cls >= 128
+        cls[other] = np.where(given[place] >= 0, given[place], cls[other] - 128)
+        raw = cls.astype(np.uint8).tobytes()
+        cut = np.searchsorted(row, np.arange(n + 1))
+        return pa.RecordBatch.from_arrays(
+            [*batch.columns[:5],
+             pa.array(np.bincount(spot_row, np.log10(seen[place] + 1.0), n).astype(float)),
+             pa.array(np.bincount(spot_row, seen[place] > 0, n).astype(np.int64)),
+             pa.array([raw[a:b] for a, b in zip(cut, cut[1:])], pa.binary())],
+            names=[*keep, "tail_log", "tail_known", "classes"])
+    coded = arrow_map(encoded.select("_id", *keep, "codes", "spots", F.size("rest").alias("_n")),
+                      by_code, f"_id long, {types}, classes binary, spots array<int>, _n int")
+    # a text's own sums: one row each, so no key is frequent here
+    joined = coded.join(tail.hint("shuffle_merge"), F.col("_id") == F.col("_k"), "left")
+    return arrow_map(joined.select(*keep, "classes", "spots", "_n", "own"), rows,
+                     f"{types}, tail_log double, tail_known long, classes binary")
+
+
+def class_bigrams(classed: DataFrame) -> np.ndarray:
+    """Class bigram counts over the training texts, ends included."""
+    k = CLASSES + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * k, np.int64)
+        for batch in portions(batches):
+            c, row = _flat(batch.column(0), "u1")
+            before, after = _around(c, row)
+            total += np.bincount(before * k + c, minlength=k * k)
+            total += np.bincount(c[after == CLASSES] * k + CLASSES, minlength=k * k)
+            total[-1] += batch.num_rows - len(np.unique(row))  # texts without words
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])],
+                                         names=["at", "n"])
+    at, n = _columns(classed.where("not held_out").select("classes")
+                     .mapInArrow(run, "at int, n long").groupBy("at")
+                     .agg(F.sum("n").alias("n")), "at", "n")
+    m = np.zeros(k * k)
+    m[at] = n
+    return m.reshape(k, k)
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
 
@@ -219,14 +397,25 @@ def exchange(context: np.ndarray, classes: np.ndarray, m: np.ndarray) -> np.ndar
     return classes
 
 
-def cluster(encoded: DataFrame, unit_counts: np.ndarray, texts: int,
+def model(m: np.ndarray, size: np.ndarray, words_of: np.ndarray, texts: int,
+          total: int) -> tuple[np.ndarray, np.ndarray]:
+    """(log10 of the class transitions, log10 of what counts in a class are
+    divided by)."""
+    k = CLASSES + 1
+    prior = (np.r_[size, texts] + 1) / (total + k)
+    return (np.log10((m + k * prior) / (m.sum(1, keepdims=True) + k)),
+            np.log10(size + words_of + 1))
+
+
+def cluster(encoded: DataFrame, unit_of: np.ndarray, unit_counts: np.ndarray, texts: int,
             rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """(class of each unit, class bigram counts)."""
     classes = np.empty(len(unit_counts), np.int64)
     classes[np.argsort(-unit_counts, kind="stable")] = np.arange(len(unit_counts)) % CLASSES
     best = None
     for r in range(rounds + 1):
-        side, unit, cls, n = _columns(context_counts(encoded, classes), "side", "unit", "cls", "n")
+        side, unit, cls, n = _columns(context_counts(encoded, unit_of, classes),
+                                      "side", "unit", "cls", "n")
         context = np.zeros((2, len(classes), CLASSES + 1))
         context[side, unit, cls] = n
         m = transitions(context, classes, texts)
@@ -255,12 +444,15 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     total, distinct = sums["n"] + n_texts, sums["v"] + (n_texts > 0)
 
     head = vocabulary.where(F.col("c") * HEAD >= total)
-    h, c = _columns(head, "h", "c")
+    h, c, ending = _columns(head, "h", "c", "ending")
     h = h.view(U64)
     order = np.argsort(h)
-    h, c = h[order], c[order]
+    h, c, ending = h[order], c[order], ending[order]
     frequent = c * CLUSTERED >= total
     units = h[frequent]
+    #: unit of every code
+    unit_of = np.r_[np.where(frequent, np.cumsum(frequent) - 1, len(units) + ending),
+                    len(units) + np.arange(ENDINGS)]
     ends, of_end, kinds = _columns(vocabulary.groupBy("ending").agg(
         F.sum("c").alias("c"), F.count("*").alias("v")), "ending", "c", "v")
     own_end, own_c, own_v = _columns(vocabulary.where(F.col("c") * CLUSTERED >= total)
@@ -273,48 +465,56 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     count[len(units) + own_end] -= own_c
     kind[len(units) + own_end] -= own_v
 
-    encoded = stored(encode(texts, (h, c), units))
-    classes, m = cluster(encoded, count, n_texts)
-
-    k = CLASSES + 1
-    size = np.r_[np.bincount(classes, count, CLASSES), n_texts]
-    words_of = np.bincount(classes, kind, CLASSES)
-    prior = (size + 1) / (total + k)
-    step = np.log10((m + k * prior) / (m.sum(1, keepdims=True) + k))
-    emit = np.log10(size[:CLASSES] + words_of + 1)
-    class_tables = spark.sparkContext.broadcast((classes, step, emit))
+    encoded = stored(encode(texts, (h, c)))
+    classes, m = cluster(encoded, unit_of, count, n_texts)
+    step, emit = model(m, np.bincount(classes, count, CLASSES),
+                       np.bincount(classes, kind, CLASSES), n_texts, total)
+
+    assigned = stored(word_classes(encoded, h, unit_of, len(units), classes, step, emit))
+    end, cls, moved, moved_kinds = _columns(
+        assigned.where("cls is not null").groupBy("ending", "cls")
+        .agg(F.sum("c").alias("c"), F.count("*").alias("v")), "ending", "cls", "c", "v")
+    np.subtract.at(count, len(units) + end, moved)
+    np.subtract.at(kind, len(units) + end, moved_kinds)
+    size = np.bincount(classes, count, CLASSES) + np.bincount(cls, moved, CLASSES)
+    words_of = np.bincount(classes, kind, CLASSES) + np.bincount(cls, moved_kinds, CLASSES)
+    own_h, own_cls = _columns(assigned.where((F.col("c") * HEAD >= total)
+                                             & F.col("cls").isNotNull()), "h", "cls")
+    class_of = classes[unit_of]
+    class_of[np.searchsorted(h, own_h.view(U64))] = own_cls
+
+    rest = encoded.select(F.col("_id").alias("_k"), F.posexplode("rest").alias("pos", "h"))
+    found = stored(rest.join(assigned.where(F.col("c") * HEAD < total)
+                             .hint("shuffle_merge"), "h")
+                   .select("_k", (F.col("pos").cast("long") * 64 + F.coalesce("cls", F.lit(-1))
+                                  + 1).alias("at"), "c"))
+    tail = (found.repartition("_k").groupBy("_k")
+            .agg(F.collect_list(F.struct("at", "c")).alias("own")))
+    classed = stored(class_texts(encoded, tail, len(h), class_of))
+    step, emit = model(class_bigrams(classed), size, words_of, n_texts, total)
+    class_tables = spark.sparkContext.broadcast((step, emit))
 
     def class_part(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cls, moves, shares = class_tables.value
-        _, before, after, row = _sequence(batch.column(batch.schema.get_field_index("units")), cls)
-        unit = np.frombuffer(b"".join(batch.column("units").to_pylist()), "<u2")
-        own = cls[unit]
+        moves, shares = class_tables.value
+        own, row = _flat(batch.column(batch.schema.get_field_index("classes")), "u1")
+        before, after = _around(own, row)
         n = batch.num_rows
-        value = np.bincount(row, moves[before, own] - shares[own], n)
+        value = np.bincount(row, moves[before, own] - shares[own], n).astype(float)
         last = after == CLASSES
         value += np.bincount(row[last], moves[own[last], CLASSES], n)
         value[np.bincount(row, minlength=n) == 0] += moves[CLASSES, CLASSES]
         return pa.RecordBatch.from_arrays(
             [*(batch.column(x) for x in keep), pa.array(value)], names=[*keep, "class_log"])
 
-    keep = ["_id", "doc_id", "held_out", "n_words", "head_log", "head_known"]
-    parts = arrow_map(encoded.select(*keep, "units"), class_part,
-                      "_id long, doc_id long, held_out boolean, n_words long, head_log double, "
-                      "head_known long, class_log double")
-    rest = (encoded.select("_id", F.explode(F.arrays_zip("rest", "times")).alias("x"))
-            .select("_id", F.col("x.rest").alias("h"), F.col("x.times").alias("times")))
-    tail = (rest.join(vocabulary.where(F.col("c") * HEAD < total).select("h", "c")
-                      .hint("shuffle_merge"), "h")
-            .groupBy(F.col("_id").alias("_k"))
-            .agg(F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("tail_log"),
-                 F.sum("times").alias("tail_known")))
-    # a text's own sums: one row each, so no key is frequent here
-    joined = parts.join(tail.hint("shuffle_merge"), F.col("_id") == F.col("_k"), "left")
-    logs = F.col("head_log") + F.coalesce("tail_log", F.lit(0.0))
+    keep = ["doc_id", "held_out", "n_words", "head_log", "head_known", "tail_log", "tail_known"]
+    joined = arrow_map(classed.select(*keep, "classes"), class_part,
+                       "doc_id long, held_out boolean, n_words long, head_log double, "
+                       "head_known long, tail_log double, tail_known long, class_log double")
+    logs = F.col("head_log") + F.col("tail_log")
     n_tokens = F.col("n_words") + 1
     return joined.select(
         "doc_id", "held_out", n_tokens.alias("n_tokens"),
-        (F.col("head_known") + F.coalesce("tail_known", F.lit(0)) + int(n_texts > 0))
+        (F.col("head_known") + F.col("tail_known") + int(n_texts > 0))
         .cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (logs + float(np.log10(n_texts + 1.0))
