@@ -11,6 +11,8 @@
   pattern is as trustworthy as its instances, discounted if it has few; an
   instance that is no seed is believed if a trusted pattern holds it.  Both
   steps are joins on written tables and aggregates with map-side combine.
+  Rounds end when no score rises by more than ``RISE`` and none newly reaches
+  ``ACCEPT``; scores only rise and stay below one, so they do end.
 * Near misses whose score reaches ``ACCEPT`` become spans, wherever they stand.
 
 Defined cases: null and empty texts have no spans; rows are treated each for
@@ -31,7 +33,8 @@ from pyspark.sql import functions as F
 from cardlens.llm.common import arrow_map, fresh, own, read, small_batches, stored
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
+#: Scores that rise by less have converged.
+RISE = 1e-3
 #: A pattern with n instances keeps n / (n + DISCOUNT) of their mean score.
 DISCOUNT = 1.0
 ACCEPT = 0.7
@@ -176,7 +179,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                      "p1:string,p2:string>>")
 
 
-def believed(table: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT) -> DataFrame:
+def believed(table: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """(kind, name) of near misses that trusted patterns hold."""
     each = table.select(F.explode("found").alias("x")).select("x.*")
     edges = stored(each.select("kind", "name", "seed", F.explode(F.array("p1", "p2"))
@@ -185,7 +188,8 @@ def believed(table: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT) ->
     names = edges.groupBy("kind", "name").agg(F.max("seed").alias("is_seed"))
     scores = stored(names.select(F.col("kind").alias("_k"), F.col("name").alias("_n"), "is_seed",
                                  F.col("is_seed").cast("double").alias("score")))
-    for _ in range(rounds):
+    moving = True
+    while moving:
         held = edges.join(scores.hint("shuffle_merge"),
                           (edges["kind"] == scores["_k"]) & (edges["name"] == scores["_n"]))
         trust = stored(held.groupBy(F.col("kind").alias("_k"), F.col("pattern").alias("_p"))
@@ -198,9 +202,13 @@ def believed(table: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT) ->
         scores = stored(scores.join(noisy.hint("shuffle_merge"),
                                     (scores["_k"] == noisy["kind"])
                                     & (scores["_n"] == noisy["name"]), "left")
-                        .select("_k", "_n", "is_seed",
+                        .select("_k", "_n", "is_seed", F.col("score").alias("was"),
                                 F.when(F.col("is_seed"), F.lit(1.0))
                                 .otherwise(F.coalesce("best", F.lit(0.0))).alias("score")))
+        risen = (F.col("score") - F.col("was") > RISE) | (
+            (F.col("score") >= accept) & (F.col("was") < accept))
+        moving = not scores.where(risen).isEmpty()
+        scores = scores.drop("was")
     return scores.where((~F.col("is_seed")) & (F.col("score") >= accept)).select("_k", "_n")
 
 
