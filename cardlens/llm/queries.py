@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cardlens.llm.brown import op2_brown_lm
+from cardlens.llm.concat import op13_concat_packing
 from cardlens.llm.decontamination import op10_cgk_decontamination
 from cardlens.llm.language import op3_subword_langid
 from cardlens.llm.minhash import op7_bbit_minhash
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_importance_resampling": op8_importance_resampling,
     "op9_warc": op9_warc,
     "op10_cgk_decontamination": op10_cgk_decontamination,
+    "op13_concat_packing": op13_concat_packing,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
