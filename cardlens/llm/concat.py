@@ -25,6 +25,7 @@ empty table gives no rows; other columns of the input are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -45,6 +46,9 @@ END_ID = 2
 #: Words whose ids a task remembers, and the longest of them in characters.
 MEMORY_WORDS, MEMORY_CHARS = 300_000, 48
 
+WORD_END = "</w>"
+#: Characters that both libraries split and lower-case alike.
+_PLAIN = re.compile("[\x21-\x7e\xa1-ɏ]+")
 #: White space for Python's split, but not for the tokenizer, or not surely.
 _DOUBTFUL = re.compile("[\x0b\x0c\x1c-\x1f\x85]")
 
@@ -55,26 +59,84 @@ PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 class WordEncoder:
     """Ids under a vocabulary whose tokens never cross white space: a text's
-    ids are those of its words, one after the other."""
+    ids are those of its words, one after the other.
+
+    New words of Latin script are encoded together by the faster library: their
+    parts stand in one string, each with a zero byte for the word end, so that
+    the tokens that hold a zero byte end the parts.  All other words go through
+    the json file itself.
+    """
 
     def __init__(self, json_path: str):
         from tokenizers import Tokenizer
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.slow = Tokenizer.from_file(json_path)
+        self.special = [t.content for t in self.slow.get_added_tokens_decoder().values()]
+        with open(json_path, encoding="utf-8") as f:
+            self._make_fast(json.load(f))
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _make_fast(self, spec: dict) -> None:
+        """Only for a vocabulary of bytes, bytes with word end, and merges in
+        the order of their ids; others have no fast way."""
+        import regex
+        import tiktoken
+        vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+        split, self.fast = spec["pre_tokenizer"].get("pretokenizers", [{}])[0], None
+        if (spec["model"].get("end_of_word_suffix") != WORD_END or "Regex" not in split.get("pattern", {})
+                or [n["type"] for n in spec["normalizer"].get("normalizers", [])]
+                != ["NFC", "Replace", "Lowercase"]
+                or any(vocab["".join(m)] != 512 + i for i, m in enumerate(pairs))):
+            return
+        # bytes that print stand for themselves, the others for characters from 256 on
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        alphabet = {chr(x): x for x in own}
+        alphabet |= {chr(256 + i): x for i, x in enumerate(x for x in range(256) if x not in own)}
+        named = {t.content for t in self.slow.get_added_tokens_decoder().values()}
+        ranks = {bytes(alphabet[c] for c in t.removesuffix(WORD_END)) + b"\0" * t.endswith(WORD_END): i
+                 for t, i in vocab.items() if t not in named}
+        self.ends = np.zeros(1 + max(ranks.values()), bool)
+        self.ends[[i for t, i in ranks.items() if t[-1:] == b"\0"]] = True
+        self.fast = tiktoken.Encoding("words", pat_str="[^\\x00]+\\x00", mergeable_ranks=ranks,
+                                      special_tokens={})
+        self.split = regex.compile(split["pattern"]["Regex"]).findall
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes()
                 for e in self.slow.encode_batch(texts, add_special_tokens=False)]
 
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        if not parts:
+            return []
+        ids = np.array(self.fast.encode_ordinary("\0".join(parts) + "\0"), "<u4")
+        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *cuts], cuts)]
+
+    def _new(self, words: list[str]) -> dict[str, bytes]:
+        plain = [w for w in words if self.fast and _PLAIN.fullmatch(w)
+                 and not any(s in w for s in self.special)]
+        cut = [self.split(w.lower()) for w in plain]
+        fresh = list({p for ps in cut for p in ps if p not in self.parts})
+        if len(self.parts) > MEMORY_WORDS:
+            self.parts.clear()
+            fresh = list({p for ps in cut for p in ps})
+        got = dict(zip(fresh, self._encode_parts(fresh)))
+        self.parts.update((p, b) for p, b in got.items() if len(p) <= MEMORY_CHARS)
+        find = (lambda p: got[p] if p in got else self.parts[p])
+        out = {w: b"".join(map(find, ps)) for w, ps in zip(plain, cut)}
+        rest = [w for w in words if w not in out]
+        return out | dict(zip(rest, self._encode(rest)))
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of every text."""
         known = self.known
         if len(known) > MEMORY_WORDS:
             known.clear()
         words = [None if _DOUBTFUL.search(t) else t.split() for t in texts]
-        new = list({w for ws in words if ws for w in ws if w not in known})
-        got = dict(zip(new, self._encode(new)))
+        got = self._new(list({w for ws in words if ws for w in ws if w not in known}))
         known.update((w, b) for w, b in got.items() if len(w) <= MEMORY_CHARS)
         find = (lambda w: got[w] if w in got else known[w]) if got else known.__getitem__
         return [self._encode([t])[0] if ws is None else b"".join(map(find, ws))

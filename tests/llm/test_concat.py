@@ -69,3 +69,16 @@ def test_words_encode_as_the_whole_text():
     for _ in range(2):
         got = [np.frombuffer(b, "<u4").tolist() for b in enc.ids(texts)]
         assert got == [encode(t)[:-1] for t in texts]
+
+
+def test_fast_words_encode_as_the_slow_library():
+    rng = np.random.default_rng(4)
+    signs = np.array(list("abcdefghijklmnopqrstuvwxyzABCXYZ0189.,;-'!?()<|>éÀßñÖœŁſǅÿ²½ªİ$&%"))
+    syllables = ["th", "ing", "er", "an", "tion", "ou", "re", "ent", "Sch", "ß", "'s", "'ll", "9", "."]
+    words = ["".join(rng.choice(signs, int(rng.integers(1, 9)))) for _ in range(4000)]
+    words += ["".join(rng.choice(syllables, int(rng.integers(1, 8)))) for _ in range(4000)]
+    words += ["<|endoftext|>", "a<|startoftext|>b"]
+    enc = word_encoder(tokenizer_file())
+    assert enc.fast is not None
+    got = [np.frombuffer(b, "<u4").tolist() for b in enc.ids(words)]
+    assert got == [encode(w)[:-1] for w in words]
