@@ -2,28 +2,36 @@
 
 Two generative models over hashed words and word pairs: one of target text
 (labelled good and not toxic), one of all raw text.  A document's log weight is
-the sum of log(target / raw) over its words and pairs, divided by the square
-root of their number so that length does not decide.  Buckets whose target
-count differs from the raw share by less than ``SURE`` standard deviations say
-nothing and count zero.
-
-Documents are sampled without replacement by Gumbel top-k: each gets the key
-``weight / TEMPERATURE + Gumbel noise`` (noise from a hash of its id, so runs
-agree) and those with the k largest keys are kept; equal keys stay together.
-k is the number of documents whose weight reaches the ``LOSS`` quantile of the
-weights of good documents that were held back from fitting.
+the log of the ratio of its probabilities under the two, the sum of log(target
+/ raw) over its words and pairs.  Buckets whose target count differs from the
+raw share by less than ``SURE`` standard deviations say nothing: their ratio is
+1.
+
+Documents are sampled without replacement, with chances in proportion to their
+weights, by Gumbel top-k: each gets the key log weight + standard Gumbel noise
+(from a hash of its id, so runs agree) and those with the k largest keys are
+kept; equal keys stay together.  k is stated as a share of all rows
+(``KEEP_SHARE``).
+
+A pipeline stage that drops bad documents needs a decision on each document
+instead of a sample of stated size.  ``keep_good`` is that: a cut without noise
+through the same weights, divided by the square root of the number of features
+so that length does not decide, at the ``LOSS`` quantile of good documents that
+were held back from fitting.
 
 Counts cover all documents.  Labels are a sample of at most ``MAX_LABELS``
 rows, whose ids are broadcast.
 
 Defined cases: null and empty texts have weight 0; a null doc_id draws the
 noise of id 0; rows with equal ids share label and noise; without good labels
-every document is kept; an empty table gives no rows; other columns are not
-read (``keep_good`` hands them on).
+all weights are 0, the sample is drawn by noise alone and ``keep_good`` keeps
+every document; an empty table gives no rows; other columns are not read
+(``keep_good`` hands them on).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +48,8 @@ BUCKETS = (1 << WORD_BITS) + (1 << PAIR_BITS)
 MAX_LABELS = 50_000
 SURE = 4.0
 SMOOTH = 0.1
-TEMPERATURE = 0.02
+#: Share of all rows that the sample holds.
+KEEP_SHARE = 0.8
 LOSS = 0.01
 _BINS = 2048
 
@@ -106,30 +115,34 @@ def fit(docs: DataFrame, good: np.ndarray) -> np.ndarray:
     return ratio
 
 
-def _score(ratio: np.ndarray, ids: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(log weight, key) of a batch."""
+def _weights(ratio: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(log weight, number of features) of every text."""
     row, bucket = features(Words(texts, lower=True))
     n = len(texts)
-    weight = np.bincount(row, ratio[bucket], n) / np.sqrt(np.maximum(
-        np.bincount(row, minlength=n), 1))
-    x = ids.fill_null(0).to_numpy(zero_copy_only=False).view(U64)
-    u = ((mix(x, 23) >> U64(11)).astype(np.float64) + 0.5) / 2.0 ** 53
-    return weight, weight / TEMPERATURE - np.log(-np.log(u))
+    return np.bincount(row, ratio[bucket], n), np.bincount(row, minlength=n)
 
 
-def scores(docs: DataFrame, ratio: np.ndarray, held_back: np.ndarray) -> DataFrame:
-    """(doc_id, log_weight, key, held_back) of every row."""
-    held = docs.sparkSession.sparkContext.broadcast((ratio, held_back))
+def gumbel(ids: np.ndarray) -> np.ndarray:
+    """Standard Gumbel noise of every id."""
+    u = ((mix(ids.view(U64), 23) >> U64(11)).astype(np.float64) + 0.5) / 2.0 ** 53
+    return -np.log(-np.log(u))
+
+
+def _level(weight: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return weight / np.sqrt(np.maximum(size, 1))
+
+
+def scores(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
+    """(doc_id, log_weight, key) of every row."""
+    held = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        model, back = held.value
-        weight, key = _score(model, batch.column(0), batch.column(1))
+        weight, _ = _weights(held.value, batch.column(1))
+        ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(weight), pa.array(key),
-             pa.array(_member(back, batch.column(0)))],
-            names=["doc_id", "log_weight", "key", "held_back"])
-    return arrow_map(_plain(docs), rows,
-                     "doc_id long, log_weight double, key double, held_back boolean")
+            [batch.column(0), pa.array(weight), pa.array(weight + gumbel(ids))],
+            names=["doc_id", "log_weight", "key"])
+    return arrow_map(_plain(docs), rows, "doc_id long, log_weight double, key double")
 
 
 def kth_largest(table: DataFrame, col: str, k: int) -> float:
@@ -153,39 +166,57 @@ def kth_largest(table: DataFrame, col: str, k: int) -> float:
     return hi
 
 
-def select(docs: DataFrame, labels: DataFrame, most_labels: int = MAX_LABELS
-           ) -> tuple[DataFrame, np.ndarray, float]:
-    """(scores of all rows, model, smallest key that is kept)."""
+def model(docs: DataFrame, labels: DataFrame, most_labels: int = MAX_LABELS
+          ) -> tuple[np.ndarray, np.ndarray]:
+    """(log ratio of every bucket, ids of good documents held back)."""
     small_batches(docs.sparkSession)
     good, back = label_sample(labels, most_labels)
-    ratio = fit(docs, good)
-    table = stored(scores(docs, ratio, back))
-    if not len(good):
-        return table, ratio, float("-inf")
-    least = table.where("held_back").agg(F.percentile("log_weight", F.lit(LOSS))).first()[0]
-    if least is None:
-        return table, ratio, float("-inf")
-    k = table.where(F.col("log_weight") >= least).count()
-    return table, ratio, kth_largest(table, "key", k) if k else float("inf")
+    return (fit(docs, good) if len(good) else np.zeros(BUCKETS)), back
+
+
+def resample(docs: DataFrame, labels: DataFrame, share: float = KEEP_SHARE,
+             most_labels: int = MAX_LABELS) -> DataFrame:
+    """(doc_id, log_weight, key, kept): a sample of ceil(share x rows) rows by
+    importance resampling, all rows with their weights."""
+    table = stored(scores(docs, model(docs, labels, most_labels)[0]))
+    k = math.ceil(share * table.count())
+    cut = kth_largest(table, "key", k) if k else float("inf")
+    return table.withColumn("kept", F.col("key") >= F.lit(cut))
+
+
+def good_level(docs: DataFrame, ratio: np.ndarray, held_back: np.ndarray) -> float:
+    """The ``LOSS`` quantile of the weights of good documents held back, by
+    length; at most ``MAX_LABELS`` ids have one."""
+    held = docs.sparkSession.sparkContext.broadcast((ratio, held_back))
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        batch = batch.filter(pa.array(_member(held.value[1], batch.column(0))))
+        if not batch.num_rows:
+            return None
+        level = _level(*_weights(held.value[0], batch.column(1)))
+        return pa.RecordBatch.from_arrays([pa.array(level)], names=["level"])
+    least = (arrow_map(_plain(docs), rows, "level double")
+             .agg(F.percentile("level", F.lit(LOSS))).first()[0])
+    return float("-inf") if least is None else least
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, most_labels: int = MAX_LABELS) -> DataFrame:
-    """The documents that the sampling keeps, all columns."""
-    _, ratio, cut = select(docs, labels, most_labels)
+    """The documents at or above ``good_level``, all columns."""
+    ratio, back = model(docs, labels, most_labels)
+    cut = good_level(docs, ratio, back)
     held = docs.sparkSession.sparkContext.broadcast(ratio)
-    names = docs.columns
-    doc, text = names.index("doc_id"), names.index("text")
+    text, names = docs.columns.index("text"), docs.columns
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(text).cast(pa.binary())
         if texts.null_count:
             texts = pa.array([x or b"" for x in texts.to_pylist()], pa.binary())
-        ids = batch.column(doc).cast(pa.int64())
-        return batch.filter(pa.array(_score(held.value, ids, texts)[1] >= cut))
-    return arrow_map(docs, rows, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes))
+        return batch.filter(pa.array(_level(*_weights(held.value, texts)) >= cut))
+    # columns travel under plain names: an own name may hold any character
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    return arrow_map(plain, rows, plain.schema).toDF(*names)
 
 
 def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table, _, cut = select(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    return table.select("doc_id", "log_weight", F.col("key").alias("gumbel_key"),
-                        (F.col("key") >= F.lit(cut)).alias("kept"))
+    table = resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return table.select("doc_id", "log_weight", F.col("key").alias("gumbel_key"), "kept")
