@@ -28,6 +28,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -43,14 +44,19 @@ from cardlens.session import materialize
 
 CAPACITY = 4096
 END_ID = 2
-#: Words whose ids a task remembers, and the longest of them in characters.
-MEMORY_WORDS, MEMORY_CHARS = 300_000, 48
+#: Characters of one pass over texts.
+PASS_CHARS = 1 << 20
 
 WORD_END = "</w>"
-#: Characters that both libraries split and lower-case alike.
-_PLAIN = re.compile("[\x21-\x7e\xa1-ɏ]+")
-#: White space for Python's split, but not for the tokenizer, or not surely.
-_DOUBTFUL = re.compile("[\x0b\x0c\x1c-\x1f\x85]")
+# fixed value of the vocabulary: how it cuts text before the merges
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Characters that both libraries cut and lower-case alike, one for one.
+_PLAIN = re.compile("[\t\n\r\x20-\x7e\xa0-\u012f\u0131-\u017f]*")
+_LETTER, _DIGIT, _OTHER = 1, 2, 3
+_KINDS = np.array([0 if chr(i).isspace() else {"L": _LETTER, "N": _DIGIT}.get(
+    unicodedata.category(chr(i))[0], _OTHER) for i in range(0x180)], np.uint8)
+_SHORT = [ord(c) for c in "stmd"]
+_LONG = [ord(a) << 16 | ord(b) for a, b in ("re", "ve", "ll")]
 
 ROWS = "doc_id long, pid int, before long, doc_tokens long, ids binary"
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -58,13 +64,13 @@ PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 
 class WordEncoder:
-    """Ids under a vocabulary whose tokens never cross white space: a text's
-    ids are those of its words, one after the other.
+    """Ids under a vocabulary whose tokens never cross white space.
 
-    New words of Latin script are encoded together by the faster library: their
-    parts stand in one string, each with a zero byte for the word end, so that
-    the tokens that hold a zero byte end the parts.  All other words go through
-    the json file itself.
+    Texts of Latin script are encoded many at a time by the faster library: they
+    are cut into parts (letters, single digits, other signs, contractions) by
+    array operations on their characters, and all parts stand in one string,
+    each with a zero byte for the word end, so that the tokens that hold a zero
+    byte end the parts.  All other texts go through the json file itself.
     """
 
     def __init__(self, json_path: str):
@@ -74,18 +80,16 @@ class WordEncoder:
         self.special = [t.content for t in self.slow.get_added_tokens_decoder().values()]
         with open(json_path, encoding="utf-8") as f:
             self._make_fast(json.load(f))
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
 
     def _make_fast(self, spec: dict) -> None:
         """Only for a vocabulary of bytes, bytes with word end, and merges in
         the order of their ids; others have no fast way."""
-        import regex
         import tiktoken
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
         split, self.fast = spec["pre_tokenizer"].get("pretokenizers", [{}])[0], None
-        if (spec["model"].get("end_of_word_suffix") != WORD_END or "Regex" not in split.get("pattern", {})
+        if (spec["model"].get("end_of_word_suffix") != WORD_END
+                or split.get("pattern", {}).get("Regex") != PATTERN
                 or [n["type"] for n in spec["normalizer"].get("normalizers", [])]
                 != ["NFC", "Replace", "Lowercase"]
                 or any(vocab["".join(m)] != 512 + i for i, m in enumerate(pairs))):
@@ -94,53 +98,75 @@ class WordEncoder:
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         alphabet = {chr(x): x for x in own}
         alphabet |= {chr(256 + i): x for i, x in enumerate(x for x in range(256) if x not in own)}
-        named = {t.content for t in self.slow.get_added_tokens_decoder().values()}
         ranks = {bytes(alphabet[c] for c in t.removesuffix(WORD_END)) + b"\0" * t.endswith(WORD_END): i
-                 for t, i in vocab.items() if t not in named}
+                 for t, i in vocab.items() if t not in self.special}
         self.ends = np.zeros(1 + max(ranks.values()), bool)
         self.ends[[i for t, i in ranks.items() if t[-1:] == b"\0"]] = True
         self.fast = tiktoken.Encoding("words", pat_str="[^\\x00]+\\x00", mergeable_ranks=ranks,
                                       special_tokens={})
-        self.split = regex.compile(split["pattern"]["Regex"]).findall
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes()
-                for e in self.slow.encode_batch(texts, add_special_tokens=False)]
-
-    def _encode_parts(self, parts: list[str]) -> list[bytes]:
-        if not parts:
-            return []
-        ids = np.array(self.fast.encode_ordinary("\0".join(parts) + "\0"), "<u4")
-        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip([0, *cuts], cuts)]
-
-    def _new(self, words: list[str]) -> dict[str, bytes]:
-        plain = [w for w in words if self.fast and _PLAIN.fullmatch(w)
-                 and not any(s in w for s in self.special)]
-        cut = [self.split(w.lower()) for w in plain]
-        fresh = list({p for ps in cut for p in ps if p not in self.parts})
-        if len(self.parts) > MEMORY_WORDS:
-            self.parts.clear()
-            fresh = list({p for ps in cut for p in ps})
-        got = dict(zip(fresh, self._encode_parts(fresh)))
-        self.parts.update((p, b) for p, b in got.items() if len(p) <= MEMORY_CHARS)
-        find = (lambda p: got[p] if p in got else self.parts[p])
-        out = {w: b"".join(map(find, ps)) for w, ps in zip(plain, cut)}
-        rest = [w for w in words if w not in out]
-        return out | dict(zip(rest, self._encode(rest)))
+
+    def _slow(self, text: str) -> bytes:
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _fast(self, texts: list[str]) -> list[bytes]:
+        joined = "\n".join(t.lower() for t in texts) + "\n"
+        chars = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        kind = _KINDS[chars]
+        start = np.zeros(len(chars) + 3, bool)
+        start[:len(chars)] = kind > 0
+        start[1:len(chars)] &= (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        # 's 't 'm 'd 're 've 'll are parts, wherever the sign begins one
+        at = np.flatnonzero((chars == 39) & start[:len(chars)])
+        one, two = (np.r_[chars, 0, 0][at + i] for i in (1, 2))
+        short = np.isin(one, _SHORT)
+        long = np.isin(one.astype(np.int64) << 16 | two, _LONG)
+        start[at[short | long] + 1] = False
+        for rest in (at[short] + 2, at[long] + 3):
+            start[rest] |= np.r_[kind, 0, 0, 0][rest] == _LETTER
+        word = np.flatnonzero(kind > 0)
+        end = start[word + 1] | (kind[word + 1] == 0)
+        out = np.zeros(len(word) + int(end.sum()), "<u4")
+        out[np.arange(len(word)) + np.cumsum(end) - end] = chars[word]
+        if not len(out):
+            return [b""] * len(texts)
+        ids = self.fast.encode_to_numpy(out.tobytes().decode("utf-32-le"), disallowed_special=())
+        stops = np.cumsum([len(t) + 1 for t in texts])
+        parts = np.searchsorted(word[end], stops)
+        cuts = 4 * np.r_[0, np.flatnonzero(self.ends[ids]) + 1][np.r_[0, parts]]
+        raw = ids.astype("<u4").tobytes()
+        return [raw[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of every text."""
-        known = self.known
-        if len(known) > MEMORY_WORDS:
-            known.clear()
-        words = [None if _DOUBTFUL.search(t) else t.split() for t in texts]
-        got = self._new(list({w for ws in words if ws for w in ws if w not in known}))
-        known.update((w, b) for w, b in got.items() if len(w) <= MEMORY_CHARS)
-        find = (lambda w: got[w] if w in got else known[w]) if got else known.__getitem__
-        return [self._encode([t])[0] if ws is None else b"".join(map(find, ws))
-                for t, ws in zip(texts, words)]
+        plain = [self.fast is not None and bool(_PLAIN.fullmatch(t))
+                 and not any(s in t for s in self.special) for t in texts]
+        fast: list[bytes] = []
+        held, size = [], 0
+        for t in (x for x, p in zip(texts, plain) if p):
+            if len(t) > PASS_CHARS:     # words do not cross white space, so neither does a cut
+                pieces, at = [], 0
+                while at < len(t):
+                    to = at + PASS_CHARS
+                    to = len(t) if to >= len(t) else max(t.rfind(" ", at, to), t.rfind("\n", at, to)) + 1
+                    if to <= at:        # one word longer than a pass
+                        to = min((x for x in (t.find(" ", at), t.find("\n", at)) if x >= 0),
+                                 default=len(t) - 1) + 1
+                    pieces.append(t[at:to])
+                    at = to
+                if held:
+                    fast += self._fast(held)
+                    held, size = [], 0
+                fast.append(b"".join(self._fast([p])[0] for p in pieces))
+                continue
+            held.append(t)
+            size += len(t)
+            if size > PASS_CHARS:
+                fast += self._fast(held)
+                held, size = [], 0
+        if held:
+            fast += self._fast(held)
+        rest = iter(fast)
+        return [next(rest) if p else self._slow(t) for t, p in zip(texts, plain)]
 
 
 @cache

@@ -82,3 +82,20 @@ def test_fast_words_encode_as_the_slow_library():
     assert enc.fast is not None
     got = [np.frombuffer(b, "<u4").tolist() for b in enc.ids(words)]
     assert got == [encode(w)[:-1] for w in words]
+
+
+def test_many_random_texts_encode_as_the_slow_library():
+    rng = np.random.default_rng(8)
+    signs = np.array(list("abstredlvmABSTRE  \n\t''.,;-!?019éÀßñÖœŁſÿ²½ª\xa0\xad&<|>"))
+    texts = ["".join(rng.choice(signs, int(rng.integers(0, 60)))) for _ in range(3000)]
+    texts += ["'s't're've'm'll'd", "x's 's ''s .'s 's't 'stop 'reed 'llama 'vest 'dd '", "", "\n\n", "'", "'r"]
+    got = word_encoder(tokenizer_file()).ids(texts)
+    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [encode(t)[:-1] for t in texts]
+
+
+def test_long_texts_are_cut_between_words(monkeypatch):
+    from cardlens.llm import concat
+    monkeypatch.setattr(concat, "PASS_CHARS", 50)
+    texts = ["it's a test, " * 40, "x" * 200 + " y\n" + "z" * 70, "short", "a" * 120, "b " * 30]
+    got = word_encoder(tokenizer_file()).ids(texts)
+    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [encode(t)[:-1] for t in texts]
