@@ -4,25 +4,28 @@ Semantics: a row sees only *committed* rows of the same card that come before
 it in ``(event_us, seq)`` order; a window of length L includes age == L; an
 earlier row at the same instant is seen, a later one is not.
 
-Physical plan, designed for hot cards:
-
-* Rows are partitioned by ``(card_id, bucket)`` where ``bucket`` is a fixed
-  time slice (default 14 days, never below the 7-day frame).  A card that
-  holds a third of all rows is therefore split into one task per slice
-  instead of one task overall.
-* Sliding frames (1 h / 24 h / 7 d) need the previous 7 days: committed rows
-  in the last 7 days of a slice are copied into the next slice as *context*
-  rows.  They feed the frames but are dropped from the output.
-* All-time state is carried across slices without arrays: running moments by
-  a small per-(card, slice) table of exclusive prefix sums, joined back on
-  ``(card_id, bucket)`` (the windows' key, so no reshuffle of the big side);
-  "ever seen" values by *seed rows* - one per (card, slice, kind, value)
-  already seen in an earlier slice - that travel in the same shuffle and are
-  counted by the novelty windows only.  Per-row work stays O(1) even for a
-  card with millions of distinct merchants.
-* Every frame of one slice shares one sort; counts/sums/max use native
-  RANGE frames over strictly earlier instants plus a peer frame for earlier
-  rows at the same instant, so no float subtraction is needed.
+Physical plan: one timeline per card, split into slices (14 days by default),
+with all state as rows of the timeline, so that every feature is a running
+aggregate and a row costs the same on a quiet and on a hot card.
+
+* **Sliding counts, sums and maxima** (1 h, 24 h, 7 d) use tiles as long as the
+  window.  A window that ends in one tile is a suffix of the tile before and a
+  prefix of its own.  The prefix is a running aggregate in time order.  For the
+  suffix every committed row is also put in at the time when it leaves the
+  window, which lies in the next tile; a running aggregate in reverse time
+  order over these rows holds exactly those that have not left yet.  Nothing is
+  subtracted, so sums carry no rounding from rows outside the window.
+* **Distinct values** are intervals.  In a tile a value counts from its first
+  occurrence on; its last occurrence in the tile before counts until it leaves
+  the window or the value occurs again.  Both ends are *marks*, one each for
+  (card, value, tile), and the count is the number of marks passed, in the same
+  two directions.
+* **All-time state** enters a slice as rows at its start: one with the moments
+  of all earlier slices, and one for each value already seen, which only the
+  novelty windows count.
+* Tiles nest in slices and order like time, so all running aggregates of one
+  direction share one sort, and both directions share one shuffle by
+  ``(card_id, slice)``.
 """
 
 from __future__ import annotations
@@ -38,6 +41,14 @@ DEFAULT_BUCKET_DAYS = 14
 WEEK_S = 7 * 86400.0
 
 _NOVELTY = (("merchant", "merchant_key"), ("device", "device_key"), ("country", "country_key"))
+_DISTINCT = (("merchant", "merchant_key", DAY_US), ("country", "country_key", WEEK_US),
+             ("device", "device_key", WEEK_US))
+
+# Rows of the timeline, in the order in which they stand at one place: state at
+# a slice's start, the transaction, from where a value counts, and until where a
+# value or a row does.
+_SEED, _OWN, _FROM, _UNTIL = range(4)
+_FIRST_SEQ, _LAST_SEQ = -(1 << 63), (1 << 63) - 1
 
 
 def _d(c: Column) -> Column:
@@ -91,170 +102,219 @@ def _bucket_col(bucket_us: int) -> Column:
     return F.floor(F.col("event_us") / F.lit(bucket_us)).cast("long")
 
 
-def _with_context(rows: DataFrame, bucket_us: int) -> DataFrame:
-    """Own rows plus committed rows of the last 7 days of the previous slice."""
-    own = rows.withColumn("ctx", F.lit(False))
-    ctx = (rows.filter(F.col("commit") &
-                       (F.col("event_us") >= (F.col("bucket") + 1) * F.lit(bucket_us) - F.lit(WEEK_US)))
-               .withColumn("bucket", F.col("bucket") + 1)
-               .withColumn("ctx", F.lit(True)))
-    return own.unionByName(ctx)
-
-
 def _slice_state(rows: DataFrame) -> DataFrame:
-    """Per (card, slice): moments of committed rows in earlier slices (small
-    numeric table), and the novelty keys of this slice that a committed row of
-    an earlier slice had (long form, at most the slice's distinct keys)."""
+    """Per (card, slice): moments and last time of committed rows in earlier
+    slices."""
     c = F.col("commit")
     rad = _hour_rad()
     per_slice = rows.groupBy("card_id", "bucket").agg(
-        F.count(F.when(c, 1)).alias("_n"),
-        F.sum(F.when(c, F.col("amount"))).alias("_s"),
-        F.sum(F.when(c, F.col("amount") * F.col("amount"))).alias("_ss"),
-        F.sum(F.when(c, F.sin(rad))).alias("_sin"),
-        F.sum(F.when(c, F.cos(rad))).alias("_cos"),
-    )
+        F.count(F.when(c, 1)).alias("n"), F.sum(F.when(c, F.col("amount"))).alias("s"),
+        F.sum(F.when(c, F.col("amount") * F.col("amount"))).alias("ss"),
+        F.sum(F.when(c, F.sin(rad))).alias("sin"), F.sum(F.when(c, F.cos(rad))).alias("cos"),
+        F.max(F.when(c, F.col("event_us"))).alias("last"))
     before = Window.partitionBy("card_id").orderBy("bucket").rowsBetween(
         Window.unboundedPreceding, -1)
-    offsets = per_slice.select(
-        "card_id", "bucket",
-        *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n + "0")
-          for n in ("_n", "_s", "_ss", "_sin", "_cos")])
+    return per_slice.select(
+        "card_id", "bucket", *[F.sum(n).over(before).alias(n) for n in ("n", "s", "ss", "sin", "cos")],
+        F.max("last").over(before).alias("last"))
 
-    # novelty keys, long form: (card, slice, kind, value)
+
+def _seen_before(rows: DataFrame) -> DataFrame:
+    """(card, slice, kind, value) of the values of a slice that a committed row
+    of an earlier slice had."""
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(col).alias("value"))
                       for k, col in _NOVELTY])
-    keys = rows.select("card_id", "bucket", "commit", F.explode(kinds).alias("kv")) \
-               .select("card_id", "bucket", "commit", "kv.kind", "kv.value")
-    probe = keys.select("card_id", "bucket", "kind", "value").distinct()
-    first_seen = (keys.filter("commit").groupBy("card_id", "kind", "value")
-                      .agg(F.min("bucket").alias("first_bucket")))
-    seen_before = (probe.join(first_seen, ["card_id", "kind", "value"])
-                        .filter(F.col("first_bucket") < F.col("bucket"))
-                        .select("card_id", "bucket", "kind", "value"))
-    return offsets, seen_before
-
-
-def _seed_rows(seen_before: DataFrame, bucket_us: int) -> DataFrame:
-    """One row per (card, slice, kind, value) already seen in an earlier slice,
-    placed before the slice start; the novelty windows count them, every other
-    frame ignores them (not committed, context)."""
-    return seen_before.select(
-        "card_id", "bucket",
-        (F.col("bucket") * F.lit(bucket_us) - 1).alias("event_us"), F.lit(-1).cast("long").alias("seq"),
-        F.lit(False).alias("commit"), F.lit(True).alias("ctx"), F.col("kind").alias("seed_kind"),
-        *[F.when(F.col("kind") == k, F.col("value")).alias(col) for k, col in _NOVELTY])
+    per_slice = (rows.select("card_id", "bucket", "commit", F.inline(kinds))
+                 .groupBy("card_id", "kind", "value", "bucket").agg(F.max("commit").alias("c")))
+    before = Window.partitionBy("card_id", "kind", "value").orderBy("bucket").rowsBetween(
+        Window.unboundedPreceding, -1)
+    return (per_slice.withColumn("seen", F.max("c").over(before)).where("seen")
+            .select("card_id", "bucket", "kind", "value"))
+
+
+def _distinct_marks(rows: DataFrame) -> DataFrame:
+    """(card, kind, role, pos_us, pos_seq): for every value and tile of its
+    window's length the row from which it counts, and the moment until which
+    its last occurrence counts in the next tile."""
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(col).alias("value"),
+                               F.lit(length).alias("len"))
+                      for k, col, length in _DISTINCT])
+    pos = F.struct(F.col("event_us").alias("us"), F.col("seq").alias("sq"))
+    tiles = (rows.where("commit").select("card_id", pos.alias("pos"), F.inline(kinds))
+             .where("value is not null")
+             .groupBy("card_id", "kind", "value", "len",
+                      F.floor(F.col("pos.us") / F.col("len")).alias("tile"))
+             .agg(F.min("pos").alias("first"), F.max("pos").alias("last")))
+    by_value = Window.partitionBy("card_id", "kind", "value").orderBy("tile")
+    again = F.lead(F.struct("tile", "first")).over(by_value)
+    leaves = F.col("last.us") + F.col("len")
+    until = F.when((F.col("again.tile") == F.col("tile") + 1) & (F.col("again.first.us") <= leaves),
+                   F.col("again.first")).otherwise(
+        F.struct(leaves.alias("us"), F.lit(_LAST_SEQ).alias("sq")))
+    marks = F.array(F.struct(F.lit(_FROM).alias("role"), F.col("first").alias("pos")),
+                    F.struct(F.lit(_UNTIL).alias("role"), F.col("until").alias("pos")))
+    return (tiles.withColumn("again", again).withColumn("until", until)
+            .select("card_id", "kind", F.inline(marks))
+            .select("card_id", "kind", "role", F.col("pos.us").alias("pos_us"),
+                    F.col("pos.sq").alias("pos_seq")))
+
+
+def _timeline(base: DataFrame, bucket_us: int) -> DataFrame:
+    """All rows of the timeline, see the module text.  Own rows carry the
+    transaction as ``_row``; ``shift`` names the window that a committed row
+    leaves."""
+    own = F.struct(F.lit(_OWN).alias("role"), F.lit(0).cast("long").alias("shift"))
+    leave = [F.struct(F.lit(_UNTIL).alias("role"), F.lit(n).cast("long").alias("shift"))
+             for n in (HOUR_US, DAY_US, WEEK_US)]
+    times = F.when(F.col("commit"), F.array(own, *leave)).otherwise(F.array(own))
+    whole = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in base.columns])
+    is_own = F.col("role") == _OWN
+    rows = (base.select("card_id", "event_us", "seq", "commit", "amount", whole.alias("_row"),
+                        F.inline(times))
+            .select("card_id", (F.col("event_us") + F.col("shift")).alias("pos_us"),
+                    F.when(is_own, F.col("seq")).otherwise(_LAST_SEQ).alias("pos_seq"), "role",
+                    "shift", F.when(is_own, F.col("_row")).alias("_row"),
+                    F.when(F.col("commit"), F.col("amount").cast("double")).alias("amt"),
+                    F.when(F.col("commit"), 1).alias("one")))
+    start = (F.col("bucket") * F.lit(bucket_us)).alias("pos_us")
+    first = [start, F.lit(_FIRST_SEQ).alias("pos_seq"), F.lit(_SEED).alias("role")]
+    state = _slice_state(base).select(
+        "card_id", *first, F.struct("n", "s", "ss", "sin", "cos", "last").alias("carry"))
+    seen = _seen_before(base).select("card_id", *first, "kind", "value")
+    out = rows
+    for more in (state, seen, _distinct_marks(base)):
+        out = out.unionByName(more, allowMissingColumns=True)
+    us = F.col("pos_us")
+    tiles = {"t7": WEEK_US, "t24": DAY_US, "t1": HOUR_US}
+    out = out.withColumns({"bucket": F.floor(us / F.lit(bucket_us)).cast("long"),
+                           **{t: F.floor(us / F.lit(n)).cast("long") for t, n in tiles.items()}})
+    return out.withColumns({f"r{t[1:]}": -F.col(t) for t in tiles})
+
+
+def _running(depth: int, reverse: bool = False):
+    """Window over the slice (depth 0) or over tiles of 7 d, 24 h, 1 h (1 to 3):
+    all rows before this one, or in reverse time all rows up to this one.  Every
+    depth asks for the same order of rows."""
+    parts = ["card_id", "bucket"]
+    if reverse:
+        tiles = [F.col(c) for c in ("r7", "r24", "r1")]
+        order = [F.desc("pos_us"), F.desc("pos_seq"), F.desc("role")]
+    else:
+        tiles = [F.col(c) for c in ("t7", "t24", "t1")]
+        order = ["pos_us", "pos_seq", "role"]
+    return (Window.partitionBy(*parts, *tiles[:depth]).orderBy(*tiles[depth:], *order)
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow if reverse else -1))
 
 
 def card_features(txn: DataFrame, bucket_days: int = DEFAULT_BUCKET_DAYS) -> DataFrame:
     """F1-F28 for every row of ``txn`` (an optional boolean ``commit`` column
-    marks quotes: they are scored but never become history)."""
+    marks quotes: they are scored but never become history).  Slices are whole
+    weeks, at least ``bucket_days``."""
     if bucket_days < 7:
         raise ValueError("bucket_days must cover the 7-day frame")
-    bucket_us = bucket_days * DAY_US
+    bucket_us = -(-bucket_days // 7) * WEEK_US
     base = normalized(txn).withColumn("bucket", _bucket_col(bucket_us))
-    state, seen_before = _slice_state(base)
-    rows = _with_context(base, bucket_us).withColumn("seed_kind", F.lit(None).cast("string"))
-    rows = rows.unionByName(_seed_rows(seen_before, bucket_us), allowMissingColumns=True)
+    rows = _timeline(base, bucket_us).repartition("card_id", "bucket")
 
-    c = F.col("commit")
-    hist = c                      # rows that became history (context rows are committed)
-    own_hist = c & ~F.col("ctx")
-    part = ["card_id", "bucket"]
-    w_rows = Window.partitionBy(*part).orderBy("event_us", "seq").rowsBetween(
-        Window.unboundedPreceding, -1)
-    w_peer = Window.partitionBy(*part, "event_us").orderBy("seq").rowsBetween(
-        Window.unboundedPreceding, -1)
+    own = (F.col("role") == _OWN) & F.col("one").isNotNull()
+    amt, carry = F.when(own, F.col("amt")), F.col("carry")
+    rad = F.radians(F.floor(F.pmod(F.col("pos_us"), F.lit(DAY_US)) / HOUR_US) * 15.0)
 
-    def w_range(length_us: int):
-        return Window.partitionBy(*part).orderBy("event_us").rangeBetween(-length_us, -1)
+    def mark(kind: str, role: int) -> Column:
+        return F.when((F.col("role") == role) & (F.col("kind") == kind), 1)
 
-    amt = F.when(hist, F.col("amount"))
-    one = F.when(hist, F.lit(1))
-    rad = _hour_rad()
+    def running(name: str, value: Column) -> Column:
+        return F.sum(F.coalesce(carry[name].cast("double"), F.when(own, value))).over(_running(0))
 
-    def both(agg, col, length_us):
-        return agg(col).over(w_range(length_us)), agg(col).over(w_peer)
-
-    cols = {}
-    for name, L in (("1h", HOUR_US), ("24h", DAY_US), ("7d", WEEK_US)):
-        a, b = both(F.count, one, L)
-        cols[f"_c{name}"] = a + b
-    for name, L in (("1h", HOUR_US), ("24h", DAY_US)):
-        a, b = both(F.sum, amt, L)
-        cols[f"_s{name}"] = F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0))
-    a, b = both(F.max, amt, DAY_US)
-    cols["_max24h"] = F.coalesce(F.greatest(a, b), F.lit(0.0))
-    for out, key, L in (("_dm24h", "merchant_key", DAY_US), ("_dc7d", "country_key", WEEK_US),
-                        ("_dd7d", "device_key", WEEK_US)):
-        a, b = both(F.collect_set, F.when(hist, F.col(key)), L)
-        cols[out] = F.size(F.array_union(a, b))
-    cols["_last_us"] = F.last(F.when(hist, F.col("event_us")), ignorenulls=True).over(w_rows)
-    cols["_n_in"] = F.count(F.when(own_hist, 1)).over(w_rows)
-    cols["_s_in"] = F.sum(F.when(own_hist, F.col("amount"))).over(w_rows)
-    cols["_ss_in"] = F.sum(F.when(own_hist, F.col("amount") * F.col("amount"))).over(w_rows)
-    cols["_sin_in"] = F.sum(F.when(own_hist, F.sin(rad))).over(w_rows)
-    cols["_cos_in"] = F.sum(F.when(own_hist, F.cos(rad))).over(w_rows)
+    forward = {
+        "_n": F.sum(F.coalesce(carry["n"], F.when(own, 1))).over(_running(0)),
+        "_s": running("s", F.col("amt")), "_ss": running("ss", F.col("amt") * F.col("amt")),
+        "_sin": running("sin", F.sin(rad)), "_cos": running("cos", F.cos(rad)),
+        "_last_us": F.max(F.coalesce(carry["last"], F.when(own, F.col("pos_us")))).over(_running(0)),
+    }
+    backward = {}
+    for name, depth, length in (("7d", 1, WEEK_US), ("24h", 2, DAY_US), ("1h", 3, HOUR_US)):
+        ahead, back = _running(depth), _running(depth, reverse=True)
+        left = F.col("shift") == length
+        forward[f"_c{name}"] = F.count(F.when(own, 1)).over(ahead)
+        backward[f"_c{name}_"] = F.count(F.when(left, 1)).over(back)
+        if name != "7d":
+            forward[f"_s{name}"] = F.sum(amt).over(ahead)
+            backward[f"_s{name}_"] = F.sum(F.when(left, F.col("amt"))).over(back)
+        if name == "24h":
+            forward["_max"] = F.max(amt).over(ahead)
+            backward["_max_"] = F.max(F.when(left, F.col("amt"))).over(back)
+        for kind, _, window in _DISTINCT:
+            if window == length:
+                forward[f"_d_{kind}"] = F.count(mark(kind, _FROM)).over(ahead)
+                backward[f"_d_{kind}_"] = F.count(mark(kind, _UNTIL)).over(back)
+    # one shuffle, one sort for each direction
+    framed = rows.withColumns(forward).withColumns(backward)
+
+    # seeds of values seen before stay for the novelty windows
+    is_own = F.col("role") == _OWN
+    framed = framed.where(is_own | ((F.col("role") == _SEED) & F.col("kind").isNotNull()))
+    seen = {}
     for kind, key in _NOVELTY:
-        w_key = Window.partitionBy(*part, key).orderBy("event_us", "seq").rowsBetween(
-            Window.unboundedPreceding, -1)
-        seen_here = own_hist | F.coalesce(F.col("seed_kind") == kind, F.lit(False))
-        cols[f"_seen_in_{kind}"] = F.count(F.when(seen_here, 1)).over(w_key) > 0
-
-    # one exchange on (card, slice) and one sort serve every frame below
-    rows = rows.repartition(*part).sortWithinPartitions(*part, "event_us", "seq")
-    framed = (rows.withColumns(cols)
-                  .filter(~F.col("ctx"))
-                  .join(state, part, "left"))
-
-    n = F.col("_n0") + F.col("_n_in")
-    s = F.col("_s0") + F.coalesce(F.col("_s_in"), F.lit(0.0))
-    ss = F.col("_ss0") + F.coalesce(F.col("_ss_in"), F.lit(0.0))
-    ssin = F.col("_sin0") + F.coalesce(F.col("_sin_in"), F.lit(0.0))
-    scos = F.col("_cos0") + F.coalesce(F.col("_cos_in"), F.lit(0.0))
-    mean = s / n
-    var = F.greatest(ss / n - mean * mean, F.lit(1e-9))
+        seed = (F.col("role") == _SEED) & (F.col("kind") == kind)
+        framed = framed.withColumn(f"_k_{kind}", F.when(is_own, F.col("_row")[key])
+                                   .when(seed, F.col("value")))
+        w_key = Window.partitionBy("card_id", "bucket", f"_k_{kind}").orderBy(
+            "pos_us", "pos_seq", "role").rowsBetween(Window.unboundedPreceding, -1)
+        seen[f"_seen_{kind}"] = F.count(F.when(own | seed, 1)).over(w_key) > 0
+    framed = framed.withColumns(seen).where(is_own)
+    made = [c for c in framed.columns if c.startswith("_") and c != "_row"]
+    framed = framed.select("_row.*", *made)
+
+    def both(name: str) -> Column:
+        return F.col(name) + F.col(name + "_")
+
+    def total(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit(0.0)) + F.coalesce(F.col(name + "_"), F.lit(0.0))
+
+    n = F.coalesce(F.col("_n"), F.lit(0))
+    mean = F.col("_s") / n
+    var = F.greatest(F.col("_ss") / n - mean * mean, F.lit(1e-9))
     zscore = F.when(n >= 2, clip((F.col("amount") - mean) / F.sqrt(var), -20.0, 20.0)) \
               .otherwise(0.0)
     ratio = F.when(n >= 2, clip(F.col("amount") / F.greatest(mean, F.lit(1e-6)), 0.0, 500.0)) \
              .otherwise(1.0)
     hour = F.floor(F.pmod(F.col("event_us"), F.lit(DAY_US)) / HOUR_US)
-    mean_hour = F.pmod(F.degrees(F.atan2(ssin / n, scos / n)), F.lit(360.0)) / 15.0
+    mean_hour = F.pmod(F.degrees(F.atan2(F.col("_sin") / n, F.col("_cos") / n)), F.lit(360.0)) / 15.0
     diff = F.abs(hour - mean_hour)
     hour_dev = F.when(n >= 3, F.least(diff, 24.0 - diff)).otherwise(0.0)
     secs = F.when(F.col("_last_us").isNull(), F.lit(WEEK_S)).otherwise(
         F.least((F.col("event_us") - F.col("_last_us")) / 1e6, F.lit(WEEK_S)))
-    s1h, s24h = F.col("_s1h"), F.col("_s24h")
+    s1h, s24h = F.col("_sum1h"), F.col("_sum24h")
     vel = F.when(s24h > 0, clip(s1h / F.greatest(s24h / 24.0, F.lit(1e-6)), 0.0, 500.0)) \
            .otherwise(0.0)
 
-    def novel(kind: str, key: str) -> Column:
-        return F.when(F.col(f"_seen_in_{kind}"), 0.0).otherwise(1.0)
+    def novel(kind: str) -> Column:
+        return F.when(F.col(f"_seen_{kind}"), 0.0).otherwise(1.0)
 
-    out = framed.withColumns({
+    out = framed.withColumns({"_sum1h": total("_s1h"), "_sum24h": total("_s24h")}).withColumns({
         **intrinsic_columns(),
         "amount_zscore_card": zscore,
         "amount_ratio_card_mean": ratio,
         "hour_deviation_card": _d(hour_dev),
-        "card_txn_count_1h": _d(F.col("_c1h")),
-        "card_txn_count_24h": _d(F.col("_c24h")),
-        "card_txn_count_7d": _d(F.col("_c7d")),
+        "card_txn_count_1h": _d(both("_c1h")),
+        "card_txn_count_24h": _d(both("_c24h")),
+        "card_txn_count_7d": _d(both("_c7d")),
         "card_amount_sum_1h": s1h,
         "card_amount_sum_24h": s24h,
-        "card_amount_max_24h": F.col("_max24h"),
+        "card_amount_max_24h": F.coalesce(F.greatest("_max", "_max_"), F.lit(0.0)),
         "card_seconds_since_last": secs,
         "card_velocity_ratio": vel,
-        "card_distinct_merchants_24h": _d(F.col("_dm24h")),
-        "card_distinct_countries_7d": _d(F.col("_dc7d")),
-        "card_distinct_devices_7d": _d(F.col("_dd7d")),
-        "is_new_merchant_for_card": novel("merchant", "merchant_key"),
-        "is_new_device_for_card": novel("device", "device_key"),
-        "is_new_country_for_card": novel("country", "country_key"),
+        "card_distinct_merchants_24h": _d(both("_d_merchant")),
+        "card_distinct_countries_7d": _d(both("_d_country")),
+        "card_distinct_devices_7d": _d(both("_d_device")),
+        "is_new_merchant_for_card": novel("merchant"),
+        "is_new_device_for_card": novel("device"),
+        "is_new_country_for_card": novel("country"),
         "history_len": F.least(n, F.lit(7)).cast("int"),
     })
-    drop = [c for c in out.columns if c.startswith("_")] + ["ctx", "bucket", "merchant_key",
-                                                            "country_key", "device_key", "seed_kind"]
-    return out.drop(*drop)
+    drop = [c for c in out.columns if c.startswith("_")]
+    return out.drop(*drop, "bucket", "merchant_key", "country_key", "device_key")
 
 
 def mcc_risk(category: Column) -> Column:
