@@ -8,17 +8,26 @@ from pyspark.sql import functions as F
 from cardlens.constants import MERCHANT_PRIOR_WEIGHT
 from cardlens.operators.features import mcc_risk
 
+
+def merchant_counts(train: DataFrame, label_col: str = "is_fraud") -> DataFrame:
+    """Per merchant: labels, frauds and rows (one partial + final hash aggregate)."""
+    label = F.col(label_col).cast("double")
+    return train.groupBy("merchant_id").agg(
+        F.sum(label).alias("fraud_count"), F.count(F.lit(1)).cast("double").alias("total_count"),
+        F.count(label).cast("double").alias("label_count"))
+
+
 def merchant_profile(train: DataFrame, label_col: str = "is_fraud") -> DataFrame:
-    """A1: per-merchant fraud and total counts plus the base rate of ``train``.
+    """A1: per-merchant fraud and total counts plus the base rate of ``train``."""
+    return rated(merchant_counts(train, label_col))
 
-    One partial + final hash aggregate; the base rate is a second tiny
-    aggregate joined as a scalar (no driver round trip).
-    """
-    base = train.agg(F.coalesce(F.avg(F.col(label_col).cast("double")), F.lit(0.01))).scalar()
-    per = train.groupBy("merchant_id").agg(
-        F.sum(F.col(label_col).cast("double")).alias("fraud_count"),
-        F.count(F.lit(1)).cast("double").alias("total_count"))
-    return per.withColumn("base_rate", base).withColumn(
+
+def rated(counts: DataFrame) -> DataFrame:
+    """A1 from ``merchant_counts``: the base rate is the sum of all merchants'
+    counts, attached as a scalar, so the log is not read again."""
+    base = counts.agg(F.coalesce(F.sum("fraud_count") / F.nullif(F.sum("label_count"), F.lit(0.0)),
+                                 F.lit(0.01))).scalar()
+    return counts.drop("label_count").withColumn("base_rate", base).withColumn(
         "merchant_risk", (F.col("fraud_count") + MERCHANT_PRIOR_WEIGHT * F.col("base_rate"))
         / (F.col("total_count") + MERCHANT_PRIOR_WEIGHT))
 

@@ -55,6 +55,8 @@ def with_quantile_bucket(df: DataFrame, col: str, out: str, n_buckets: int = DEF
     probs = [i / n_buckets for i in range(1, n_buckets)]
     bounds = df.agg(F.percentile_approx(col, probs, accuracy)).first()[0] or []
     bounds = sorted(set(float(b) for b in bounds if b is not None))
+    if not bounds:
+        return df.withColumn(out, F.lit(0).cast("long"))
     splits = [float("-inf")] + bounds + [float("inf")]
     b = Bucketizer(splits=splits, inputCol=col, outputCol=out, handleInvalid="keep").transform(df)
     idx = F.col(out).cast("long")

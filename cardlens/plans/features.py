@@ -12,14 +12,19 @@ from pyspark.sql import functions as F
 
 from cardlens.constants import FEATURE_NAMES
 from cardlens.operators.features import DEFAULT_BUCKET_DAYS, card_features
-from cardlens.operators.lookups import merchant_profile, with_counterparty
-from cardlens.operators.split import time_split
+from cardlens.operators.lookups import merchant_counts, rated, with_counterparty
+from cardlens.operators.split import with_split
+from cardlens.session import materialize
 
 
 def profile_from_train(txn: DataFrame) -> DataFrame:
-    """A1 fitted on the training window only."""
-    split = time_split(txn.select("seq", "event_us", "merchant_id", "is_fraud"))
-    return merchant_profile(split.filter(F.col("split") == "train"))
+    """A1 fitted on the training window only; the counts are written once, since
+    both the join and the base rate read them."""
+    return _profile(with_split(txn.select("seq", "event_us", "merchant_id", "is_fraud")))
+
+
+def _profile(split: DataFrame) -> DataFrame:
+    return rated(materialize(merchant_counts(split.filter(F.col("split") == "train"))))
 
 
 def feature_table(txn: DataFrame, profile: DataFrame | None = None,
@@ -32,9 +37,8 @@ def feature_table(txn: DataFrame, profile: DataFrame | None = None,
 
 def split_feature_table(txn: DataFrame, bucket_days: int = DEFAULT_BUCKET_DAYS) -> DataFrame:
     """Time split (P6) once, profile from its train rows, then all features."""
-    split = time_split(txn)
-    profile = merchant_profile(split.filter(F.col("split") == "train"))
-    return feature_table(split, profile, bucket_days)
+    split = with_split(txn)
+    return feature_table(split, _profile(split), bucket_days)
 
 
 def feature_vector_columns() -> list[str]:

@@ -17,7 +17,7 @@ from cardlens.constants import FEATURE_NAMES
 from cardlens.operators.contract import amount_band, check_contract
 from cardlens.operators.features import card_features
 from cardlens.operators.lookups import merchant_profile
-from cardlens.operators.split import time_split
+from cardlens.operators.split import time_split, with_split
 from cardlens.plans.features import feature_table, profile_from_train, split_feature_table
 from cardlens.session import materialize
 from cardlens.sources import bindings
@@ -116,7 +116,7 @@ def training_rows(spark, sf):
     legitimate with at least 2 earlier rows on the card (sequence model)."""
     t = bindings.txn(spark, sf)
     f = card_features(t).select("transaction_id", "history_len")
-    s = time_split(t).filter((F.col("split") == "train") & (F.col("is_fraud") == 0))
+    s = with_split(t).filter((F.col("split") == "train") & (F.col("is_fraud") == 0))
     return (s.join(f, "transaction_id")
              .select("transaction_id", "history_len",
                      (F.col("history_len") >= 2).alias("for_sequence")))
@@ -238,12 +238,12 @@ def champion_gate_q(spark, sf):
 
 
 def _test_window(spark, sf) -> DataFrame:
-    return time_split(bindings.scored(spark, sf)).filter(F.col("split") == "test")
+    return with_split(bindings.scored(spark, sf)).filter(F.col("split") == "test")
 
 
 @register("class_weight")
 def class_weight_q(spark, sf):
-    t = time_split(bindings.txn(spark, sf)).filter(F.col("split") == "train")
+    t = with_split(bindings.txn(spark, sf)).filter(F.col("split") == "train")
     return _round_all(ev.class_weight(t))
 
 
@@ -274,7 +274,7 @@ def _bounds(df: DataFrame, col: str, lo_p: float, hi_p: float) -> DataFrame:
 
 
 def _legit_train(spark, sf) -> DataFrame:
-    s = time_split(bindings.scored(spark, sf))
+    s = with_split(bindings.scored(spark, sf))
     return s.filter((F.col("split") == "train") & (F.col("is_fraud") == 0))
 
 
@@ -299,7 +299,7 @@ def calibrated_anomaly(spark, sf):
 @register("reference_medians")
 def reference_medians(spark, sf):
     """Median detector score on legitimate validation rows."""
-    s = time_split(bindings.scored(spark, sf))
+    s = with_split(bindings.scored(spark, sf))
     v = s.filter((F.col("split") == "valid") & (F.col("is_fraud") == 0))
     a = quantiles(v, "s_if", [0.5]).select(F.lit("iforest").alias("detector"), F.col("q").alias("median"))
     b = quantiles(v, "s_seq", [0.5]).select(F.lit("sequence").alias("detector"), F.col("q").alias("median"))
