@@ -1,86 +1,87 @@
 """Population stability and drift.
 
-Long form: every feature becomes ``(feature, value)`` rows, so one aggregate
-handles all features.  Edges come from the exact quantile helper (a small
-per-feature table that is broadcast); a value's bin is the number of inner
-edges <= value.
+One table holds both sides, told apart by ``side`` ('b' baseline, 'c' current).
+It is read three times for any number of features: twice for the exact quantile
+edges of the baseline, once for all bin counts and means.  The edges (bins + 1
+numbers a feature) are literals of the third pass, whose result has one row for
+each feature, side and bin.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardlens.constants import PSI_INVESTIGATE, PSI_STABLE
-from cardlens.operators.quantiles import grouped_quantiles
-
+from cardlens.operators.quantiles import column_quantiles, finite, long_form, with_place
 
 VALUE_DIGITS = 9
+PSI_BINS, SCORE_BINS = 10, 20
 
 
-def to_long(df: DataFrame, features: list[str]) -> DataFrame:
-    """(feature, value) with non-finite values dropped.
+def value_of(feature: str) -> Column:
+    """Values are rounded to 9 decimals (model vectors are float32 anyway) so that
+    last-bit noise from summation order cannot move a value across a bin edge."""
+    return F.round(F.col(feature).cast("double"), VALUE_DIGITS)
 
-    Values are rounded to 9 decimals (model vectors are float32 anyway) so that
-    last-bit noise from summation order cannot move a value across a bin edge.
-    """
-    arr = F.array(*[F.struct(F.lit(f).alias("feature"),
-                             F.round(F.col(f).cast("double"), VALUE_DIGITS).alias("value"))
-                    for f in features])
-    long = df.select(F.inline(arr))
-    return long.filter(F.col("value").isNotNull() & ~F.isnan("value") &
-                       (F.abs(F.col("value")) < float("inf")))
+
+def with_sides(baseline: DataFrame, current: DataFrame, features: list[str]) -> DataFrame:
+    """Both tables as one with ``side``."""
+    return (baseline.select(*features, F.lit("b").alias("side"))
+            .unionByName(current.select(*features, F.lit("c").alias("side"))))
 
 
-def psi_edges(baseline_long: DataFrame, bins: int = 10) -> DataFrame:
-    """De-duplicated baseline quantile edges per feature, as a sorted array."""
-    probs = [i / bins for i in range(bins + 1)]
-    q = grouped_quantiles(baseline_long, "feature", "value", probs)
-    return q.groupBy("feature").agg(F.array_sort(F.collect_set("q")).alias("edges"))
+def baseline_edges(sided: DataFrame, bins: dict[str, int]) -> dict[str, list[float]]:
+    """De-duplicated baseline quantile edges of every feature."""
+    got = column_quantiles(sided.where("side = 'b'"), {f: value_of(f) for f in bins},
+                           {f: [i / k for i in range(k + 1)] for f, k in bins.items()})
+    return {f: sorted(set(q)) for f, q in got.items()}
 
 
-def psi(baseline_long: DataFrame, current_long: DataFrame, bins: int = 10) -> DataFrame:
-    """A14 + A15 per feature: ``(feature, psi, n_edges, rate_shift_abs)``.
+def psi(sided: DataFrame, bins: dict[str, int]) -> DataFrame:
+    """A14 + A15 and the means per feature: ``(feature, psi, n_edges,
+    rate_shift_abs, baseline_mean, current_mean, nb, nc)``.
 
     With fewer than 3 distinct edges the rate form is used:
     ``|b - c| * ln(max(c, 1e-6) / max(b, 1e-6))`` on the means (negative when
     the rate falls, kept as is); ``rate_shift_abs`` reports ``|b - c|``.
     """
-    edges = psi_edges(baseline_long, bins)
-    # at most one row per feature: broadcast is bounded by the feature count
-    e = F.broadcast(edges.withColumn("n_bins", F.size("edges") - 1)
-                    .withColumn("inner", F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))))
-    sides = (baseline_long.withColumn("side", F.lit("b"))
-             .unionByName(current_long.withColumn("side", F.lit("c"))))
-    binned = sides.join(e.select("feature", "inner"), "feature").withColumn(
-        "bin", F.size(F.filter("inner", lambda x: x <= F.col("value"))))
-    counts = binned.groupBy("feature", "side", "bin").agg(F.count(F.lit(1)).alias("cnt"))
-    means = sides.groupBy("feature").agg(
-        F.count(F.when(F.col("side") == "b", 1)).alias("nb"),
-        F.count(F.when(F.col("side") == "c", 1)).alias("nc"),
-        F.avg(F.when(F.col("side") == "b", F.col("value"))).alias("b_rate"),
-        F.avg(F.when(F.col("side") == "c", F.col("value"))).alias("c_rate"))
-    # every bin of every feature, zero-filled
-    grid = e.select("feature", "n_bins", F.explode(F.sequence(F.lit(0), F.greatest(
-        F.col("n_bins") - 1, F.lit(0)))).alias("bin"))
-    cb = counts.filter(F.col("side") == "b").select("feature", "bin", F.col("cnt").alias("b"))
-    cc = counts.filter(F.col("side") == "c").select("feature", "bin", F.col("cnt").alias("c"))
-    full = (grid.join(cb, ["feature", "bin"], "left").join(cc, ["feature", "bin"], "left")
-                .fillna(0, ["b", "c"]))
-    tot = full.groupBy("feature").agg(F.sum("b").alias("tb"), F.sum("c").alias("tc"),
-                                      F.max("n_bins").alias("k"))
-    full = full.join(tot, "feature")
-    bp = (F.col("b") + 0.5) / (F.col("tb") + 0.5 * F.col("k"))
-    cp = (F.col("c") + 0.5) / (F.col("tc") + 0.5 * F.col("k"))
-    binned_psi = full.groupBy("feature").agg(F.sum((cp - bp) * F.log(cp / bp)).alias("psi_bins"))
-    out = (means.join(edges.select("feature", F.size("edges").alias("n_edges")), "feature", "left")
-                .join(binned_psi, "feature", "left"))
+    edges = baseline_edges(sided, bins)
+    names = list(bins)
+    long = long_form(sided, [F.struct(finite(value_of(f)).alias("x"), F.col(f).cast("double").alias("raw"))
+                             for f in names], "side")
+    long = long.select("side", "c", F.col("x.x").alias("x"), F.col("x.raw").alias("raw"))
+    # bin: number of inner edges reached; none for values that are not finite
+    placed = with_place(long, [edges.get(f, [])[1:-1] for f in names], "bin")
+    label = F.array(*map(F.lit, names))
+    counts = (placed.groupBy("c", "side", F.when(F.col("x").isNotNull(), F.col("bin")).alias("bin"))
+              .agg(F.count("x").alias("n"), F.sum("x").alias("s"), F.count("raw").alias("n_raw"),
+                   F.sum("raw").alias("s_raw")).withColumn("feature", F.get(label, F.col("c"))))
+
+    def side(s: str, col: str) -> Column:
+        return F.sum(F.when(F.col("side") == s, F.col(col)))
+
+    most = max(bins.values(), default=0)
+    wide = counts.groupBy("feature").agg(
+        *[F.coalesce(side(s, "n"), F.lit(0)).alias("n" + s) for s in "bc"],
+        *[(side(s, "s") / F.nullif(side(s, "n"), F.lit(0))).alias(s + "_rate") for s in "bc"],
+        *[(side(s, "s_raw") / F.nullif(side(s, "n_raw"), F.lit(0))).alias(s + "_mean") for s in "bc"],
+        *[F.coalesce(F.sum(F.when((F.col("side") == s) & (F.col("bin") == i), F.col("n"))), F.lit(0))
+          .alias(f"{s}{i}") for s in "bc" for i in range(most)])
+    sizes = F.create_map(*[F.lit(x) for f in bins for x in (f, len(edges.get(f, [])))])
+    wide = wide.withColumn("n_edges", F.element_at(sizes, F.col("feature")))
+    k = F.greatest(F.col("n_edges") - 1, F.lit(1))
+    total = F.lit(0.0)
+    for i in range(most):
+        bp, cp = ((F.col(f"{s}{i}") + 0.5) / (F.col("n" + s) + 0.5 * k) for s in "bc")
+        total = total + F.when(F.lit(i) < k, (cp - bp) * F.log(cp / bp)).otherwise(0.0)
     b, c = F.col("b_rate"), F.col("c_rate")
-    fallback = F.abs(b - c) * F.log(F.greatest(c, F.lit(1e-6)) / F.greatest(b, F.lit(1e-6)))
+    rate = F.abs(b - c) * F.log(F.greatest(c, F.lit(1e-6)) / F.greatest(b, F.lit(1e-6)))
     value = (F.when((F.col("nb") < 2) | (F.col("nc") < 2), 0.0)
-              .when(F.col("n_edges") < 3, fallback).otherwise(F.col("psi_bins")))
-    return out.select("feature", value.alias("psi"), "n_edges",
-                      F.abs(b - c).alias("rate_shift_abs"), "nb", "nc")
+              .when(F.col("n_edges") < 3, rate).otherwise(total))
+    return wide.select("feature", value.alias("psi"), "n_edges", F.abs(b - c).alias("rate_shift_abs"),
+                       F.col("b_mean").alias("baseline_mean"), F.col("c_mean").alias("current_mean"),
+                       "nb", "nc")
 
 
 def status(psi_col) -> F.Column:
@@ -88,31 +89,17 @@ def status(psi_col) -> F.Column:
              .when(psi_col < PSI_INVESTIGATE, "monitor").otherwise("investigate"))
 
 
-def drift_report(baseline: DataFrame, current: DataFrame, features: list[str]) -> DataFrame:
-    """Per feature PSI, means, % shift and status."""
-    bl, cl = to_long(baseline, features), to_long(current, features)
-    p = psi(bl, cl)
-    means = (to_long_all(baseline, features, "b").unionByName(to_long_all(current, features, "c"))
-             .groupBy("feature").agg(
-                 F.avg(F.when(F.col("side") == "b", F.col("value"))).alias("baseline_mean"),
-                 F.avg(F.when(F.col("side") == "c", F.col("value"))).alias("current_mean")))
-    r = p.join(means, "feature")
+def drift_report(sided: DataFrame, features: list[str], score: str | None = None) -> DataFrame:
+    """Per feature PSI, means, % shift and status; with ``score`` also A17,
+    its PSI with 20 bins, as a further row."""
+    bins = {f: PSI_BINS for f in features} | ({score: SCORE_BINS} if score else {})
     shift = 100.0 * (F.col("current_mean") - F.col("baseline_mean")) / F.greatest(
         F.abs(F.col("baseline_mean")), F.lit(1e-9))
-    return r.select("feature", "psi", "baseline_mean", "current_mean",
-                    shift.alias("mean_shift_pct"), status(F.col("psi")).alias("status"),
-                    "rate_shift_abs")
-
-
-def to_long_all(df: DataFrame, features: list[str], side: str) -> DataFrame:
-    """(feature, value, side) keeping every value (means use all rows)."""
-    arr = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"))
-                    for f in features])
-    return df.select(F.inline(arr)).withColumn("side", F.lit(side))
+    return psi(sided, bins).select("feature", "psi", "baseline_mean", "current_mean",
+                                   shift.alias("mean_shift_pct"), status(F.col("psi")).alias("status"),
+                                   "rate_shift_abs")
 
 
-def score_psi(baseline: DataFrame, current: DataFrame, score: str = "risk_score",
-              bins: int = 20) -> DataFrame:
+def score_psi(sided: DataFrame, score: str = "risk_score", bins: int = SCORE_BINS) -> DataFrame:
     """PSI of the score with 20 bins."""
-    p = psi(to_long(baseline, [score]), to_long(current, [score]), bins)
-    return p.select("psi", status(F.col("psi")).alias("status"))
+    return psi(sided, {score: bins}).select("psi", status(F.col("psi")).alias("status"))

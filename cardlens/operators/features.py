@@ -4,28 +4,27 @@ Semantics: a row sees only *committed* rows of the same card that come before
 it in ``(event_us, seq)`` order; a window of length L includes age == L; an
 earlier row at the same instant is seen, a later one is not.
 
-Physical plan: one timeline per card, split into slices (14 days by default),
-with all state as rows of the timeline, so that every feature is a running
-aggregate and a row costs the same on a quiet and on a hot card.
-
-* **Sliding counts, sums and maxima** (1 h, 24 h, 7 d) use tiles as long as the
-  window.  A window that ends in one tile is a suffix of the tile before and a
-  prefix of its own.  The prefix is a running aggregate in time order.  For the
-  suffix every committed row is also put in at the time when it leaves the
-  window, which lies in the next tile; a running aggregate in reverse time
-  order over these rows holds exactly those that have not left yet.  Nothing is
-  subtracted, so sums carry no rounding from rows outside the window.
-* **Distinct values** are intervals.  In a tile a value counts from its first
-  occurrence on; its last occurrence in the tile before counts until it leaves
-  the window or the value occurs again.  Both ends are *marks*, one each for
-  (card, value, tile), and the count is the number of marks passed, in the same
-  two directions.
-* **All-time state** enters a slice as rows at its start: one with the moments
-  of all earlier slices, and one for each value already seen, which only the
-  novelty windows count.
-* Tiles nest in slices and order like time, so all running aggregates of one
-  direction share one sort, and both directions share one shuffle by
-  ``(card_id, slice)``.
+Physical plan: rows are dealt by ``(card_id, slice)``, slices being whole weeks
+(14 days by default), so a busy card is one task a slice.  Committed rows of the
+last 7 days of a slice also stand in the next one as *context*.  Every feature
+is a running aggregate, so a row costs the same on a quiet and on a hot card:
+
+* **Sliding counts and sums** (1 h, 24 h, 7 d): a committed row adds at its own
+  time and, as a *leave row*, takes away at the time when it leaves the window.
+  Sums are decimals, so what is taken away is exactly what was added.
+* **Distinct values** are intervals.  One window by value finds for every
+  committed row the neighbours with the same value.  A row adds 1 if its value
+  is not present, and its leave row takes 1 away if the value has not occurred
+  again by then; the count is a running sum, too.
+* **The sliding maximum** uses tiles as long as the window.  A window that ends
+  in one tile is a prefix of that tile and a suffix of the one before: a running
+  maximum in time order over rows, and one in reverse order over leave rows.
+* **All-time state** enters a slice from outside: a row with the moments of all
+  earlier slices, and *seed rows*, one for each value seen before, which only
+  the windows by value read.
+
+All windows ask for rows by ``(card_id, slice)``, so there is one shuffle; the
+forward windows share one sort.
 """
 
 from __future__ import annotations
@@ -44,10 +43,7 @@ _NOVELTY = (("merchant", "merchant_key"), ("device", "device_key"), ("country",
 _DISTINCT = (("merchant", "merchant_key", DAY_US), ("country", "country_key", WEEK_US),
              ("device", "device_key", WEEK_US))
 
-# Rows of the timeline, in the order in which they stand at one place: state at
-# a slice's start, the transaction, from where a value counts, and until where a
-# value or a row does.
-_SEED, _OWN, _FROM, _UNTIL = range(4)
+_EXACT = "decimal(38,12)"
 _FIRST_SEQ, _LAST_SEQ = -(1 << 63), (1 << 63) - 1
 
 
@@ -93,9 +89,8 @@ def intrinsic_columns() -> dict[str, Column]:
     }
 
 
-def _hour_rad() -> Column:
-    hour = F.floor(F.pmod(F.col("event_us"), F.lit(DAY_US)) / HOUR_US)
-    return F.radians(hour * 15.0)
+def _hour_rad(us: Column) -> Column:
+    return F.radians(F.floor(F.pmod(us, F.lit(DAY_US)) / HOUR_US) * 15.0)
 
 
 def _bucket_col(bucket_us: int) -> Column:
@@ -106,7 +101,7 @@ def _slice_state(rows: DataFrame) -> DataFrame:
     """Per (card, slice): moments and last time of committed rows in earlier
     slices."""
     c = F.col("commit")
-    rad = _hour_rad()
+    rad = _hour_rad(F.col("event_us"))
     per_slice = rows.groupBy("card_id", "bucket").agg(
         F.count(F.when(c, 1)).alias("n"), F.sum(F.when(c, F.col("amount"))).alias("s"),
         F.sum(F.when(c, F.col("amount") * F.col("amount"))).alias("ss"),
@@ -132,145 +127,119 @@ def _seen_before(rows: DataFrame) -> DataFrame:
             .select("card_id", "bucket", "kind", "value"))
 
 
-def _distinct_marks(rows: DataFrame) -> DataFrame:
-    """(card, kind, role, pos_us, pos_seq): for every value and tile of its
-    window's length the row from which it counts, and the moment until which
-    its last occurrence counts in the next tile."""
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(col).alias("value"),
-                               F.lit(length).alias("len"))
-                      for k, col, length in _DISTINCT])
-    pos = F.struct(F.col("event_us").alias("us"), F.col("seq").alias("sq"))
-    tiles = (rows.where("commit").select("card_id", pos.alias("pos"), F.inline(kinds))
-             .where("value is not null")
-             .groupBy("card_id", "kind", "value", "len",
-                      F.floor(F.col("pos.us") / F.col("len")).alias("tile"))
-             .agg(F.min("pos").alias("first"), F.max("pos").alias("last")))
-    by_value = Window.partitionBy("card_id", "kind", "value").orderBy("tile")
-    again = F.lead(F.struct("tile", "first")).over(by_value)
-    leaves = F.col("last.us") + F.col("len")
-    until = F.when((F.col("again.tile") == F.col("tile") + 1) & (F.col("again.first.us") <= leaves),
-                   F.col("again.first")).otherwise(
-        F.struct(leaves.alias("us"), F.lit(_LAST_SEQ).alias("sq")))
-    marks = F.array(F.struct(F.lit(_FROM).alias("role"), F.col("first").alias("pos")),
-                    F.struct(F.lit(_UNTIL).alias("role"), F.col("until").alias("pos")))
-    return (tiles.withColumn("again", again).withColumn("until", until)
-            .select("card_id", "kind", F.inline(marks))
-            .select("card_id", "kind", "role", F.col("pos.us").alias("pos_us"),
-                    F.col("pos.sq").alias("pos_seq")))
-
-
-def _timeline(base: DataFrame, bucket_us: int) -> DataFrame:
-    """All rows of the timeline, see the module text.  Own rows carry the
-    transaction as ``_row``; ``shift`` names the window that a committed row
-    leaves."""
-    own = F.struct(F.lit(_OWN).alias("role"), F.lit(0).cast("long").alias("shift"))
-    leave = [F.struct(F.lit(_UNTIL).alias("role"), F.lit(n).cast("long").alias("shift"))
-             for n in (HOUR_US, DAY_US, WEEK_US)]
-    times = F.when(F.col("commit"), F.array(own, *leave)).otherwise(F.array(own))
-    whole = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in base.columns])
-    is_own = F.col("role") == _OWN
-    rows = (base.select("card_id", "event_us", "seq", "commit", "amount", whole.alias("_row"),
-                        F.inline(times))
-            .select("card_id", (F.col("event_us") + F.col("shift")).alias("pos_us"),
-                    F.when(is_own, F.col("seq")).otherwise(_LAST_SEQ).alias("pos_seq"), "role",
-                    "shift", F.when(is_own, F.col("_row")).alias("_row"),
+def _rows(base: DataFrame, bucket_us: int) -> DataFrame:
+    """Own rows, context rows (``ctx``) and seed rows (``seed_kind``) of every slice."""
+    end = (F.col("bucket") + 1) * F.lit(bucket_us)
+    again = F.col("commit") & (F.col("event_us") >= end - F.lit(WEEK_US))
+    later = F.when(again, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = base.withColumn("_later", F.explode(later)).withColumns({
+        "bucket": F.col("bucket") + F.col("_later"), "ctx": F.col("_later") == 1,
+        "seed_kind": F.lit(None).cast("string")}).drop("_later")
+    seeds = _seen_before(base).select(
+        "card_id", "bucket", F.lit(False).alias("commit"), F.lit(True).alias("ctx"),
+        F.col("kind").alias("seed_kind"),
+        *[F.when(F.col("kind") == k, F.col("value")).alias(col) for k, col in _NOVELTY])
+    return rows.unionByName(seeds, allowMissingColumns=True)
+
+
+def _by_value(rows: DataFrame) -> DataFrame:
+    """For every kind of value: ``_new`` (no committed row had it before),
+    ``_in`` (it is not in the sliding window of a committed row) and ``_next``
+    (when a committed row has it next).  Seed rows end here."""
+    pos = F.struct("event_us", "seq")
+    for kind, key, length in _DISTINCT:
+        # seeds, committed rows in time order, quotes
+        w = Window.partitionBy("card_id", "bucket", key).orderBy(
+            F.col("seed_kind").eqNullSafe(kind).desc(), F.col("commit").desc(), "event_us", "seq")
+        sofar = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        own = F.col("commit") & ~F.col("ctx")
+        first = F.min(F.when(own, pos)).over(sofar)
+        before = F.lag(F.when(F.col("commit"), F.col("event_us"))).over(w)
+        rows = rows.withColumns({
+            f"_seed_{kind}": F.max(F.col("seed_kind").eqNullSafe(kind)).over(sofar),
+            f"_first_{kind}": first, f"_before_{kind}": before,
+            f"_next_{kind}": F.lead(F.when(F.col("commit"), F.col("event_us"))).over(w)})
+        seen = F.col(f"_seed_{kind}") | F.coalesce(F.col(f"_first_{kind}") < pos, F.lit(False))
+        enters = F.col("commit") & F.col(key).isNotNull() & F.coalesce(
+            F.col(f"_before_{kind}") + length < F.col("event_us"), F.lit(True))
+        rows = rows.withColumns({f"_new_{kind}": ~seen, f"_in_{kind}": enters}).drop(
+            f"_seed_{kind}", f"_first_{kind}", f"_before_{kind}")
+    return rows.where("seed_kind is null")
+
+
+def _timeline(rows: DataFrame, bucket_us: int, keep: list[str]) -> DataFrame:
+    """Rows and their leave rows by time, ``shift`` being 0 or the window that a
+    row leaves.  Own rows carry the transaction as ``_row``."""
+    times = F.when(F.col("commit"), F.array(*[F.lit(n).cast("long") for n in (0, HOUR_US, DAY_US, WEEK_US)])
+                   ).otherwise(F.array(F.lit(0).cast("long")))
+    whole = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in keep],
+                     *[f"_new_{kind}" for kind, _, _ in _DISTINCT])
+    stays = F.col("shift") == 0
+    pos = F.col("event_us") + F.col("shift")
+    start = F.col("bucket") * F.lit(bucket_us)
+
+    def step(kind: str, key: str, length: int) -> Column:
+        leaves = (F.col("shift") == length) & F.col(key).isNotNull() & ~F.coalesce(
+            F.col(f"_next_{kind}") <= pos, F.lit(False))
+        return F.when(stays & F.col(f"_in_{kind}"), 1).when(leaves, -1).alias(f"_d_{kind}")
+    return (rows.withColumn("shift", F.explode(times))
+            .where(stays | (pos < start + F.lit(bucket_us)))
+            .select("card_id", "bucket", "shift", pos.alias("pos_us"),
+                    F.floor(pos / F.lit(DAY_US)).cast("long").alias("day"),
+                    F.when(stays, F.col("seq")).otherwise(_LAST_SEQ).alias("pos_seq"),
+                    (stays & F.col("commit")).alias("hist"),
+                    (stays & F.col("commit") & ~F.col("ctx")).alias("own"),
                     F.when(F.col("commit"), F.col("amount").cast("double")).alias("amt"),
-                    F.when(F.col("commit"), 1).alias("one")))
-    start = (F.col("bucket") * F.lit(bucket_us)).alias("pos_us")
-    first = [start, F.lit(_FIRST_SEQ).alias("pos_seq"), F.lit(_SEED).alias("role")]
-    state = _slice_state(base).select(
-        "card_id", *first, F.struct("n", "s", "ss", "sin", "cos", "last").alias("carry"))
-    seen = _seen_before(base).select("card_id", *first, "kind", "value")
-    out = rows
-    for more in (state, seen, _distinct_marks(base)):
-        out = out.unionByName(more, allowMissingColumns=True)
-    us = F.col("pos_us")
-    tiles = {"t7": WEEK_US, "t24": DAY_US, "t1": HOUR_US}
-    out = out.withColumns({"bucket": F.floor(us / F.lit(bucket_us)).cast("long"),
-                           **{t: F.floor(us / F.lit(n)).cast("long") for t, n in tiles.items()}})
-    return out.withColumns({f"r{t[1:]}": -F.col(t) for t in tiles})
-
-
-def _running(depth: int, reverse: bool = False):
-    """Window over the slice (depth 0) or over tiles of 7 d, 24 h, 1 h (1 to 3):
-    all rows before this one, or in reverse time all rows up to this one.  Every
-    depth asks for the same order of rows."""
-    parts = ["card_id", "bucket"]
-    if reverse:
-        tiles = [F.col(c) for c in ("r7", "r24", "r1")]
-        order = [F.desc("pos_us"), F.desc("pos_seq"), F.desc("role")]
-    else:
-        tiles = [F.col(c) for c in ("t7", "t24", "t1")]
-        order = ["pos_us", "pos_seq", "role"]
-    return (Window.partitionBy(*parts, *tiles[:depth]).orderBy(*tiles[depth:], *order)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow if reverse else -1))
+                    *[step(*d) for d in _DISTINCT],
+                    F.when(stays & ~F.col("ctx"), whole).alias("_row")))
 
 
 def card_features(txn: DataFrame, bucket_days: int = DEFAULT_BUCKET_DAYS) -> DataFrame:
     """F1-F28 for every row of ``txn`` (an optional boolean ``commit`` column
     marks quotes: they are scored but never become history).  Slices are whole
-    weeks, at least ``bucket_days``."""
+    weeks, at least ``bucket_days``.  Amounts that are not finite are no part of
+    sliding sums."""
     if bucket_days < 7:
         raise ValueError("bucket_days must cover the 7-day frame")
     bucket_us = -(-bucket_days // 7) * WEEK_US
     base = normalized(txn).withColumn("bucket", _bucket_col(bucket_us))
-    rows = _timeline(base, bucket_us).repartition("card_id", "bucket")
-
-    own = (F.col("role") == _OWN) & F.col("one").isNotNull()
-    amt, carry = F.when(own, F.col("amt")), F.col("carry")
-    rad = F.radians(F.floor(F.pmod(F.col("pos_us"), F.lit(DAY_US)) / HOUR_US) * 15.0)
-
-    def mark(kind: str, role: int) -> Column:
-        return F.when((F.col("role") == role) & (F.col("kind") == kind), 1)
-
-    def running(name: str, value: Column) -> Column:
-        return F.sum(F.coalesce(carry[name].cast("double"), F.when(own, value))).over(_running(0))
-
-    forward = {
-        "_n": F.sum(F.coalesce(carry["n"], F.when(own, 1))).over(_running(0)),
-        "_s": running("s", F.col("amt")), "_ss": running("ss", F.col("amt") * F.col("amt")),
-        "_sin": running("sin", F.sin(rad)), "_cos": running("cos", F.cos(rad)),
-        "_last_us": F.max(F.coalesce(carry["last"], F.when(own, F.col("pos_us")))).over(_running(0)),
-    }
-    backward = {}
-    for name, depth, length in (("7d", 1, WEEK_US), ("24h", 2, DAY_US), ("1h", 3, HOUR_US)):
-        ahead, back = _running(depth), _running(depth, reverse=True)
+    rows = _rows(base, bucket_us).repartition("card_id", "bucket")
+    line = _timeline(_by_value(rows), bucket_us, base.columns)
+    state = _slice_state(base).select(
+        "card_id", "bucket", (F.col("bucket") * F.lit(bucket_us)).alias("pos_us"),
+        F.floor(F.col("bucket") * F.lit(bucket_us) / F.lit(DAY_US)).cast("long").alias("day"),
+        F.lit(_FIRST_SEQ).alias("pos_seq"), F.struct("n", "s", "ss", "sin", "cos", "last").alias("carry"))
+    line = line.unionByName(state, allowMissingColumns=True).repartition("card_id", "bucket")
+
+    in_time = ["pos_us", "pos_seq"]
+    w = (Window.partitionBy("card_id", "bucket").orderBy("day", *in_time)
+         .rowsBetween(Window.unboundedPreceding, -1))
+    w_day = (Window.partitionBy("card_id", "bucket", "day").orderBy(*in_time)
+             .rowsBetween(Window.unboundedPreceding, -1))
+    w_back = (Window.partitionBy("card_id", "bucket", "day").orderBy(*[F.desc(c) for c in in_time])
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    own, hist, amt, carry = F.col("own"), F.col("hist"), F.col("amt"), F.col("carry")
+    exact = amt.try_cast(_EXACT)
+    rad = _hour_rad(F.col("pos_us"))
+
+    def moment(name: str, value: Column) -> Column:
+        return F.sum(F.coalesce(carry[name], F.when(own, value))).over(w)
+
+    cols = {"_n": moment("n", F.lit(1).cast("long")), "_s": moment("s", amt), "_ss": moment("ss", amt * amt),
+            "_sin": moment("sin", F.sin(rad)), "_cos": moment("cos", F.cos(rad)),
+            "_last_us": F.max(F.coalesce(carry["last"], F.when(hist, F.col("pos_us")))).over(w)}
+    for name, length in (("1h", HOUR_US), ("24h", DAY_US), ("7d", WEEK_US)):
         left = F.col("shift") == length
-        forward[f"_c{name}"] = F.count(F.when(own, 1)).over(ahead)
-        backward[f"_c{name}_"] = F.count(F.when(left, 1)).over(back)
+        cols[f"_c{name}"] = F.sum(F.when(hist, 1).when(left, -1)).over(w)
         if name != "7d":
-            forward[f"_s{name}"] = F.sum(amt).over(ahead)
-            backward[f"_s{name}_"] = F.sum(F.when(left, F.col("amt"))).over(back)
-        if name == "24h":
-            forward["_max"] = F.max(amt).over(ahead)
-            backward["_max_"] = F.max(F.when(left, F.col("amt"))).over(back)
-        for kind, _, window in _DISTINCT:
-            if window == length:
-                forward[f"_d_{kind}"] = F.count(mark(kind, _FROM)).over(ahead)
-                backward[f"_d_{kind}_"] = F.count(mark(kind, _UNTIL)).over(back)
-    # one shuffle, one sort for each direction
-    framed = rows.withColumns(forward).withColumns(backward)
-
-    # seeds of values seen before stay for the novelty windows
-    is_own = F.col("role") == _OWN
-    framed = framed.where(is_own | ((F.col("role") == _SEED) & F.col("kind").isNotNull()))
-    seen = {}
-    for kind, key in _NOVELTY:
-        seed = (F.col("role") == _SEED) & (F.col("kind") == kind)
-        framed = framed.withColumn(f"_k_{kind}", F.when(is_own, F.col("_row")[key])
-                                   .when(seed, F.col("value")))
-        w_key = Window.partitionBy("card_id", "bucket", f"_k_{kind}").orderBy(
-            "pos_us", "pos_seq", "role").rowsBetween(Window.unboundedPreceding, -1)
-        seen[f"_seen_{kind}"] = F.count(F.when(own | seed, 1)).over(w_key) > 0
-    framed = framed.withColumns(seen).where(is_own)
-    made = [c for c in framed.columns if c.startswith("_") and c != "_row"]
-    framed = framed.select("_row.*", *made)
-
-    def both(name: str) -> Column:
-        return F.col(name) + F.col(name + "_")
-
-    def total(name: str) -> Column:
-        return F.coalesce(F.col(name), F.lit(0.0)) + F.coalesce(F.col(name + "_"), F.lit(0.0))
+            cols[f"_s{name}"] = F.sum(F.when(hist, exact).when(left, -exact)).over(w)
+    for kind, _, _ in _DISTINCT:
+        cols[f"_n_{kind}"] = F.sum(f"_d_{kind}").over(w)
+    cols["_max"] = F.max(F.when(hist, amt)).over(w_day)
+    framed = line.withColumns(cols).where(F.col("_row").isNotNull() | (F.col("shift") == DAY_US))
+    framed = framed.withColumn("_max_", F.max(F.when(F.col("shift") == DAY_US, amt)).over(w_back))
+    made = [*cols, "_max_"]
+    framed = framed.where("_row is not null").select("_row.*", *made)
 
     n = F.coalesce(F.col("_n"), F.lit(0))
     mean = F.col("_s") / n
@@ -285,29 +254,32 @@ def card_features(txn: DataFrame, bucket_days: int = DEFAULT_BUCKET_DAYS) -> Dat
     hour_dev = F.when(n >= 3, F.least(diff, 24.0 - diff)).otherwise(0.0)
     secs = F.when(F.col("_last_us").isNull(), F.lit(WEEK_S)).otherwise(
         F.least((F.col("event_us") - F.col("_last_us")) / 1e6, F.lit(WEEK_S)))
-    s1h, s24h = F.col("_sum1h"), F.col("_sum24h")
+    s1h, s24h = (F.coalesce(_d(F.col(c)), F.lit(0.0)) for c in ("_s1h", "_s24h"))
     vel = F.when(s24h > 0, clip(s1h / F.greatest(s24h / 24.0, F.lit(1e-6)), 0.0, 500.0)) \
            .otherwise(0.0)
 
+    def count(name: str) -> Column:
+        return F.coalesce(_d(F.col(name)), F.lit(0.0))
+
     def novel(kind: str) -> Column:
-        return F.when(F.col(f"_seen_{kind}"), 0.0).otherwise(1.0)
+        return F.when(F.col(f"_new_{kind}"), 1.0).otherwise(0.0)
 
-    out = framed.withColumns({"_sum1h": total("_s1h"), "_sum24h": total("_s24h")}).withColumns({
+    out = framed.withColumns({
         **intrinsic_columns(),
         "amount_zscore_card": zscore,
         "amount_ratio_card_mean": ratio,
         "hour_deviation_card": _d(hour_dev),
-        "card_txn_count_1h": _d(both("_c1h")),
-        "card_txn_count_24h": _d(both("_c24h")),
-        "card_txn_count_7d": _d(both("_c7d")),
+        "card_txn_count_1h": count("_c1h"),
+        "card_txn_count_24h": count("_c24h"),
+        "card_txn_count_7d": count("_c7d"),
         "card_amount_sum_1h": s1h,
         "card_amount_sum_24h": s24h,
         "card_amount_max_24h": F.coalesce(F.greatest("_max", "_max_"), F.lit(0.0)),
         "card_seconds_since_last": secs,
         "card_velocity_ratio": vel,
-        "card_distinct_merchants_24h": _d(both("_d_merchant")),
-        "card_distinct_countries_7d": _d(both("_d_country")),
-        "card_distinct_devices_7d": _d(both("_d_device")),
+        "card_distinct_merchants_24h": count("_n_merchant"),
+        "card_distinct_countries_7d": count("_n_country"),
+        "card_distinct_devices_7d": count("_n_device"),
         "is_new_merchant_for_card": novel("merchant"),
         "is_new_device_for_card": novel("device"),
         "is_new_country_for_card": novel("country"),

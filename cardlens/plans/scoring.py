@@ -26,14 +26,15 @@ from cardlens.models.attribution import tree_table, with_contributions
 from cardlens.operators.decide import decide, top_reasons
 from cardlens.operators.evaluate import class_weight
 from cardlens.operators.features import assert_model_inputs
-from cardlens.operators.quantiles import quantiles
+from cardlens.operators.quantiles import column_quantiles, quantiles
 from cardlens.plans.features import split_feature_table
 from cardlens.session import materialize
 
 
 def _bounds(df: DataFrame, col: str, lo_p: float, hi_p: float) -> tuple[float, float]:
-    q = {r["p_idx"]: r["q"] for r in quantiles(df, col, [lo_p, hi_p]).collect()}
-    lo, hi = float(q.get(0, 0.0)), float(q.get(1, 1.0))
+    lo, hi = quantiles(df, col, [lo_p, hi_p])
+    if lo is None:
+        return 0.0, 1.0
     return lo, (hi if hi > lo else lo + 1e-6)
 
 
@@ -98,11 +99,12 @@ def score_transactions(txn: DataFrame, gbt_iters: int = 40, n_trees: int = 300,
 
     # A19 reference medians on legitimate validation rows, then M5 + decisions
     vl = win.filter((F.col("split") == "valid") & (F.col("is_fraud") == 0))
-    ref_if = quantiles(vl, "anomaly_score", [0.5]).select("q").scalar()
-    ref_seq = quantiles(vl, "sequence_score", [0.5]).select("q").scalar()
+    refs = column_quantiles(vl, {c: F.col(c) for c in ("anomaly_score", "sequence_score")},
+                            {c: [0.5] for c in ("anomaly_score", "sequence_score")})
+    ref_if, ref_seq = (refs.get(c, [0.5])[0] for c in ("anomaly_score", "sequence_score"))
     out = win.withColumn("supervised_score", F.col("p_cal")).withColumn(
         "risk_score", blend_logit(F.col("p_cal"), F.col("anomaly_score"), F.col("sequence_score"),
-                                  F.coalesce(ref_if, F.lit(0.5)), F.coalesce(ref_seq, F.lit(0.5))))
+                                  F.lit(ref_if), F.lit(ref_seq)))
     decided = materialize(decide(out))
 
     # R3 + M7: reasons only for declines, attributed from the tree model, joined back

@@ -186,7 +186,7 @@ def alert_top_features(spark, sf):
 # ---------------------------------------------------------------- evaluation
 from cardlens.functions.scoring import minmax_calibrate  # noqa: E402
 from cardlens.operators import evaluate as ev  # noqa: E402
-from cardlens.operators.drift import drift_report, psi_edges, score_psi, to_long  # noqa: E402
+from cardlens.operators.drift import PSI_BINS, baseline_edges, drift_report, score_psi  # noqa: E402
 from cardlens.operators.drift import psi as psi_table  # noqa: E402
 from cardlens.operators.fairness import bias_summary, segment_metrics  # noqa: E402
 from cardlens.operators.quantiles import quantiles  # noqa: E402
@@ -265,12 +265,9 @@ def feature_moments(spark, sf):
     return _round_all(long.withColumn("std", F.when(F.col("std") < 1e-6, 1.0).otherwise(F.col("std"))))
 
 
-def _bounds(df: DataFrame, col: str, lo_p: float, hi_p: float) -> DataFrame:
-    q = quantiles(df, col, [lo_p, hi_p])
-    b = q.agg(F.max(F.when(F.col("p_idx") == 0, F.col("q"))).alias("lo"),
-              F.max(F.when(F.col("p_idx") == 1, F.col("q"))).alias("hi"))
-    return b.withColumn("hi", F.when(F.col("hi") <= F.col("lo"), F.col("lo") + 1e-6)
-                        .otherwise(F.col("hi")))
+def _bounds(df: DataFrame, col: str, lo_p: float, hi_p: float) -> tuple[float, float]:
+    lo, hi = quantiles(df, col, [lo_p, hi_p])
+    return lo, (lo + 1e-6 if lo is not None and hi <= lo else hi)
 
 
 def _legit_train(spark, sf) -> DataFrame:
@@ -282,16 +279,14 @@ def _legit_train(spark, sf) -> DataFrame:
 def calibration_bounds(spark, sf):
     """Detector raw-score bounds on legitimate training rows (1/99 and 5/99.5)."""
     lt = _legit_train(spark, sf)
-    a = _bounds(lt, "s_if", 0.01, 0.99).withColumn("detector", F.lit("iforest"))
-    b = _bounds(lt, "s_seq", 0.05, 0.995).withColumn("detector", F.lit("sequence"))
-    return _round_all(a.unionByName(b).select("detector", "lo", "hi"))
+    rows = [("iforest", *_bounds(lt, "s_if", 0.01, 0.99)), ("sequence", *_bounds(lt, "s_seq", 0.05, 0.995))]
+    return _round_all(spark.createDataFrame(rows, "detector string, lo double, hi double"))
 
 
 @register("calibrated_anomaly")
 def calibrated_anomaly(spark, sf):
     """Raw detector score mapped through the A18 bounds and clipped to [0, 1]."""
-    b = _bounds(_legit_train(spark, sf), "s_if", 0.01, 0.99)
-    lo, hi = b.select("lo").scalar(), b.select("hi").scalar()
+    lo, hi = map(F.lit, _bounds(_legit_train(spark, sf), "s_if", 0.01, 0.99))
     s = bindings.scored(spark, sf)
     return s.select("transaction_id", r6(minmax_calibrate(F.col("s_if"), lo, hi)).alias("anomaly_score"))
 
@@ -301,9 +296,8 @@ def reference_medians(spark, sf):
     """Median detector score on legitimate validation rows."""
     s = with_split(bindings.scored(spark, sf))
     v = s.filter((F.col("split") == "valid") & (F.col("is_fraud") == 0))
-    a = quantiles(v, "s_if", [0.5]).select(F.lit("iforest").alias("detector"), F.col("q").alias("median"))
-    b = quantiles(v, "s_seq", [0.5]).select(F.lit("sequence").alias("detector"), F.col("q").alias("median"))
-    return _round_all(a.unionByName(b))
+    rows = [("iforest", *quantiles(v, "s_if", [0.5])), ("sequence", *quantiles(v, "s_seq", [0.5]))]
+    return _round_all(spark.createDataFrame(rows, "detector string, median double"))
 
 
 @register("global_importance")
@@ -336,55 +330,50 @@ def bias_summary_q(spark, sf):
 
 
 # ---------------------------------------------------------------- drift
-def _base_cur(spark, sf) -> tuple[DataFrame, DataFrame]:
-    f = materialize(_split_features(spark, sf).select(
-        "transaction_id", "split", "risk_score", *FEATURE_NAMES))
-    return f.filter(F.col("split") == "train"), f.filter(F.col("split") == "test")
+def _sides(spark, sf) -> DataFrame:
+    """Features and score of the train (baseline) and test (current) rows, written once."""
+    f = _split_features(spark, sf).where("split in ('train', 'test')")
+    side = F.when(F.col("split") == "train", "b").otherwise("c")
+    return materialize(f.select("transaction_id", side.alias("side"), "risk_score", *FEATURE_NAMES))
 
 
 @register("psi_edges")
 def psi_edges_q(spark, sf):
-    b, _ = _base_cur(spark, sf)
-    e = psi_edges(to_long(b, list(FEATURE_NAMES)))
-    return _round_all(e.select("feature", F.posexplode("edges").alias("edge_idx", "edge")))
+    edges = baseline_edges(_sides(spark, sf), {f: PSI_BINS for f in FEATURE_NAMES})
+    rows = [(f, i, float(e)) for f, es in edges.items() for i, e in enumerate(es)]
+    return _round_all(spark.createDataFrame(rows, "feature string, edge_idx int, edge double"))
 
 
 @register("feature_psi")
 def feature_psi(spark, sf):
-    b, c = _base_cur(spark, sf)
-    p = psi_table(to_long(b, list(FEATURE_NAMES)), to_long(c, list(FEATURE_NAMES)))
+    p = psi_table(_sides(spark, sf), {f: PSI_BINS for f in FEATURE_NAMES})
     return _round_all(p.select("feature", "psi", "rate_shift_abs"))
 
 
 @register("drift_report")
 def drift_report_q(spark, sf):
-    b, c = _base_cur(spark, sf)
-    return _round_all(drift_report(b, c, list(FEATURE_NAMES)))
+    return _round_all(drift_report(_sides(spark, sf), list(FEATURE_NAMES)))
 
 
 @register("score_psi")
 def score_psi_q(spark, sf):
-    b, c = _base_cur(spark, sf)
-    return _round_all(score_psi(b, c))
+    return _round_all(score_psi(_sides(spark, sf)))
 
 
 @register("governance_findings")
 def governance_findings(spark, sf):
-    """Fairness, drift and the champion gate joined into one verdict."""
+    """Fairness, drift and the champion gate joined into one verdict.
+    The drift table (a row for each feature and one for the score) is written
+    once and read twice."""
     bias = _bias_summary(spark, sf)
-    b, c = _base_cur(spark, sf)
-    drift = drift_report(b, c, list(FEATURE_NAMES))
-    sp = score_psi(b, c)
+    drift = materialize(drift_report(_sides(spark, sf), list(FEATURE_NAMES), score="risk_score"))
+    bad = F.col("status") == "investigate"
+    is_score = F.col("feature") == "risk_score"
+    found = drift.agg(F.count(F.when(bad & ~is_score, 1)).alias("drift_flagged_features"),
+                      F.max(bad & is_score).alias("score_drift_investigate"))
     gate = ev.champion_gate(_test_window(spark, sf), "risk_score", "p_sup")
-    flagged = drift.filter(F.col("status") == "investigate").agg(
-        F.count(F.lit(1))).scalar()
-    score_bad = sp.select((F.col("status") == "investigate").alias("x")).scalar()
     out = bias.select(F.col("passed").alias("fairness_passed"), F.size("flags").alias("fairness_flags"))
-    out = out.withColumns({
-        "drift_flagged_features": flagged,
-        "score_drift_investigate": score_bad,
-        "gate_passed": gate.select("passed").scalar(),
-    })
+    out = ev.attach_scalars(out, found).withColumn("gate_passed", gate.select("passed").scalar())
     drift_ok = (F.col("drift_flagged_features") == 0) & ~F.col("score_drift_investigate")
     return out.withColumn("drift_passed", drift_ok).withColumn(
         "passed", F.col("fairness_passed") & drift_ok)
@@ -770,8 +759,8 @@ def score_iforest_q(spark, sf):
     legit = f.filter((F.col("split") == "train") & (F.col("is_fraud") == 0))
     model = fit_iforest(legit, list(FEATURE_NAMES))
     s = materialize(score_iforest(f.select("transaction_id", "seq", "split", "is_fraud", *FEATURE_NAMES), model))
-    b = _bounds(s.filter((F.col("split") == "train") & (F.col("is_fraud") == 0)), "iforest_raw", 0.01, 0.99)
-    lo, hi = b.select("lo").scalar(), b.select("hi").scalar()
+    lo, hi = map(F.lit, _bounds(s.filter((F.col("split") == "train") & (F.col("is_fraud") == 0)),
+                                "iforest_raw", 0.01, 0.99))
     return s.select("transaction_id", r6("iforest_raw").alias("iforest_raw"),
                     r6(minmax_calibrate(F.col("iforest_raw"), lo, hi)).alias("anomaly_score"))
 

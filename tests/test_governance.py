@@ -4,26 +4,61 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cardlens.operators import audit as au
-from cardlens.operators.drift import psi, to_long
+from cardlens.operators.drift import psi, with_sides
 from cardlens.operators.fairness import bias_summary, segment_metrics
-from cardlens.operators.quantiles import grouped_quantiles
+from cardlens.operators.quantiles import column_quantiles, quantiles
 
 
 def _psi(spark, b, c, bins=10):
     bd = spark.createDataFrame([(float(x),) for x in b], "x double")
     cd = spark.createDataFrame([(float(x),) for x in c], "x double")
-    return psi(to_long(bd, ["x"]), to_long(cd, ["x"]), bins).first()["psi"]
+    return psi(with_sides(bd, cd, ["x"]), {"x": bins}).first()["psi"]
 
 
 def test_quantiles_match_numpy(spark):
     rng = np.random.default_rng(3)
     vals = np.concatenate([rng.lognormal(3, 1, 3000), np.zeros(500), np.full(200, 7.0)])
-    df = spark.createDataFrame([("g", float(v)) for v in vals], "g string, v double")
+    df = spark.createDataFrame([(float(v),) for v in vals], "v double")
     probs = [0.0, 0.01, 0.1, 0.25, 0.5, 0.77, 0.9, 0.995, 1.0]
-    got = {r["p_idx"]: r["q"] for r in grouped_quantiles(df, "g", "v", probs, n_buckets=64).collect()}
     want = np.quantile(vals, probs)
-    for i, w in enumerate(want):
-        assert abs(got[i] - w) <= 1e-9 * max(1.0, abs(w))
+    for accuracy in (20, 10_000):   # wide brackets, and brackets narrower than a row
+        got = column_quantiles(df, {"v": F.col("v")}, {"v": probs}, accuracy)["v"]
+        for g, w in zip(got, want):
+            assert abs(g - w) <= 1e-9 * max(1.0, abs(w))
+
+
+def test_quantiles_of_many_columns_and_edges(spark):
+    rng = np.random.default_rng(5)
+    cols = {"heavy": rng.pareto(1.2, 4000) * 1e6, "ties": rng.integers(0, 3, 4000).astype(float),
+            "one": np.full(4000, -2.5), "gaps": np.where(rng.random(4000) < 0.3, np.nan, rng.normal(0, 1, 4000)),
+            "none": np.full(4000, np.inf), "few": np.where(np.arange(4000) < 2, 5.0 + np.arange(4000), np.nan)}
+    rows = list(zip(*[c.tolist() for c in cols.values()])) + [(None,) * len(cols)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols))
+    probs = [i / 10 for i in range(11)] + [0.005, 0.995]
+    got = column_quantiles(df, {c: F.col(c) for c in cols}, {c: probs for c in cols})
+    assert "none" not in got and set(got) == set(cols) - {"none"}
+    for c in got:
+        want = np.quantile(cols[c][np.isfinite(cols[c])], probs)
+        assert np.allclose(got[c], want, rtol=1e-12, atol=0)
+    assert quantiles(df.limit(0), "heavy", [0.1, 0.9]) == [None, None]
+
+
+def test_quantiles_of_a_heavy_tail_shuffle_few_rows(spark):
+    """Pareto(1.2): brackets follow ranks, so no zone that is ranked holds more
+    than 1 % of the rows."""
+    from cardlens.operators.quantiles import ACCURACY, _cuts, with_place
+    n = 200_000
+    df = spark.range(n).select((F.pow((F.col("id") + 0.5) / n, -1 / 1.2) * 1e6).alias("x"))
+    margin = 2.5 / ACCURACY
+    spans = [tuple(df.agg(F.percentile_approx("x", [p - margin, p + margin], ACCURACY)).first()[0])
+             for p in (0.1, 0.5, 0.9)]
+    zones = {r["zone"]: r["count"] for r in
+             with_place(df.withColumn("c", F.lit(0)), [_cuts(spans)], "zone")
+             .groupBy("zone").count().collect()}
+    assert all(zones[z] < 0.01 * n for z in (1, 3, 5)) and sum(zones.values()) == n
+    got = quantiles(df, "x", [0.1, 0.5, 0.9])
+    want = np.quantile(((np.arange(n) + 0.5) / n) ** (-1 / 1.2) * 1e6, [0.1, 0.5, 0.9])
+    assert np.allclose(got, want, rtol=1e-12)
 
 
 def test_psi_properties(spark):
