@@ -30,7 +30,7 @@ from cardlens.session import ensure_checkpoint_dir
 
 class TreeTable:
     def __init__(self, nodes: pd.DataFrame, weights: list[float]):
-        self.trees = []
+        self.trees, self.gains = [], []
         for t, g in nodes.groupby("treeID"):
             g = g.sort_values("id")
             n = int(g["id"].max()) + 1
@@ -45,8 +45,39 @@ class TreeTable:
             left[ids] = g["leftChild"].to_numpy()
             right[ids] = g["rightChild"].to_numpy()
             pred[ids] = g["prediction"].to_numpy()
+            inner = g[g["feature"] >= 0]
+            self.gains.append((inner["feature"].to_numpy(np.int64),
+                               (inner["gain"] * inner["count"]).to_numpy(np.float64)))
             self.trees.append((float(weights[int(t)]), feat, thr, left, right, pred))
 
+    def cut(self, n_trees: int) -> TreeTable:
+        """The first ``n_trees`` trees."""
+        out = TreeTable.__new__(TreeTable)
+        out.trees, out.gains = self.trees[:n_trees], self.gains[:n_trees]
+        return out
+
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        """(n, trees): half the log-odds after each tree."""
+        out = np.zeros((len(x), len(self.trees)))
+        rows = np.arange(len(x))
+        for t, (w, feat, thr, left, right, pred) in enumerate(self.trees):
+            node = np.zeros(len(x), dtype=np.int64)
+            inner = feat[node] >= 0
+            while inner.any():
+                at = rows[inner]
+                here = node[at]
+                node[at] = np.where(x[at, feat[here]] <= thr[here], left[here], right[here])
+                inner = feat[node] >= 0
+            out[:, t] = w * pred[node]
+        return np.cumsum(out, axis=1)
+
+    def importance(self, n_features: int) -> np.ndarray:
+        """Gain by feature, weighted by the rows of the node, normalised to 1."""
+        total = np.zeros(n_features)
+        for feature, gain in self.gains:
+            total += np.bincount(feature, gain, n_features)
+        return total / total.sum() if total.sum() > 0 else total
+
     def contributions(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(n, d) log-odds contributions and (n,) bias."""
         n, d = x.shape
@@ -77,7 +108,8 @@ def tree_table(spark: SparkSession, model) -> TreeTable:
     model.write().overwrite().save(path)
     data = spark.read.parquet(os.path.join(path, "data"))
     nodes = data.select("treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild",
-                        "nodeData.rightChild", F.col("nodeData.split.featureIndex").alias("feature"),
+                        "nodeData.rightChild", "nodeData.gain",
+                        F.get("nodeData.impurityStats", 0).alias("count"), F.col("nodeData.split.featureIndex").alias("feature"),
                         F.coalesce(F.get(F.col("nodeData.split.leftCategoriesOrThreshold"), 0),
                                    F.lit(0.0)).alias("threshold")).toPandas()
     nodes.loc[nodes["leftChild"] < 0, "feature"] = -1
@@ -94,10 +126,11 @@ def with_contributions(df: DataFrame, table: TreeTable, out_col: str = "contrib"
         for pdf in batches:
             x = pdf[names].to_numpy(dtype=np.float64)
             c, b = t.contributions(x)
-            maps = [dict(zip(names, row.tolist())) for row in c]
-            yield pdf.assign(**{out_col: maps, "contrib_bias": b})
+            yield pdf.assign(**{out_col: list(c), "contrib_bias": b})
 
     schema = T.StructType(df.schema.fields + [
-        T.StructField(out_col, T.MapType(T.StringType(), T.DoubleType())),
+        T.StructField(out_col, T.ArrayType(T.DoubleType())),
         T.StructField("contrib_bias", T.DoubleType())])
-    return df.mapInPandas(fn, schema)
+    # Python hands over plain arrays; Spark makes the map
+    return df.mapInPandas(fn, schema).withColumn(out_col, F.map_from_arrays(
+        F.array(*map(F.lit, names)), F.col(out_col)))

@@ -2,7 +2,8 @@
 
 Stages (each a distributed Spark job):
 features over the whole log (W3) -> time split (P6) -> M1 gradient-boosted
-trees on train, class-weighted (A21) -> M2 isotonic calibration on validation
+trees on train, class-weighted (A21), cut at the prefix that is best on
+validation -> M2 isotonic calibration on validation
 -> M3 isolation forest on legitimate train rows + A18/X2 calibration -> M4
 sequence ridge on train rows with history + A18/X2, cold cards neutral (W2)
 -> A19 reference medians on validation -> M5 blend -> R1/R2 decisions.
@@ -13,8 +14,6 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +21,9 @@ from cardlens.constants import FEATURE_NAMES
 from cardlens.functions.scoring import blend_logit, minmax_calibrate
 from cardlens.models.iforest import fit_iforest, score_iforest
 from cardlens.models.sequence import fit_sequence, score_sequence, with_windows
-from cardlens.models.attribution import tree_table, with_contributions
+from cardlens.models.attribution import TreeTable, tree_table, with_contributions
+from cardlens.models.isotonic import fit_isotonic
+from cardlens.models.staged import best_prefix, prefix_precision, with_probability
 from cardlens.operators.decide import decide, top_reasons
 from cardlens.operators.evaluate import class_weight
 from cardlens.operators.features import assert_model_inputs
@@ -38,8 +39,10 @@ def _bounds(df: DataFrame, col: str, lo_p: float, hi_p: float) -> tuple[float, f
     return lo, (hi if hi > lo else lo + 1e-6)
 
 
-def fit_supervised(feats: DataFrame, gbt_iters: int = 40, seed: int = 17):
-    """M1 on the ``train`` split, class-weighted (A21); returns (model, all rows with ``p_raw``)."""
+def fit_supervised(feats: DataFrame, gbt_iters: int = 40, seed: int = 17) -> tuple[TreeTable, DataFrame]:
+    """M1 on the ``train`` split, class-weighted (A21); returns the trees up to
+    the prefix with the highest average precision on ``valid`` (of at most
+    ``gbt_iters``), and all rows with ``p_raw``."""
     assert_model_inputs(FEATURE_NAMES)
     assembler = VectorAssembler(inputCols=list(FEATURE_NAMES), outputCol="fvec")
     train = feats.filter(F.col("split") == "train")
@@ -49,11 +52,9 @@ def fit_supervised(feats: DataFrame, gbt_iters: int = 40, seed: int = 17):
     gbt = GBTClassifier(featuresCol="fvec", labelCol="is_fraud", weightCol="w", maxIter=gbt_iters,
                         maxDepth=6, stepSize=0.05, minInstancesPerNode=120,
                         featureSubsetStrategy="0.8", subsamplingRate=0.8, seed=seed)
-    m1 = gbt.fit(weighted)
-    prob = vector_to_array(F.col("probability"))[1]
-    scored = m1.transform(assembler.transform(feats)).withColumn("p_raw", prob) \
-               .drop("fvec", "rawPrediction", "probability", "prediction")
-    return m1, scored
+    table = tree_table(feats.sparkSession, gbt.fit(weighted))
+    table = table.cut(best_prefix(prefix_precision(feats.filter(F.col("split") == "valid"), table)))
+    return table, with_probability(feats, table, "p_raw")
 
 
 def sequence_scores(feats: DataFrame) -> DataFrame:
@@ -76,14 +77,12 @@ def sequence_scores(feats: DataFrame) -> DataFrame:
 def score_transactions(txn: DataFrame, gbt_iters: int = 40, n_trees: int = 300,
                        max_samples: int = 8192, seed: int = 17) -> DataFrame:
     feats = materialize(split_feature_table(txn))
-    m1, scored = fit_supervised(feats, gbt_iters, seed)
+    table, scored = fit_supervised(feats, gbt_iters, seed)
     scored = materialize(scored)
 
-    # M2: isotonic calibration on validation (clips outside the fitted range)
-    iso = IsotonicRegression(featuresCol="p_raw", labelCol="is_fraud", predictionCol="p_cal")
-    m2 = iso.fit(scored.filter(F.col("split") == "valid").withColumn(
-        "is_fraud", F.col("is_fraud").cast("double")))
-    scored = m2.transform(scored)
+    # M2: isotonic calibration on validation (constant outside the fitted range)
+    m2 = fit_isotonic(scored.filter(F.col("split") == "valid"), "p_raw", "is_fraud")
+    scored = scored.withColumn("p_cal", m2.apply(F.col("p_raw")))
 
     # M3: isolation forest on legitimate training rows
     legit_train = scored.filter((F.col("split") == "train") & (F.col("is_fraud") == 0))
@@ -108,7 +107,6 @@ def score_transactions(txn: DataFrame, gbt_iters: int = 40, n_trees: int = 300,
     decided = materialize(decide(out))
 
     # R3 + M7: reasons only for declines, attributed from the tree model, joined back
-    table = tree_table(decided.sparkSession, m1)
     declines = decided.filter(F.col("action") == "decline").select("transaction_id", *FEATURE_NAMES)
     reasons = with_contributions(declines, table).select(
         "transaction_id", top_reasons(F.col("contrib")).alias("reasons"))

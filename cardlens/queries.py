@@ -722,7 +722,7 @@ def score_supervised(spark, sf):
     """M1: class-weighted gradient-boosted trees fitted on the training window."""
     from cardlens.plans.scoring import fit_supervised
     f = _train_valid_features(spark, sf)
-    model, scored = fit_supervised(f)
+    _, scored = fit_supervised(f)
     return scored.select("transaction_id", "split", r6("p_raw").alias("supervised_raw"))
 
 
@@ -730,10 +730,9 @@ def score_supervised(spark, sf):
 def gbt_importance(spark, sf):
     """Gain importance of the boosted trees, normalised to 1."""
     from cardlens.plans.scoring import fit_supervised
-    model, _ = fit_supervised(_train_valid_features(spark, sf))
-    imp = model.featureImportances.toArray().tolist()
-    total = sum(imp) or 1.0
-    rows = [(n, float(v) / total) for n, v in zip(FEATURE_NAMES, imp)]
+    table, _ = fit_supervised(_train_valid_features(spark, sf))
+    imp = table.importance(len(FEATURE_NAMES)).tolist()
+    rows = list(zip(FEATURE_NAMES, imp))
     return spark.createDataFrame(rows, "feature string, importance double").select(
         "feature", r6("importance").alias("importance"))
 
@@ -742,13 +741,12 @@ def gbt_importance(spark, sf):
 def calibration_curve(spark, sf):
     """M2: isotonic map fitted on validation, applied to every row (clipped outside)."""
     from cardlens.plans.scoring import fit_supervised
-    from pyspark.ml.regression import IsotonicRegression
+    from cardlens.models.isotonic import fit_isotonic
     _, scored = fit_supervised(_train_valid_features(spark, sf))
     scored = materialize(scored)
-    iso = IsotonicRegression(featuresCol="p_raw", labelCol="y", predictionCol="p_cal").fit(
-        scored.filter(F.col("split") == "valid").withColumn("y", F.col("is_fraud").cast("double")))
-    return iso.transform(scored).select("transaction_id", r6("p_raw").alias("p_raw"),
-                                        r6("p_cal").alias("p_cal"))
+    iso = fit_isotonic(scored.filter(F.col("split") == "valid"), "p_raw", "is_fraud")
+    return scored.select("transaction_id", r6("p_raw").alias("p_raw"),
+                         r6(iso.apply(F.col("p_raw"))).alias("p_cal"))
 
 
 @register("score_iforest")
@@ -778,11 +776,10 @@ def score_sequence_q(spark, sf):
 def decline_contributions(spark, sf):
     """M7: additive log-odds contributions for the rows the supervised model
     scores above the decline threshold (filtered before attribution)."""
-    from cardlens.models.attribution import tree_table, with_contributions as tree_contrib
+    from cardlens.models.attribution import with_contributions as tree_contrib
     from cardlens.plans.scoring import fit_supervised
-    model, scored = fit_supervised(_train_valid_features(spark, sf))
+    table, scored = fit_supervised(_train_valid_features(spark, sf))
     scored = materialize(scored)
-    table = tree_table(spark, model)
     hi = scored.filter(F.col("p_raw") >= 0.86).select("transaction_id", "p_raw", *FEATURE_NAMES)
     c = tree_contrib(hi, table)
     total = F.aggregate(F.map_values("contrib"), F.lit(0.0), lambda a, v: a + v) + F.col("contrib_bias")
