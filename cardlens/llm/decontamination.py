@@ -296,7 +296,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 texts = pa.array([x or b"" for x in texts.to_pylist()], pa.binary())
             hit = {r for r, *_ in matches(held.value, texts)}
             return batch.filter(pa.array([i not in hit for i in range(batch.num_rows)]))
-        docs = arrow_map(docs, rows, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes))
+        # columns travel under plain names: an own name may hold any character
+        plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
+        docs = arrow_map(plain, rows, plain.schema).toDF(*names)
     return docs
 
 

@@ -29,6 +29,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from cardlens.llm.common import arrow_map, fresh, own, read, small_batches, stored
 
@@ -280,12 +281,15 @@ def redact(docs: DataFrame) -> DataFrame:
             out.append("".join(parts) + text[place:])
         cols = [pa.array(out, pa.string()) if i == at else batch.column(i)
                 for i in range(len(names))]
-        return pa.RecordBatch.from_arrays(cols, names=names)
-    types = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {'string' if c == 'text' else types[c]}" for c in names)
-    clean = arrow_map(joined, rows, schema)
+        return pa.RecordBatch.from_arrays(cols, names=plain)
+    # columns travel under plain names: an own name may hold any character
+    plain = [f"c{i}" for i in range(len(names))]
+    kinds = [f.dataType for f in docs.schema.fields]
+    schema = StructType([StructField(c, StringType() if i == at else kinds[i])
+                         for i, c in enumerate(plain)])
+    clean = arrow_map(joined.toDF(*plain, "extra"), rows, schema).toDF(*names)
     if "n_chars" in names:
-        clean = clean.withColumn("n_chars", F.length("text").cast(types["n_chars"]))
+        clean = clean.withColumn("n_chars", F.length("text").cast(kinds[names.index("n_chars")]))
     return clean
 
 

@@ -17,7 +17,10 @@ part; vectors are compared with queries of the same number of components; a
 null id takes no part; rows with equal ids are separate candidates, none of
 which is returned to a query of that id; ties go to the smaller id; with fewer
 than k candidates all are returned; an empty table gives no rows; other
-columns of the input are not read.
+columns of the input are not read.  Products are exact: where they could leave
+the range of a long they are summed as decimals, ranked as such, and reported as
+the largest or smallest long.  Components whose integer is beyond 2^53 in size
+count as 2^53.
 """
 
 from __future__ import annotations
@@ -31,6 +34,9 @@ from pyspark.sql import functions as F
 from cardlens.llm.common import read, stored
 
 SCALE = 1024
+#: Largest size of an integer component: all up to it are exact as a double.
+MOST = 1 << 53
+LONG = (1 << 63) - 1
 CELLS = 256
 #: Entries and queries of one block.
 ENTRY_BLOCK, QUERY_BLOCK = 8192, 512
@@ -52,7 +58,8 @@ def vectors(df: DataFrame, key: str, vec: str, scale: int = SCALE) -> DataFrame:
                      & (F.abs(x.cast("double")) < float("inf")))
     return (df.where(F.col(key).isNotNull() & F.col(vec).isNotNull()).where(sound)
             .select(F.col(key).cast("long").alias("id"),
-                    F.transform(number, lambda x: F.floor(x * scale)).alias("v"),
+                    F.transform(number, lambda x: F.floor(F.least(F.greatest(
+                        x * scale, F.lit(-float(MOST))), F.lit(float(MOST))))).alias("v"),
                     F.size(vec).alias("dim")))
 
 
@@ -89,6 +96,9 @@ def search(df: DataFrame, key: str, vec: str, is_query, k: int = 10,
                      .dropDuplicates(["id", "v"])
                      .withColumn("q", F.monotonically_increasing_id()))
     grid = _grid(table)
+    # the largest sum of products that bounds may form
+    reach = max((float((np.maximum(np.abs(lo), np.abs(lo + width * CELLS)) ** 2).sum())
+                 for lo, width in grid.values()), default=0.0)
     held = spark.sparkContext.broadcast(grid)
 
     def cells(batches):
@@ -97,7 +107,7 @@ def search(df: DataFrame, key: str, vec: str, is_query, k: int = 10,
                 own = b.filter(pa.array([d == dim for d in b.column("dim").to_pylist()]))
                 if dim:
                     lo, width = held.value[dim]
-                    c = ((_matrix(own.column("v")) - lo) // width).astype(np.uint8)
+                    c = np.minimum((_matrix(own.column("v")) - lo) // width, CELLS - 1).astype(np.uint8)
                     raw = [x.tobytes() for x in c]
                 else:
                     raw = [b""] * own.num_rows
@@ -133,6 +143,10 @@ def search(df: DataFrame, key: str, vec: str, is_query, k: int = 10,
                 plus, minus = np.maximum(x, 0), np.minimum(x, 0)
                 upper = plus @ top.T + minus @ bottom.T
                 lower = plus @ bottom.T + minus @ top.T
+                if reach >= MOST:   # sums are rounded: widen by what rounding may take
+                    slack = (np.abs(x) @ np.maximum(np.abs(top), np.abs(bottom)).T) * (
+                        (dim + 4) * 2.0 ** -52)
+                    upper, lower = upper + slack, lower - slack
             else:
                 upper = lower = np.zeros((len(q), len(e)))
             copies = own.column("copies").to_numpy()
@@ -176,8 +190,13 @@ def search(df: DataFrame, key: str, vec: str, is_query, k: int = 10,
                .join(queries.select(F.col("q").alias("_q"), F.col("id").alias("query_id"),
                                     F.col("v").alias("x")).hint("shuffle_merge"),
                      F.col("q") == F.col("_q")))
-        dot = F.aggregate(F.zip_with("v", "x", lambda s, t: s * t), F.lit(0).cast("long"),
-                          lambda s, t: s + t)
+        if reach < 2.0 ** 62:
+            dot = F.aggregate(F.zip_with("v", "x", lambda s, t: s * t), F.lit(0).cast("long"),
+                              lambda s, t: s + t)
+        else:
+            exact_sum, factor = "decimal(38,0)", "decimal(17,0)"
+            dot = F.aggregate(F.zip_with("v", "x", lambda s, t: s.cast(factor) * t.cast(factor)),
+                              F.lit(0).cast(exact_sum), lambda s, t: (s + t).cast(exact_sum))
         return got.where(F.size("v") == F.size("x")).select(
             "q", "query_id", "upper", dot.alias("score"),
             F.explode("ids").alias("id")).where("id <> query_id")
@@ -192,12 +211,16 @@ def search(df: DataFrame, key: str, vec: str, is_query, k: int = 10,
                        .alias("kth")))
     rest = (todo.where(F.col("_r") > 2 * k).join(certain.hint("shuffle_merge"),
                                                  F.col("q") == F.col("_q"), "left")
-            .where(F.col("kth").isNull() | (F.col("upper") >= F.col("kth")))
+            .where(F.col("kth").isNull()
+                   | (F.col("upper") >= F.col("kth").cast("double") - F.abs(F.col("kth").cast("double"))
+                      * F.lit(2.0 ** -52)))
             .select("q", "entry", "upper"))
     two = exact(rest)
     cols = ["q", "query_id", "score", "id"]
+    score = F.least(F.greatest("score", F.lit(-LONG - 1)), F.lit(LONG)).cast("long")
     return best(one.select(*cols).unionByName(two.select(*cols))).select(
-        "query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(key), "score")
+        "query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(key),
+        score.alias("score"))
 
 
 def op6_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:

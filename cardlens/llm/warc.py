@@ -6,6 +6,11 @@ more) the smallest page is a ``response``, others are ``revisit`` records that
 name it.  Records are UTF-8 text, so Spark's text writer lays them down on any
 file system Spark knows, one archive per task, with its commit protocol.
 
+Every record has the fields that the standard asks of all records (type, id,
+date, length).  A record that others may revisit is named by page and payload,
+and the revisits name it so; all others also have a number, which tells rows
+that share a page apart.
+
 Reading.  Spark's text reader splits the archives at the magic line, wherever a
 file was split for a task, and so also at magic lines inside payloads.  Each
 task emits *candidates*: place of the magic line and place where the record
@@ -17,8 +22,8 @@ payload holds magic lines is put together from its pieces.
 
 Defined cases: a null html is an empty payload; rows with a null page_id are
 written and read with a null id and are never revisited; rows that share page
-and payload are each a response; control characters in a url are left out; an
-empty table gives no rows; other columns of the input are not read.
+and payload are each a response (and share a record id if others refer to it); control characters in a url are left out and
+blanks are written as %20; an empty table gives no rows; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -26,9 +31,10 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -43,7 +49,8 @@ PER_FILE = 20_000
 
 
 def with_types(pages: DataFrame) -> DataFrame:
-    """(page_id, url, payload, digest, refers_to)."""
+    """(page_id, url, payload, digest, refers_to, named): ``named`` rows are
+    those that others refer to."""
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
@@ -52,27 +59,40 @@ def with_types(pages: DataFrame) -> DataFrame:
                     .agg(F.min("page_id").alias("_first"), F.max("page_id").alias("_last"))
                     .where("_first < _last").select(F.col("digest").alias("_d"), "_first"))
     # no hint: Spark broadcasts the repeated digests if their measured size is small
+    again = F.col("page_id") > F.col("_first")
     return rows.join(firsts, F.col("digest") == F.col("_d"), "left").select(
-        "page_id", "url", "payload", "digest",
-        F.when(F.col("page_id") > F.col("_first"), F.col("_first")).alias("refers_to"))
+        "page_id", "url", "payload", "digest", F.when(again, F.col("_first")).alias("refers_to"),
+        F.coalesce(F.col("page_id") == F.col("_first"), F.lit(False)).alias("named"))
+
+
+def _urn(page: Column, number: Column | None = None) -> Column:
+    parts = [F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("none")), F.lit(":"),
+             F.substring("digest", 1, 16)]
+    return F.concat(*parts, *([F.lit(":"), number.cast("string")] if number is not None else []),
+                    F.lit(">"))
 
 
-def write_archives(pages: DataFrame, folder: str) -> None:
+def write_archives(pages: DataFrame, folder: str, date: datetime | None = None) -> None:
+    """``date``: when the pages were taken (default: now)."""
     rows = with_types(pages)
+    when = (date or datetime.now(UTC)).astimezone(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     size = F.octet_length("payload").cast("string")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
                           "Content-Length: "), size, F.lit(END))
     revisit = F.col("refers_to").isNotNull()
     block = F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("payload")))
-    name = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
-    url = F.coalesce(F.regexp_replace("url", "[\\x00-\\x1f\\x7f]", ""), F.lit(""))
+    name = F.when(F.col("named"), _urn(F.col("page_id"))).otherwise(
+        _urn(F.col("page_id"), F.monotonically_increasing_id()))
+    url = F.replace(F.coalesce(F.regexp_replace("url", "[\\x00-\\x1f\\x7f]", ""), F.lit("")),
+                    F.lit(" "), F.lit("%20"))
     head = F.concat(
         F.lit(MAGIC + "WARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
-        F.lit("\r\nWARC-Record-ID: <urn:page:"), name, F.lit(">\r\nWARC-Target-URI: "), url,
+        F.lit("\r\nWARC-Record-ID: "), name, F.lit(f"\r\nWARC-Date: {when}"),
+        F.when(url == "", F.lit("")).otherwise(F.concat(F.lit("\r\nWARC-Target-URI: "), url)),
         F.lit("\r\nWARC-Payload-Digest: sha256:"), F.col("digest"),
-        F.when(revisit, F.concat(F.lit("\r\nWARC-Refers-To: <urn:page:"),
-                                 F.col("refers_to").cast("string"),
-                                 F.lit(">\r\nWARC-Profile: http://netpreserve.org/warc/1.1/"
+        F.when(revisit, F.concat(F.lit("\r\nWARC-Refers-To: "),
+                                 _urn(F.col("refers_to")),
+                                 F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/"
                                        "revisit/identical-payload-digest")))
         .otherwise(F.lit("")),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "),
@@ -110,7 +130,7 @@ def parse(value: bytes) -> dict | None:
 
 
 def _page(name: str) -> int | None:
-    text = name.removeprefix("<urn:page:").removesuffix(">")
+    text = name.removeprefix("<urn:page:").removesuffix(">").partition(":")[0]
     return int(text) if text.lstrip("-").isdigit() else None
 
 

@@ -84,3 +84,15 @@ def test_redact_keeps_columns(spark, edge):
 def test_empty(nothing):
     assert find(nothing).collect() == []
     assert redact(nothing).collect() == []
+
+
+def test_columns_with_odd_names_pass(spark):
+    from cardlens.llm.decontamination import drop_contaminated
+    from cardlens.llm.pii import redact
+    docs = spark.createDataFrame([(1, "mail a.b@c.de now", 7, 2)], ["doc_id", "text", "a`b", "x.y, z"])
+    out = redact(docs)
+    assert out.columns == docs.columns and out.first()["text"] == "mail <EMAIL> now"
+    items = spark.createDataFrame([(1, "one two three four five six seven eight")],
+                                  "item_id long, text string")
+    left = drop_contaminated(docs, items)
+    assert left.columns == docs.columns and left.count() == 1

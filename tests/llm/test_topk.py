@@ -12,13 +12,13 @@ def brute(rows, k, scale=1024):
     for i, v in rows:
         if i is not None and v is not None and all(
                 x is not None and math.isfinite(x) for x in v):
-            points.append((i, [math.floor(x * scale) for x in v]))
+            points.append((i, [max(-2 ** 53, min(2 ** 53, math.floor(x * scale))) for x in v]))
     out = []
     for i, q in points:
         if i % 100 == 0:
             found = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in points
                            if j != i and len(v) == len(q))[:k]
-            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(found)]
+            out += [(i, r + 1, j, max(-2 ** 63, min(2 ** 63 - 1, -s))) for r, (s, j) in enumerate(found)]
     return sorted(out)
 
 
@@ -62,3 +62,13 @@ def test_fewer_candidates_than_k(spark):
 
 def test_empty(spark):
     assert run(spark, []) == []
+
+
+def test_large_components(spark):
+    """Products beyond a long, and bounds beyond exact doubles."""
+    rng = np.random.default_rng(6)
+    for size in (1e6, 3e7, 1e12, 1e13, 1e30):
+        rows = [(i, [float(np.float32(x)) for x in rng.normal(0, size, 8)], 1, "x") for i in range(250)]
+        rows += [(i, [float(np.float32(size * (1 + 1e-6 * j))) for j in range(8)], 1, "x")
+                 for i in range(300, 330)]
+        assert run(spark, rows) == brute(plain(rows), 10)

@@ -87,3 +87,33 @@ def test_parse_rejects_what_is_no_header():
     assert warc.parse(b"no colon\r\n\r\n") is None
     assert warc.parse(b"Content-Length: x\r\n\r\n") is None
     assert warc.parse(b"A: b\r\nContent-Length: 3\r\n\r\nabc")["length"] == 3
+
+
+def test_every_record_has_the_fields_of_the_standard(spark, tmp_path):
+    """Type, id, date and length of all records, a profile of revisits; ids are
+    unique, and a revisit names the id of a response with its digest."""
+    import datetime
+    import re
+    rows = pages() + [(80, "http://h/a b c", "x" * 150), (81, None, "x" * 150)]
+    write_archives(frame(spark, rows).repartition(3), str(tmp_path / "a"),
+                   datetime.datetime(2024, 5, 6, 7, 8, 9, tzinfo=datetime.UTC))
+    records = []
+    for file in (tmp_path / "a").glob("part-*"):
+        data, at = file.read_bytes(), 0
+        while at < len(data):
+            record = warc.parse(data[at + len("WARC/1.1\r\n"):])
+            assert data[at:].startswith(b"WARC/1.1\r\n")
+            at += len("WARC/1.1\r\n") + record["head"] + record["length"] + 4
+            assert data[at - 4:at] == b"\r\n\r\n"
+            records.append(record)
+    assert len(records) == len(rows)
+    ids = {r["warc-record-id"]: r for r in records}
+    assert len(ids) == len(rows) and all(re.fullmatch(r"<urn:page:(none|\d+):[0-9a-f]{16}(:\d+)?>", i) for i in ids)
+    for r in records:
+        assert r["warc-type"] in ("response", "revisit") and r["warc-date"] == "2024-05-06T07:08:09Z"
+        assert " " not in r.get("warc-target-uri", "") and r.get("warc-target-uri") != ""
+        if r["warc-type"] == "revisit":
+            first = ids[r["warc-refers-to"]]
+            assert first["warc-type"] == "response" and "warc-profile" in r
+            assert first["warc-payload-digest"] == r["warc-payload-digest"]
+    assert any(r.get("warc-target-uri") == "http://h/a%20b%20c" for r in records)
