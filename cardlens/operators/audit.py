@@ -22,7 +22,7 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardlens.constants import DAY_US, FEATURE_NAMES, GENESIS_HASH
@@ -95,6 +95,7 @@ def _link(batches):
             pos += 1
             now = hashlib.sha256(f"{last}:{pos}:{row['payload_hash']}".encode()).hexdigest()
             out.append({"chain_id": chain, "seq": row["seq"], "payload_hash": row["payload_hash"],
+                        "_copy": row["_copy"],
                         "pos": pos, "prev_hash": last, "record_hash": now})
             last = now
         if out:
@@ -102,28 +103,39 @@ def _link(batches):
 
 
 _LINKED = pa.schema([("chain_id", pa.string()), ("seq", pa.int64()), ("payload_hash", pa.string()),
-                     ("pos", pa.int64()), ("prev_hash", pa.string()), ("record_hash", pa.string())])
-_LINKED_SQL = ("chain_id string, seq long, payload_hash string, pos long, prev_hash string, "
+                     ("_copy", pa.int32()), ("pos", pa.int64()), ("prev_hash", pa.string()), ("record_hash", pa.string())])
+_LINKED_SQL = ("chain_id string, seq long, payload_hash string, _copy int, pos long, prev_hash string, "
                "record_hash string")
 
 
+def unlinkable(records: DataFrame) -> DataFrame:
+    """Records without a chain or a place in it: ``link_chain`` leaves them out."""
+    return records.where(F.col("chain_id").isNull() | F.col("seq").isNull())
+
+
 def link_chain(records: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """H3: add ``pos``, ``prev_hash`` and ``record_hash`` to records with
     ``chain_id``, ``seq`` and ``payload_hash``.  ``heads``: ``chain_heads`` of
-    the batches before."""
-    rows = records.select("chain_id", F.col("seq").cast("long").alias("seq"), "payload_hash",
-                          F.lit(0).cast("long").alias("pos"),
+    the batches before.  Equal records are linked one after the other, each at
+    its own place; records without chain or ``seq`` take no place (see
+    ``unlinkable``)."""
+    key = ["chain_id", "seq", "payload_hash"]
+    known_place = records.where(F.col("chain_id").isNotNull() & F.col("seq").isNotNull())
+    by_key = Window.partitionBy(*key).orderBy("transaction_id")
+    records = (known_place.withColumn("seq", F.col("seq").cast("long")).repartition("chain_id")
+               .withColumn("_copy", F.row_number().over(by_key)))
+    rows = records.select(*key, "_copy", F.lit(0).cast("long").alias("pos"),
                           F.lit(None).cast("string").alias("seed"))
     if heads is not None:
         known = heads.join(rows.select("chain_id").distinct(), "chain_id", "left_semi")
         rows = rows.unionByName(known.select(
             "chain_id", F.col("last_seq").cast("long").alias("seq"),
-            F.lit(None).cast("string").alias("payload_hash"), F.col("last_pos").alias("pos"),
-            F.col("last_hash").alias("seed")))
+            F.lit(None).cast("string").alias("payload_hash"), F.lit(0).alias("_copy"),
+            F.col("last_pos").alias("pos"), F.col("last_hash").alias("seed")))
     ordered = rows.repartition("chain_id").sortWithinPartitions(
-        "chain_id", F.col("seed").isNull(), "seq", "payload_hash")
+        "chain_id", F.col("seed").isNull(), "seq", "payload_hash", "_copy")
     linked = ordered.mapInArrow(_link, _LINKED_SQL)
-    return records.join(linked, ["chain_id", "seq", "payload_hash"])
+    return records.join(linked, [*key, "_copy"]).drop("_copy")
 
 
 def chain_heads(chained: DataFrame) -> DataFrame:
@@ -155,7 +167,7 @@ def verify_chain(chained: DataFrame, heads: DataFrame | None = None) -> DataFram
     later = (F.col("pos") > 1) & (F.col("_h").isNull()
                                   | ~F.col("prev_hash").eqNullSafe(F.col("_h")))
     orphans = found(linked.where(start | later), "missing_predecessor")
-    order = found(linked.where("_s >= seq"), "out_of_order")
+    order = found(linked.where("_s > seq"), "out_of_order")
     forks = (rec.groupBy("chain_id", "pos").agg(F.count("*").alias("_n"), F.max("seq").alias("seq"),
                                                 F.max_by("transaction_id", "seq")
                                                 .alias("transaction_id")).where("_n > 1"))

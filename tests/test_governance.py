@@ -115,6 +115,22 @@ def test_chain_verify_edit_delete_resume(spark):
     assert both == once
 
 
+def test_equal_and_placeless_records(spark):
+    """Equal records take a place each; records without chain or seq take none."""
+    recs = _records(spark, 4)
+    again = recs.unionByName(recs.where("seq = 1")).unionByName(recs.where("seq = 1"))
+    lost = recs.where("seq = 2").withColumn("seq", F.lit(None).cast("long")).unionByName(
+        recs.where("seq = 3").withColumn("chain_id", F.lit(None).cast("string")))
+    rows = again.unionByName(lost)
+    chained = au.link_chain(rows).cache()
+    assert sorted((r["seq"], r["pos"]) for r in chained.collect()) == [
+        (0, 1), (1, 2), (1, 3), (1, 4), (2, 5), (3, 6)]
+    assert len({r["record_hash"] for r in chained.collect()}) == 6
+    assert au.unlinkable(rows).count() == 2
+    assert au.verify_chain(chained, au.chain_heads(chained)).count() == 0
+    assert au.verify_chain(au.link_chain(recs.unionByName(lost))).count() == 0
+
+
 def _reasons(breaks):
     return sorted((r["seq"], r["reason"]) for r in breaks.collect())
 
