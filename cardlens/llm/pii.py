@@ -44,6 +44,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from cardlens.llm.common import (HASH_BASE, U64, Membership, Words, arrow_map, fresh, mix, own,
                                  read, signed, small_batches, stored, text_bytes)
+from cardlens.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
 #: Scores that rise by less have converged.
@@ -315,25 +316,26 @@ def graph_scores(edges: DataFrame, accept: float = ACCEPT) -> tuple[DataFrame, D
     while moving:
         held = edges.join(scores.drop("can").hint("shuffle_merge"), (edges["kind"] == scores["_k"])
                           & (edges["name"] == scores["_n"]) & (edges["word"] == scores["_w"]))
-        trust = stored(held.groupBy(F.col("kind").alias("_k"), F.col("pattern").alias("_p"))
-                       .agg((F.sum("score") / (F.count("*") + DISCOUNT)).alias("trust"))
-                       .where("trust > 0.2"))
+        trust = (held.groupBy(F.col("kind").alias("_k"), F.col("pattern").alias("_p"))
+                 .agg((F.sum("score") / (F.count("*") + DISCOUNT)).alias("trust"))
+                 .where("trust > 0.2"))
         noisy = (edges.where("can and not seed").join(
             trust.hint("shuffle_merge"), (edges["kind"] == trust["_k"])
             & (edges["pattern"] == trust["_p"]))
             .groupBy("kind", "name", "word").agg(F.max("trust").alias("best")))
-        scores = stored(scores.join(noisy.hint("shuffle_merge"),
-                                    (scores["_k"] == noisy["kind"])
-                                    & (scores["_n"] == noisy["name"])
-                                    & (scores["_w"] == noisy["word"]), "left")
-                        .select("_k", "_n", "_w", "is_seed", "can", F.col("score").alias("was"),
-                                F.when(F.col("is_seed"), F.lit(1.0))
-                                .otherwise(F.coalesce("best", F.lit(0.0))).alias("score")))
+        scores = materialize(scores.join(noisy.hint("shuffle_merge"),
+                                         (scores["_k"] == noisy["kind"])
+                                         & (scores["_n"] == noisy["name"])
+                                         & (scores["_w"] == noisy["word"]), "left")
+                             .select("_k", "_n", "_w", "is_seed", "can",
+                                     F.col("score").alias("was"),
+                                     F.when(F.col("is_seed"), F.lit(1.0))
+                                     .otherwise(F.coalesce("best", F.lit(0.0))).alias("score")))
         risen = (F.col("score") - F.col("was") > RISE) | (
             (F.col("score") >= accept) & (F.col("was") < accept))
         moving = not scores.where(risen).isEmpty()
         scores = scores.drop("was")
-    return scores, trust
+    return scores, stored(trust)
 
 
 _EDGES = ("kind", "name", "word", "pattern")
@@ -361,7 +363,7 @@ def believed(docs: DataFrame, table: DataFrame, accept: float = ACCEPT
         if asked is not None:
             high = high.join(asked.hint("shuffle_merge"), ["_k", "_p"], "left_anti")
             new = new.join(looked.hint("shuffle_merge"), ["_k", "_n"], "left_anti")
-        high, new = stored(high), stored(new)
+        high, new = materialize(high), materialize(new)
         if high.isEmpty() and new.isEmpty():
             return good.select("_k", "_n", "_w", "score"), seen
         hits = stored(slots(docs, Membership.build(high, "_p"), Membership.build(new, "_n")))
