@@ -14,9 +14,12 @@
   Rounds end when no score rises by more than ``RISE`` and none newly reaches
   ``ACCEPT``; scores only rise and stay below one, so they do end.
 * Patterns whose trust reaches ``ACCEPT`` are then matched over all texts.
-  Every word in their slot becomes an instance: words of ``SHORTEST`` or more
-  characters with a digit, ``@`` or ``_`` can be believed, the others never
-  are and so lower the trust of a slot that takes any word.  Believed words
+  Words of ``SHORTEST`` or more characters with a digit, ``@`` or ``_`` can be
+  believed; words without such a character are *plain*.  A pattern proposes words only
+  if its trust reaches ``ACCEPT`` also with every occurrence of a plain word in
+  its slot counted as an instance of score 0; this is decided once, from counts
+  by pattern, before any word is sent anywhere.  Every word in the slot of a
+  pattern that proposes becomes an instance.  Believed words
   are looked up in all texts, where they induce further patterns.  Scoring and
   matching alternate until no unmatched pattern is trusted and no believed
   word has not been looked up; both sets only grow, so this ends too.
@@ -241,6 +244,58 @@ def occurrences(docs: DataFrame) -> DataFrame:
                      "p1:long,p2:long>>")
 
 
+def _placed(texts: pa.Array):
+    """(words without punctuation at their edges, row, hash, first pattern,
+    second pattern, characters before each byte, can it be believed, is it
+    plain); None without words."""
+    words = Words(texts, lower=True)
+    data, n = words.raw, len(words.raw)
+    if not len(words.start):
+        return None
+    plain = ~_IS_EDGE[data]
+    place = np.arange(n)
+    following = np.minimum.accumulate(np.where(plain, place, n)[::-1])[::-1]
+    preceding = np.maximum.accumulate(np.where(plain, place, -1))
+    start, end = following[words.start], preceding[words.end - 1] + 1
+    full = start < end
+    row = words.row[full]
+    words.start, words.end = start[full], end[full]
+    if not len(row):
+        return None
+    h = words._hashes(0)
+    same = row[1:] == row[:-1]
+    before = np.full(len(h), _BEGIN)
+    before[1:][same] = h[:-1][same]
+    before2 = np.full(len(h), _BEGIN)
+    before2[2:][row[2:] == row[:-2]] = h[:-2][row[2:] == row[:-2]]
+    after = np.full(len(h), _END)
+    after[:-1][same] = h[1:][same]
+    p1, p2 = _patterns(before2, before, after)
+    marks = np.r_[0, np.cumsum(_IS_MARK[data])]
+    chars = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
+    plain = marks[words.end] == marks[words.start]
+    can = ~plain & (chars[words.end] - chars[words.start] >= SHORTEST)
+    return words, row, h, p1, p2, chars, can, plain
+
+
+def plain_counts(docs: DataFrame, wanted: Membership) -> DataFrame:
+    """(pattern, plain): how often plain words stand in the slot of a ``wanted``
+    pattern, summed in the tasks first."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        placed = _placed(batch.column(0))
+        if placed is None:
+            return None
+        _, _, _, p1, p2, _, _, plain = placed
+        p = np.concatenate([p1[plain], p2[plain]])
+        p, n = np.unique(p[shared.value.has(p)], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(signed(p)), pa.array(n.astype(np.int64))],
+                                          names=["pattern", "n"])
+    return (arrow_map(docs.select(text_bytes().alias("text")), rows, "pattern long, n long")
+            .groupBy("pattern").agg(F.sum("n").alias("plain")))
+
+
 def slots(docs: DataFrame, wanted: Membership, known: Membership) -> DataFrame:
     """Words outside of base spans and near misses that stand in the slot of a
     ``wanted`` pattern or are ``known`` (each approximately, never too few):
@@ -249,38 +304,17 @@ def slots(docs: DataFrame, wanted: Membership, known: Membership) -> DataFrame:
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         wanted, known = shared.value
-        words = Words(batch.column(2), lower=True)
-        data, n = words.raw, len(words.raw)
-        if not len(words.start):
-            return None
-        plain = ~_IS_EDGE[data]
-        place = np.arange(n)
-        following = np.minimum.accumulate(np.where(plain, place, n)[::-1])[::-1]
-        preceding = np.maximum.accumulate(np.where(plain, place, -1))
-        start, end = following[words.start], preceding[words.end - 1] + 1
-        full = start < end
-        row = words.row[full]
-        words.start, words.end = start[full], end[full]
-        if not len(row):
+        placed = _placed(batch.column(2))
+        if placed is None:
             return None
-        h = words._hashes(0)
-        same = row[1:] == row[:-1]
-        before = np.full(len(h), _BEGIN)
-        before[1:][same] = h[:-1][same]
-        before2 = np.full(len(h), _BEGIN)
-        before2[2:][row[2:] == row[:-2]] = h[:-2][row[2:] == row[:-2]]
-        after = np.full(len(h), _END)
-        after[:-1][same] = h[1:][same]
-        p1, p2 = _patterns(before2, before, after)
+        words, row, h, p1, p2, chars, can, _ = placed
         hit = np.flatnonzero(wanted.has(p1) | wanted.has(p2) | known.has(h))
         if not len(hit):
             return None
-        marks = np.r_[0, np.cumsum(_IS_MARK[data])]
-        chars = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
         s, e = words.start[hit], words.end[hit]
         a = chars[s] - chars[words.offsets[row[hit]]]
         b = chars[e] - chars[words.offsets[row[hit]]]
-        can = (marks[e] > marks[s]) & (b - a >= SHORTEST)
+        can = can[hit]
         free = np.ones(len(hit), bool)
         rows_hit, first = np.unique(row[hit], return_index=True)
         for r, at in zip(rows_hit.tolist(), np.split(np.arange(len(hit)), first[1:])):
@@ -317,7 +351,8 @@ def graph_scores(edges: DataFrame, accept: float = ACCEPT) -> tuple[DataFrame, D
         held = edges.join(scores.drop("can").hint("shuffle_merge"), (edges["kind"] == scores["_k"])
                           & (edges["name"] == scores["_n"]) & (edges["word"] == scores["_w"]))
         trust = (held.groupBy(F.col("kind").alias("_k"), F.col("pattern").alias("_p"))
-                 .agg((F.sum("score") / (F.count("*") + DISCOUNT)).alias("trust"))
+                 .agg((F.sum("score") / (F.count("*") + DISCOUNT)).alias("trust"),
+                      F.sum("score").alias("total"), F.count("*").alias("n"))
                  .where("trust > 0.2"))
         noisy = (edges.where("can and not seed").join(
             trust.hint("shuffle_merge"), (edges["kind"] == trust["_k"])
@@ -358,7 +393,7 @@ def believed(docs: DataFrame, table: DataFrame, accept: float = ACCEPT
     while True:
         scores, trust = graph_scores(edges, accept)
         good = scores.where((~F.col("is_seed")) & F.col("can") & (F.col("score") >= accept))
-        high = trust.where(F.col("trust") >= accept).select("_k", "_p")
+        high = trust.where(F.col("trust") >= accept).select("_k", "_p", "total", "n")
         new = good.where("_w").select("_k", "_n")
         if asked is not None:
             high = high.join(asked.hint("shuffle_merge"), ["_k", "_p"], "left_anti")
@@ -366,6 +401,14 @@ def believed(docs: DataFrame, table: DataFrame, accept: float = ACCEPT
         high, new = materialize(high), materialize(new)
         if high.isEmpty() and new.isEmpty():
             return good.select("_k", "_n", "_w", "score"), seen
+        asked = high.select("_k", "_p") if asked is None else asked.unionByName(
+            high.select("_k", "_p"))
+        plain = plain_counts(docs, Membership.build(high, "_p"))
+        high = materialize(high.join(plain.hint("shuffle_merge"), high["_p"] == plain["pattern"],
+                                     "left")
+                           .where(F.col("total") >= accept * (
+                               F.col("n") + DISCOUNT + F.coalesce("plain", F.lit(0))))
+                           .select("_k", "_p"))
         hits = stored(slots(docs, Membership.build(high, "_p"), Membership.build(new, "_n")))
         both = hits.select("name", "can", F.explode(F.array("p1", "p2")).alias("pattern")) \
             .groupBy("name", "pattern").agg(F.max("can").alias("can"))
@@ -376,7 +419,6 @@ def believed(docs: DataFrame, table: DataFrame, accept: float = ACCEPT
         edges = _distinct(edges.unionByName(more[0]).unionByName(more[1]))
         words = hits.where("can").select("doc_id", "_key", "a", "b", "name")
         seen = words if seen is None else seen.unionByName(words)
-        asked = high if asked is None else asked.unionByName(high)
         looked = new if looked is None else looked.unionByName(new)
 
 

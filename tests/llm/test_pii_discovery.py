@@ -1,7 +1,7 @@
 """Words that no fixed pattern covers, found by the slots they stand in."""
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from cardlens.llm import pii
 from cardlens.llm.pii import ACCEPT, DISCOUNT, KINDS, RISE, SHORTEST, base_spans, find
@@ -26,7 +26,7 @@ def around(left, right):
 
 def brute(rows):
     """The whole bootstrapping in plain Python: found spans by row."""
-    near, words, edges = [], [], {}
+    near, words, edges, plain = [], [], {}, Counter()
     for at, (_, text) in enumerate(rows):
         text = text or ""
         found, miss = base_spans(text)
@@ -42,6 +42,8 @@ def brute(rows):
         all_words = words_of(text)
         low = [lower(w) for _, _, w in all_words]
         for i, (a, b, w) in enumerate(all_words):
+            if not re.search("[0-9@_]", w):
+                plain.update(around(low[:i], low[i + 1:]))
             if all(b <= x or a >= y for _, x, y, _ in spans):
                 can = b - a >= SHORTEST and bool(re.search("[0-9@_]", w))
                 words.append((at, a, b, low[i], can, around(low[:i], low[i + 1:])))
@@ -68,6 +70,7 @@ def brute(rows):
         if not high and not fresh:
             break
         asked |= high
+        high = {p for p in high if sum(held[p]) >= ACCEPT * (len(held[p]) + DISCOUNT + plain[p[1]])}
         looked |= fresh
         for _, _, _, w, c, pair in words:
             for p in pair:
