@@ -6,8 +6,9 @@ Fit, with no n x trees explosion:
    tree, independent of n and of partitioning);
 2. ``groupBy(tree).applyInPandas`` grows each tree on its own sample (a group
    holds ~psi rows, bounded by the hyper-parameter), returning a node table;
-3. scoring is ``mapInPandas`` with the node table broadcast (its size is
+3. scoring is ``mapInArrow`` with the node table broadcast (its size is
    trees x 2 psi nodes, fixed by the hyper-parameters): raw = 2^(-E[h]/c(psi)).
+   Leaves lead to themselves, so all rows of a block take the same few steps.
 """
 
 from __future__ import annotations
@@ -20,6 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cardlens.models.batches import matrix, with_values
+
+SCORE_ROWS = 4096         # rows that walk a tree together
+SAMPLE_ROWS = 1 << 16     # sampled rows of a batch
 EULER = 0.5772156649015329
 
 NODE_SCHEMA = T.StructType([
@@ -51,20 +56,27 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _sampler(n_trees: int, frac: float, features: list[str], seed: int):
+    def some(x, picked):
+        tree = np.repeat([t for t, _ in picked], [len(at) for _, at in picked]).astype(np.int32)
+        part = pd.DataFrame(x[np.concatenate([at for _, at in picked])], columns=features)
+        part.insert(0, "tree", tree)
+        return part
+
     def fn(batches):
         for pdf in batches:
-            ids = pdf["seq"].to_numpy(dtype=np.int64)
+            ids = pdf["seq"].to_numpy(dtype=np.int64).astype(np.uint64) * np.uint64(1_000_003)
             x = pdf[features].to_numpy(dtype=np.float64)
-            out = []
+            picked, held = [], 0
             for t in range(n_trees):
-                u = _mix(ids.astype(np.uint64) * np.uint64(1_000_003) + np.uint64(t * 7919 + seed))
-                m = u < frac
-                if m.any():
-                    part = pd.DataFrame(x[m], columns=features)
-                    part.insert(0, "tree", t)
-                    out.append(part)
-            if out:
-                yield pd.concat(out, ignore_index=True)
+                at = np.flatnonzero(_mix(ids + np.uint64(t * 7919 + seed)) < frac)
+                if len(at):
+                    picked.append((t, at))
+                    held += len(at)
+                if held >= SAMPLE_ROWS:
+                    yield some(x, picked)
+                    picked, held = [], 0
+            if picked:
+                yield some(x, picked)
     return fn
 
 
@@ -120,30 +132,45 @@ class IsolationForestModel:
                          (self.left, "left"), (self.right, "right"), (self.size, "size"),
                          (self.depth, "depth")):
             arr[t, nd] = nodes[col].to_numpy()
-        leaf_c = np.vectorize(c_factor)(self.size.astype(float))
+        known, which = np.unique(self.size, return_inverse=True)
+        leaf_c = np.array([c_factor(float(n)) for n in known])[which.reshape(shape)]
         self.leaf_len = self.depth + leaf_c
+        # for the walk: (left, right) of every node, a leaf's being itself
+        leaf = self.feature < 0
+        own = np.broadcast_to(np.arange(width), shape)
+        self.child = np.stack([np.where(leaf, own, self.left), np.where(leaf, own, self.right)],
+                              2).reshape(self.n_trees, -1).astype(np.intp)
+        self.steps = np.where(leaf, 0, self.depth + 1).max(1)
 
     def raw_scores(self, x: np.ndarray) -> np.ndarray:
         """2^(-E[h(x)] / c(psi)): higher = more anomalous (as -score_samples)."""
-        n = len(x)
-        total = np.zeros(n)
-        rows = np.arange(n)
+        total = np.zeros(len(x))
+        for begin in range(0, len(x), SCORE_ROWS):
+            block = np.ascontiguousarray(x[begin:begin + SCORE_ROWS])
+            total[begin:begin + SCORE_ROWS] = self._lengths(block)
+        mean_h = total / self.n_trees
+        return np.power(2.0, -mean_h / self.c_psi) if self.c_psi > 0 else np.zeros(len(x))
+
+    def _lengths(self, x: np.ndarray) -> np.ndarray:
+        """Path lengths of the rows, summed over the trees."""
+        n, d = x.shape
+        total, values, row = np.zeros(n), x.ravel(), np.arange(n, dtype=np.intp) * d
+        at, value, cut = np.empty(n, np.intp), np.empty(n), np.empty(n)
         for t in range(self.n_trees):
-            node = np.zeros(n, dtype=np.int64)
-            f = self.feature[t]
-            while True:
-                feat = f[node]
-                active = feat >= 0
-                if not active.any():
-                    break
-                go_left = np.zeros(n, dtype=bool)
-                fa = feat[active]
-                go_left[active] = x[rows[active], fa] < self.threshold[t][node[active]]
-                nxt = np.where(go_left, self.left[t][node], self.right[t][node])
-                node = np.where(active, nxt, node)
+            feature, threshold, child = self.feature[t].astype(np.intp), self.threshold[t], self.child[t]
+            np.maximum(feature, 0, out=feature)
+            node = np.zeros(n, np.intp)
+            for _ in range(self.steps[t]):
+                np.take(feature, node, out=at, mode="clip")
+                at += row
+                np.take(values, at, out=value, mode="clip")
+                np.take(threshold, node, out=cut, mode="clip")
+                node *= 2
+                node += ~(value < cut)
+                np.take(child, node, out=at, mode="clip")
+                node, at = at, node
             total += self.leaf_len[t][node]
-        mean_h = total / self.n_trees
-        return np.power(2.0, -mean_h / self.c_psi) if self.c_psi > 0 else np.zeros(n)
+        return total
 
 
 def fit_iforest(train: DataFrame, features: list[str], n_trees: int = 300, max_samples: int = 8192,
@@ -168,9 +195,8 @@ def score_iforest(df: DataFrame, model: IsolationForestModel, out_col: str = "if
 
     def fn(batches):
         m = bc.value
-        for pdf in batches:
-            x = pdf[feats].to_numpy(dtype=np.float64)
-            yield pdf.assign(**{out_col: m.raw_scores(x)})
+        for b in batches:
+            yield with_values(b, out_col, m.raw_scores(matrix(b, feats)))
 
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.DoubleType())])
-    return df.mapInPandas(fn, schema)
+    return df.mapInArrow(fn, schema)

@@ -2,7 +2,7 @@
 
 Predict the 15 "choice" features of a row from the previous 7 standardised
 rows of the same card (zero padding after standardising).  Fitting needs only
-``X'X`` and ``X'Y``: each partition sums them in ``mapInPandas`` (a 218 x 218
+``X'X`` and ``X'Y``: each partition sums them in ``mapInArrow`` (a 218 x 218
 and a 218 x 15 matrix), one aggregate adds the partials, and the small solve
 runs on the driver.  Raw score = mean squared error of the prediction;
 calibrated with the 5 / 99.5 percentiles of legitimate training rows;
@@ -12,12 +12,14 @@ cards with fewer than 2 earlier rows get the neutral 0.5 (W2).
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cardlens.constants import FEATURE_NAMES
+from cardlens.models.batches import matrix, with_values
 from cardlens.operators.sequence import sequence_window
 
 # ---------------------------------------------------------------- FIXED VALUES
@@ -34,24 +36,27 @@ TARGET_IDX = np.array([FEATURE_NAMES.index(f) for f in SEQ_TARGET_FEATURES])
 
 
 def with_windows(features: DataFrame) -> DataFrame:
-    """Adds ``n_hist`` and ``wv``: the previous 7 feature vectors (slice-split
-    W1 operator) flattened and left-padded with NaN to 7 x 31 values."""
+    """Adds ``n_hist`` and ``wv``: up to 7 feature vectors of the rows before,
+    oldest first (slice-split W1 operator)."""
     vec = F.array(*[F.col(n).cast("double") for n in FEATURE_NAMES])
     w = sequence_window(features, vec)
-    flat = F.flatten(F.transform("window", lambda e: e["value"]))
-    pad = F.array_repeat(F.lit(float("nan")), (F.lit(HIST) - F.size("window")) * D)
-    return w.withColumn("n_hist", F.size("window")).withColumn("wv", F.concat(pad, flat)).drop("window")
-
-
-def _design(pdf: pd.DataFrame, mean: np.ndarray, std: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n = len(pdf)
+    return w.withColumn("n_hist", F.size("window")).withColumn("wv", F.col("window.value")).drop("window")
+
+
+def _design(batch: pa.RecordBatch, mean: np.ndarray, std: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    past = batch.column(batch.schema.get_field_index("wv"))
+    size = pa.compute.list_value_length(past).to_numpy(zero_copy_only=False).astype(np.int64)
+    raw = past.flatten().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, D)
+    n = batch.num_rows
+    row = np.repeat(np.arange(n), size)
+    # the last vector of a row stands at the end of its 7 places
+    place = np.arange(len(raw)) - np.repeat(np.cumsum(size) - HIST, size)
+    # standardise, then zero the padding (batch rule: padding is zero after scaling)
+    wide = np.zeros((n, HIST, D))
+    wide[row, place] = np.nan_to_num((raw - mean) / std, nan=0.0)
     x = np.ones((n, HIST * D + 1))                   # last column: intercept
-    if n:
-        raw = np.stack(pdf["wv"].to_numpy()).astype(np.float64).reshape(n, HIST, D)
-        # standardise, then zero the padding (batch rule: padding is zero after scaling)
-        x[:, :-1] = np.nan_to_num((raw - mean) / std, nan=0.0).reshape(n, HIST * D)
-    cur = pdf[list(FEATURE_NAMES)].to_numpy(dtype=np.float64)
-    y = ((cur - mean) / std)[:, TARGET_IDX]
+    x[:, :-1] = wide.reshape(n, HIST * D)
+    y = ((matrix(batch, list(FEATURE_NAMES)) - mean) / std)[:, TARGET_IDX]
     return x, y
 
 
@@ -59,8 +64,8 @@ class SequenceModel:
     def __init__(self, mean, std, coef, lo=0.0, hi=1.0):
         self.mean, self.std, self.coef, self.lo, self.hi = mean, std, coef, lo, hi
 
-    def raw(self, pdf: pd.DataFrame) -> np.ndarray:
-        x, y = _design(pdf, self.mean, self.std)
+    def raw(self, batch: pa.RecordBatch) -> np.ndarray:
+        x, y = _design(batch, self.mean, self.std)
         return np.mean((x @ self.coef - y) ** 2, axis=1)
 
 
@@ -76,17 +81,18 @@ def fit_sequence(train_windows: DataFrame, mean: np.ndarray, std: np.ndarray,
         xtx = np.zeros((p, p))
         xty = np.zeros((p, q))
         seen = False
-        for pdf in batches:
-            x, y = _design(pdf, mean, std)
+        for b in batches:
+            x, y = _design(b, mean, std)
             xtx += x.T @ x
             xty += x.T @ y
             seen = True
         if seen:
             flat = np.concatenate([xtx.reshape(-1), xty.reshape(-1)])
-            yield pd.DataFrame({"k": np.arange(len(flat), dtype=np.int32), "v": flat})
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)),
+                                              pa.array(flat, from_pandas=True)], names=["k", "v"])
 
     schema = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("v", T.DoubleType())])
-    parts = rows.select("wv", *FEATURE_NAMES).mapInPandas(partial, schema)
+    parts = rows.select("wv", *FEATURE_NAMES).mapInArrow(partial, schema)
     # p*p + p*q cells (about 51k): the normal equations are model-sized, not data-sized
     cells = parts.groupBy("k").agg(F.sum("v").alias("v")).toPandas()
     flat = np.zeros(p * p + p * q)
@@ -98,12 +104,14 @@ def fit_sequence(train_windows: DataFrame, mean: np.ndarray, std: np.ndarray,
 
 
 def score_sequence(windows: DataFrame, model: SequenceModel, out_col: str = "sequence_raw") -> DataFrame:
+    """The rows with their score, without ``wv``."""
     bc = windows.sparkSession.sparkContext.broadcast(model)
 
     def fn(batches):
         m = bc.value
-        for pdf in batches:
-            yield pdf.assign(**{out_col: m.raw(pdf)})
+        for b in batches:
+            yield with_values(b, out_col, m.raw(b), drop=("wv",))
 
-    schema = T.StructType(windows.schema.fields + [T.StructField(out_col, T.DoubleType())])
-    return windows.mapInPandas(fn, schema)
+    kept = [f for f in windows.schema.fields if f.name != "wv"]
+    schema = T.StructType(kept + [T.StructField(out_col, T.DoubleType())])
+    return windows.mapInArrow(fn, schema)

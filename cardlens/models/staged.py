@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from cardlens.constants import FEATURE_NAMES
 from cardlens.models.attribution import TreeTable
+from cardlens.models.batches import matrix, with_values
 from cardlens.operators.quantiles import with_place
 from cardlens.session import materialize
 
@@ -46,12 +47,12 @@ def with_probability(df: DataFrame, table: TreeTable, out: str) -> DataFrame:
     names = list(FEATURE_NAMES)
 
     def run(batches):
-        for pdf in batches:
-            m = held.value.margins(pdf[names].to_numpy(dtype=np.float64))
-            last = m[:, -1] if m.shape[1] else np.zeros(len(pdf))
-            yield pdf.assign(**{out: 1.0 / (1.0 + np.exp(-2.0 * last))})
+        for b in batches:
+            m = held.value.margins(matrix(b, names))
+            last = m[:, -1] if m.shape[1] else np.zeros(b.num_rows)
+            yield with_values(b, out, 1.0 / (1.0 + np.exp(-2.0 * last)))
     from pyspark.sql import types as T
-    return df.mapInPandas(run, T.StructType(df.schema.fields + [T.StructField(out, T.DoubleType())]))
+    return df.mapInArrow(run, T.StructType(df.schema.fields + [T.StructField(out, T.DoubleType())]))
 
 
 def prefix_precision(valid: DataFrame, table: TreeTable, label: str = "is_fraud",

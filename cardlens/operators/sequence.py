@@ -29,7 +29,9 @@ def sequence_window(df: DataFrame, value: Column, seq_len: int = SEQ_LEN,
     rows = df.withColumn("_v", value).withColumn(
         "_b", F.floor(F.col("event_us") / F.lit(bucket_us)).cast("long"))
     item = F.struct("event_us", "seq", "transaction_id", F.col("_v").alias("v"))
-    w_last = Window.partitionBy("card_id", "_b").orderBy(F.col("event_us").desc(), F.col("seq").desc())
+    # a long before the card's text: it tells most rows apart in a sort
+    card = [F.xxhash64("card_id", "_b"), "card_id", "_b"]
+    w_last = Window.partitionBy(*card).orderBy(F.col("event_us").desc(), F.col("seq").desc())
     tails = (rows.withColumn("_r", F.row_number().over(w_last)).filter(F.col("_r") <= hist)
                  .groupBy("card_id", "_b").agg(F.array_sort(F.collect_list(item)).alias("tail")))
     w_prev = Window.partitionBy("card_id").orderBy("_b").rowsBetween(-hist, -1)
@@ -42,7 +44,7 @@ def sequence_window(df: DataFrame, value: Column, seq_len: int = SEQ_LEN,
         F.lit(True).alias("_is_ctx"))
     own = rows.withColumn("_is_ctx", F.lit(False))
     both = own.unionByName(ctx_rows, allowMissingColumns=True)
-    w = Window.partitionBy("card_id", "_b").orderBy("event_us", "seq").rowsBetween(-hist, -1)
+    w = Window.partitionBy(*card).orderBy("event_us", "seq").rowsBetween(-hist, -1)
     out = both.withColumn("window", F.collect_list(
         F.struct("transaction_id", F.col("_v").alias("value"))).over(w))
     return out.filter(~F.col("_is_ctx")).drop("_v", "_b", "_is_ctx")

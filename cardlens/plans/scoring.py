@@ -71,7 +71,7 @@ def sequence_scores(feats: DataFrame) -> DataFrame:
     slo, shi = _bounds(win.filter((F.col("split") == "train") & (F.col("is_fraud") == 0)
                                   & (F.col("n_hist") >= 2)), "sequence_raw", 0.05, 0.995)
     return win.withColumn("sequence_score", F.when(F.col("n_hist") < 2, F.lit(0.5)).otherwise(
-        minmax_calibrate(F.col("sequence_raw"), slo, shi))).drop("wv")
+        minmax_calibrate(F.col("sequence_raw"), slo, shi)))
 
 
 def score_transactions(txn: DataFrame, gbt_iters: int = 40, n_trees: int = 300,
