@@ -21,8 +21,10 @@ PSI_BINS, SCORE_BINS = 10, 20
 
 def value_of(feature: str) -> Column:
     """Values are rounded to 9 decimals (model vectors are float32 anyway) so that
-    last-bit noise from summation order cannot move a value across a bin edge."""
-    return F.round(F.col(feature).cast("double"), VALUE_DIGITS)
+    last-bit noise from summation order cannot move a value across a bin edge.
+    Whole numbers, as flags and counts are, need no decimal arithmetic."""
+    v = F.col(feature).cast("double")
+    return F.when(v == F.floor(v), v + 0.0).otherwise(F.round(v, VALUE_DIGITS))
 
 
 def with_sides(baseline: DataFrame, current: DataFrame, features: list[str]) -> DataFrame:
