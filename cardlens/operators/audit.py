@@ -6,13 +6,15 @@
   texts; chain and ``seq`` are part of it.
 * H3 links records: ``record_hash = sha256(prev_hash : pos : payload_hash)``.
   A chain is one card in one time slice, so the number of chains grows with
-  the data.  Only (chain, seq, payload hash) goes through Python: rows are
-  hash-partitioned by chain, sorted by ``seq`` and streamed, carrying the last
-  hash of one chain.  A chain resumes from the head of a previous batch, which
-  joins the stream as a seed row.
+  the data.  Rows are hash-partitioned by chain once, sorted by ``seq`` and
+  streamed through Python, which reads chain and payload hash, carries the last
+  hash of one chain and passes the other columns on: give it only those that
+  are wanted behind it.  A chain resumes from the head of a previous batch,
+  which joins the stream as a seed row.
 * H4 verification is fully parallel: recompute every hash, then compare each
   record with its predecessor by an equi-join on (chain, pos), null-safe; look
-  for two records at one place; and, given the heads, for cut-off ends.
+  for two records at one place; and, given the heads, for cut-off ends.  Hashes
+  travel as bytes, half as long as their text.
 
 Chains are self-consistent, not byte-compatible with JSON-based logs.
 """
@@ -22,8 +24,9 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cardlens.constants import DAY_US, FEATURE_NAMES, GENESIS_HASH
 from cardlens.functions.text import pseudonym
@@ -81,31 +84,36 @@ def payload_hash() -> Column:
     return F.sha2(canonical_text(), 256)
 
 
-def _link(batches):
+def _link(own: list[str]):
     """Link rows sorted by chain; a seed row only sets where its chain goes on."""
-    chain, pos, last = None, 0, GENESIS_HASH
-    for batch in batches:
-        out = []
-        for row in batch.to_pylist():
-            if row["chain_id"] != chain:
-                chain, pos, last = row["chain_id"], 0, GENESIS_HASH
-            if row["seed"] is not None:
-                pos, last = row["pos"], row["seed"]
-                continue
-            pos += 1
-            now = hashlib.sha256(f"{last}:{pos}:{row['payload_hash']}".encode()).hexdigest()
-            out.append({"chain_id": chain, "seq": row["seq"], "payload_hash": row["payload_hash"],
-                        "_copy": row["_copy"],
-                        "pos": pos, "prev_hash": last, "record_hash": now})
-            last = now
-        if out:
-            yield pa.RecordBatch.from_pylist(out, schema=_LINKED)
-
-
-_LINKED = pa.schema([("chain_id", pa.string()), ("seq", pa.int64()), ("payload_hash", pa.string()),
-                     ("_copy", pa.int32()), ("pos", pa.int64()), ("prev_hash", pa.string()), ("record_hash", pa.string())])
-_LINKED_SQL = ("chain_id string, seq long, payload_hash string, _copy int, pos long, prev_hash string, "
-               "record_hash string")
+    def run(batches):
+        chain, pos, last = None, 0, GENESIS_HASH
+        for batch in batches:
+            rows, places, before, hashes = [], [], [], []
+            read = (batch.column(c).to_pylist() for c in ("chain_id", "payload_hash", "_pos", "_seed"))
+            for i, (c, body, at, seed) in enumerate(zip(*read)):
+                if c != chain:
+                    chain, pos, last = c, 0, GENESIS_HASH
+                if seed is not None:
+                    pos, last = at, seed
+                    continue
+                pos += 1
+                rows.append(i)
+                places.append(pos)
+                before.append(last)
+                last = hashlib.sha256(f"{last}:{pos}:{body}".encode()).hexdigest()
+                hashes.append(last)
+            if rows:
+                kept = batch.select(own)
+                if len(rows) < batch.num_rows:
+                    kept = kept.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [*kept.columns, pa.array(places, pa.int64()), pa.array(before), pa.array(hashes)],
+                    names=[*own, *LINK])
+    return run
+
+
+LINK = ("pos", "prev_hash", "record_hash")
 
 
 def unlinkable(records: DataFrame) -> DataFrame:
@@ -120,22 +128,22 @@ def link_chain(records: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     its own place; records without chain or ``seq`` take no place (see
     ``unlinkable``)."""
     key = ["chain_id", "seq", "payload_hash"]
-    known_place = records.where(F.col("chain_id").isNotNull() & F.col("seq").isNotNull())
-    by_key = Window.partitionBy(*key).orderBy("transaction_id")
-    records = (known_place.withColumn("seq", F.col("seq").cast("long")).repartition("chain_id")
-               .withColumn("_copy", F.row_number().over(by_key)))
-    rows = records.select(*key, "_copy", F.lit(0).cast("long").alias("pos"),
-                          F.lit(None).cast("string").alias("seed"))
+    own = [*key, *(c for c in records.columns if c not in key)]
+    records = records.where(F.col("chain_id").isNotNull() & F.col("seq").isNotNull()) \
+        .withColumn("seq", F.col("seq").cast("long")).select(*own)
+    rows = records.withColumns({"_pos": F.lit(0).cast("long"), "_seed": F.lit(None).cast("string")})
     if heads is not None:
-        known = heads.join(rows.select("chain_id").distinct(), "chain_id", "left_semi")
+        known = heads.join(records.select("chain_id").distinct(), "chain_id", "left_semi")
         rows = rows.unionByName(known.select(
             "chain_id", F.col("last_seq").cast("long").alias("seq"),
-            F.lit(None).cast("string").alias("payload_hash"), F.lit(0).alias("_copy"),
-            F.col("last_pos").alias("pos"), F.col("last_hash").alias("seed")))
+            F.col("last_pos").cast("long").alias("_pos"), F.col("last_hash").alias("_seed")),
+            allowMissingColumns=True)
     ordered = rows.repartition("chain_id").sortWithinPartitions(
-        "chain_id", F.col("seed").isNull(), "seq", "payload_hash", "_copy")
-    linked = ordered.mapInArrow(_link, _LINKED_SQL)
-    return records.join(linked, [*key, "_copy"]).drop("_copy")
+        "chain_id", F.col("_seed").isNull(), "seq", "payload_hash", "transaction_id")
+    kinds = T.StructType([T.StructField(f.name, f.dataType) for f in records.schema]
+                         + [T.StructField("pos", T.LongType()), T.StructField("prev_hash", T.StringType()),
+                            T.StructField("record_hash", T.StringType())])
+    return ordered.mapInArrow(_link(own), kinds)
 
 
 def chain_heads(chained: DataFrame) -> DataFrame:
@@ -146,24 +154,35 @@ def chain_heads(chained: DataFrame) -> DataFrame:
         F.max("pos").alias("last_pos"))
 
 
-def verify_chain(chained: DataFrame, heads: DataFrame | None = None) -> DataFrame:
-    """H4: every broken record with a reason; all checks are joins/aggregates."""
+def _packed(text: Column) -> Column:
+    """A hash as bytes, any other text as it is; different texts stay different."""
+    return F.when(text.rlike("^[0-9a-f]{64}$"), F.concat(F.lit(b"h"), F.unhex(text))) \
+            .otherwise(F.concat(F.lit(b"t"), text.cast("binary")))
+
+
+def verify_chain(chained: DataFrame, heads: DataFrame | None = None,
+                 body_hash: Column | None = None) -> DataFrame:
+    """H4: every broken record with a reason; all checks are joins/aggregates.
+    ``body_hash``: ``payload_hash`` of each record as it is now, where it was taken
+    as the bodies were read; without it the bodies are columns of ``chained``."""
     again = F.sha2(F.concat_ws(":", F.coalesce("prev_hash", F.lit("")),
                                F.coalesce(F.col("pos").cast("string"), F.lit("")),
-                               payload_hash()), 256)
-    rec = chained.select("chain_id", "seq", "transaction_id", "pos", "prev_hash", "record_hash",
-                         again.alias("expected"))
+                               payload_hash() if body_hash is None else body_hash), 256)
+    rec = chained.select("chain_id", "seq", "transaction_id", "pos",
+                         _packed(F.col("prev_hash")).alias("prev_hash"),
+                         _packed(F.col("record_hash")).alias("record_hash"),
+                         again.eqNullSafe(F.col("record_hash")).alias("intact"))
 
     def found(df: DataFrame, reason: str) -> DataFrame:
         return df.select("chain_id", "seq", "transaction_id", F.lit(reason).alias("reason"))
 
-    broken = found(rec.where(~F.col("expected").eqNullSafe(F.col("record_hash"))), "hash_mismatch")
+    broken = found(rec.where(~F.col("intact")), "hash_mismatch")
     lost = found(rec.where("pos is null or pos < 1 or chain_id is null"), "malformed")
     before = rec.select(F.col("chain_id").alias("_c"), (F.col("pos") + 1).alias("_p"),
                         F.col("record_hash").alias("_h"), F.col("seq").alias("_s"))
     linked = rec.where("pos >= 1").join(before, (rec["chain_id"] == F.col("_c"))
                                         & (rec["pos"] == F.col("_p")), "left")
-    start = (F.col("pos") == 1) & ~F.col("prev_hash").eqNullSafe(F.lit(GENESIS_HASH))
+    start = (F.col("pos") == 1) & ~F.col("prev_hash").eqNullSafe(_packed(F.lit(GENESIS_HASH)))
     later = (F.col("pos") > 1) & (F.col("_h").isNull()
                                   | ~F.col("prev_hash").eqNullSafe(F.col("_h")))
     orphans = found(linked.where(start | later), "missing_predecessor")
@@ -176,7 +195,7 @@ def verify_chain(chained: DataFrame, heads: DataFrame | None = None) -> DataFram
     if heads is not None:
         ends = rec.select("chain_id", F.col("pos").alias("last_pos"),
                           F.col("record_hash").alias("last_hash"))
-        cut = heads.join(ends, ["chain_id", "last_pos", "last_hash"], "left_anti").select(
+        cut = heads.withColumn("last_hash", _packed(F.col("last_hash"))).join(ends, ["chain_id", "last_pos", "last_hash"], "left_anti").select(
             "chain_id", F.col("last_seq").alias("seq"),
             F.lit(None).cast("string").alias("transaction_id"), F.lit("missing_end").alias("reason"))
         out = out.unionByName(cut)

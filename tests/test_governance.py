@@ -169,6 +169,41 @@ def test_payload_text_is_injective(spark):
     assert len(set(texts)) == len(texts)
 
 
+def test_linking_deals_records_out_once(spark):
+    import contextlib
+    import io
+    recs = _records(spark).withColumn("note", F.concat(F.lit("n"), "seq"))
+    chained = au.link_chain(recs)
+    plan = io.StringIO()
+    with contextlib.redirect_stdout(plan):
+        chained.explain()
+    assert plan.getvalue().count("+- Exchange ") == 1 and "Join" not in plan.getvalue()
+    rows = chained.orderBy("pos").collect()
+    assert [r["pos"] for r in rows] == list(range(1, 21))
+    assert [r["note"] for r in rows] == [f"n{r['seq']}" for r in rows]
+    assert [r["prev_hash"] for r in rows[1:]] == [r["record_hash"] for r in rows[:-1]]
+
+
+def test_verify_by_hashes_of_the_bodies(spark):
+    """Bodies hashed where they are read give the same breaks as bodies sent along."""
+    recs = _records(spark)
+    edited = F.when(F.col("seq") == 4, "decline").otherwise(F.col("action"))
+    wide = au.link_chain(recs)
+    heads = au.chain_heads(wide)
+    want = _reasons(au.verify_chain(wide.withColumn("action", edited).where("seq <> 9"), heads))
+    narrow = au.link_chain(recs.withColumn("action", edited).select(
+        "chain_id", "seq", "payload_hash", "transaction_id", au.payload_hash().alias("now")))
+    got = _reasons(au.verify_chain(narrow.where("seq <> 9"), heads, F.col("now")))
+    assert got == want and (4, "hash_mismatch") in got and (10, "missing_predecessor") in got
+
+
+def test_hashes_in_other_letters_are_found(spark):
+    chained = au.link_chain(_records(spark))
+    upper = chained.withColumn("record_hash", F.when(F.col("seq") == 5, F.upper("record_hash"))
+                                               .otherwise(F.col("record_hash")))
+    assert {(5, "hash_mismatch"), (6, "missing_predecessor")} <= set(_reasons(au.verify_chain(upper)))
+
+
 def test_audit_log_round_trip(spark, tmp_path):
     chained = au.link_chain(_records(spark))
     path = str(tmp_path / "log")
